@@ -66,3 +66,13 @@ def text_key(c: Column) -> Column:
 def words(c: Column) -> Column:
     """The words of a text as an array; null: none."""
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """left with right's columns by key, of which right has a row each at most. counts: (key, n), the rows of left by key.
+
+    Keys with over 1/HEAVY of left's rows, HEAVY at most, are broadcast, so a hot key's rows stay where they are."""
+    most = F.broadcast(counts.agg((F.sum("n") / HEAVY).alias("most")))
+    hot = F.broadcast(counts.join(most).where(F.col("n") > F.col("most")).select(key))
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    return left.join(hot, key, "left_semi").join(few, key, "left").unionByName(left.join(hot, key, "left_anti").join(right, key, "left"))

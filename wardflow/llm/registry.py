@@ -1,13 +1,17 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB form."""
 
-from wardflow.llm import line_dedup, mixing
+from wardflow.llm import line_dedup, mixing, quality_rules, secrets, simhash
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_simhash": simhash.op4_simhash,
+    "op9_secrets": secrets.op9_secrets,
     "op5_line_dedup": line_dedup.op5_line_dedup,
 }
 
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
+    "op3_quality_rules": quality_rules.OP3_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
 }

@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB form."""
 
-from wardflow.llm import line_dedup, mixing, quality_rules, secrets, simhash
+from wardflow.llm import line_crf, line_dedup, mixing, quality_rules, secrets, simhash
 
 QUERIES = {
+    "op1_quality_classifier": line_crf.op1_quality_classifier,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_simhash": simhash.op4_simhash,

@@ -1,12 +1,15 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB form."""
 
-from wardflow.llm import line_crf, line_dedup, mixing, quality_rules, secrets, simhash
+from wardflow.llm import avi, chat, line_crf, line_dedup, mixing, quality_rules, secrets, simhash, warc
 
 QUERIES = {
     "op1_quality_classifier": line_crf.op1_quality_classifier,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_simhash": simhash.op4_simhash,
+    "op6_warc": warc.op6_warc,
+    "op7_media_columns": avi.op7_media_columns,
+    "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_secrets": secrets.op9_secrets,
     "op5_line_dedup": line_dedup.op5_line_dedup,
 }
@@ -14,5 +17,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
     "op3_quality_rules": quality_rules.OP3_SQL,
+    "op6_warc": warc.OP6_SQL,
+    "op8_chat_formatting": chat.OP8_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
 }

@@ -73,12 +73,12 @@ def taken_words(epoch: Column | int) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.floor(F.col("target")) - begin))
 
 
-def mix(docs: DataFrame, epochs: int = 2, **options) -> DataFrame:
-    """The mixed stream: a row for each taken copy, in order of virtual finish time (range-sorted over all partitions)."""
+def mix(docs: DataFrame, epochs: int = 2, ordered: bool = True, **options) -> DataFrame:
+    """The mixed stream: a row for each taken copy, in order of virtual finish time (range-sorted over all partitions, unless the caller does)."""
     q = queue(docs, epochs=epochs, **options).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     q = q.withColumn("taken", taken_words(F.col("epoch"))).where(F.col("taken") > 0)
     q = q.withColumn("finish", (F.col("start") + F.col("source_size") * F.col("epoch") + F.col("size")) / F.col("target"))
-    return q.orderBy("finish", "source", "epoch", "key")
+    return q.orderBy("finish", "source", "epoch", "key") if ordered else q
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,3 +105,11 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
        CASE WHEN target > 0 THEN (start + size)::DOUBLE / target END AS finish
 FROM q
 """
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix gives them out: a row for each copy of which it takes words (the whole document), in order of virtual finish time."""
+    cols = docs.columns
+    own = stored(docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("d")), "mix-docs")
+    taken = mix(own.select("at", "d.doc_id", "d.text", "d.source"), keep=["at"], ordered=False, **options).select("at", "finish", "epoch")
+    return own.join(taken, "at").orderBy("finish", "epoch", "at").select(*[F.col(f"d.`{c}`").alias(c) for c in cols])

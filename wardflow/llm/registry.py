@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB form."""
 
-from wardflow.llm import avi, chat, line_crf, line_dedup, mixing, quality_rules, secrets, simhash, warc
+from wardflow.llm import avi, chat, line_crf, line_dedup, mixing, pieces, quality_rules, secrets, simhash, warc
 
 QUERIES = {
     "op1_quality_classifier": line_crf.op1_quality_classifier,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_media_columns": avi.op7_media_columns,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
     "op9_secrets": secrets.op9_secrets,
     "op5_line_dedup": line_dedup.op5_line_dedup,
 }

@@ -1,4 +1,438 @@
-"""The registered queries and, for each that SQL can express, its DuckDB form."""
+"""The registered queries over the lattice of the driver's tables and, for each that SQL can express, its DuckDB form (plans/oracle.py)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wardflow.functions import geometry
+from wardflow.operators import alignment, compactness, county, districts, graph, history, labels, partisan, population, reports, score, validate
+from wardflow.plans import oracle
+from wardflow.plans.config import ScoreConfig, everything
+from wardflow.plans.fixtures import K, Lattice
+
+CFG = everything()
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles are compared by hash, so they are rounded."""
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(Lattice(spark, sf_dir)))
+    return f
+
+
+def layer(x: Lattice) -> score.Layer:
+    geo, _ = unit_geometry(x)
+    return score.Layer(x.precincts, x.edges, geo, geometry.extrema(x.precincts), x.reference)
+
+
+def unit_geometry(x: Lattice) -> tuple[DataFrame, DataFrame]:
+    """The lattice's geometry, from its rings and known edges."""
+    shared = x.edges.select(F.explode(F.array("u", "v")).alias("precinct_id"), "shared_len").groupBy("precinct_id").agg(F.sum("shared_len").alias("shared"))
+    g = x.precincts.select("precinct_id", geometry.area(F.col("rings")).alias("area"), geometry.perimeter(F.col("rings")).alias("perimeter")).join(shared, "precinct_id", "left")
+    return g.select("precinct_id", "area", F.greatest(F.col("perimeter") - F.coalesce("shared", F.lit(0.0)), F.lit(0.0)).alias("ext_perimeter")), x.edges
+
+
+def totals(x: Lattice) -> DataFrame:
+    return districts.totals(x.assignments, x.precincts, K)
+
+
+def by_plan(x: Lattice, **columns) -> DataFrame:
+    return districts.arrays(totals(x)).select("plan_id", *[v.alias(k) for k, v in columns.items()])
+
+
+# ---- partisan ----
+
+
+@query
+def district_vote_shares(x):
+    return totals(x).select("plan_id", "district", "dem_votes", "rep_votes", "share")
+
+
+@query
+def mean_median(x):
+    m = partisan.mean_median()
+    return by_plan(x, mean_median=m, penalty=partisan.directional(m, "fair", CFG.mm_bound), penalty_dem=partisan.directional(m, "favor_dem", CFG.mm_bound), penalty_rep=partisan.directional(m, "favor_rep", CFG.mm_bound, True))
+
+
+@query
+def efficiency_gap_static(x):
+    return by_plan(x, efficiency_gap=partisan.efficiency_gap())
+
+
+@query
+def efficiency_gap_robust(x):
+    e = partisan.efficiency_gap_robust(CFG.sigma_eg)
+    return by_plan(x, efficiency_gap=e, penalty=partisan.directional(e, "fair", CFG.eg_bound))
+
+
+@query
+def expected_dem_seats(x):
+    s = partisan.expected_seats(CFG.sigma)
+    return by_plan(x, dem_seats=s, penalty_dem=partisan.seats_penalty(s, K, True), penalty_rep=partisan.seats_penalty(s, K, False))
+
+
+@query
+def majority_chance(x):
+    a = partisan.with_counts(districts.arrays(totals(x)), CFG)
+    dem, rep = partisan.majority(K)
+    return a.select("plan_id", dem.alias("majority_dem"), rep.alias("majority_rep")).withColumn("penalty_dem", partisan.majority_penalty(F.col("majority_dem")))
+
+
+@query
+def hinge_chance(x):
+    a = partisan.with_counts(districts.arrays(totals(x)), CFG)
+    return a.select("plan_id", partisan.hinge(K, 4, True).alias("dem_4"), partisan.hinge(K, 5, False).alias("rep_5"))
+
+
+@query
+def partisan_bias(x):
+    return by_plan(x, partisan_bias=partisan.bias(CFG.sigma))
+
+
+@query
+def seats_votes_curve(x):
+    a = districts.arrays(totals(x)).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    vote = 0.35 + 0.02 * F.col("step")
+    return a.select("plan_id", "step", partisan.seat_curve(vote - partisan.statewide(), CFG.sigma).alias("seats"))
+
+
+@query
+def partisan_gini(x):
+    return by_plan(x, partisan_gini=partisan.gini(CFG.sigma))
+
+
+@query
+def proportionality_clipped(x):
+    return by_plan(x, p=partisan.proportionality_clipped(K, CFG.sigma)).select("plan_id", "p.penalty", "p.inversion", "p.gap")
+
+
+@query
+def proportionality_unclipped(x):
+    a = partisan.with_counts(districts.arrays(totals(x)), CFG)
+    return a.select("plan_id", partisan.proportionality(K, CFG).alias("p")).select("plan_id", "p.penalty", "p.inversion", "p.gap")
+
+
+@query
+def competitiveness(x):
+    c = partisan.competitiveness(CFG.sigma)
+    return by_plan(x, index=c, penalty=partisan.competitiveness_penalty(c), penalty_clipped=partisan.competitiveness_penalty(c, False))
+
+
+# ---- population, counties, cuts ----
+
+
+@query
+def population_deviation(x):
+    return population.deviation(totals(x), K, 0.01)
+
+
+@query
+def plan_stats(x):
+    return population.stats(totals(x), population.cut_count(districts.cut_edges(x.assignments, x.edges)))
+
+
+@query
+def cut_edges(x):
+    return population.cut_count(districts.cut_edges(x.assignments, x.edges))
+
+
+@query
+def cut_edge_incidence(x):
+    return districts.incidence(x.assignments, x.edges)
+
+
+@query
+def county_district_matrix(x):
+    return county.matrix(x.assignments, x.precincts)
+
+
+@query
+def county_constants(x):
+    return county.constants(x.precincts, K, CFG.tolerance)
+
+
+@query
+def county_splits(x):
+    return county.splits(county.matrix(x.assignments, x.precincts), county.constants(x.precincts, K, CFG.tolerance))
+
+
+@query
+def county_congruence(x):
+    m = county.matrix(x.assignments, x.precincts)
+    return county.congruence(m, x.precincts, K).join(county.congruence(m, x.precincts, K, False).select("plan_id", F.col("congruence").alias("clipped")), "plan_id")
+
+
+@query
+def clean_counties(x):
+    return districts.clean_counties(x.assignments, x.precincts)
+
+
+@query
+def counties_touched(x):
+    return districts.counties_touched(x.assignments, x.precincts)
+
+
+# ---- compactness and geometry ----
+
+
+@query
+def precinct_area_perimeter(x):
+    c = geometry.centroid(F.col("rings"))
+    return x.precincts.select("precinct_id", geometry.area(F.col("rings")).alias("area"), geometry.perimeter(F.col("rings")).alias("perimeter"), c["x"].alias("cx"), c["y"].alias("cy"))
+
+
+@query
+def adjacency_from_rings(x):
+    return graph.shared_sides(x.precincts)
+
+
+@query
+def exterior_perimeter(x):
+    return graph.prepared(x.precincts)[0]
+
+
+@query
+def dir_extrema(x):
+    return geometry.extrema(x.precincts)
+
+
+@query
+def polsby_popper(x):
+    return compactness.polsby_popper(x.assignments, unit_geometry(x)[0], x.edges, K)
+
+
+@query
+def reock(x):
+    return compactness.reock(x.assignments, unit_geometry(x)[0], geometry.extrema(x.precincts), K)
+
+
+@query
+def compactness_blend(x):
+    l = layer(x)  # noqa: E741
+    pp = compactness.penalty(compactness.polsby_popper(x.assignments, l.geometry, l.edges, K), "polsby_popper")
+    rk = compactness.penalty(compactness.reock(x.assignments, l.geometry, l.extrema, K), "reock")
+    p, r = F.col("polsby_popper"), F.col("reock")
+    return pp.join(rk, "plan_id").select("plan_id", "polsby_popper", "reock", compactness.blend(p, r).alias("blend"), compactness.blend(p, r, False).alias("blend_clipped"))
+
+
+@query
+def district_boundary_segments(x):
+    a = x.assignments.where("plan_id = 0").select("precinct_id", F.col("district").alias("owner"))
+    return graph.dissolved(x.precincts, a)
+
+
+# ---- alignment, score ----
+
+
+@query
+def alignment_cohesion(x):
+    c = alignment.cohesion(x.assignments, x.precincts, x.reference)
+    return alignment.alignment(x.assignments, c)
+
+
+@query
+def alignment_party_wins_only(x):
+    c = alignment.cohesion(x.assignments, x.precincts, x.reference, "dem", True, 0.49)
+    return alignment.alignment(x.assignments, c)
+
+
+@query
+def plan_score_total(x):
+    return score.scores(x.assignments, layer(x), CFG).select("plan_id", "cut_edges", "county_excess", "county_unified", "congruence", "polsby_popper", "reock", "compactness", "pop_deviation", "alignment", "mean_median", "efficiency_gap", "dem_seats", "partisan_bias", "partisan_gini", "proportionality", "inversion_chance", "competitiveness", "majority_dem", "majority_rep", "hinge_chance", "total")
+
+
+@query
+def score_breakdown(x):
+    return score.breakdown(score.scores(x.assignments, layer(x), CFG), CFG)
+
+
+# ---- reports ----
+
+
+@query
+def district_metrics_export(x):
+    return reports.metrics(x.assignments, layer(x), ScoreConfig())
+
+
+@query
+def district_info_table(x):
+    return reports.live_table(x.assignments, layer(x), ScoreConfig())
+
+
+@query
+def partisan_buckets(x):
+    return reports.precinct_buckets(x.precincts)
+
+
+@query
+def district_rank_bars(x):
+    return reports.ranked(totals(x), CFG.sigma)
+
+
+@query
+def district_shades(x):
+    return reports.shades(x.assignments, layer(x), K)
+
+
+# ---- graph, validation ----
+
+
+def _apart(x: Lattice) -> DataFrame:
+    """Edges without those between the 2 x 2 corner block and the rest."""
+    corner = [0, 1, x.w, x.w + 1]
+    return x.edges.where(F.col("u").isin(corner) == F.col("v").isin(corner))
+
+
+@query
+def connected_components(x):
+    return graph.components(x.precincts.select(F.col("precinct_id").alias("node")), _apart(x))
+
+
+@query
+def bridge_components(x):
+    shift = lambda p: F.struct((p["x"] - 5.0).alias("x"), p["y"].alias("y"))
+    moved = F.transform("rings", lambda r: F.struct(r["is_hole"], F.transform(r["pts"], shift).alias("pts")))
+    p = x.precincts.withColumn("rings", F.when((F.col("x") < 2) & (F.col("y") < 2), moved).otherwise(F.col("rings")))
+    return graph.bridges(p, _apart(x))
+
+
+@query
+def contiguity_check(x):
+    return graph.pieces(x.assignments, x.edges)
+
+
+@query
+def column_profile(x):
+    return validate.profile(x.precincts.drop("rings").select("precinct_key", "county_id", "population", "dem_votes", "rep_votes")).drop("type")
+
+
+@query
+def geometry_profile(x):
+    return validate.geometry_counts(x.precincts)
+
+
+@query
+def plan_id_mismatch(x):
+    plan = x.precincts.where("precinct_id % 50 <> 3").select(F.concat(F.lit(" "), "precinct_key", F.lit(" ")).alias("id")).unionByName(x.spark.createDataFrame([("other",)], "id string"))
+    return validate.id_mismatch(plan, x.precincts, "id")
+
+
+@query
+def hot_start_validate(x):
+    return validate.plan_checks(x.assignments, x.precincts, x.edges, K, CFG.tolerance)
+
+
+# ---- labels ----
+
+
+def _centroids(x: Lattice) -> DataFrame:
+    return labels.centroids(x.assignments, x.precincts.select("precinct_id", (F.col("x") + 0.5).alias("cx"), (F.col("y") + 0.5).alias("cy"), "population"), K)
+
+
+@query
+def renumber_nw_se(x):
+    return labels.geographic(_centroids(x))
+
+
+@query
+def renumber_n_s(x):
+    return labels.geographic(_centroids(x), "n_s")
+
+
+@query
+def renumber_proximity(x):
+    return labels.proximity(_centroids(x))
+
+
+@query
+def renumber_infer(x):
+    return labels.inferred(labels.overlaps(x.assignments, x.reference, x.precincts), x.reference, K)
+
+
+@query
+def stable_colors(x):
+    a = x.assignments
+    return labels.stable(a, a.where("plan_id = 0"), K)
+
+
+# ---- history ----
+
+
+@query
+def acceptance_rate(x):
+    return history.acceptance(x.history)
+
+
+@query
+def best_so_far(x):
+    return history.best_so_far(x.history)
+
+
+@query
+def history_smooth(x):
+    return history.smoothed(x.history)
+
+
+@query
+def history_stride(x):
+    return history.thinned(x.history, 20, 40).select("chain_id", "seq", "total")
+
+
+@query
+def history_compact(x):
+    return history.compacted(x.history, 60, 30, 7).select("chain_id", "seq", "total")
+
+
+@query
+def history_render(x):
+    return history.rendered(x.history, 10)
+
+
+@query
+def history_axis(x):
+    return history.axis(x.history, 50)
+
+
+@query
+def history_entropy(x):
+    return history.entropy(x.history)
+
+
+@query
+def history_revert(x):
+    return history.reverted(x.history).select("chain_id", "seq", "total")
+
+
+@query
+def recency_bands(x):
+    return history.banded(x.history)
+
+
+@query
+def flip_rate_curve(x):
+    g = x.spark.range(0, 101).select(F.col("id").alias("step"), (F.col("id") / 100.0).alias("p"))
+    return g.select("step", history.flip_rate(F.col("p")).alias("rate"), history.flip_rate(F.col("p"), 0.0).alias("rate_upper"), history.flip_rate(F.col("p"), 1.0).alias("rate_lower"))
+
+
+@query
+def cooling_schedule(x):
+    rate = history.cooling_rate(200.0, 1.0, 0.9, 1000)
+    g = x.spark.range(0, 1001, 10).select(F.col("id").alias("iteration"))
+    t = history.temperature(F.col("iteration"), 200.0, rate)
+    return g.select("iteration", t.alias("temperature"), history.acceptance_chance(F.lit(5.0), t).alias("chance"))
+
+
+@query
+def ratchet_ceiling(x):
+    g = x.spark.range(0, 101).select(F.col("id").alias("step"), (F.col("id") / 100.0).alias("p"))
+    return g.select("step", history.ratchet_ceiling(F.col("p"), 0.05).alias("ceiling"), history.ratchet_ceiling(F.col("p"), 0.001).alias("tight"))
+
+
+ORACLE_SQL = oracle.SQL

@@ -5,43 +5,50 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-CHAIN = W.partitionBy("chain_id")
-ORDER = CHAIN.orderBy("seq")
 RECENT, LEAST_SEEN, FADE, BANDS = 200, 10, 2000.0, 24
 
 
+def _chain() -> WindowSpec:
+    return W.partitionBy("chain_id")
+
+
+def _order() -> WindowSpec:
+    return _chain().orderBy("seq")
+
+
 def acceptance(h: DataFrame) -> DataFrame:
     """(chain_id, seq, rate): the share accepted of the last 200 worse proposals, once there are 10; it holds until the next worse one."""
-    w = h.withColumn("nth", F.sum(F.col("is_worse").cast("int")).over(ORDER))
+    w = h.withColumn("nth", F.sum(F.col("is_worse").cast("int")).over(_order()))
     last = W.partitionBy("chain_id", "is_worse").orderBy("seq").rowsBetween(-(RECENT - 1), 0)
     w = w.withColumn("own", F.when(F.col("is_worse") & (F.col("nth") >= LEAST_SEEN), F.avg(F.col("accepted").cast("double")).over(last)))
-    return w.select("chain_id", "seq", F.last("own", ignorenulls=True).over(ORDER).alias("rate")).where("rate is not null")
+    return w.select("chain_id", "seq", F.last("own", ignorenulls=True).over(_order()).alias("rate")).where("rate is not null")
 
 
 def best_so_far(h: DataFrame) -> DataFrame:
     """(chain_id, seq, iteration, best, best_iteration): over accepted proposals; of equal totals the first."""
     here = F.when(F.col("accepted"), F.struct("total", "iteration"))
-    run = F.min(here).over(ORDER)
+    run = F.min(here).over(_order())
     return h.select("chain_id", "seq", "iteration", run["total"].alias("best"), run["iteration"].alias("best_iteration"))
 
 
 def smoothed(h: DataFrame, half: int = 3) -> DataFrame:
     """(chain_id, seq, smooth): the centred mean; ends take what there is."""
-    return h.select("chain_id", "seq", F.avg("total").over(ORDER.rowsBetween(-half, half)).alias("smooth"))
+    return h.select("chain_id", "seq", F.avg("total").over(_order().rowsBetween(-half, half)).alias("smooth"))
 
 
 def banded(h: DataFrame) -> DataFrame:
     """(chain_id, seq, weight, band): recency by age from the chain's end, and its band of 24."""
-    age = F.max("seq").over(CHAIN) - F.col("seq")
+    age = F.max("seq").over(_chain()) - F.col("seq")
     t = F.exp(-age / FADE)
     return h.select("chain_id", "seq", t.alias("weight"), F.least(F.floor(t * BANDS), F.lit(BANDS - 1)).cast("int").alias("band"))
 
 
 def thinned(h: DataFrame, head: int = 400, most: int = 1400) -> DataFrame:
     """The newest `head` rows, and older ones by the smallest power-of-two stride that keeps `most` in all."""
-    n = F.count("*").over(CHAIN)
+    n = F.count("*").over(_chain())
     older = F.greatest(n - head, F.lit(0))
     # The least power of two of which no more than most - head fit into the older rows.
     q = F.ceil((older + 1) / (most - head + 1))
@@ -51,13 +58,13 @@ def thinned(h: DataFrame, head: int = 400, most: int = 1400) -> DataFrame:
 
 def compacted(h: DataFrame, most: int = 20_000, recent: int = 10_000, every: int = 50) -> DataFrame:
     """Chains of over `most` rows keep the newest `recent` and one in `every` of the older."""
-    n = F.count("*").over(CHAIN)
+    n = F.count("*").over(_chain())
     return h.withColumn("n", n).where((F.col("n") <= most) | (F.col("seq") > F.col("n") - recent) | ((F.col("seq") - 1) % every == 0)).drop("n")
 
 
 def rendered(h: DataFrame, windows: int = 50) -> DataFrame:
     """(chain_id, seq, total): of each stretch of the chain its first, lowest and highest row, and the chain's last."""
-    n = F.max("seq").over(CHAIN)
+    n = F.max("seq").over(_chain())
     step = F.greatest(F.lit(1), F.ceil(n / windows))
     w = h.withColumn("n", n).withColumn("part", F.floor((F.col("seq") - 1) / step))
     part = W.partitionBy("chain_id", "part")
@@ -73,7 +80,7 @@ def phase(value: Column, form: str) -> Column:
 
 def axis(h: DataFrame, last: int = 1000, pad: float = 0.08, least: float = 0.05) -> DataFrame:
     """(chain_id, low, high) of the last rows, with a margin, at least `least` wide."""
-    r = h.withColumn("n", F.max("seq").over(CHAIN)).where(F.col("seq") > F.col("n") - last).groupBy("chain_id").agg(F.min("total").alias("a"), F.max("total").alias("b"))
+    r = h.withColumn("n", F.max("seq").over(_chain())).where(F.col("seq") > F.col("n") - last).groupBy("chain_id").agg(F.min("total").alias("a"), F.max("total").alias("b"))
     span = F.greatest(F.col("b") - F.col("a"), F.lit(least))
     return r.select("chain_id", (F.col("a") - span * pad).alias("low"), (F.col("a") + span + span * pad).alias("high"))
 
@@ -86,7 +93,7 @@ def entropy(h: DataFrame) -> DataFrame:
 
 def reverted(h: DataFrame) -> DataFrame:
     """Each chain's history up to its best accepted row."""
-    best = F.min(F.when(F.col("accepted"), F.struct("total", "seq"))).over(CHAIN)["seq"]
+    best = F.min(F.when(F.col("accepted"), F.struct("total", "seq"))).over(_chain())["seq"]
     return h.withColumn("upto", best).where("seq <= upto").drop("upto")
 
 

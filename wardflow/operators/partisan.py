@@ -17,7 +17,11 @@ CMP_BEST, CMP_DIVERGE = 0.75, 25.0
 CMP_KNEE = CMP_BEST * (1.0 - CMP_DIVERGE / 100.0)
 CMP_POWER = (100.0 / CMP_BEST) * (1.0 - CMP_KNEE) / CMP_DIVERGE
 SLACK, BONUS, CAP, LIGHT, FULL, BLUR = 0.02, 2.0, 0.20, 0.25, 0.42, 0.005
-S, T = F.col("s"), F.col("t")
+S, T = "s", "t"
+
+
+def _c(x: Column | str) -> Column:
+    return F.col(x) if isinstance(x, str) else x
 
 
 def clamp(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
@@ -30,32 +34,35 @@ def directional(raw: Column, mode: str, bound: float, quadratic: bool = False) -
     return (d * d if quadratic else d) * 100.0
 
 
-def win_chances(sigma: float, s: Column = S) -> Column:
-    return F.transform(s, lambda x: normal_cdf((x - 0.5) / sigma)) if sigma > 0 else F.transform(s, lambda x: F.when(x > 0.5, 1.0).otherwise(0.0))
+def win_chances(sigma: float, s: Column | str = S) -> Column:
+    return F.transform(_c(s), lambda x: normal_cdf((x - 0.5) / sigma)) if sigma > 0 else F.transform(_c(s), lambda x: F.when(x > 0.5, 1.0).otherwise(0.0))
 
 
-def statewide(s: Column = S, t: Column = T) -> Column:
+def statewide(s: Column | str = S, t: Column | str = T) -> Column:
     """Votes' share; null without votes."""
+    s, t = _c(s), _c(t)
     return F.when(total(t) > 0, total(F.zip_with(s, t, lambda a, b: a * b)) / total(t))
 
 
-def mean_median(s: Column = S) -> Column:
-    return mean(s) - median(s)
+def mean_median(s: Column | str = S) -> Column:
+    return mean(_c(s)) - median(_c(s))
 
 
-def efficiency_gap(s: Column = S, t: Column = T) -> Column:
+def efficiency_gap(s: Column | str = S, t: Column | str = T) -> Column:
     """Wasted votes' difference; 0.5 is a loss for D."""
+    s, t = _c(s), _c(t)
     waste = F.zip_with(s, t, lambda a, b: F.when(a > 0.5, (a - 0.5) * b - (1.0 - a) * b).otherwise(a * b - (0.5 - a) * b))
     return F.when(total(t) > 0, total(waste) / total(t)).otherwise(F.lit(0.0))
 
 
-def efficiency_gap_robust(sigma: float, s: Column = S, t: Column = T) -> Column:
+def efficiency_gap_robust(sigma: float, s: Column | str = S, t: Column | str = T) -> Column:
     """Its expectation under the win chances."""
+    s, t = _c(s), _c(t)
     waste = F.zip_with(s, t, lambda a, b: b * ((2.0 * a - 0.5) - normal_cdf((a - 0.5) / sigma)))
     return F.when(total(t) > 0, total(waste) / total(t)).otherwise(F.lit(0.0))
 
 
-def expected_seats(sigma: float, s: Column = S) -> Column:
+def expected_seats(sigma: float, s: Column | str = S) -> Column:
     return total(win_chances(sigma, s))
 
 
@@ -63,9 +70,9 @@ def seats_penalty(seats: Column, n: int, favor_dem: bool) -> Column:
     return clamp((n - seats) / n * 100.0 if favor_dem else seats / n * 100.0, 0.0, 100.0)
 
 
-def seat_curve(delta: Column | float, sigma: float, s: Column = S) -> Column:
+def seat_curve(delta: Column | float, sigma: float, s: Column | str = S) -> Column:
     """The expected seat share when every share moves by delta."""
-    return mean(F.transform(s, lambda x: normal_cdf((x + delta - 0.5) / sigma)))
+    return mean(F.transform(_c(s), lambda x: normal_cdf((x + delta - 0.5) / sigma)))
 
 
 def bias(sigma: float) -> Column:
@@ -82,9 +89,10 @@ def gini(sigma: float) -> Column:
     return F.least(F.lit(1.0), area / GINI_BOUND) * 100.0
 
 
-def node_counts(cfg: ScoreConfig, s: Column = S) -> Column:
+def node_counts(cfg: ScoreConfig, s: Column | str = S) -> Column:
     """For each of the 17 statewide swings (node, weight, counts): the chances of 0 to n D seats."""
     nodes = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(w).alias("w")) for x, w in hermite_nodes()])
+    s = _c(s)
     d, move = cfg.sigma_district, cfg.swing / cfg.sigma_district
 
     def at(node: Column) -> Column:
@@ -135,7 +143,7 @@ def competitiveness_penalty(index: Column, unclipped: bool = True) -> Column:
 
 def proportionality_clipped(n: int, sigma: float) -> Column:
     """struct<penalty, inversion, gap>: the expected seat share against the nearest share of seats to the votes; zeros without votes."""
-    won = total(F.transform(S, lambda x: F.when(x > 0.5, 1.0).otherwise(0.0))) / n
+    won = total(F.transform(_c(S), lambda x: F.when(x > 0.5, 1.0).otherwise(0.0))) / n
 
     def of(x: Column) -> Column:
         v, raw = x["v"], F.rint(n * x["v"] - 1e-9) / n - x["est"]

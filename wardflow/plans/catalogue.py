@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions import geometry
-from wardflow.operators import alignment, compactness, county, districts, graph, history, labels, partisan, population, reports, score, validate
+from wardflow.operators import alignment, chain, compactness, county, districts, graph, history, labels, partisan, population, reports, score, validate
 from wardflow.plans import oracle
 from wardflow.plans.config import ScoreConfig, everything
 from wardflow.plans.fixtures import K, Lattice
@@ -435,4 +435,51 @@ def ratchet_ceiling(x):
     return g.select("step", history.ratchet_ceiling(F.col("p"), 0.05).alias("ceiling"), history.ratchet_ceiling(F.col("p"), 0.001).alias("tight"))
 
 
+# ---- chains ----
+
+
+def packed(x: Lattice):
+    geo, edges = unit_geometry(x)
+    return chain.packed(x.precincts, edges, geo, geometry.extrema(x.precincts), x.reference)
+
+
+def balanced(x: Lattice):
+    """Plan 1 by precinct."""
+    return x.assignments.where("plan_id = 1").orderBy("precinct_id").toPandas().district.to_numpy()
+
+
+@query
+def initial_partition(x):
+    cfg = chain.ChainConfig(seed=1, score=ScoreConfig(n_districts=K))
+    return chain.initial_plans(x.spark, packed(x), cfg, 4)
+
+
+def _moves(x: Lattice, move: str, iterations: int = 20) -> DataFrame:
+    cfg = chain.ChainConfig(iterations=iterations, seed=2, only=move, score=ScoreConfig(weight_pop_deviation=1.0))
+    return chain.run(x.spark, packed(x), cfg, 4, "history", balanced(x)).drop("metrics")
+
+
+@query
+def recom_chain(x):
+    return _moves(x, "two")
+
+
+@query
+def recom_n3_chain(x):
+    return _moves(x, "three")
+
+
+@query
+def flip_chain(x):
+    return _moves(x, "flip", 100)
+
+
+@query
+def annealed_ensemble(x):
+    weights = ScoreConfig(weight_county_excess=1.0, weight_polsby_popper=1.0, weight_mean_median=1.0, weight_pop_deviation=1.0)
+    cfg = chain.ChainConfig(iterations=40, seed=3, flips=True, ratchet="standard", score=weights)
+    best = chain.run(x.spark, packed(x), cfg, 8, "best", balanced(x))
+    return best.select("chain_id", "iteration", "total", F.size("plan").alias("precincts"), F.array_max("plan").alias("last_district"))
+
+
 ORACLE_SQL = oracle.SQL

@@ -482,4 +482,23 @@ def annealed_ensemble(x):
     return best.select("chain_id", "iteration", "total", F.size("plan").alias("precincts"), F.array_max("plan").alias("last_district"))
 
 
+@query
+def chain_stream_history(x):
+    """The stream's figures after all files of a history have been read, one file at a time."""
+    import uuid
+
+    from wardflow.streaming import history as stream
+
+    h = x.history.select("chain_id", "seq", "iteration", "total", "is_worse", "accepted")
+    first = graph.stored(h, "history")  # sets a shared folder where the session has none
+    base = f"{x.spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    for k in range(3):  # a history grows file by file
+        first.where(F.least(F.floor((F.col("seq") - 1) / 30), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    q = stream.start(stream.figures(stream.read(x.spark, f"{base}/in")), f"{base}/out", f"{base}/state")
+    q.awaitTermination(600)
+    if q.exception():
+        raise q.exception()
+    return x.spark.read.schema(stream.OUT).parquet(f"{base}/out")
+
+
 ORACLE_SQL = oracle.SQL

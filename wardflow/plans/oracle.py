@@ -316,3 +316,13 @@ SQL["hot_start_validate"] = (
 brk AS (SELECT plan_id, count(*) FILTER (WHERE pieces > 1) AS broken FROM pieces GROUP BY 1), mx AS (SELECT plan_id, max(dev) AS max_deviation FROM dev GROUP BY 1) """
     + six("SELECT plan_id, labels_ok, broken, max_deviation, labels_ok AND broken = 0 AND max_deviation <= 0.05 AS valid FROM lab JOIN brk USING (plan_id) JOIN mx USING (plan_id)", "max_deviation")
 )
+SQL["chain_stream_history"] = (
+    HISTORY
+    + """, k AS (SELECT *, sum(is_worse::INT) OVER (PARTITION BY chain_id ORDER BY seq) AS nth FROM h),
+o AS (SELECT *, CASE WHEN is_worse AND nth >= 10 THEN avg(accepted::INT) OVER (PARTITION BY chain_id, is_worse ORDER BY seq ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) END AS own,
+             min(CASE WHEN accepted THEN total END) OVER (PARTITION BY chain_id ORDER BY seq) AS best FROM k),
+f AS (SELECT chain_id, total, min(seq) AS at FROM h WHERE accepted GROUP BY 1, 2),
+l AS (SELECT o.chain_id, seq, seq AS iteration, last_value(own IGNORE NULLS) OVER (PARTITION BY o.chain_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rate, best, f.at AS best_iteration
+      FROM o LEFT JOIN f ON f.chain_id = o.chain_id AND f.total = o.best) """
+    + six("SELECT * FROM l", "rate", "best")
+)

@@ -2,25 +2,29 @@
 
 A text is cut into words that no piece crosses (a run of blanks and what follows it, a line feed by itself); a blank stands before the
 first, as the model wants it. Each word is encoded once for the whole corpus: its substrings up to the longest piece's length are
-exploded, equi-joined to the piece table (of the model's size, so broadcast), grouped by word, and folded by a higher-order
-aggregate: the edges come in order of their ends, the state keeps the best path to each of the last positions, and an edge
-replaces the best path to its end if it scores more (ties: the longer last piece). Characters without a piece are byte pieces,
-at 10 less than the least score.
-
-The documents don't move. A first pass over them sends each input split's distinct words to the lattice, with the split's number; the
-encoded words go back as a small dictionary for each split, written to the shared folder; a second pass reads the dictionary of
-its split and looks the words up. A dictionary is as large as a split's words at most. If a split is read otherwise in the second
-pass, words are missing there and the pass fails.
+exploded, equi-joined to the piece table (of the model's size, so broadcast), grouped by word into the lattice's edges, and folded
+by a higher-order aggregate. For a unigram model the fold is Viterbi's: the edges come in order of their ends, the state keeps
+the best path to each of the last positions, and an edge replaces the best path to its end if it scores more (ties: the longer last
+piece). A BPE model's scores are the ranks of its merges, and its encoding is not their best path; there the fold merges:
+the state is the word's cuts, and each step takes out the cut inside the best edge that spans two neighbouring parts (ties: the
+leftmost). That takes steps as many as letters, each over all edges, so words of over LONG characters are merged with a heap
+instead, with the same result. Characters without a piece are byte pieces (in Viterbi at 10 less than the least score).
+
+The documents don't move. A first pass over them sends each input split's distinct words to the lattice, numbered as they first appear in the
+split; the ids go back by split and number as a small dictionary for each split, written to the shared folder; a second pass reads its
+split's dictionary and numbers the words again in the same way. A dictionary is as large as a split's words at most. A split must
+be read in the same order both times, as files are.
 
 Decoding joins the pieces' bytes and takes off the first blank; it gives back every text exactly.
 
-Nulls: a null text is encoded as null pieces, an empty one as no pieces. Repeated rows are each returned. A word of many thousand letters makes
-its fold slow, not wrong. An empty table gives an empty result. Other columns pass through; those named like the result's are replaced.
+Nulls: a null text is encoded as null pieces, an empty one as no pieces. Repeated rows are each returned. In a unigram model a word of many thousand
+letters makes its fold slow, not wrong. An empty table gives an empty result. Other columns pass through; those named like the result's are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -34,7 +38,10 @@ from wardflow.llm.common import fresh_path, let, stored, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WORDS = re.compile(r" *[^ \n]+|\n| +")
-UNKNOWN = 10.0
+UNKNOWN, LONG = 10.0, 62
+#: Bits of an edge's start, length and id; NONE: the rank of what merges nothing.
+S_BITS, N_BITS, ID_BITS = 6, 5, 21
+NONE = (1 << ID_BITS) - 1
 
 
 def pieces(path: str = MODEL) -> list[tuple[str, int, float]]:
@@ -48,6 +55,37 @@ def pieces(path: str = MODEL) -> list[tuple[str, int, float]]:
     return out
 
 
+def is_bpe(path: str = MODEL) -> bool:
+    """Whether the model's kind (field 3 of its trainer's settings, field 2 of the file) is BPE; 1, unigram, is the default."""
+    with open(path, "rb") as f:
+        raw = f.read()
+
+    def varint(i: int) -> tuple[int, int]:
+        v = shift = 0
+        while True:
+            v |= (raw[i] & 127) << shift
+            shift, i = shift + 7, i + 1
+            if raw[i - 1] < 128:
+                return v, i
+
+    def find(field: int, at: int, end: int) -> tuple[int, int] | None:
+        while at < end:
+            tag, at = varint(at)
+            value = at
+            if tag & 7 == 2:
+                size, value = varint(at)
+                at = value + size
+            else:
+                at = varint(at)[1] if tag & 7 == 0 else at + (4 if tag & 7 == 5 else 8)
+            if tag >> 3 == field:
+                return value, at
+        return None
+
+    spec = find(2, 0, len(raw))
+    kind = find(3, *spec) if spec else None
+    return kind is not None and varint(kind[0])[0] == 2
+
+
 def byte_ids(path: str = MODEL) -> list[int]:
     import sentencepiece
 
@@ -62,25 +100,153 @@ def words_of(text: str) -> list[str]:
 # ---- the lattice ----
 
 
-def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
-    """words (w, and other columns; each w once) with ids."""
+def encode_words(words: DataFrame, path: str = MODEL, short_only: bool = False) -> DataFrame:
+    """words (w, and other columns; each w once) with ids. short_only: there are no words of over LONG characters."""
     spark = words.sparkSession
-    ps = pieces(path)
+    ps, bpe = pieces(path), is_bpe(path)
     longest, least = max(len(p) for p, _, _ in ps), min(s for _, _, s in ps)
-    piece = F.broadcast(spark.createDataFrame(ps, "part string, id int, score double"))
+    ranks = {p: k for k, (p, _, _) in enumerate(sorted(ps, key=lambda x: (-x[2], x[1])))}
+    piece = F.broadcast(spark.createDataFrame([(*x, ranks[x[0]]) for x in ps], "part string, id int, score double, rank int"))
     others = [c for c in words.columns if c != "w"]
     n = F.char_length("w")
-    one = words.where(n > 0).select("w", F.struct(*others).alias("o") if others else F.lit(True).alias("o"), F.explode(F.sequence(F.lit(1), n)).alias("s"))
+    short = words.where((n > 0) & (n <= LONG)) if bpe else words.where(n > 0)
+    one = short.select("w", F.struct(*others).alias("o") if others else F.lit(True).alias("o"), F.explode(F.sequence(F.lit(1), n)).alias("s"))
     # What the word carries goes with its first position only.
     one = one.select("w", F.when(F.col("s") == 1, F.col("o")).alias("o"), "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s") + 1))).alias("n"))
     one = one.select("w", F.when(F.col("n") == 1, F.col("o")).alias("o"), "s", "n", F.substring("w", F.col("s"), F.col("n")).alias("part"))
     own = one.join(piece, "part", "left").where("id is not null or n = 1")
-    raw = F.hex(F.col("part").cast("binary"))
-    ids = F.array(*[F.lit(i) for i in byte_ids(path)])
-    as_bytes = F.transform(F.sequence(F.lit(0), F.octet_length("part") - 1), lambda k: F.get(ids, F.conv(F.call_function("substring", raw, 2 * k + 1, F.lit(2)), 16, 10).cast("int")))
-    edge = F.struct((F.col("s") + F.col("n") - 1).alias("e"), (F.col("s") - 1).alias("s"), F.coalesce("score", F.lit(least - UNKNOWN)).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes).alias("ids"))
-    edges = own.groupBy("w").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("o", ignorenulls=True).alias("o"))
-    return edges.select("w", *[F.col(f"o.`{c}`").alias(c) for c in others], best_path("edges", longest).alias("ids"))
+    o = F.first("o", ignorenulls=True).alias("o")
+    carried = [F.col(f"o.`{c}`").alias(c) for c in others]
+    if not bpe:
+        # In order of ends, then starts.
+        edge = F.struct((F.col("s") + F.col("n") - 1).alias("e"), (F.col("s") - 1).alias("s"), F.coalesce("score", F.lit(least - UNKNOWN)).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(_bytes(F.col("part"), path)).alias("ids"))
+        edges = own.groupBy("w").agg(F.sort_array(F.collect_list(edge)).alias("edges"), o)
+        return edges.select("w", *carried, best_path("edges", longest).alias("ids"))
+    if longest >= 1 << N_BITS or len(ps) >= NONE or max(i for _, i, _ in ps) > NONE:
+        raise ValueError("the model's pieces are too many or too long")
+    # One number for an edge, in the order of merges: rank, start, length, id. Single characters merge nothing: but for a word's first they have no row.
+    wide = own.where("n > 1 or s = 1")
+    rank = F.when(F.col("n") == 1, F.lit(NONE)).otherwise(F.col("rank")).cast("long")
+    edge = ((rank * (1 << S_BITS) + F.col("s") - 1) * (1 << N_BITS) + F.col("n")) * (1 << ID_BITS) + F.when(F.col("n") == 1, 0).otherwise(F.col("id"))
+    edges = wide.groupBy("w").agg(F.sort_array(F.collect_list(edge)).alias("edges"), o)
+    done = edges.select("w", *carried, merged("edges", "w").alias("ids"))
+    kinds = "".join(f", `{c}` {words.schema[c].dataType.simpleString()}" for c in others)
+    done = done.mapInArrow(_resolved(path), f"w string{kinds}, ids array<int>")
+    return done if short_only else done.unionByName(words.where(n > LONG).select("w", *others).mapInArrow(_long_words(path), f"w string{kinds}, ids array<int>"))
+
+
+def _bytes(part: Column, path: str) -> Column:
+    """The byte pieces of a character."""
+    raw, ids = F.hex(part.cast("binary")), F.array(*[F.lit(i) for i in byte_ids(path)])
+    return F.transform(F.sequence(F.lit(0), F.octet_length(part) - 1), lambda k: F.get(ids, F.conv(F.call_function("substring", raw, 2 * k + 1, F.lit(2)), 16, 10).cast("int")))
+
+
+def merged(edges: str, word: str) -> Column:
+    """The ids of a BPE model, characters that stay single as -1 less their code point. The state: the places between the word's parts as bits of a number."""
+    shift = lambda x, by: F.call_function("shiftright", x, F.lit(by))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+    def spread(x: Column) -> Column:
+        """An edge's ends and what lies between them as bits, its start and id."""
+        s = shift(x, ID_BITS + N_BITS).bitwiseAND(F.lit((1 << S_BITS) - 1)).cast("int")
+        e = s + shift(x, ID_BITS).bitwiseAND(F.lit((1 << N_BITS) - 1)).cast("int")
+        ends = bit(s).bitwiseOR(bit(e))
+        return F.struct(ends.alias("ends"), (bit(e) - bit(s)).bitwiseAND(F.bitwise_not(ends)).alias("mid"), s.alias("s"), x.bitwiseAND(F.lit(NONE)).cast("int").alias("id"))
+
+    def step(wide: Column, cuts: Column) -> Column:
+        """The first edge that spans two neighbouring parts loses the cut between them."""
+        fits = F.filter(wide, lambda x: (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["mid"])) == 1))
+        return F.coalesce(cuts.bitwiseAND(F.bitwise_not(F.get(fits, F.lit(0))["mid"])), cuts)
+
+    n = F.char_length(word)
+
+    def of(wide: Column) -> Column:
+        start = bit(n + 1) - 1
+        cuts = F.when(F.size(wide) == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), start, lambda c, _: step(wide, c)))
+        return let(cuts, lambda c: parts(wide, c))
+
+    def parts(wide: Column, cuts: Column) -> Column:
+        """The edges from cut to cut, and the characters between two cuts, in order of place."""
+        own = F.filter(wide, lambda x: (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (cuts.bitwiseAND(x["mid"]) == 0))
+        whole = F.transform(own, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id")))
+        single = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("shiftright", cuts, i).bitwiseAND(F.lit(3)) == 3)
+        chars = F.transform(single, lambda i: F.struct(i.alias("s"), (-1 - F.ascii(F.call_function("substring", F.col(word), i + 1, F.lit(1)))).alias("id")))
+        return F.transform(F.sort_array(F.concat(whole, chars)), lambda x: x["id"])
+
+    wide = F.transform(F.filter(edges, lambda x: shift(x, ID_BITS).bitwiseAND(F.lit((1 << N_BITS) - 1)) > 1), spread)
+    return let(wide, of)
+
+
+def _resolved(path: str):
+    """Negative numbers become the pieces of their characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = byte_ids(path)
+        known = {-1 - ord(p): (i,) for p, i, _ in pieces(path) if len(p) == 1}
+        for b in batches:
+            at = b.schema.get_field_index("ids")
+            ids = b.column(at)
+            flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()
+            for c in np.unique(flat[flat < 0]).tolist():
+                if c not in known:
+                    known[c] = tuple(own[x] for x in chr(-1 - c).encode("utf-8", "surrogatepass"))
+            single = {c: v[0] for c, v in known.items() if len(v) == 1}
+            low = np.array(sorted(single), np.int64)
+            to = np.array([single[c] for c in low.tolist()], np.int32)
+            out, neg = flat.astype(np.int32), flat < 0
+            spot = np.minimum(np.searchsorted(low, flat), len(low) - 1)
+            fine = neg & (low[spot] == flat)
+            out[fine] = to[spot[fine]]
+            sizes = np.ones(len(flat), np.int64)
+            more = np.flatnonzero(neg & ~fine)
+            for i in more.tolist():
+                sizes[i] = len(known[int(flat[i])])
+            if len(more):
+                out = np.repeat(out, sizes)
+                first = np.cumsum(sizes) - sizes
+                for i in more.tolist():
+                    out[first[i] : first[i] + sizes[i]] = known[int(flat[i])]
+                ends = np.r_[0, np.cumsum(sizes)][ends]
+            cols = list(b.columns)
+            cols[at] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names)
+
+    return run
+
+
+def heap_merge(word: str, table: dict[str, tuple[int, float]], own_bytes: list[int]) -> list[int]:
+    """A BPE model's ids of one word, in time n log n."""
+    part, left, right = list(word), [i - 1 for i in range(len(word))], [i + 1 for i in range(len(word))]
+    heap: list[tuple[float, int, int, str]] = []
+
+    def offer(i: int) -> None:
+        j = right[i]
+        if j < len(word) and (got := table.get(both := part[i] + part[j])):
+            heapq.heappush(heap, (-got[1], i, j, both))
+
+    for i in range(len(word)):
+        offer(i)
+    while heap:
+        _, i, j, both = heapq.heappop(heap)
+        if part[i] + part[j] != both or right[i] != j or not part[i] or not part[j]:
+            continue
+        part[i], part[j], right[i] = both, "", right[j]
+        if right[j] < len(word):
+            left[right[j]] = i
+        offer(i)
+        if left[i] >= 0:
+            offer(left[i])
+    return [i for p in part if p for i in ([table[p][0]] if p in table else [own_bytes[b] for b in p.encode("utf-8", "surrogatepass")])]
+
+
+def _long_words(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, own = {p: (i, s) for p, i, s in pieces(path)}, byte_ids(path)
+        for b in batches:
+            ids = [heap_merge(w, table, own) for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, "ids"])
+
+    return run
 
 
 def best_path(edges: str, longest: int) -> Column:
@@ -113,56 +279,87 @@ def _runs(column: pa.Array) -> Iterator[tuple[int, int, int]]:
     yield from zip(v[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(v)])
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each split, or of parts of one with very many."""
-    seen: set[str] = set()
-    at = None
-
-    def out():
-        ws = list(seen)
-        for a in range(0, len(ws), 50_000):
-            part = ws[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([at] * len(part), pa.int64())], ["w", "split"])
-
-    for b in batches:
-        for split, i, j in _runs(b.column(0)):
-            if split != at or len(seen) > 1_000_000:
-                yield from out()
-                seen, at = set(), split
-            for t in b.column(1).slice(i, j - i).to_pylist():
-                if t:
-                    seen.update(WORDS.findall(" " + t))
-    yield from out()
-
-
-def _dictionary(path: str, split: int) -> dict[str, bytes]:
-    """Word: its ids as 32-bit numbers."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    disk, root = fs.FileSystem.from_uri(path)
-    at = f"{root}/split={quote(str(split))}"
-    if disk.get_file_info(at).type == fs.FileType.NotFound:
-        return {}
-    out: dict[str, bytes] = {}
-    for f in disk.get_file_info(fs.FileSelector(at)):
-        if f.base_name.endswith(".parquet"):
-            with pq.ParquetFile(f.path, filesystem=disk) as p:
-                for b in p.iter_batches(50_000, columns=["w", "ids"]):
-                    ids = b.column(1)
-                    flat, ends = ids.flatten().to_numpy().astype("<i4").tobytes(), (ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()) * 4
-                    out.update(zip(b.column(0).to_pylist(), (flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist()))))
-    return out
+def _asked(most: int):
+    """Distinct words of each split of up to `most` characters, each with its number: words are numbered as they appear."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        at, said = None, 0
+
+        def out(every: bool):
+            nonlocal said
+            if every or len(seen) - said >= 50_000:
+                new = [w for _, w in zip(range(len(seen) - said), reversed(seen))][::-1]
+                for a in range(0, len(new), 50_000):
+                    part = new[a : a + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([at] * len(part), pa.int64()), pa.array(range(said + a, said + a + len(part)), pa.int32())], ["w", "split", "k"])
+                said = len(seen)
+
+        for b in batches:
+            for split, i, j in _runs(b.column(0)):
+                if split != at:
+                    yield from out(True)
+                    seen, at, said = {}, split, 0
+                for t in b.column(1).slice(i, j - i).to_pylist():
+                    if t:
+                        for w in WORDS.findall(" " + t):
+                            if w not in seen and len(w) <= most:
+                                seen[w] = len(seen)
+                yield from out(False)
+        yield from out(True)
+
+    return run
 
 
-def _looked_up(path: str):
+class _Known(dict):
+    """A split's words and their ids as 32-bit numbers; a word that is new has the next number, as in the first pass."""
+
+    def __init__(self, path: str, split: int, most: int, long_word):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        super().__init__()
+        self.most, self.long_word, self.next = most, long_word, 0
+        disk, root = fs.FileSystem.from_uri(path)
+        at = f"{root}/split={quote(str(split))}"
+        found = [] if disk.get_file_info(at).type == fs.FileType.NotFound else [f.path for f in disk.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".parquet")]
+        ks, flats, sizes = [np.empty(0, np.int64)], [np.empty(0, "<i4")], [np.empty(0, np.int64)]
+        for f in found:
+            with pq.ParquetFile(f, filesystem=disk) as p:
+                for b in p.iter_batches(100_000, columns=["k", "ids"]):
+                    ks.append(b.column(0).to_numpy())
+                    flats.append(b.column(1).flatten().to_numpy().astype("<i4"))
+                    sizes.append(np.diff(b.column(1).offsets.to_numpy()).astype(np.int64))
+        ks, size = np.concatenate(ks), np.concatenate(sizes)
+        self.raw = np.concatenate(flats).tobytes()
+        self.begin, self.size = np.zeros(len(ks), np.int64), np.zeros(len(ks), np.int64)
+        self.begin[ks], self.size[ks] = 4 * (np.cumsum(size) - size), 4 * size
+
+    def __missing__(self, w: str) -> bytes:
+        if len(w) > self.most:
+            v = self.long_word(w)
+        else:
+            a = int(self.begin[self.next])
+            v = self.raw[a : a + int(self.size[self.next])]
+            self.next += 1
+        self[w] = v
+        return v
+
+
+def _looked_up(path: str, model: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known = None, {}
+        at, known, table = None, {}, {}
+
+        def long_word(w: str) -> bytes:
+            if not table:
+                table.update({p: (i, s) for p, i, s in pieces(model)})
+            return np.array(heap_merge(w, table, byte_ids(model)), "<i4").tobytes()
+
         for b in batches:
             for split, i, j in _runs(b.column(0)):
                 if split != at:
                     at, known = split, {}
-                    known = _dictionary(path, split)
+                    known = _Known(path, split, most, long_word)
                 part = b.slice(i, j - i)
                 a = 0
                 while a < part.num_rows:  # some MB at a time
@@ -189,13 +386,16 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text", scanned: bool
         docs = stored(docs, "pieces-docs")
     split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
     others = [c for c in docs.columns if c != "ids"]
-    asked = docs.select(split.alias("split"), text).mapInArrow(_asked, "w string, split long")
-    words = asked.groupBy("w").agg(F.collect_set("split").alias("splits"))
-    found = encode_words(words, path).select("w", "ids", F.explode("splits").alias("split"))
+    most = LONG if is_bpe(path) else 1 << 30
+    asked = docs.select(split.alias("split"), text).mapInArrow(_asked(most), "w string, split long, k int")
+    # Many partitions, so that a word's edges are grouped in memory.
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = asked.repartition(parts, "w").groupBy("w").agg(F.collect_list(F.struct("split", "k")).alias("to"))
+    found = encode_words(words, path, short_only=most == LONG).select("ids", F.inline("to"))
     at = fresh_path(docs.sparkSession, "pieces")
-    found.repartition("split").write.partitionBy("split").parquet(at)
+    found.repartition("split").sortWithinPartitions("split", "k").write.option("compression", "zstd").partitionBy("split").parquet(at)
     kind = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
-    return docs.select(split.alias("split"), F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in others]).mapInArrow(_looked_up(at), kind + "ids array<int>")
+    return docs.select(split.alias("split"), F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in others]).mapInArrow(_looked_up(at, path, most), kind + "ids array<int>")
 
 
 def decoder(path: str = MODEL):

@@ -13,7 +13,7 @@ def reference_plan(csv: DataFrame, precincts: DataFrame, key: str, label: str) -
     c = csv.select(F.trim(F.col(key).cast("string")).alias("k"), F.col(label).cast("long").alias("ref_label"))
     dense = c.select("ref_label").distinct().withColumn("ref_district", F.dense_rank().over(W.orderBy("ref_label")) - 1)
     own = precincts.select("precinct_id", F.trim(F.col("precinct_key").cast("string")).alias("k"))
-    return c.join(own, "k").join(F.broadcast(dense), "ref_label").select("precinct_id", "ref_district", "ref_label")
+    return c.join(own, "k").join(dense, "ref_label").select("precinct_id", "ref_district", "ref_label")
 
 
 def cohesion(assignments: DataFrame, precincts: DataFrame, reference: DataFrame, focus: str = "none", wins_only: bool = False, win_share: float = 0.535) -> DataFrame:
@@ -26,7 +26,7 @@ def cohesion(assignments: DataFrame, precincts: DataFrame, reference: DataFrame,
         own = own.where((F.col("d") + F.col("r") > 0) & (F.col(focus[0]) / (F.col("d") + F.col("r")) > win_share))
     overlap = assignments.join(p.select("precinct_id", "ref_district", "weight"), "precinct_id").groupBy("plan_id", "ref_district", "district").agg(F.sum("weight").alias("part"))
     part = F.col("part") / F.col("mass")
-    return overlap.join(F.broadcast(own.where("mass > 0")), "ref_district").groupBy("plan_id", "ref_district").agg(F.first("mass").alias("mass"), F.sum(part * part).alias("cohesion"))
+    return overlap.join(own.where("mass > 0"), "ref_district").groupBy("plan_id", "ref_district").agg(F.first("mass").alias("mass"), F.sum(part * part).alias("cohesion"))
 
 
 def alignment(assignments: DataFrame, c: DataFrame) -> DataFrame:

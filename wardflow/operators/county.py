@@ -26,7 +26,7 @@ def constants(precincts: DataFrame, k: int, tolerance: float) -> DataFrame:
 
 def splits(m: DataFrame, counties: DataFrame) -> DataFrame:
     """plan_id, excess splits and unified districts with their scores. No floor holds the unified term above 0."""
-    by_county = m.groupBy("plan_id", "county_id").agg(F.count("*").alias("parts")).join(F.broadcast(counties), "county_id")
+    by_county = m.groupBy("plan_id", "county_id").agg(F.count("*").alias("parts")).join(counties, "county_id")
     excess = by_county.groupBy("plan_id").agg(F.sum(F.greatest(F.lit(0), F.col("parts") - F.col("allowance"))).alias("excess_splits"))
     unified = m.groupBy("plan_id", "district").agg(F.count("*").alias("n")).groupBy("plan_id").agg(F.count_if(F.col("n") == 1).alias("unified_districts"))
     most = F.broadcast(counties.agg(F.sum("max_clean").alias("max_unified")))
@@ -43,7 +43,7 @@ def _direction(m: DataFrame, by: str, size: Column, other: Column, name: str) ->
 
 def congruence(m: DataFrame, precincts: DataFrame, k: int, unclipped: bool = True) -> DataFrame:
     """plan_id, raw_county, raw_district and the congruence penalty."""
-    county = F.broadcast(precincts.groupBy("county_id").agg(F.sum("population").alias("county_pop")).where("county_pop > 0"))
+    county = precincts.groupBy("county_id").agg(F.sum("population").alias("county_pop")).where("county_pop > 0")
     state = F.broadcast(precincts.agg(F.sum("population").alias("state"), F.count_distinct("county_id").alias("counties")))
     district = m.groupBy("plan_id", "district").agg(F.sum("population").alias("district_pop"))
     m = m.join(county, "county_id").join(district, ["plan_id", "district"]).join(state)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from wardflow.functions import geometry
 
 DIGITS = 9
+#: Precincts on islands that are broadcast at most.
+HELD = 20_000
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -178,7 +180,8 @@ def bridges(layer: DataFrame, edges: DataFrame, nearest: int = 64) -> DataFrame:
     apart = F.hypot(F.col("at.x") - F.col("o_at.x"), F.col("at.y") - F.col("o_at.y"))
     same = small.join(q, (F.col("county_id") == F.col("o_county_id")) & (F.col("component") != F.col("o_component")))
     # The nearest by centroid: cells of the grid that a component's own size sets, widened until there are enough, would prune this at scale; islands are few.
-    far = F.broadcast(small).join(q, F.col("component") != F.col("o_component")).withColumn("r", F.row_number().over(W.partitionBy("precinct_id", "o_component").orderBy(apart, "o_precinct_id"))).where(F.col("r") <= nearest).drop("r")
+    held = F.broadcast(small) if small.count() <= HELD else small
+    far = held.join(q, F.col("component") != F.col("o_component")).withColumn("r", F.row_number().over(W.partitionBy("precinct_id", "o_component").orderBy(apart, "o_precinct_id"))).where(F.col("r") <= nearest).drop("r")
     pair = same.withColumn("tier", F.lit(0)).unionByName(far.withColumn("tier", F.lit(1)))
 
     def gaps(batches):

@@ -54,7 +54,7 @@ def live_table(assignments: DataFrame, layer: Layer, cfg: ScoreConfig, labels: D
     """plan_id, label, population, deviation, Polsby-Popper and shares in percent, margin D - R; the shares are null without votes. labels: (plan_id, district, label)."""
     key = ["plan_id", "district"]
     d = districts.totals(assignments, layer.precincts, cfg.n_districts).join(compactness.polsby_popper(assignments, layer.geometry, layer.edges, cfg.n_districts).select(*key, "polsby_popper"), key)
-    d = d.join(F.broadcast(labels), key) if labels is not None else d.withColumn("label", F.col("district") + 1)
+    d = d.join(labels, key) if labels is not None else d.withColumn("label", F.col("district") + 1)
     some = F.col("votes") > 0
     pct = lambda c: F.when(some, F.col(c) / F.col("votes") * 100.0)
     return d.select("plan_id", "label", "population", ((F.col("population") - F.col("ideal")) / F.col("ideal") * 100.0).alias("dev_pct"), (F.col("polsby_popper") * 100.0).alias("pp"), pct("dem_votes").alias("dem_pct"), pct("rep_votes").alias("rep_pct"), (pct("dem_votes") - pct("rep_votes")).alias("margin"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ def unit_geometry(x: Lattice) -> tuple[DataFrame, DataFrame]:
     return g.select("precinct_id", "area", F.greatest(F.col("perimeter") - F.coalesce("shared", F.lit(0.0)), F.lit(0.0)).alias("ext_perimeter")), x.edges
 
 
+def saved(x: Lattice) -> SimpleNamespace:
+    """The lattice's tables written once, as layers and plans are in use: a score reads them in a dozen places."""
+    return SimpleNamespace(spark=x.spark, w=x.w, **{k: graph.stored(getattr(x, k), k) for k in ("precincts", "edges", "assignments", "reference")})
+
+
 def totals(x: Lattice) -> DataFrame:
     return districts.totals(x.assignments, x.precincts, K)
 
@@ -245,11 +252,13 @@ def alignment_party_wins_only(x):
 
 @query
 def plan_score_total(x):
+    x = saved(x)
     return score.scores(x.assignments, layer(x), CFG).select("plan_id", "cut_edges", "county_excess", "county_unified", "congruence", "polsby_popper", "reock", "compactness", "pop_deviation", "alignment", "mean_median", "efficiency_gap", "dem_seats", "partisan_bias", "partisan_gini", "proportionality", "inversion_chance", "competitiveness", "majority_dem", "majority_rep", "hinge_chance", "total")
 
 
 @query
 def score_breakdown(x):
+    x = saved(x)
     return score.breakdown(score.scores(x.assignments, layer(x), CFG), CFG)
 
 
@@ -258,11 +267,13 @@ def score_breakdown(x):
 
 @query
 def district_metrics_export(x):
+    x = saved(x)
     return reports.metrics(x.assignments, layer(x), ScoreConfig())
 
 
 @query
 def district_info_table(x):
+    x = saved(x)
     return reports.live_table(x.assignments, layer(x), ScoreConfig())
 
 
@@ -278,6 +289,7 @@ def district_rank_bars(x):
 
 @query
 def district_shades(x):
+    x = saved(x)
     return reports.shades(x.assignments, layer(x), K)
 
 
@@ -305,6 +317,7 @@ def bridge_components(x):
 
 @query
 def contiguity_check(x):
+    x = saved(x)
     return graph.pieces(x.assignments, x.edges)
 
 
@@ -326,6 +339,7 @@ def plan_id_mismatch(x):
 
 @query
 def hot_start_validate(x):
+    x = saved(x)
     return validate.plan_checks(x.assignments, x.precincts, x.edges, K, CFG.tolerance)
 
 

@@ -10,7 +10,7 @@ the state is the word's cuts, and each step takes out the cut inside the best ed
 leftmost). That takes steps as many as letters, each over all edges, so words of over LONG characters are merged with a heap
 instead, with the same result. Characters without a piece are byte pieces (in Viterbi at 10 less than the least score).
 
-The documents don't move. A first pass over them sends each input split's distinct words to the lattice, numbered as they first appear in the
+The documents don't move. Words that are frequent in a small sample, of a bounded number, are encoded first and known to all tasks. A first pass over them sends each input split's other distinct words to the lattice, numbered as they first appear in the
 split; the ids go back by split and number as a small dictionary for each split, written to the shared folder; a second pass reads its
 split's dictionary and numbers the words again in the same way. A dictionary is as large as a split's words at most. A split must
 be read in the same order both times, as files are.
@@ -38,7 +38,9 @@ from wardflow.llm.common import fresh_path, let, stored, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WORDS = re.compile(r" *[^ \n]+|\n| +")
-UNKNOWN, LONG = 10.0, 62
+UNKNOWN, LONG, HEAD = 10.0, 62, 3
+#: Words that every task knows from a sample, at most, and the documents of that sample.
+COMMON, SAMPLE = 1 << 17, 4000
 #: Bits of an edge's start, length and id; NONE: the rank of what merges nothing.
 S_BITS, N_BITS, ID_BITS = 6, 5, 21
 NONE = (1 << ID_BITS) - 1
@@ -111,8 +113,15 @@ def encode_words(words: DataFrame, path: str = MODEL, short_only: bool = False)
     n = F.char_length("w")
     short = words.where((n > 0) & (n <= LONG)) if bpe else words.where(n > 0)
     one = short.select("w", F.struct(*others).alias("o") if others else F.lit(True).alias("o"), F.explode(F.sequence(F.lit(1), n)).alias("s"))
-    # What the word carries goes with its first position only.
-    one = one.select("w", F.when(F.col("s") == 1, F.col("o")).alias("o"), "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s") + 1))).alias("n"))
+    # Only lengths that some piece with the same first HEAD characters has are tried; what the word carries goes with its first position only.
+    heads: dict[str, set[int]] = {}
+    for text, _, _ in ps:
+        if len(text) >= HEAD:
+            heads.setdefault(text[:HEAD], set()).add(len(text))
+    head = F.broadcast(spark.createDataFrame([(k, sorted(v)) for k, v in heads.items()], "head string, sizes array<int>"))
+    one = one.select("w", F.when(F.col("s") == 1, F.col("o")).alias("o"), "s", F.substring("w", F.col("s"), F.lit(HEAD)).alias("head")).join(head, "head", "left")
+    sizes = F.concat(F.sequence(F.lit(1), F.lit(HEAD - 1)), F.coalesce("sizes", F.array().cast("array<int>")))
+    one = one.select("w", "o", "s", F.explode(F.filter(sizes, lambda k: k <= n - F.col("s") + 1)).alias("n"))
     one = one.select("w", F.when(F.col("n") == 1, F.col("o")).alias("o"), "s", "n", F.substring("w", F.col("s"), F.col("n")).alias("part"))
     own = one.join(piece, "part", "left").where("id is not null or n = 1")
     o = F.first("o", ignorenulls=True).alias("o")
@@ -162,7 +171,7 @@ def merged(edges: str, word: str) -> Column:
 
     def of(wide: Column) -> Column:
         start = bit(n + 1) - 1
-        cuts = F.when(F.size(wide) == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), start, lambda c, _: step(wide, c)))
+        cuts = F.when(F.size(wide) == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.least(n - 1, F.size(wide))), start, lambda c, _: step(wide, c)))
         return let(cuts, lambda c: parts(wide, c))
 
     def parts(wide: Column, cuts: Column) -> Column:
@@ -279,12 +288,27 @@ def _runs(column: pa.Array) -> Iterator[tuple[int, int, int]]:
     yield from zip(v[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(v)])
 
 
-def _asked(most: int):
-    """Distinct words of each split of up to `most` characters, each with its number: words are numbered as they appear."""
+def common_words(docs: DataFrame, text: str, most: int, path: str) -> dict[str, bytes]:
+    """Encoded words that are frequent in a sample of documents, COMMON at most. They spare what all splits would ask for; the result is the same whichever they are."""
+    part = docs.sample(min(1.0, 2 * SAMPLE / max(1, docs.count())), seed=1).select(text).limit(SAMPLE)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                found = [w for w in WORDS.findall(" " + (t.as_py() or " ")) if len(w) <= most]
+                for a in range(0, len(found), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[a : a + 50_000], pa.string())], ["w"])
+
+    top = part.mapInArrow(each, "w string").groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(COMMON).select("w")
+    return {r["w"]: np.array(r["ids"], "<i4").tobytes() for r in encode_words(top, path, short_only=most == LONG).toLocalIterator()}
+
+
+def _asked(most: int, common):
+    """Distinct words of each split of up to `most` characters that aren't common, each with its number: words are numbered as they appear."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
-        at, said = None, 0
+        at, said, shared = None, 0, common.value
 
         def out(every: bool):
             nonlocal said
@@ -303,7 +327,7 @@ def _asked(most: int):
                 for t in b.column(1).slice(i, j - i).to_pylist():
                     if t:
                         for w in WORDS.findall(" " + t):
-                            if w not in seen and len(w) <= most:
+                            if w not in shared and w not in seen and len(w) <= most:
                                 seen[w] = len(seen)
                 yield from out(False)
         yield from out(True)
@@ -314,11 +338,11 @@ def _asked(most: int):
 class _Known(dict):
     """A split's words and their ids as 32-bit numbers; a word that is new has the next number, as in the first pass."""
 
-    def __init__(self, path: str, split: int, most: int, long_word):
+    def __init__(self, path: str, split: int, most: int, common: dict[str, bytes], long_word):
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        super().__init__()
+        super().__init__(common)
         self.most, self.long_word, self.next = most, long_word, 0
         disk, root = fs.FileSystem.from_uri(path)
         at = f"{root}/split={quote(str(split))}"
@@ -346,9 +370,10 @@ class _Known(dict):
         return v
 
 
-def _looked_up(path: str, model: str, most: int):
+def _looked_up(path: str, model: str, most: int, common, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, known, table = None, {}, {}
+        own = decoder(model) if digests else None
 
         def long_word(w: str) -> bytes:
             if not table:
@@ -359,35 +384,39 @@ def _looked_up(path: str, model: str, most: int):
             for split, i, j in _runs(b.column(0)):
                 if split != at:
                     at, known = split, {}
-                    known = _Known(path, split, most, long_word)
+                    known = _Known(path, split, most, common.value, long_word)
                 part = b.slice(i, j - i)
                 a = 0
                 while a < part.num_rows:  # some MB at a time
-                    ids, counts, held, z = [], [], 0, a
+                    ids, counts, said, held, z = [], [], [], 0, a
                     while z < part.num_rows and held < 8 << 20:
                         t = part.column(1)[z].as_py()
                         raw = None if t is None else b"".join(map(known.__getitem__, WORDS.findall(" " + t))) if t else b""
                         ids.append(raw)
                         counts.append(len(raw) // 4 if raw is not None else None)
+                        if own:
+                            said.append(_digest(own(np.frombuffer(raw or b"", "<i4"))))
                         held, z = held + len(raw or b""), z + 1
                     offsets = np.r_[0, np.cumsum([c or 0 for c in counts])].astype(np.int32)
                     values = pa.array(np.frombuffer(b"".join(x or b"" for x in ids), "<i4"))
                     mask = pa.array([x is None for x in ids])
                     out = pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)
-                    yield pa.RecordBatch.from_arrays([*part.slice(a, z - a).columns[2:], out], [*part.schema.names[2:], "ids"])
+                    more = [pa.array([c or 0 for c in counts], pa.int64()), pa.array(said, pa.string())] if own else []
+                    yield pa.RecordBatch.from_arrays([*part.slice(a, z - a).columns[2:], out, *more], [*part.schema.names[2:], "ids", *["n_pieces", "decoded_sha256"][: len(more)]])
                     a = z
 
     return run
 
 
-def encode(docs: DataFrame, path: str = MODEL, text: str = "text", scanned: bool = False) -> DataFrame:
-    """docs with ids. scanned: docs is read from files as it stands, so that its splits are known; else it is stored first."""
+def encode(docs: DataFrame, path: str = MODEL, text: str = "text", scanned: bool = False, digests: bool = False) -> DataFrame:
+    """docs with ids, and with digests also n_pieces and decoded_sha256, of the text that the ids decode to (null: of an empty one). scanned: docs is read from files as it stands, so that its splits are known; else it is stored first."""
     if not scanned:
         docs = stored(docs, "pieces-docs")
     split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
-    others = [c for c in docs.columns if c != "ids"]
+    others = [c for c in docs.columns if c not in ("ids", *["n_pieces", "decoded_sha256"][: 2 * digests])]
     most = LONG if is_bpe(path) else 1 << 30
-    asked = docs.select(split.alias("split"), text).mapInArrow(_asked(most), "w string, split long, k int")
+    common = docs.sparkSession.sparkContext.broadcast(common_words(docs, text, most, path))
+    asked = docs.select(split.alias("split"), text).mapInArrow(_asked(most, common), "w string, split long, k int")
     # Many partitions, so that a word's edges are grouped in memory.
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = asked.repartition(parts, "w").groupBy("w").agg(F.collect_list(F.struct("split", "k")).alias("to"))
@@ -395,19 +424,30 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text", scanned: bool
     at = fresh_path(docs.sparkSession, "pieces")
     found.repartition("split").sortWithinPartitions("split", "k").write.option("compression", "zstd").partitionBy("split").parquet(at)
     kind = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
-    return docs.select(split.alias("split"), F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in others]).mapInArrow(_looked_up(at, path, most), kind + "ids array<int>")
+    return docs.select(split.alias("split"), F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in others]).mapInArrow(_looked_up(at, path, most, common, digests), kind + "ids array<int>" + ", n_pieces long, decoded_sha256 string" * digests)
 
 
 def decoder(path: str = MODEL):
-    """ids to text."""
+    """ids (an array) to UTF-8 bytes: pieces' bytes are gathered from one table."""
     got = {i: p.encode() for p, i, _ in pieces(path)} | {i: bytes([b]) for b, i in enumerate(byte_ids(path))}
+    size = np.zeros(max(got) + 1, np.int64)
+    size[list(got)] = [len(v) for v in got.values()]
+    begin = np.zeros(len(size), np.int64)
+    begin[list(got)] = np.cumsum([len(v) for v in got.values()]) - [len(v) for v in got.values()]
+    table = np.frombuffer(b"".join(got.values()), np.uint8)
 
-    def decode(ids) -> str:
-        return b"".join(map(got.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+    def decode(ids: np.ndarray) -> bytes:
+        n = size[ids]
+        at = np.arange(int(n.sum())) + np.repeat(begin[ids] - (np.cumsum(n) - n), n)
+        return table[at[1:]].tobytes()  # less the first blank
 
     return decode
 
 
+def _digest(raw: bytes) -> str:
+    return hashlib.sha256(raw).hexdigest()
+
+
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """encoded with `decoded` in place of a column of that name."""
     others = [c for c in encoded.columns if c != "decoded"]
@@ -415,7 +455,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = decoder(path)
         for b in batches:
-            said = [None if x is None else own(x) for x in b["ids"].to_pylist()]
+            said = [own(x.values.to_numpy()).decode("utf-8", "surrogatepass") if x.is_valid else None for x in b["ids"]]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], [*b.schema.names, "decoded"])
 
     kind = "".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}, " for c in others)
@@ -424,7 +464,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_digests(encode(docs, scanned=True).drop("text"))
+    return encode(docs, scanned=True, digests=True).drop("text")
 
 
 def with_digests(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -437,9 +477,9 @@ def with_digests(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             ids = b.column(b.schema.get_field_index("ids"))
             n, digests = [], []
             for x in ids:
-                got = x.values.to_numpy().tolist() if x.is_valid else []
+                got = x.values.to_numpy() if x.is_valid else np.empty(0, np.int32)
                 n.append(len(got))
-                digests.append(hashlib.sha256(own(got).encode("utf-8", "surrogatepass")).hexdigest())
+                digests.append(_digest(own(got)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(digests)], [*b.schema.names, "n_pieces", "decoded_sha256"])
 
     kind = "".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}, " for c in names)

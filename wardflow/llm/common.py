@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Lists that take the paths given out while they are open.
+_RECORDS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths given out meanwhile, for a caller that knows when they are no longer read."""
+    _RECORDS.append(paths := [])
+    try:
+        yield paths
+    finally:
+        _RECORDS.remove(paths)
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    for paths in _RECORDS:
+        paths.append(path)
+    return path
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:

@@ -3,6 +3,8 @@
 Every stage gets what the one before kept, as documents read from Parquet, and all but the last return the columns of documents:
 rejected documents and near copies are gone, repeated lines are cut out (n_chars follows), and the mix gives documents out once,
 twice or not at all, in its order. The last adds the pieces' ids and digests.
+
+A stage's result reads tables that the stage has stored. They are deleted when the next stage begins, as by then the result has been written.
 """
 
 from __future__ import annotations
@@ -11,7 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardflow.llm import line_dedup, mixing, pieces, quality_rules, simhash
-from wardflow.llm.common import stored
+from wardflow.llm.common import recorded, remove, stored
+
+_LEFT: list[str] = []
+
+
+def cleared(stage):
+    """The stage, which first deletes what the stage before it has stored."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _LEFT:
+            remove(spark, _LEFT.pop())
+        with recorded() as paths:
+            out = stage(spark, docs, sf_dir)
+        _LEFT.extend(paths)
+        return out
+
+    return run_stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +50,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.with_digests(pieces.encode(docs, scanned=True))
+    return pieces.encode(docs, scanned=True, digests=True)
 
 
 STAGES = [
-    ("quality rules", quality),
-    ("line dedup", lines),
-    ("SimHash near-dedup", near_copies),
-    ("mixing sources to target weights", mixed),
-    ("SentencePiece encoding and decoding", encoded),
+    ("quality rules", cleared(quality)),
+    ("line dedup", cleared(lines)),
+    ("SimHash near-dedup", cleared(near_copies)),
+    ("mixing sources to target weights", cleared(mixed)),
+    ("SentencePiece encoding and decoding", cleared(encoded)),
 ]
 
 #: Fingerprints and pieces are beyond SQL; tests/llm/test_pipeline.py holds the run against a plain one.

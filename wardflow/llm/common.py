@@ -42,7 +42,7 @@ def recorded() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _RECORDS.remove(paths)
+        _RECORDS.pop()
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:

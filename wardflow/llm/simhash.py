@@ -184,7 +184,12 @@ def forest(key: np.ndarray, f: np.ndarray, radius: int, free: np.ndarray | None
         left = np.repeat(sizes, sizes) - (np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes))  # rows from here to the block's end
         p = planes(f[rows])
         for d in range(1, int(sizes.max())):
-            lanes = np.packbits(left > d, bitorder="little")
+            # Rows that are linked already need no comparison.
+            while (root != root[root]).any():
+                root = root[root]
+            apart = left > d
+            apart[: len(rows) - d] &= root[rows[: len(rows) - d]] != root[rows[d:]]
+            lanes = np.packbits(apart, bitorder="little")
             alive = np.zeros(p.shape[1], np.uint64)
             alive.view(np.uint8)[: len(lanes)] = lanes
             i = near_at(p, d, alive, radius)

@@ -99,3 +99,23 @@ def test_near_duplicates_of_five_word_shingles(spark):
     out = S.drop_near_duplicates(df)
     assert out.columns == df.columns
     assert sorted(r["doc_id"] for r in out.collect()) == [4 * k for k in range(40)]
+
+
+def test_pairs_are_linked_by_exact_similarity(spark):
+    rng = np.random.default_rng(3)
+    docs, want = [], []
+    for k in range(160):
+        w = [f"x{v}" for v in rng.integers(0, 10**6, 204)]  # 200 shingles
+        v = list(w)
+        for at in range(10, 10 + 5 * int(rng.integers(3, 8)), 5):
+            v[at] = "other"  # of five shingles
+        if k % 2:
+            v += [f"y{x}" for x in rng.integers(0, 10**6, int(rng.integers(0, 20)))]
+        sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, v)]
+        alike = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        want += [2 * k] if alike >= 0.8 else [2 * k, 2 * k + 1]
+        assert 0.6 < alike < 0.9
+    assert 220 < len(want) < 300
+    got = S.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == want

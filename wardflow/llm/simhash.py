@@ -8,7 +8,9 @@ of all forests are the groups.
 
 With a small radius the block keys are pairs of fingerprint parts: of radius + 2 parts two are equal in any linked pair, so no link is lost.
 With a similarity bound the keys are bands of minima of the shingles' hashes: 32 bands of 3, so that a pair at the similarity 0.8 shares
-a band but for once in 1e9, and the fingerprint has 256 bits, with the radius at which a pair of that similarity is expected.
+a band but for once in 1e9, and the fingerprint has 256 bits, with a radius SPREAD standard deviations over the distance expected of
+that similarity. What is found so are candidates only: rows whose candidates hang together meet once more, with their sets of shingles,
+and a pair enters the forest if the sets' Jaccard similarity reaches the bound.
 
 Nulls: a null or wordless text has the zero fingerprint, and is linked like others. Rows that repeat are each returned. A null doc_id
 is never a group's least one unless all are null. Very large blocks are split by the other bits of the fingerprint. An empty table gives an empty result.
@@ -17,7 +19,7 @@ is never a group's least one unless all are null. Very large blocks are split by
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,13 @@ from pyspark.sql import functions as F
 from wardflow.llm.common import lookup, stored, table
 from wardflow.llm.components import components
 
-SEED, LARGE, BANDS, ROWS = 42, 8192, 32, 3
+SEED, LARGE, BANDS, ROWS, SPREAD = 42, 8192, 32, 3, 4
 #: Multipliers that give further hash words and minima from one hash.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
+#: Whether rows i and j of a block are alike.
+Alike = Callable[[int, int], bool]
+
 PLUS = np.arange(1, 2 * BANDS * ROWS, 2, dtype=np.uint64) * ODD[3]
 TIMES = ODD[0] + np.arange(0, 2 * BANDS * ROWS, 2, dtype=np.uint64)
 
@@ -169,14 +174,50 @@ def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(root, high, low)
 
 
-def forest(key: np.ndarray, f: np.ndarray, radius: int, free: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, other row) that join what lies within the radius among rows of equal key. key is sorted. free: the bits that may differ in a large block."""
+def _link(root: np.ndarray, i: np.ndarray, j: np.ndarray, alike: Alike | None) -> None:
+    """Joins pairs that are within the radius and, where that is asked for, alike."""
+    if alike and len(i):
+        for _ in range(64):
+            if (root[root[i]] == root[i]).all() and (root[root[j]] == root[j]).all():
+                break
+            root[i], root[j] = root[root[i]], root[root[j]]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        same = np.fromiter((alike(a, b) for a, b in zip(i.tolist(), j.tolist())), bool, len(i))
+        i, j = i[same], j[same]
+    if len(i):
+        _join(root, i, j)
+
+
+def jaccard(sets: pa.ListArray, similarity: float) -> Alike:
+    """Whether the sets of rows i and j have this Jaccard similarity. No set has a value twice."""
+    at = sets.offsets.to_numpy()
+    values = sets.values.to_numpy()[at[0] : at[-1]]
+    at = (at - at[0]).tolist()
+    values = np.unique(values, return_inverse=True)[1]
+    mark = np.zeros(len(values), bool)
+
+    def alike(i: int, j: int) -> bool:
+        a, b = values[at[i] : at[i + 1]], values[at[j] : at[j + 1]]
+        if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-6:
+            return False
+        mark[a] = True
+        both = int(np.count_nonzero(mark[b]))
+        mark[a] = False
+        either = len(a) + len(b) - both
+        return not either or both / either >= similarity
+
+    return alike
+
+
+def forest(key: np.ndarray, f: np.ndarray, radius: int, free: np.ndarray | None = None, alike: Alike | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, other row) that join what lies within the radius, and is alike, among rows of equal key. key is sorted. free: the bits that may differ in a large block."""
     n = len(key)
     root = np.arange(n)
     new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.empty(0, int)
     count = np.diff(np.r_[new, n])
     for a, m in zip(new[count > LARGE], count[count > LARGE]):
-        _split(root, np.arange(a, a + m), f[a : a + m], radius)
+        _split(root, np.arange(a, a + m), f[a : a + m], radius, alike)
     small = np.repeat((count > 1) & (count <= LARGE), count)
     rows = np.flatnonzero(small)
     if len(rows):
@@ -193,15 +234,14 @@ def forest(key: np.ndarray, f: np.ndarray, radius: int, free: np.ndarray | None
             alive = np.zeros(p.shape[1], np.uint64)
             alive.view(np.uint8)[: len(lanes)] = lanes
             i = near_at(p, d, alive, radius)
-            if len(i):
-                _join(root, rows[i], rows[i + d])
+            _link(root, rows[i], rows[i + d], alike)
     while (root != root[root]).any():
         root = root[root]
     linked = np.flatnonzero(root != np.arange(n))
     return linked, root[linked]
 
 
-def _split(root: np.ndarray, rows: np.ndarray, f: np.ndarray, radius: int) -> None:
+def _split(root: np.ndarray, rows: np.ndarray, f: np.ndarray, radius: int, alike: Alike | None = None) -> None:
     """A block of many rows: bits in which its rows differ are dealt to radius + 1 parts, of which a linked pair shares one; each part's value is a block of its own."""
     bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little")
     differ = np.flatnonzero(bits.any(0) & ~bits.all(0))
@@ -218,7 +258,7 @@ def _split(root: np.ndarray, rows: np.ndarray, f: np.ndarray, radius: int) -> No
                 continue
             own_rows = order[a : a + m]
             if m > LARGE and m < len(f):
-                _split(root, rows[own_rows], f[own_rows], radius)
+                _split(root, rows[own_rows], f[own_rows], radius, alike)
                 continue
             p, w = planes(f[own_rows]), (m + 63) // 64
             for d in range(1, m):
@@ -226,16 +266,15 @@ def _split(root: np.ndarray, rows: np.ndarray, f: np.ndarray, radius: int) -> No
                 alive = np.zeros(w + 1, np.uint64)
                 alive.view(np.uint8)[: len(lanes)] = lanes
                 i = near_at(p, d, alive, radius)
-                if len(i):
-                    _join(root, rows[own_rows[i]], rows[own_rows[i + d]])
+                _link(root, rows[own_rows[i]], rows[own_rows[i + d]], alike)
 
 
-def _linker(size: int, radius: int, chunk: int = 100_000):
+def _linker(size: int, radius: int, similarity: float | None = None, chunk: int = 100_000):
     def links(t: pa.Table) -> pa.RecordBatch:
         key = t["k"].to_numpy()
         f = np.stack([t[f"f{k}"].to_numpy().view(np.uint64) for k in range(size)], 1)
         node = t["node"].to_numpy()
-        a, b = forest(key, f, radius)
+        a, b = forest(key, f, radius, alike=jaccard(t["set"].combine_chunks(), similarity) if similarity else None)
         return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,14 +314,39 @@ def linked(rows: DataFrame, size: int, radius: int, by_bands: bool) -> DataFrame
     return components(dealt.mapInArrow(_linker(size, radius), "u long, v long"))
 
 
-def grouped(docs: DataFrame, n: int, size: int, radius: int, by_bands: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row for each of docs: its columns but the text, f0 and so on, uid, and component_id, the least key of its group, and chosen: it is the group's one to keep."""
+def _sets(n: int, most: int = 500):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(k, most) for b in batches for k in range(0, b.num_rows, most)):
+            of = [np.unique(shingle_hashes(t.as_py(), n)).view(np.int64) for t in b["text"]]
+            at = b.schema.get_field_index("text")
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], *b.columns[at + 1 :], pa.array(of, pa.list_(pa.int64()))], [*b.schema.names[:at], *b.schema.names[at + 1 :], "set"])
+
+    return run
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, found: DataFrame, n: int, size: int, radius: int, similarity: float) -> DataFrame:
+    """(node, root) of nodes that links of this Jaccard similarity join. found: of candidate links. docs: uid and text."""
+    names = ["node", "k", *(f"f{k}" for k in range(size))]
+    open_ = found.join(nodes, "node").select("node", F.col("root").alias("k"), *names[2:])
+    texts = docs.join(open_, docs["uid"] == open_["node"]).select(*names, "text")
+    sets = texts.mapInArrow(_sets(n), "".join(f"{c} long, " for c in names) + "set array<long>")
+    dealt = sets.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k").sortWithinPartitions("k", "node")
+    return components(dealt.mapInArrow(_linker(size, radius, similarity, 1000), "u long, v long"))
+
+
+def grouped(docs: DataFrame, n: int, size: int, radius: int, by_bands: bool = False, text: str = "text", key: str = "doc_id", similarity: float | None = None) -> DataFrame:
+    """A row for each of docs: its columns but the text, f0 and so on, uid, and component_id, the least key of its group, and chosen: it is the group's one to keep.
+
+    With a similarity, links are confirmed by the sets of shingles; docs, read a second time for that, have a uid, and their text is named so."""
     fs = [f"f{k}" for k in range(size)]
-    s = stored(signed(docs, n, size, by_bands, text).withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
+    s = signed(docs, n, size, by_bands, text)
+    s = stored(s if similarity else s.withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "uid")).alias("first")
     also = [F.first("bands").alias("bands")] if by_bands else []
     nodes = stored(s.groupBy(*fs).agg(F.min("uid").alias("node"), first, F.count("*").alias("n"), *also), "nodes")
     found = linked(nodes, size, radius, by_bands)
+    if similarity:
+        found = confirmed(docs.select("uid", "text"), nodes, found, n, size, radius, similarity)
     of = nodes.select("node", *fs, "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("first").alias("least"))
     of = stored(of.select(*fs, "root").join(least, "root").select(F.xxhash64(*fs).alias("h"), F.struct(*fs).alias("f"), "least"), "groups")
@@ -301,15 +365,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def radius_at(similarity: float, bits: int) -> int:
-    """The distance expected of two sets of this Jaccard similarity, and a standard deviation more."""
+    """The distance expected of two sets of this Jaccard similarity, and SPREAD standard deviations more."""
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + SPREAD * math.sqrt(bits * p * (1 - p)))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, n: int = 5) -> DataFrame:
-    """One of each group of documents that are alike in their n-word shingles, with the columns that they came with: the one with the least doc_id."""
+    """One of each group of documents that are linked by this Jaccard similarity of their n-word shingles, with the columns that they came with: the one with the least doc_id."""
     cols = docs.columns
     size = 4
     own = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("d"), F.monotonically_increasing_id().alias("at")), "near-docs")
-    g = grouped(own.select("at", F.col("d.doc_id").alias("doc_id"), F.col("d.text").alias("text")), n, size, radius_at(similarity, 64 * size), by_bands=True)
-    return own.join(g.where("chosen").select("at"), "at", "left_semi").select(*[F.col(f"d.`{c}`").alias(c) for c in cols])
+    texts = own.select(F.col("at").alias("uid"), F.col("d.doc_id").alias("doc_id"), F.col("d.text").alias("text"))
+    g = grouped(texts, n, size, radius_at(similarity, 64 * size), by_bands=True, similarity=similarity)
+    return own.join(g.where("chosen").select(F.col("uid").alias("at")), "at", "left_semi").select(*[F.col(f"d.`{c}`").alias(c) for c in cols])

@@ -38,6 +38,14 @@ def test_shots():
     assert A.shots(np.zeros((0, 12, 16), np.uint8)) == []
 
 
+@pytest.mark.parametrize("cuts", [[30, 35, 40], [30, 38, 46], [30, 32, 37, 45], [1], [1, 2, 3], [2, 4, 12]])
+def test_shots_of_few_frames(cuts):
+    rng = np.random.default_rng(2)
+    ends = [0, *cuts, 60]
+    scenes = [rng.integers(low, low + 30, (b - a, 12, 16)) for a, b, low in zip(ends, ends[1:], [16, 160, 80, 208, 16, 112])]
+    assert A.shots(np.concatenate(scenes).astype(np.uint8)) == [(a, b - 1) for a, b in zip(ends, ends[1:])]
+
+
 def test_rows(spark):
     texts = [(1, None), (2, ""), (3, "a" * 192), (4, "é" * 97), (None, "x"), (3, "a" * 192), (7, "long " * 100_000)]
     df = spark.createDataFrame(texts, "doc_id long, text string")

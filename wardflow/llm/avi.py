@@ -6,7 +6,8 @@ unpacked as arrays; a decoder that follows the standard reads them too. Frames o
 
 Reading walks the RIFF chunks, takes the frames' places from the index (or, without one, from the chunks), and decodes each frame by itself.
 A shot ends where the difference of neighbouring frames' 16-bin histograms exceeds the mean of the last 8 differences in the
-shot by 3 standard deviations and a fixed rest; the clips between are timed by the stream's frame time.
+shot by 3 standard deviations and a fixed rest; a cut's own difference belongs to no shot. A shot's first difference has none before it
+and ends the shot above FIRST, which is beyond what chance gives two frames of one scene. The clips between are timed by the stream's frame time.
 
 Nulls: a null text is empty; an empty payload is padded to one frame. A null media value gives no clips and null results. Equal
 payloads give equal files. Repeated rows are each returned. An empty table gives an empty result; other columns pass or are not read.
@@ -15,6 +16,7 @@ payloads give equal files. Repeated rows are each returned. An empty table gives
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wardflow.llm.common import table
 
 WIDTH, HEIGHT, FRAME, USEC = 16, 12, 192, 40_000
-BINS, RECENT, REST = 16, 8, 40
+BINS, RECENT, REST, FIRST = 16, 8, 40, 96
 
 # ---- lossless JPEG ----
 
@@ -191,13 +193,17 @@ def shots(frames: np.ndarray) -> list[tuple[int, int]]:
     size = frames[0].size
     h = np.bincount((np.arange(n)[:, None] * BINS + (frames.reshape(n, -1) >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
     d = np.abs(np.diff(h, axis=0)).sum(1) * FRAME // size
-    sums, squares = np.r_[0, np.cumsum(d)], np.r_[0, np.cumsum(d * d)]
-    i = np.arange(len(d))
-    low = np.maximum(i - RECENT, 0)
-    m = np.maximum(i - low, 1)
-    mean = (sums[i] - sums[low]) / m
-    std = np.sqrt(np.maximum((squares[i] - squares[low]) / m - mean * mean, 0))
-    cuts = [int(k) + 1 for k in np.flatnonzero((d > mean + 3 * std + REST) & (i > 0))]
+    sums, squares = np.r_[0, np.cumsum(d)].tolist(), np.r_[0, np.cumsum(d * d)].tolist()
+    cuts, first = [], 0
+    for i, x in enumerate(d.tolist()):
+        low = max(i - RECENT, first)
+        m, most = i - low, FIRST
+        if m:
+            mean = (sums[i] - sums[low]) / m
+            most = mean + 3 * math.sqrt(max((squares[i] - squares[low]) / m - mean * mean, 0)) + REST
+        if x > most:
+            first = i + 1
+            cuts.append(first)
     return list(zip([0, *cuts], [*(c - 1 for c in cuts), n - 1]))
 
 

@@ -119,3 +119,12 @@ def test_pairs_are_linked_by_exact_similarity(spark):
     assert 220 < len(want) < 300
     got = S.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_equal_fingerprints_of_other_shingles(spark):
+    tail = lambda k, n: " ".join(f"t{k}x{i}" for i in range(n))
+    # 0 to 5: one repeated shingle decides all bits; 6: alike to 5 but for that shingle; 7: the same set as 5.
+    docs = [(k, "spam " * 400 + tail(k, 20)) for k in range(5)]
+    docs += [(5, "spam " * 400 + tail(5, 100)), (6, tail(5, 100)), (7, "spam " * 300 + tail(5, 100))]
+    got = S.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 1, 2, 3, 4, 5]

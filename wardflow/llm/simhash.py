@@ -1,7 +1,7 @@
 """Near duplicates by SimHash, compared bit-sliced.
 
-A fingerprint has a bit for each bit of the shingles' hashes, set if it is set in over half of them. Equal fingerprints are made one
-row first. Rows that share a block key are compared: their fingerprints are stored as bit planes, bit b of 64 rows to a word, and
+A fingerprint has a bit for each bit of the shingles' hashes, set if it is set in over half of them. Equal fingerprints (with a similarity
+bound: equal sets of shingles, each of which counts once) are made one row first. Rows that share a block key are compared: their fingerprints are stored as bit planes, bit b of 64 rows to a word, and
 each plane, against itself shifted by d rows, adds one bit of the distances of 64 pairs to carry-save counters; words whose
 pairs have all passed the radius are abandoned. A block gives a forest of its links, never its pairs. Connected components
 of all forests are the groups.
@@ -76,6 +76,13 @@ def fingerprint(h: np.ndarray, size: int) -> list[int]:
     return out
 
 
+def digest(u: np.ndarray) -> list[int]:
+    """128 bits of a sorted set of hashes, as two signed numbers."""
+    import xxhash
+
+    return np.frombuffer(xxhash.xxh128_digest(u.tobytes(), SEED), np.int64).tolist()
+
+
 def bands(h: np.ndarray) -> list[int]:
     """A key for each band: ROWS minima of the hashes, each minimum over the hashes mixed anew."""
     if not len(h):
@@ -96,25 +103,27 @@ def _sign(n: int, size: int, with_bands: bool, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(text)
-            fs, ks = [], []
+            fs, ks, ds = [], [], []
             for t in b.column(at):
                 h = shingle_hashes(t.as_py(), n)
-                fs.append(fingerprint(h, size))
                 if with_bands:
+                    h = np.unique(h)
                     ks.append(bands(h))
+                    ds.append(digest(h))
+                fs.append(fingerprint(h, size))
             cols = [b.column(i) for i in range(b.num_columns) if i != at] + [pa.array([f[k] for f in fs], pa.int64()) for k in range(size)]
             names = [f.name for i, f in enumerate(b.schema) if i != at] + [f"f{k}" for k in range(size)]
             if with_bands:
-                cols, names = [*cols, pa.array(ks, pa.list_(pa.int64()))], [*names, "bands"]
+                cols, names = [*cols, *(pa.array([d[k] for d in ds], pa.int64()) for k in range(2)), pa.array(ks, pa.list_(pa.int64()))], [*names, "s0", "s1", "bands"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
 def signed(docs: DataFrame, n: int, size: int, with_bands: bool = False, text: str = "text") -> DataFrame:
-    """docs with f0, f1 and so on in place of the text, and the bands if asked for."""
+    """docs with f0, f1 and so on in place of the text, and, if asked for, the bands and the digest s0, s1 of the set of shingles, which then count once each."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    return docs.mapInArrow(_sign(n, size, with_bands, text), kept + "".join(f", f{k} long" for k in range(size)) + ", bands array<long>" * with_bands)
+    return docs.mapInArrow(_sign(n, size, with_bands, text), kept + "".join(f", f{k} long" for k in range(size)) + ", s0 long, s1 long, bands array<long>" * with_bands)
 
 
 # ---- bit-sliced comparison ----
@@ -299,7 +308,7 @@ def _linker(size: int, radius: int, similarity: float | None = None, chunk: int
 
 
 def linked(rows: DataFrame, size: int, radius: int, by_bands: bool) -> DataFrame:
-    """(node, root) of nodes that are linked. rows: node, f0 and so on, bands: each fingerprint once."""
+    """(node, root) of nodes that are linked. rows: node, f0 and so on, bands: each fingerprint, or set, once."""
     fs = [f"f{k}" for k in range(size)]
     if by_bands:
         blocks = rows.select("node", *fs, F.posexplode("bands").alias("t", "b")).select("node", *fs, F.xxhash64("t", "b").alias("k"))
@@ -338,25 +347,25 @@ def grouped(docs: DataFrame, n: int, size: int, radius: int, by_bands: bool = Fa
     """A row for each of docs: its columns but the text, f0 and so on, uid, and component_id, the least key of its group, and chosen: it is the group's one to keep.
 
     With a similarity, links are confirmed by the sets of shingles; docs, read a second time for that, have a uid, and their text is named so."""
-    fs = [f"f{k}" for k in range(size)]
+    ids = [f"f{k}" for k in range(size)] + ["s0", "s1"] * by_bands
     s = signed(docs, n, size, by_bands, text)
     s = stored(s if similarity else s.withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "uid")).alias("first")
     also = [F.first("bands").alias("bands")] if by_bands else []
-    nodes = stored(s.groupBy(*fs).agg(F.min("uid").alias("node"), first, F.count("*").alias("n"), *also), "nodes")
+    nodes = stored(s.groupBy(*ids).agg(F.min("uid").alias("node"), first, F.count("*").alias("n"), *also), "nodes")
     found = linked(nodes, size, radius, by_bands)
     if similarity:
         found = confirmed(docs.select("uid", "text"), nodes, found, n, size, radius, similarity)
-    of = nodes.select("node", *fs, "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = nodes.select("node", *ids, "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("first").alias("least"))
-    of = stored(of.select(*fs, "root").join(least, "root").select(F.xxhash64(*fs).alias("h"), F.struct(*fs).alias("f"), "least"), "groups")
-    counts = nodes.select(F.xxhash64(*fs).alias("h"), "n").groupBy("h").agg(F.sum("n").alias("n"))
-    own = s.drop("bands").withColumn("h", F.xxhash64(*fs) if size > 1 else F.xxhash64("f0"))
-    # h may join two fingerprints, though hardly ever: the fingerprints are compared as well.
+    of = stored(of.select(*ids, "root").join(least, "root").select(F.xxhash64(*ids).alias("h"), F.struct(*ids).alias("f"), "least"), "groups")
+    counts = nodes.select(F.xxhash64(*ids).alias("h"), "n").groupBy("h").agg(F.sum("n").alias("n"))
+    own = s.drop("bands").withColumn("h", F.xxhash64(*ids) if len(ids) > 1 else F.xxhash64("f0"))
+    # h may join two fingerprints, though hardly ever: they are compared as well.
     right = of.groupBy("h").agg(F.collect_list(F.struct("f", "least")).alias("of"))
     out = lookup(own, right, "h", counts)
-    hit = F.filter("of", lambda x: x["f"] == F.struct(*fs))[0]["least"]
-    return out.withColumn("least", hit).select(*s.drop("bands").columns, F.col("least.key").alias("component_id"), (F.col("least.uid") == F.col("uid")).alias("chosen"))
+    hit = F.filter("of", lambda x: x["f"] == F.struct(*ids))[0]["least"]
+    return out.withColumn("least", hit).select(*s.drop("bands", "s0", "s1").columns, F.col("least.key").alias("component_id"), (F.col("least.uid") == F.col("uid")).alias("chosen"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,3 +136,59 @@ def test_query_at_two_splits(spark):
 def test_empty(spark):
     assert P.encode(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert P.encode_words(spark.createDataFrame([], "w string")).select(F.count("*")).first()[0] == 0
+
+
+def test_splits_may_change_between_the_passes(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, " ".join("".join(rng.choices("abcdeßé", k=rng.randint(2, 9))) for _ in range(300))) for i in range(400)]
+    at = f"file://{tmp_path}/in"
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.option("parquet.block.size", 65536).parquet(at)
+    key = "spark.sql.files.minPartitionNum"
+    try:
+        for first, then in ((4, 7), (7, 4), (1, 16)):
+            spark.conf.set(key, first)
+            out = P.encode(spark.read.parquet(at), scanned=True, digests=True)
+            spark.conf.set(key, then)
+            got = {r["doc_id"]: r for r in spark.read.parquet(at).select("doc_id").join(out, "doc_id").collect()}
+            assert len(got) == len(rows)
+            for i, t in rows:
+                assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+                assert i % 40 or got[i]["ids"] == brute(t)
+    finally:
+        spark.conf.unset(key)
+
+
+def test_best_path_of_whole_texts(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = P.decode(P.encode(df, bpe=False)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = dict(rows)[r["doc_id"]]
+        assert r["decoded"] == t
+        assert r["ids"] == (None if t is None else [i for w in P.words_of(t) for i in viterbi(w)])
+
+
+def test_no_piece_crosses_words():
+    table, _, _ = model()
+    rng = random.Random(4)
+    for p in table:
+        for t in (p + "x", "x" + p if not p.startswith(" ") else p, p + "7", p + " "):
+            at = t.index(p)
+            ends = [0]
+            for w in P.WORDS.findall(t):
+                ends.append(ends[-1] + len(w))
+            assert not any(at < e < at + len(p) for e in ends), (p, t)
+    text = "".join(rng.choices("ab é”…»²,.'\"!0123\n  ×日", k=5000))
+    assert "".join(P.WORDS.findall(text)) == text
+
+
+def edge(rank, start, size, id, late):
+    return ((((rank << P.S_BITS) + start << P.N_BITS) + size << P.ID_BITS) + id) * 2 + late
+
+
+def test_pieces_that_become_due_after_their_turn(spark):
+    """xyb comes before xy, of which it is made: the one pass is not enough, and the word is merged by steps."""
+    words = [("xyb", [edge(1, 0, 3, 11, 1), edge(3, 0, 2, 13, 0)], [11]), ("xybc", [edge(1, 0, 3, 11, 1), edge(2, 2, 2, 12, 0), edge(3, 0, 2, 13, 0)], [13, 12]), ("xyby", [edge(1, 0, 3, 11, 1), edge(3, 0, 2, 13, 0), edge(4, 2, 2, 14, 0)], [11, -1 - ord("y")])]
+    df = spark.createDataFrame(words, "w string, edges array<long>, ids array<int>")
+    assert all(r["got"] == r["ids"] for r in df.select("ids", P.merged("edges", "w").alias("got")).collect())

@@ -33,7 +33,7 @@ def test_push_down_and_pruning(spark, tmp_path):
     rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
     assert sorted(r["record_id"] for r in rows) == ["<urn:page:5>", "<urn:page:9>"]
     # A skipped block is not decoded: one that can't be decoded does no harm.
-    bad = next(p for p in (tmp_path / "w").iterdir() if b"response" in p.read_bytes() and p.suffix == ".warc")
+    bad = next(p for p in (tmp_path / "w").iterdir() if b"WARC-Type: response" in p.read_bytes() and p.suffix == ".warc")
     raw = bad.read_bytes()
     body = raw.index(b"\x1f\x8b")
     bad.write_bytes(raw[:body] + b"\x00\x00" + raw[body + 2 :])

@@ -1,19 +1,18 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut into words that no piece crosses (a run of blanks and what follows it, a line feed by itself); a blank stands before the
-first, as the model wants it. Each word is encoded once for the whole corpus: its substrings up to the longest piece's length are
+A text is cut into words that no piece crosses (a run of blanks with the letters or the signs that follow it; digits and line feeds by themselves); a blank stands
+before the first, as the model wants it. Each word is encoded once for the whole corpus: its substrings up to the longest piece's length are
 exploded, equi-joined to the piece table (of the model's size, so broadcast), grouped by word into the lattice's edges, and folded
 by a higher-order aggregate. For a unigram model the fold is Viterbi's: the edges come in order of their ends, the state keeps
 the best path to each of the last positions, and an edge replaces the best path to its end if it scores more (ties: the longer last
 piece). A BPE model's scores are the ranks of its merges, and its encoding is not their best path; there the fold merges:
-the state is the word's cuts, and each step takes out the cut inside the best edge that spans two neighbouring parts (ties: the
-leftmost). That takes steps as many as letters, each over all edges, so words of over LONG characters are merged with a heap
+the state is the word's cuts, the edges come in order of their ranks (ties: the leftmost first), and an edge that spans two neighbouring parts takes
+out the cut between them. Words of over LONG characters, of which the state would need more bits than a number has, are merged with a heap
 instead, with the same result. Characters without a piece are byte pieces (in Viterbi at 10 less than the least score).
 
-The documents don't move. Words that are frequent in a small sample, of a bounded number, are encoded first and known to all tasks. A first pass over them sends each input split's other distinct words to the lattice, numbered as they first appear in the
-split; the ids go back by split and number as a small dictionary for each split, written to the shared folder; a second pass reads its
-split's dictionary and numbers the words again in the same way. A dictionary is as large as a split's words at most. A split must
-be read in the same order both times, as files are.
+The documents don't move. Words that are frequent in a small sample, of a bounded number, are encoded first and known to all tasks. A first pass over the documents sends each
+input split's other distinct words to the lattice; words and ids go back to a dictionary of each file's splits, written to the shared folder; a second pass reads
+those dictionaries of its file that overlap its own split, so splits may differ from pass to pass, as when executors come or go. A dictionary is as large as a split's words at most.
 
 Decoding joins the pieces' bytes and takes off the first blank; it gives back every text exactly.
 
@@ -37,22 +36,28 @@ from pyspark.sql import functions as F
 from wardflow.llm.common import fresh_path, let, stored, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-WORDS = re.compile(r" *[^ \n]+|\n| +")
+#: What no piece crosses: Latin letters and other ASCII characters part, a digit and a line feed stand alone, and blanks go with what follows them. A run with any further
+#: character goes to its end in one word.
+WORDS = re.compile(r" *+(?:[A-Za-z\u00c0-\u024f]++(?![^\x00-\x7f])|[^A-Za-z0-9 \n\x80-\U0010ffff]++(?![^\x00-\x7f])|[^ \n0-9]++)|[\n0-9]| +")
 UNKNOWN, LONG, HEAD = 10.0, 62, 3
 #: Words that every task knows from a sample, at most, and the documents of that sample.
 COMMON, SAMPLE = 1 << 17, 4000
+#: Tasks that write a split's dictionary.
+SALTS = 4
 #: Bits of an edge's start, length and id; NONE: the rank of what merges nothing.
 S_BITS, N_BITS, ID_BITS = 6, 5, 21
 NONE = (1 << ID_BITS) - 1
+#: What is added to ids, so that those of characters are above 0 as well.
+PLACE = 1 << 24
 
 
 def pieces(path: str = MODEL) -> list[tuple[str, int, float]]:
-    """(piece, id, score) of a model's ordinary pieces, blanks as blanks. No piece may hold a line feed, or a blank after another character."""
+    """(piece, id, score) of a model's ordinary pieces, blanks as blanks. No piece may cross words: any two characters that stand side by side in one do so within a word."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     out = [(m.id_to_piece(i).replace("▁", " "), i, m.get_score(i)) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_byte(i) or m.is_unknown(i) or m.is_unused(i))]
-    if any("\n" in p or " " in p.lstrip(" ") for p, _, _ in out):
+    if any(len(WORDS.findall(two)) > 1 for two in {p[k : k + 2] for p, _, _ in out for k in range(len(p) - 1)}):
         raise ValueError("the model has pieces that cross words")
     return out
 
@@ -102,26 +107,36 @@ def words_of(text: str) -> list[str]:
 # ---- the lattice ----
 
 
-def encode_words(words: DataFrame, path: str = MODEL, short_only: bool = False) -> DataFrame:
-    """words (w, and other columns; each w once) with ids. short_only: there are no words of over LONG characters."""
+def late_pieces(ranks: dict[str, int]) -> set[str]:
+    """Pieces that some two parts make of which one comes later in the order of merges than the piece: only these can become due after their turn."""
+    comes = lambda x: -1 if len(x) == 1 else ranks.get(x, -1)
+    known = lambda x: len(x) == 1 or x in ranks
+    return {p for p, r in ranks.items() if any(known(p[:k]) and known(p[k:]) and max(comes(p[:k]), comes(p[k:])) > r for k in range(1, len(p)))}
+
+
+def encode_words(words: DataFrame, path: str = MODEL, short_only: bool = False, bpe: bool | None = None) -> DataFrame:
+    """words (w, and other columns; each w once) with ids. short_only: there are no words of over LONG characters. bpe: whether to merge (else the best path is taken); None: as the model's kind asks."""
     spark = words.sparkSession
-    ps, bpe = pieces(path), is_bpe(path)
+    ps, bpe = pieces(path), is_bpe(path) if bpe is None else bpe
     longest, least = max(len(p) for p, _, _ in ps), min(s for _, _, s in ps)
     ranks = {p: k for k, (p, _, _) in enumerate(sorted(ps, key=lambda x: (-x[2], x[1])))}
-    piece = F.broadcast(spark.createDataFrame([(*x, ranks[x[0]]) for x in ps], "part string, id int, score double, rank int"))
+    late = late_pieces(ranks) if bpe else set()
+    piece = F.broadcast(spark.createDataFrame([(*x, ranks[x[0]], int(x[0] in late)) for x in ps], "part string, id int, score double, rank int, late int"))
     others = [c for c in words.columns if c != "w"]
     n = F.char_length("w")
     short = words.where((n > 0) & (n <= LONG)) if bpe else words.where(n > 0)
     one = short.select("w", F.struct(*others).alias("o") if others else F.lit(True).alias("o"), F.explode(F.sequence(F.lit(1), n)).alias("s"))
     # Only lengths that some piece with the same first HEAD characters has are tried; what the word carries goes with its first position only.
+    # Single characters merge nothing: but for a word's first they have no row then.
     heads: dict[str, set[int]] = {}
     for text, _, _ in ps:
         if len(text) >= HEAD:
             heads.setdefault(text[:HEAD], set()).add(len(text))
     head = F.broadcast(spark.createDataFrame([(k, sorted(v)) for k, v in heads.items()], "head string, sizes array<int>"))
     one = one.select("w", F.when(F.col("s") == 1, F.col("o")).alias("o"), "s", F.substring("w", F.col("s"), F.lit(HEAD)).alias("head")).join(head, "head", "left")
-    sizes = F.concat(F.sequence(F.lit(1), F.lit(HEAD - 1)), F.coalesce("sizes", F.array().cast("array<int>")))
-    one = one.select("w", "o", "s", F.explode(F.filter(sizes, lambda k: k <= n - F.col("s") + 1)).alias("n"))
+    brief = F.sequence(F.lit(1), F.lit(HEAD - 1))
+    brief = F.when(F.col("s") == 1, brief).otherwise(F.sequence(F.lit(2), F.lit(HEAD - 1))) if bpe else brief
+    one = one.select("w", "o", "s", F.explode(F.concat(brief, F.coalesce("sizes", F.array().cast("array<int>")))).alias("n")).where(F.col("n") <= n - F.col("s") + 1)
     one = one.select("w", F.when(F.col("n") == 1, F.col("o")).alias("o"), "s", "n", F.substring("w", F.col("s"), F.col("n")).alias("part"))
     own = one.join(piece, "part", "left").where("id is not null or n = 1")
     o = F.first("o", ignorenulls=True).alias("o")
@@ -133,11 +148,11 @@ def encode_words(words: DataFrame, path: str = MODEL, short_only: bool = False)
         return edges.select("w", *carried, best_path("edges", longest).alias("ids"))
     if longest >= 1 << N_BITS or len(ps) >= NONE or max(i for _, i, _ in ps) > NONE:
         raise ValueError("the model's pieces are too many or too long")
-    # One number for an edge, in the order of merges: rank, start, length, id. Single characters merge nothing: but for a word's first they have no row.
-    wide = own.where("n > 1 or s = 1")
+    # One number for an edge, in the order of merges: rank, start, length, id, whether it may become due late.
     rank = F.when(F.col("n") == 1, F.lit(NONE)).otherwise(F.col("rank")).cast("long")
     edge = ((rank * (1 << S_BITS) + F.col("s") - 1) * (1 << N_BITS) + F.col("n")) * (1 << ID_BITS) + F.when(F.col("n") == 1, 0).otherwise(F.col("id"))
-    edges = wide.groupBy("w").agg(F.sort_array(F.collect_list(edge)).alias("edges"), o)
+    edge = edge * 2 + F.when(F.col("n") == 1, 0).otherwise(F.col("late"))
+    edges = own.groupBy("w").agg(F.sort_array(F.collect_list(edge)).alias("edges"), o)
     done = edges.select("w", *carried, merged("edges", "w").alias("ids"))
     kinds = "".join(f", `{c}` {words.schema[c].dataType.simpleString()}" for c in others)
     done = done.mapInArrow(_resolved(path), f"w string{kinds}, ids array<int>")
@@ -151,38 +166,58 @@ def _bytes(part: Column, path: str) -> Column:
 
 
 def merged(edges: str, word: str) -> Column:
-    """The ids of a BPE model, characters that stay single as -1 less their code point. The state: the places between the word's parts as bits of a number."""
+    """The ids of a BPE model, characters that stay single as -1 less their code point. The state: the places between the word's parts as bits of a number.
+
+    The edges are folded once in the order of merges: one that spans two neighbouring parts takes out the cut between them. That is all unless an edge becomes due
+    after its turn, which only late pieces can. Each merge looks for one of these; where it finds one, the word is marked (by the number's
+    highest bit) and merged step by step instead, each step looking for the first edge that is due."""
     shift = lambda x, by: F.call_function("shiftright", x, F.lit(by))
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    mask = lambda x, bits: x.bitwiseAND(F.lit((1 << bits) - 1))
+    again = F.lit(-(1 << 63)).cast("long")
 
     def spread(x: Column) -> Column:
-        """An edge's ends and what lies between them as bits, its start and id."""
-        s = shift(x, ID_BITS + N_BITS).bitwiseAND(F.lit((1 << S_BITS) - 1)).cast("int")
-        e = s + shift(x, ID_BITS).bitwiseAND(F.lit((1 << N_BITS) - 1)).cast("int")
-        ends = bit(s).bitwiseOR(bit(e))
-        return F.struct(ends.alias("ends"), (bit(e) - bit(s)).bitwiseAND(F.bitwise_not(ends)).alias("mid"), s.alias("s"), x.bitwiseAND(F.lit(NONE)).cast("int").alias("id"))
+        """An edge's ends and what lies between them as bits, its start with its id, and its turn."""
+        s = mask(shift(x, 1 + ID_BITS + N_BITS), S_BITS).cast("int")
+        k = mask(shift(x, 1 + ID_BITS), N_BITS).cast("int")
+        at = lambda bits: F.call_function("shiftleft", bits, s)
+        whole = s.cast("long") * (1 << 32) + mask(shift(x, 1), ID_BITS) + PLACE
+        return F.struct(at(bit(k) + 1).alias("ends"), at(bit(k) - 2).alias("mid"), whole.alias("whole"), x.alias("turn"))
 
-    def step(wide: Column, cuts: Column) -> Column:
-        """The first edge that spans two neighbouring parts loses the cut between them."""
-        fits = F.filter(wide, lambda x: (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["mid"])) == 1))
-        return F.coalesce(cuts.bitwiseAND(F.bitwise_not(F.get(fits, F.lit(0))["mid"])), cuts)
+    def due(x: Column, cuts: Column) -> Column:
+        return (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["mid"])) == 1)
 
     n = F.char_length(word)
 
+    def once(wide: Column, start: Column) -> Column:
+        def fold(late: Column) -> Column:
+            def merge(x: Column, cuts: Column) -> Column:
+                return F.when(F.exists(late, lambda y: (y["turn"] < x["turn"]) & due(y, cuts)), cuts.bitwiseOR(again)).otherwise(cuts)
+
+            return F.aggregate(wide, start, lambda c, x: F.when(due(x, c), let(c.bitwiseAND(F.bitwise_not(x["mid"])), lambda cuts: merge(x, cuts))).otherwise(c))
+
+        return let(F.filter(wide, lambda x: mask(x["turn"], 1) == 1), fold)
+
+    def by_steps(wide: Column, start: Column) -> Column:
+        def step(cuts: Column) -> Column:
+            return F.coalesce(cuts.bitwiseAND(F.bitwise_not(F.get(F.filter(wide, lambda x: due(x, cuts)), F.lit(0))["mid"])), cuts)
+
+        return F.aggregate(F.sequence(F.lit(1), F.least(n - 1, F.size(wide))), start, lambda c, _: step(c))
+
     def of(wide: Column) -> Column:
         start = bit(n + 1) - 1
-        cuts = F.when(F.size(wide) == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.least(n - 1, F.size(wide))), start, lambda c, _: step(wide, c)))
-        return let(cuts, lambda c: parts(wide, c))
+        none = F.size(wide) == 0
+        found = let(F.when(none, start).otherwise(once(wide, start)), lambda c: F.when((c < 0) & ~none, by_steps(wide, start)).otherwise(c))
+        return let(found, lambda c: parts(wide, c))
 
     def parts(wide: Column, cuts: Column) -> Column:
         """The edges from cut to cut, and the characters between two cuts, in order of place."""
         own = F.filter(wide, lambda x: (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (cuts.bitwiseAND(x["mid"]) == 0))
-        whole = F.transform(own, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id")))
         single = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("shiftright", cuts, i).bitwiseAND(F.lit(3)) == 3)
-        chars = F.transform(single, lambda i: F.struct(i.alias("s"), (-1 - F.ascii(F.call_function("substring", F.col(word), i + 1, F.lit(1)))).alias("id")))
-        return F.transform(F.sort_array(F.concat(whole, chars)), lambda x: x["id"])
+        chars = F.transform(single, lambda i: i.cast("long") * (1 << 32) + (PLACE - 1 - F.ascii(F.call_function("substring", F.col(word), i + 1, F.lit(1)))))
+        return F.transform(F.sort_array(F.concat(F.transform(own, lambda x: x["whole"]), chars)), lambda x: (mask(x, 32) - PLACE).cast("int"))
 
-    wide = F.transform(F.filter(edges, lambda x: shift(x, ID_BITS).bitwiseAND(F.lit((1 << N_BITS) - 1)) > 1), spread)
+    wide = F.transform(F.filter(edges, lambda x: mask(shift(x, 1 + ID_BITS), N_BITS) > 1), spread)
     return let(wide, of)
 
 
@@ -281,14 +316,25 @@ def best_path(edges: str, longest: int) -> Column:
 # ---- documents ----
 
 
-def _runs(column: pa.Array) -> Iterator[tuple[int, int, int]]:
-    """(value, first, end) of equal neighbours."""
-    v = column.to_numpy(zero_copy_only=False)
-    cut = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.empty(0, int)
-    yield from zip(v[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(v)])
+#: What a split's place in its file is counted in, in bytes.
+KB = 1024
 
 
-def common_words(docs: DataFrame, text: str, most: int, path: str) -> dict[str, bytes]:
+def _split_columns() -> list[Column]:
+    """f, the file that a row was read from, and span, its split's place in it: the first and the last KB, as the halves of a number."""
+    first, size = F.input_file_block_start(), F.input_file_block_length()
+    span = F.shiftleft(F.floor(first / KB).cast("long"), 32) + F.ceil((first + size) / KB).cast("long")
+    return [F.xxhash64(F.input_file_name()).alias("f"), span.alias("span")]
+
+
+def _runs(b: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, int]]:
+    """((f, span), first, end) of rows of one split, from a batch's first two columns."""
+    f, span = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+    cut = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (span[1:] != span[:-1])]) if len(f) else np.empty(0, int)
+    yield from zip(zip(f[cut].tolist(), span[cut].tolist()), cut.tolist(), [*cut[1:].tolist(), len(f)])
+
+
+def common_words(docs: DataFrame, text: str, most: int, path: str, bpe: bool) -> dict[str, bytes]:
     """Encoded words that are frequent in a sample of documents, COMMON at most. They spare what all splits would ask for; the result is the same whichever they are."""
     part = docs.sample(min(1.0, 2 * SAMPLE / max(1, docs.count())), seed=1).select(text).limit(SAMPLE)
 
@@ -300,74 +346,63 @@ def common_words(docs: DataFrame, text: str, most: int, path: str) -> dict[str,
                     yield pa.RecordBatch.from_arrays([pa.array(found[a : a + 50_000], pa.string())], ["w"])
 
     top = part.mapInArrow(each, "w string").groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(COMMON).select("w")
-    return {r["w"]: np.array(r["ids"], "<i4").tobytes() for r in encode_words(top, path, short_only=most == LONG).toLocalIterator()}
+    return {r["w"]: np.array(r["ids"], "<i4").tobytes() for r in encode_words(top, path, short_only=bpe, bpe=bpe).toLocalIterator()}
 
 
 def _asked(most: int, common):
-    """Distinct words of each split of up to `most` characters that aren't common, each with its number: words are numbered as they appear."""
+    """Distinct words of each split of up to `most` characters that aren't common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
-        at, said, shared = None, 0, common.value
-
-        def out(every: bool):
-            nonlocal said
-            if every or len(seen) - said >= 50_000:
-                new = [w for _, w in zip(range(len(seen) - said), reversed(seen))][::-1]
-                for a in range(0, len(new), 50_000):
-                    part = new[a : a + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([at] * len(part), pa.int64()), pa.array(range(said + a, said + a + len(part)), pa.int32())], ["w", "split", "k"])
-                said = len(seen)
+        shared, at, seen = common.value, None, set()
+
+        def out():
+            new = [w for w in seen if len(w) <= most and w not in shared]
+            for a in range(0, len(new), 50_000):
+                part = new[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([x] * len(part), pa.int64()) for x in at)], ["w", "f", "span"])
 
         for b in batches:
-            for split, i, j in _runs(b.column(0)):
+            for split, i, j in _runs(b):
                 if split != at:
-                    yield from out(True)
-                    seen, at, said = {}, split, 0
-                for t in b.column(1).slice(i, j - i).to_pylist():
+                    yield from out()
+                    at, seen = split, set()
+                for t in b.column(2).slice(i, j - i).to_pylist():
                     if t:
-                        for w in WORDS.findall(" " + t):
-                            if w not in shared and w not in seen and len(w) <= most:
-                                seen[w] = len(seen)
-                yield from out(False)
-        yield from out(True)
+                        seen.update(WORDS.findall(" " + t))
+        yield from out()
 
     return run
 
 
 class _Known(dict):
-    """A split's words and their ids as 32-bit numbers; a word that is new has the next number, as in the first pass."""
+    """Words and their ids as 32-bit numbers: the common ones and those of a split, which all dictionaries of its file that overlap it hold together."""
 
-    def __init__(self, path: str, split: int, most: int, common: dict[str, bytes], long_word):
+    def __init__(self, path: str, split: tuple[int, int], most: int, common: dict[str, bytes], long_word):
         import pyarrow.parquet as pq
         from pyarrow import fs
 
         super().__init__(common)
-        self.most, self.long_word, self.next = most, long_word, 0
+        self.most, self.long_word = most, long_word
+        first, end = split[1] >> 32, split[1] & 0xFFFFFFFF
         disk, root = fs.FileSystem.from_uri(path)
-        at = f"{root}/split={quote(str(split))}"
-        found = [] if disk.get_file_info(at).type == fs.FileType.NotFound else [f.path for f in disk.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".parquet")]
-        ks, flats, sizes = [np.empty(0, np.int64)], [np.empty(0, "<i4")], [np.empty(0, np.int64)]
-        for f in found:
-            with pq.ParquetFile(f, filesystem=disk) as p:
-                for b in p.iter_batches(100_000, columns=["k", "ids"]):
-                    ks.append(b.column(0).to_numpy())
-                    flats.append(b.column(1).flatten().to_numpy().astype("<i4"))
-                    sizes.append(np.diff(b.column(1).offsets.to_numpy()).astype(np.int64))
-        ks, size = np.concatenate(ks), np.concatenate(sizes)
-        self.raw = np.concatenate(flats).tobytes()
-        self.begin, self.size = np.zeros(len(ks), np.int64), np.zeros(len(ks), np.int64)
-        self.begin[ks], self.size[ks] = 4 * (np.cumsum(size) - size), 4 * size
+        for folder in disk.get_file_info(fs.FileSelector(f"{root}/f={split[0]}", allow_not_found=True)):
+            span = int(folder.base_name.removeprefix("span="))
+            if span >> 32 >= end or span & 0xFFFFFFFF <= first:
+                continue
+            for f in disk.get_file_info(fs.FileSelector(folder.path)):
+                if not f.base_name.endswith(".parquet"):
+                    continue
+                with pq.ParquetFile(f.path, filesystem=disk) as p:
+                    for b in p.iter_batches(50_000, columns=["w", "ids"]):
+                        at = (4 * b.column(1).offsets.to_numpy().astype(np.int64)).tolist()
+                        raw = b.column(1).values.to_numpy().astype("<i4", copy=False).tobytes()
+                        self.update(zip(b.column(0).to_pylist(), (raw[x:y] for x, y in zip(at, at[1:]))))
 
     def __missing__(self, w: str) -> bytes:
-        if len(w) > self.most:
-            v = self.long_word(w)
-        else:
-            a = int(self.begin[self.next])
-            v = self.raw[a : a + int(self.size[self.next])]
-            self.next += 1
-        self[w] = v
-        return v
+        if len(w) <= self.most:
+            raise KeyError(f"{w!r} has not been encoded: the input has changed since the first pass")
+        self[w] = self.long_word(w)
+        return self[w]
 
 
 def _looked_up(path: str, model: str, most: int, common, digests: bool):
@@ -381,7 +416,7 @@ def _looked_up(path: str, model: str, most: int, common, digests: bool):
             return np.array(heap_merge(w, table, byte_ids(model)), "<i4").tobytes()
 
         for b in batches:
-            for split, i, j in _runs(b.column(0)):
+            for split, i, j in _runs(b):
                 if split != at:
                     at, known = split, {}
                     known = _Known(path, split, most, common.value, long_word)
@@ -390,7 +425,7 @@ def _looked_up(path: str, model: str, most: int, common, digests: bool):
                 while a < part.num_rows:  # some MB at a time
                     ids, counts, said, held, z = [], [], [], 0, a
                     while z < part.num_rows and held < 8 << 20:
-                        t = part.column(1)[z].as_py()
+                        t = part.column(2)[z].as_py()
                         raw = None if t is None else b"".join(map(known.__getitem__, WORDS.findall(" " + t))) if t else b""
                         ids.append(raw)
                         counts.append(len(raw) // 4 if raw is not None else None)
@@ -402,29 +437,30 @@ def _looked_up(path: str, model: str, most: int, common, digests: bool):
                     mask = pa.array([x is None for x in ids])
                     out = pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)
                     more = [pa.array([c or 0 for c in counts], pa.int64()), pa.array(said, pa.string())] if own else []
-                    yield pa.RecordBatch.from_arrays([*part.slice(a, z - a).columns[2:], out, *more], [*part.schema.names[2:], "ids", *["n_pieces", "decoded_sha256"][: len(more)]])
+                    yield pa.RecordBatch.from_arrays([*part.slice(a, z - a).columns[3:], out, *more], [*part.schema.names[3:], "ids", *["n_pieces", "decoded_sha256"][: len(more)]])
                     a = z
 
     return run
 
 
-def encode(docs: DataFrame, path: str = MODEL, text: str = "text", scanned: bool = False, digests: bool = False) -> DataFrame:
-    """docs with ids, and with digests also n_pieces and decoded_sha256, of the text that the ids decode to (null: of an empty one). scanned: docs is read from files as it stands, so that its splits are known; else it is stored first."""
+def encode(docs: DataFrame, path: str = MODEL, text: str = "text", scanned: bool = False, digests: bool = False, bpe: bool | None = None) -> DataFrame:
+    """docs with ids, and with digests also n_pieces and decoded_sha256, of the text that the ids decode to (null: of an empty one). scanned: docs is read from files as it stands, so that its splits are known; else it is stored first. bpe: as in encode_words."""
     if not scanned:
         docs = stored(docs, "pieces-docs")
-    split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
+    spark = docs.sparkSession
+    bpe = is_bpe(path) if bpe is None else bpe
     others = [c for c in docs.columns if c not in ("ids", *["n_pieces", "decoded_sha256"][: 2 * digests])]
-    most = LONG if is_bpe(path) else 1 << 30
-    common = docs.sparkSession.sparkContext.broadcast(common_words(docs, text, most, path))
-    asked = docs.select(split.alias("split"), text).mapInArrow(_asked(most, common), "w string, split long, k int")
+    most = LONG if bpe else 1 << 30
+    common = spark.sparkContext.broadcast(common_words(docs, text, most, path, bpe))
+    asked = docs.select(*_split_columns(), text).mapInArrow(_asked(most, common), "w string, f long, span long")
     # Many partitions, so that a word's edges are grouped in memory.
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = asked.repartition(parts, "w").groupBy("w").agg(F.collect_list(F.struct("split", "k")).alias("to"))
-    found = encode_words(words, path, short_only=most == LONG).select("ids", F.inline("to"))
-    at = fresh_path(docs.sparkSession, "pieces")
-    found.repartition("split").sortWithinPartitions("split", "k").write.option("compression", "zstd").partitionBy("split").parquet(at)
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = asked.repartition(parts, "w").groupBy("w").agg(F.collect_list(F.struct("f", "span")).alias("to"))
+    found = encode_words(words, path, short_only=bpe, bpe=bpe).select("w", "ids", F.inline("to"))
+    at = fresh_path(spark, "pieces")
+    found.repartition("f", "span", F.pmod(F.xxhash64("w"), F.lit(SALTS))).sortWithinPartitions("f", "span").write.option("compression", "zstd").partitionBy("f", "span").parquet(at)
     kind = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
-    return docs.select(split.alias("split"), F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in others]).mapInArrow(_looked_up(at, path, most, common, digests), kind + "ids array<int>" + ", n_pieces long, decoded_sha256 string" * digests)
+    return docs.select(*_split_columns(), F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in others]).mapInArrow(_looked_up(at, path, most, common, digests), kind + "ids array<int>" + ", n_pieces long, decoded_sha256 string" * digests)
 
 
 def decoder(path: str = MODEL):
@@ -467,6 +503,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs, scanned=True, digests=True).drop("text")
 
 
+def lattice_best_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents by the best path through the lattice, as if the model's scores were a unigram model's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, scanned=True, digests=True, bpe=False).drop("text")
+
+
 def with_digests(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """encoded with n_pieces, and decoded_sha256 of the text that its ids decode to (null: of an empty one)."""
     names = [c for c in encoded.columns if c not in ("n_pieces", "decoded_sha256")]

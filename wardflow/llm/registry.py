@@ -11,6 +11,7 @@ QUERIES = {
     "op7_media_columns": avi.op7_media_columns,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "lattice_best_path": pieces.lattice_best_path,
     "op9_secrets": secrets.op9_secrets,
     "op5_line_dedup": line_dedup.op5_line_dedup,
 }

@@ -1,11 +1,13 @@
 """Quality rules whose cutoffs adapt to each language and source.
 
-Every document's measures are put into quantile sketches, one per language, source and measure: a sketch maps a value's bucket to a
-count. A value keeps its leading 6 bits, so a bucket is at most 1/32 of its value wide; sketches merge by adding counts, whatever
-the order, so the quantiles are the same however the rows are dealt out. A cutoff is a fence, a multiple of the quartile range
-beyond the quartiles, held between two guard rails. Groups with fewer than `min_rows` documents take the merged sketch of
+Documents that fail the base rules (under 20 words, or over 30 % of words in repeated 8-word windows) are rejected. The others'
+measures are put into quantile sketches, one per language, source and measure: a sketch maps a value's bucket to a
+count. A value keeps its leading 8 bits, so a bucket is at most 1/128 of its value wide; sketches merge by adding counts, whatever
+the order, so the quantiles are the same however the rows are dealt out. A cutoff is a fence: it lies as many times as the rule says beyond an outer quantile
+of the sketch as that quantile lies from the median, and `spread` beyond it at least, since a measure may be nearly constant. The rates, of which most values are 0, have a high quantile for
+that, the word length has the quartiles. Groups with fewer than `min_rows` documents take the merged sketch of
 their language, and languages with fewer that of all documents. The cutoffs are joined to the measures, and documents beyond
-one are rejected, as are those that fail the base rules (under 20 words, or over 30 % of words in repeated 8-word windows).
+one are rejected.
 
 All of it is DataFrame functions. Repeated windows are found by sorting the 64-bit hashes of a document's own windows.
 
@@ -22,14 +24,14 @@ from pyspark.sql import functions as F
 from wardflow.llm.common import BLANKS, let, stored, table, words
 
 WINDOW = 8
-#: measure: (lower guard rails, upper guard rails), in thousandths; a cutoff lies between the two of a pair. None: no such cutoff.
+#: measure: percent of the lower and of the upper quantile, multiple, spread. Values are in thousandths. None: no such cutoff.
 RULES = {
-    "word_length": ((1500, 2500), (10000, 16000)),
-    "symbol_rate": (None, (100, 400)),
-    "dup_line_rate": (None, (400, 600)),
-    "repeat_rate": (None, (250, 300)),
+    "word_length": (25, 75, 6, 600),
+    "symbol_rate": (None, 90, 3, 100),
+    "dup_line_rate": (None, 98, 3, 100),
+    "repeat_rate": (None, 98, 3, 100),
 }
-FENCE, MIN_ROWS = 3, 50
+MIN_ROWS, BITS = 50, 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -70,41 +72,47 @@ def _rates() -> dict[str, Column]:
     return {"word_length": per("word_chars", "n_words"), "symbol_rate": per("n_symbols", "n_words"), "dup_line_rate": per("n_dup_lines", "n_lines"), "repeat_rate": per("n_repeat_words", "n_words")}
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def bucket(v: Column) -> Column:
-    """A value without what follows its leading 6 bits."""
-    low = F.greatest(F.lit(0), F.length(F.bin(v)) - 6).cast("int")
+    """A value without what follows its leading BITS bits."""
+    low = F.greatest(F.lit(0), F.length(F.bin(v)) - BITS).cast("int")
     return F.call_function("shiftleft", F.call_function("shiftright", v, low), low)
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, measure, bucket, n)."""
+    """(lang, source, measure, bucket, n) of the documents that pass the base rules."""
     rates = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in _rates().items()]))
-    return measured.select("lang", "source", rates.alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
+    return measured.where(~base_failed()).select("lang", "source", rates.alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Quartiles of the sketches merged by `by`, as bucket values; a sketch holds some thousand buckets at most."""
+def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """The quantiles that the rules ask for and the median, of the sketches merged by `by`, as bucket values; a sketch holds some thousand buckets at most."""
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*by, "measure")
     run = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
-    pick = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("bucket")))
-    return run.groupBy(*by, "measure").agg(F.first("all").alias("rows"), pick(1).alias("q1"), pick(3).alias("q3"))
+    pick = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bucket")))
+    level = lambda at: F.coalesce(*[F.when(F.col("measure") == k, F.lit(r[at])) for k, r in RULES.items()])
+    return run.groupBy(*by, "measure").agg(F.first("all").alias("rows"), pick(level(0)).alias("lo"), pick(F.lit(50)).alias("mid"), pick(level(1)).alias("hi"))
 
 
 def cutoffs(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """(lang, source) and, for each measure, its lowest and highest value that passes."""
-    own, by_lang, every = (_quartiles(sketch, by) for by in (["lang", "source"], ["lang"], []))
-    by_lang = by_lang.select(F.col("lang").alias("lang2"), F.col("measure").alias("m2"), F.struct("rows", "q1", "q3").alias("b"))
-    every = every.select(F.col("measure").alias("m3"), F.struct("rows", "q1", "q3").alias("c"))
-    x = own.select("lang", "source", "measure", F.struct("rows", "q1", "q3").alias("a"))
+    q = ("rows", "lo", "mid", "hi")
+    own, by_lang, every = (_quantiles(sketch, by) for by in (["lang", "source"], ["lang"], []))
+    by_lang = by_lang.select(F.col("lang").alias("lang2"), F.col("measure").alias("m2"), F.struct(*q).alias("b"))
+    every = every.select(F.col("measure").alias("m3"), F.struct(*q).alias("c"))
+    x = own.select("lang", "source", "measure", F.struct(*q).alias("a"))
     x = x.join(by_lang, F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("measure") == F.col("m2"))).join(F.broadcast(every), F.col("measure") == F.col("m3"))
-    q = F.when(F.col("a.rows") >= min_rows, F.col("a")).when(F.col("b.rows") >= min_rows, F.col("b")).otherwise(F.col("c"))
-    x = x.select("lang", "source", "measure", q.alias("q")).withColumn("far", (F.col("q.q3") - F.col("q.q1")) * FENCE)
+    one = F.when(F.col("a.rows") >= min_rows, F.col("a")).when(F.col("b.rows") >= min_rows, F.col("b")).otherwise(F.col("c"))
+    x = x.select("lang", "source", "measure", one.alias("q"))
     low, high = F.lit(None).cast("long"), F.lit(None).cast("long")
-    for k, (a, b) in RULES.items():
+    for k, (a, _, times, spread) in RULES.items():
         here = F.col("measure") == k
-        low = F.when(here, F.greatest(F.lit(a[0]), F.least(F.lit(a[1]), F.col("q.q1") - F.col("far")))).otherwise(low) if a else low
-        high = F.when(here, F.greatest(F.lit(b[0]), F.least(F.lit(b[1]), F.col("q.q3") + F.col("far")))).otherwise(high) if b else high
+        low = F.when(here, F.col("q.lo") - F.greatest(F.lit(spread), times * (F.col("q.mid") - F.col("q.lo")))).otherwise(low) if a is not None else low
+        high = F.when(here, F.col("q.hi") + F.greatest(F.lit(spread), times * (F.col("q.hi") - F.col("q.mid")))).otherwise(high)
     x = x.select("lang", "source", "measure", low.alias("low"), high.alias("high"))
     pick = lambda k: F.max(F.when(F.col("measure") == k, F.struct("low", "high"))).alias(k)
     return x.groupBy("lang", "source").agg(*[pick(k) for k in RULES])
@@ -120,11 +128,10 @@ def judged(measured: DataFrame, min_rows: int = MIN_ROWS, salts: int = 16, broad
         salted = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         x = measured.withColumn("_own", F.pmod(F.xxhash64("n_words", "word_chars", "n_lines"), F.lit(salts)))
         x = x.join(salted, on & (F.col("_own") == F.col("_salt")), "left").drop("_own", "_salt")
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    good = ~base
+    good = ~base_failed()
     for k, v in _rates().items():
         good = good & F.coalesce(v >= F.col(f"{k}.low"), F.lit(True)) & F.coalesce(v <= F.col(f"{k}.high"), F.lit(True))
-    return x.withColumn("base_failed", base).withColumn("kept", good).drop("_lang", "_source", *RULES)
+    return x.withColumn("base_failed", base_failed()).withColumn("kept", good).drop("_lang", "_source", *RULES)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +148,10 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     return passed.select(*[F.col(f"d.`{c}`").alias(c) for c in kept])
 
 
-_B = "{v} - {v} % (1::BIGINT << greatest(0, length(bin({v})) - 6)::INT)"
+_B = "{v} - {v} % (1::BIGINT << greatest(0, length(bin({v})) - 8)::INT)"
+#: Number of rows, and the quantiles of a group, whose rows have one measure.
+_Q = """count(*) AS n, quantile_disc(b, 0.5) AS mid, quantile_disc(b, 0.25) AS lo,
+       CASE measure WHEN 'word_length' THEN quantile_disc(b, 0.75) WHEN 'symbol_rate' THEN quantile_disc(b, 0.9) ELSE quantile_disc(b, 0.98) END AS hi"""
 OP3_SQL = rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, u.w, u.i FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t), LATERAL (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i) AS u),
@@ -160,16 +170,18 @@ r AS (SELECT *, CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 E
              CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate, CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate FROM m),
 x AS (SELECT doc_id, lang, source, measure, v, {_B.format(v="v")} AS b FROM (UNPIVOT (SELECT doc_id, lang, source, word_length, symbol_rate, dup_line_rate, repeat_rate FROM r)
       ON word_length, symbol_rate, dup_line_rate, repeat_rate INTO NAME measure VALUE v)),
-q1 AS (SELECT lang, source, measure, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM x GROUP BY ALL),
-q2 AS (SELECT lang, measure, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM x GROUP BY ALL),
-q3 AS (SELECT measure, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM x GROUP BY ALL),
-c AS (SELECT q1.lang, q1.source, q1.measure, CASE WHEN q1.n >= 50 THEN q1.q1 WHEN q2.n >= 50 THEN q2.q1 ELSE q3.q1 END AS lo, CASE WHEN q1.n >= 50 THEN q1.q3 WHEN q2.n >= 50 THEN q2.q3 ELSE q3.q3 END AS hi
+fine AS (SELECT doc_id FROM m WHERE NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)),
+y AS (SELECT x.* FROM x SEMI JOIN fine USING (doc_id)),
+q1 AS (SELECT lang, source, measure, {_Q} FROM y GROUP BY lang, source, measure),
+q2 AS (SELECT lang, measure, {_Q} FROM y GROUP BY lang, measure),
+q3 AS (SELECT measure, {_Q} FROM y GROUP BY measure),
+c AS (SELECT q1.lang, q1.source, q1.measure, CASE WHEN q1.n >= 50 THEN q1.lo WHEN q2.n >= 50 THEN q2.lo ELSE q3.lo END AS lo, CASE WHEN q1.n >= 50 THEN q1.mid WHEN q2.n >= 50 THEN q2.mid ELSE q3.mid END AS mid,
+             CASE WHEN q1.n >= 50 THEN q1.hi WHEN q2.n >= 50 THEN q2.hi ELSE q3.hi END AS hi
       FROM q1 JOIN q2 ON q1.lang IS NOT DISTINCT FROM q2.lang AND q1.measure = q2.measure JOIN q3 ON q1.measure = q3.measure),
-f AS (SELECT lang, source, measure, CASE WHEN measure = 'word_length' THEN greatest(1500, least(2500, lo - 3 * (hi - lo))) ELSE -1 END AS low,
-             CASE measure WHEN 'word_length' THEN greatest(10000, least(16000, hi + 3 * (hi - lo))) WHEN 'symbol_rate' THEN greatest(100, least(400, hi + 3 * (hi - lo)))
-             WHEN 'dup_line_rate' THEN greatest(400, least(600, hi + 3 * (hi - lo))) ELSE greatest(250, least(300, hi + 3 * (hi - lo))) END AS high FROM c),
+f AS (SELECT lang, source, measure, CASE WHEN measure = 'word_length' THEN lo - greatest(600, 6 * (mid - lo)) ELSE -1 END AS low,
+             CASE WHEN measure = 'word_length' THEN hi + greatest(600, 6 * (hi - mid)) ELSE hi + greatest(100, 3 * (hi - mid)) END AS high FROM c),
 v AS (SELECT doc_id, bool_and(x.v BETWEEN f.low AND f.high) AS ok FROM x JOIN f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source AND x.measure = f.measure GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-       ok AND NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS kept
-FROM m JOIN v USING (doc_id)
+       coalesce(ok, false) AND NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS kept
+FROM m LEFT JOIN v USING (doc_id)
 """

@@ -3,9 +3,11 @@
 The entropy rule slides a window over candidate strings, one rule per character class. A step takes the leaving character out of
 the window's counts and adds the entering one; the counts are a string with a place for every character of the class, and the sum
 of n * log2(n) over them changes by two terms, kept in millionths, so that no step depends on the ones before but for the
-state. Windows whose entropy reaches the class's bound are merged into spans. Allow-listed candidates are suppressed.
+state. Windows whose entropy reaches the class's bound are merged into spans. Candidates that are as a whole words, numbers or UUIDs are
+allowed, and no window reaches into a counting string, wherever it stands.
 
-All of it is DataFrame functions. A pattern's places come from its matches and the gaps between them, so nothing is searched twice.
+All of it is DataFrame functions. A pattern's places are prefix sums of the lengths of its matches and of the gaps between them; sums and
+windows are folded a block at a time, so that the time grows with the text's length and the number of matches, and a text may have any number of them.
 
 Nulls: a null text is empty and has no spans. Rows that repeat give equal results. Spans count in code points, end exclusive. An empty
 table gives an empty result. Columns of the input named like the result's are replaced.
@@ -29,28 +31,54 @@ CLASSES = {
     "entropy_b64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 24, 4.0),
 }
 KINDS = ("assign", "access", "hex", *CLASSES)
-#: Candidates that are no secrets: letters or digits only (words, numbers), UUIDs, counting strings.
-ALLOWED = r"^[A-Za-z]+$|^[0-9]+$|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$|(?i)0123456789|abcdefghij"
+#: Candidates that are no secrets: words, numbers, UUIDs.
+ALLOWED = r"^[A-Z]?[a-z]+$|^[A-Z]+$|^[0-9]+$|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+#: Counting strings, all of COUNTED characters, which no window reaches into.
+COUNTING, COUNTED = r"(?i)0123456789|abcdefghij", 10
+#: Numbers summed, and characters scanned, in one fold.
+BLOCK = 256
 
 
-def _places(text: Column, pattern: str, found: Column, ok=None) -> Column:
-    """(start, end, match) of found, the pattern's matches in text."""
+def _before(xs: Column) -> Column:
+    """The sum of what stands before each number, by sums within blocks and over blocks."""
+    kind = "struct<at:int,out:array<int>>"
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")).cast(kind)
+
+    def sums(values: Column, size) -> Column:
+        return F.aggregate(values, none, lambda a, x: F.struct((a["at"] + size(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")).cast(kind))
+
+    def of(blocks: Column) -> Column:
+        own = lambda first: F.flatten(F.transform(blocks, lambda x, k: F.transform(x["out"], lambda v: v + F.get(first, k))))
+        return let(sums(blocks, lambda x: x["at"])["out"], own)
+
+    def cut(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda k: sums(F.slice(xs, k * BLOCK + 1, F.lit(BLOCK)), lambda x: x))
+
+    return F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(let(cut(F.size(xs)), of))
+
+
+def _places(text: Column, pattern: str) -> Column:
+    """(s, e, m): where the pattern's matches in text start and end, and they themselves."""
 
     def run(gaps: Column, ms: Column) -> Column:
-        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+        steps = F.transform(ms, lambda m, k: F.char_length(F.get(gaps, k)) + F.char_length(m))
 
-        def step(a: Column, k: Column) -> Column:
-            s = a["at"] + F.char_length(F.get(gaps, k))
-            return let(F.struct(s.alias("s"), (s + F.char_length(F.get(ms, k))).alias("e"), F.get(ms, k).alias("m")), lambda x: F.struct(x["e"].alias("at"), F.concat(a["out"], F.array(x)).alias("out")))
+        def at(before: Column) -> Column:
+            start = lambda k: F.get(before, k) + F.char_length(F.get(gaps, k))
+            return F.transform(ms, lambda m, k: F.struct(start(k).alias("s"), (start(k) + F.char_length(m)).alias("e"), m.alias("m")))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(ms) - 1), first, step)["out"]
+        return let(steps, lambda x: let(_before(x), at))
 
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return let(found, lambda ms: F.when(F.size(ms) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda gaps: run(gaps, ms))))
 
 
-def _spread(m: Column, chars: str, window: int, bits: float) -> Column:
-    """Spans (s, e) within a candidate whose windows reach the entropy."""
+SPANS = "array<struct<s:int,e:int>>"
+
+
+def _windows(m: Column, chars: str, window: int, bits: float) -> Column:
+    """Spans (s, e) of a short string's windows that reach the entropy."""
     weight = [round(1e6 * n * math.log2(n)) if n else 0 for n in range(window + 1)]
     most = math.floor(1e6 * window * (math.log2(window) - bits))
     f = F.array(*[F.lit(x) for x in weight])
@@ -61,8 +89,8 @@ def _spread(m: Column, chars: str, window: int, bits: float) -> Column:
         """The counts (a letter each, A for 0) and the sum, with the character at place p `by` times more."""
         return let(count(state["c"], p), lambda n: F.struct(F.overlay(state["c"], F.char(n + 65 + by), p, F.lit(1)).alias("c"), (state["sum"] + F.get(f, n + by) - F.get(f, n)).alias("sum")))
 
-    kind = "struct<c:string,sum:int,out:array<struct<s:int,e:int>>>"
-    start = F.struct(F.lit("A" * len(chars)).alias("c"), F.lit(0).alias("sum"), F.array().cast("array<struct<s:int,e:int>>").alias("out")).cast(kind)
+    kind = f"struct<c:string,sum:int,out:{SPANS}>"
+    start = F.struct(F.lit("A" * len(chars)).alias("c"), F.lit(0).alias("sum"), F.array().cast(SPANS).alias("out")).cast(kind)
 
     def step(a: Column, k: Column) -> Column:
         left = F.when(k >= window, change(a, place(k - window), -1)).otherwise(F.struct(a["c"].alias("c"), a["sum"].alias("sum")))
@@ -79,22 +107,51 @@ def _spread(m: Column, chars: str, window: int, bits: float) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.char_length(m) - 1), start, step)["out"]
 
 
+def _merged(spans: Column) -> Column:
+    """Spans, in order of starts and of ends, that overlap or touch as one."""
+
+    def of(x: Column) -> Column:
+        firsts = F.filter(F.transform(x, lambda y, k: F.when((k == 0) | (y["s"] > F.get(x, k - 1)["e"]), y["s"])), lambda s: s.isNotNull())
+        lasts = F.filter(F.transform(x, lambda y, k: F.when((k == F.size(x) - 1) | (F.get(x, k + 1)["s"] > y["e"]), y["e"])), lambda e: e.isNotNull())
+        return F.zip_with(firsts, lasts, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+
+    return let(spans, lambda x: F.when(F.size(x) == 0, x).otherwise(of(x)))
+
+
+def _spread(m: Column, chars: str, window: int, bits: float) -> Column:
+    """Spans (s, e) within a candidate whose windows reach the entropy and no counting string. Blocks of characters are scanned each with the window's length from the next."""
+
+    def scanned(x: Column) -> Column:
+        def joined(blocks: Column) -> Column:
+            own = lambda b, k: F.concat(b, F.coalesce(F.call_function("substring", F.get(blocks, k + 1), F.lit(1), F.lit(window - 1)), F.lit("")))
+            at = lambda b, k: F.transform(_windows(own(b, k), chars, window, bits), lambda y: F.struct((y["s"] + k * BLOCK).alias("s"), (y["e"] + k * BLOCK).alias("e")).cast("struct<s:int,e:int>"))
+            return _merged(F.flatten(F.transform(blocks, at)))
+
+        return F.when(F.char_length(x) < window, F.array().cast(SPANS)).otherwise(let(F.regexp_extract_all(x, F.lit(f".{{1,{BLOCK}}}"), F.lit(0)), joined))
+
+    def of(parts: Column) -> Column:
+        first = _before(F.transform(parts, lambda x: F.char_length(x) + COUNTED))
+        moved = lambda b: F.flatten(F.transform(parts, lambda x, k: F.transform(scanned(x), lambda y: F.struct((y["s"] + F.get(b, k)).alias("s"), (y["e"] + F.get(b, k)).alias("e")))))
+        return let(first, moved)
+
+    return F.when(m.rlike(COUNTING), let(F.split(m, COUNTING, -1), of)).otherwise(scanned(m))
+
+
 def scan(docs: DataFrame, text: str = "text", allowed: str = ALLOWED) -> DataFrame:
     """docs with `found`: an array of (start, kind, end), sorted, kind an index of KINDS."""
     t = F.coalesce(F.col(text), F.lit(""))
     span = lambda s, kind, e: F.struct(s.cast("int").alias("start"), F.lit(kind).alias("kind"), e.cast("int").alias("end"))
-    every = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    values = let(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), lambda v: F.transform(v, lambda x: F.char_length(x)))
-    assigned = _places(t, ASSIGN, every(ASSIGN))
-    enough = F.filter(F.transform(F.arrays_zip(assigned.alias("p"), values.alias("n")), lambda x: F.when(x["n"] >= 6, span(x["p"]["s"], 0, x["p"]["e"]))), lambda x: x.isNotNull())
-    parts = [F.when(F.size(every(ASSIGN)) == 0, F.array().cast("array<struct<start:int,kind:int,end:int>>")).otherwise(enough)]
+    # A match holds all that its value's match needs, so the value is found in it anew.
+    value = lambda x: F.regexp_extract(x["m"], ASSIGN, 2)
+    assigned = F.transform(F.filter(_places(t, ASSIGN), lambda x: F.char_length(value(x)) >= 6), lambda x: span(x["s"], 0, x["e"]))
+    parts = [assigned]
 
     def fixed(k: int, pattern: str) -> Column:
-        return F.transform(_places(t, pattern, every(pattern)), lambda x: span(x["s"], k, x["e"]))
+        return F.transform(_places(t, pattern), lambda x: span(x["s"], k, x["e"]))
 
     def uneven(k: int, chars: str, window: int, bits: float) -> Column:
         pattern = f"[{chars.replace('-', '')}{'-' * ('-' in chars)}]{{{window},}}+"
-        candidates = F.filter(_places(t, pattern, every(pattern)), lambda x: ~x["m"].rlike(allowed))
+        candidates = F.filter(_places(t, pattern), lambda x: ~x["m"].rlike(allowed))
         return F.flatten(F.transform(candidates, lambda x: F.transform(_spread(x["m"], chars, window, bits), lambda y: span(x["s"] + y["s"], k, x["s"] + y["e"]))))
 
     parts += [fixed(1, ACCESS), fixed(2, HEX)]

@@ -189,6 +189,8 @@ def edge(rank, start, size, id, late):
 
 def test_pieces_that_become_due_after_their_turn(spark):
     """xyb comes before xy, of which it is made: the one pass is not enough, and the word is merged by steps."""
-    words = [("xyb", [edge(1, 0, 3, 11, 1), edge(3, 0, 2, 13, 0)], [11]), ("xybc", [edge(1, 0, 3, 11, 1), edge(2, 2, 2, 12, 0), edge(3, 0, 2, 13, 0)], [13, 12]), ("xyby", [edge(1, 0, 3, 11, 1), edge(3, 0, 2, 13, 0), edge(4, 2, 2, 14, 0)], [11, -1 - ord("y")])]
+    singles = lambda w: [edge(P.NONE, k, 1, ord(c), 0) for k, c in enumerate(w)]
+    words = [("xyb", [edge(1, 0, 3, 11, 1), edge(3, 0, 2, 13, 0)], [11]), ("xybc", [edge(1, 0, 3, 11, 1), edge(2, 2, 2, 12, 0), edge(3, 0, 2, 13, 0)], [13, 12]), ("xyby", [edge(1, 0, 3, 11, 1), edge(3, 0, 2, 13, 0), edge(4, 2, 2, 14, 0)], [11, ord("y")]), ("zx", [], [ord("z"), ord("x")])]
+    words = [(w, e + singles(w), ids) for w, e, ids in words]
     df = spark.createDataFrame(words, "w string, edges array<long>, ids array<int>")
     assert all(r["got"] == r["ids"] for r in df.select("ids", P.merged("edges", "w").alias("got")).collect())

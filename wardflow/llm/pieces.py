@@ -47,8 +47,6 @@ SALTS = 4
 #: Bits of an edge's start, length and id; NONE: the rank of what merges nothing.
 S_BITS, N_BITS, ID_BITS = 6, 5, 21
 NONE = (1 << ID_BITS) - 1
-#: What is added to ids, so that those of characters are above 0 as well.
-PLACE = 1 << 24
 
 
 def pieces(path: str = MODEL) -> list[tuple[str, int, float]]:
@@ -127,16 +125,13 @@ def encode_words(words: DataFrame, path: str = MODEL, short_only: bool = False,
     short = words.where((n > 0) & (n <= LONG)) if bpe else words.where(n > 0)
     one = short.select("w", F.struct(*others).alias("o") if others else F.lit(True).alias("o"), F.explode(F.sequence(F.lit(1), n)).alias("s"))
     # Only lengths that some piece with the same first HEAD characters has are tried; what the word carries goes with its first position only.
-    # Single characters merge nothing: but for a word's first they have no row then.
     heads: dict[str, set[int]] = {}
     for text, _, _ in ps:
         if len(text) >= HEAD:
             heads.setdefault(text[:HEAD], set()).add(len(text))
     head = F.broadcast(spark.createDataFrame([(k, sorted(v)) for k, v in heads.items()], "head string, sizes array<int>"))
     one = one.select("w", F.when(F.col("s") == 1, F.col("o")).alias("o"), "s", F.substring("w", F.col("s"), F.lit(HEAD)).alias("head")).join(head, "head", "left")
-    brief = F.sequence(F.lit(1), F.lit(HEAD - 1))
-    brief = F.when(F.col("s") == 1, brief).otherwise(F.sequence(F.lit(2), F.lit(HEAD - 1))) if bpe else brief
-    one = one.select("w", "o", "s", F.explode(F.concat(brief, F.coalesce("sizes", F.array().cast("array<int>")))).alias("n")).where(F.col("n") <= n - F.col("s") + 1)
+    one = one.select("w", "o", "s", F.explode(F.concat(F.sequence(F.lit(1), F.lit(HEAD - 1)), F.coalesce("sizes", F.array().cast("array<int>")))).alias("n")).where(F.col("n") <= n - F.col("s") + 1)
     one = one.select("w", F.when(F.col("n") == 1, F.col("o")).alias("o"), "s", "n", F.substring("w", F.col("s"), F.col("n")).alias("part"))
     own = one.join(piece, "part", "left").where("id is not null or n = 1")
     o = F.first("o", ignorenulls=True).alias("o")
@@ -146,16 +141,15 @@ def encode_words(words: DataFrame, path: str = MODEL, short_only: bool = False,
         edge = F.struct((F.col("s") + F.col("n") - 1).alias("e"), (F.col("s") - 1).alias("s"), F.coalesce("score", F.lit(least - UNKNOWN)).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(_bytes(F.col("part"), path)).alias("ids"))
         edges = own.groupBy("w").agg(F.sort_array(F.collect_list(edge)).alias("edges"), o)
         return edges.select("w", *carried, best_path("edges", longest).alias("ids"))
-    if longest >= 1 << N_BITS or len(ps) >= NONE or max(i for _, i, _ in ps) > NONE:
-        raise ValueError("the model's pieces are too many or too long")
-    # One number for an edge, in the order of merges: rank, start, length, id, whether it may become due late.
+    if longest >= 1 << N_BITS or len(ps) >= NONE or max(i for _, i, _ in ps) > NONE or min(i for _, i, _ in ps) < 1:
+        raise ValueError("the model's pieces are too many or too long, or one has the id 0")
+    # One number for an edge, in the order of merges: rank, start, length, id (0: a character without a piece), whether it may become due late. Single characters merge nothing and come last.
     rank = F.when(F.col("n") == 1, F.lit(NONE)).otherwise(F.col("rank")).cast("long")
-    edge = ((rank * (1 << S_BITS) + F.col("s") - 1) * (1 << N_BITS) + F.col("n")) * (1 << ID_BITS) + F.when(F.col("n") == 1, 0).otherwise(F.col("id"))
+    edge = ((rank * (1 << S_BITS) + F.col("s") - 1) * (1 << N_BITS) + F.col("n")) * (1 << ID_BITS) + F.coalesce("id", F.lit(0))
     edge = edge * 2 + F.when(F.col("n") == 1, 0).otherwise(F.col("late"))
     edges = own.groupBy("w").agg(F.sort_array(F.collect_list(edge)).alias("edges"), o)
-    done = edges.select("w", *carried, merged("edges", "w").alias("ids"))
+    done = edges.select("w", *carried, merged("edges", "w", path).alias("ids"))
     kinds = "".join(f", `{c}` {words.schema[c].dataType.simpleString()}" for c in others)
-    done = done.mapInArrow(_resolved(path), f"w string{kinds}, ids array<int>")
     return done if short_only else done.unionByName(words.where(n > LONG).select("w", *others).mapInArrow(_long_words(path), f"w string{kinds}, ids array<int>"))
 
 
@@ -165,8 +159,8 @@ def _bytes(part: Column, path: str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.octet_length(part) - 1), lambda k: F.get(ids, F.conv(F.call_function("substring", raw, 2 * k + 1, F.lit(2)), 16, 10).cast("int")))
 
 
-def merged(edges: str, word: str) -> Column:
-    """The ids of a BPE model, characters that stay single as -1 less their code point. The state: the places between the word's parts as bits of a number.
+def merged(edges: str, word: str, path: str = MODEL) -> Column:
+    """The ids of a BPE model. The state: the places between the word's parts as bits of a number.
 
     The edges are folded once in the order of merges: one that spans two neighbouring parts takes out the cut between them. That is all unless an edge becomes due
     after its turn, which only late pieces can. Each merge looks for one of these; where it finds one, the word is marked (by the number's
@@ -181,7 +175,7 @@ def merged(edges: str, word: str) -> Column:
         s = mask(shift(x, 1 + ID_BITS + N_BITS), S_BITS).cast("int")
         k = mask(shift(x, 1 + ID_BITS), N_BITS).cast("int")
         at = lambda bits: F.call_function("shiftleft", bits, s)
-        whole = s.cast("long") * (1 << 32) + mask(shift(x, 1), ID_BITS) + PLACE
+        whole = s.cast("long") * (1 << ID_BITS) + mask(shift(x, 1), ID_BITS)
         return F.struct(at(bit(k) + 1).alias("ends"), at(bit(k) - 2).alias("mid"), whole.alias("whole"), x.alias("turn"))
 
     def due(x: Column, cuts: Column) -> Column:
@@ -204,58 +198,21 @@ def merged(edges: str, word: str) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.least(n - 1, F.size(wide))), start, lambda c, _: step(c))
 
-    def of(wide: Column) -> Column:
+    def of(every: Column) -> Column:
         start = bit(n + 1) - 1
-        none = F.size(wide) == 0
-        found = let(F.when(none, start).otherwise(once(wide, start)), lambda c: F.when((c < 0) & ~none, by_steps(wide, start)).otherwise(c))
-        return let(found, lambda c: parts(wide, c))
+        found = let(F.filter(every, lambda x: x["mid"] != 0), lambda wide: let(once(wide, start), lambda c: F.when(c < 0, by_steps(wide, start)).otherwise(c)))
+        return let(found, lambda c: parts(every, c))
 
-    def parts(wide: Column, cuts: Column) -> Column:
-        """The edges from cut to cut, and the characters between two cuts, in order of place."""
-        own = F.filter(wide, lambda x: (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (cuts.bitwiseAND(x["mid"]) == 0))
-        single = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("shiftright", cuts, i).bitwiseAND(F.lit(3)) == 3)
-        chars = F.transform(single, lambda i: i.cast("long") * (1 << 32) + (PLACE - 1 - F.ascii(F.call_function("substring", F.col(word), i + 1, F.lit(1)))))
-        return F.transform(F.sort_array(F.concat(F.transform(own, lambda x: x["whole"]), chars)), lambda x: (mask(x, 32) - PLACE).cast("int"))
+    def parts(every: Column, cuts: Column) -> Column:
+        """The edges from cut to cut, in order of place."""
+        own = F.filter(every, lambda x: (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (cuts.bitwiseAND(x["mid"]) == 0))
+        return let(F.sort_array(F.transform(own, lambda x: x["whole"])), lambda x: F.when(F.exists(x, lambda v: mask(v, ID_BITS) == 0), with_bytes(x)).otherwise(F.transform(x, lambda v: mask(v, ID_BITS).cast("int"))))
 
-    wide = F.transform(F.filter(edges, lambda x: mask(shift(x, 1 + ID_BITS), N_BITS) > 1), spread)
-    return let(wide, of)
+    def with_bytes(x: Column) -> Column:
+        part = lambda v: F.call_function("substring", F.col(word), (shift(v, ID_BITS) + 1).cast("int"), F.lit(1))
+        return F.flatten(F.transform(x, lambda v: F.when(mask(v, ID_BITS) == 0, _bytes(part(v), path)).otherwise(F.array(mask(v, ID_BITS).cast("int")))))
 
-
-def _resolved(path: str):
-    """Negative numbers become the pieces of their characters."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = byte_ids(path)
-        known = {-1 - ord(p): (i,) for p, i, _ in pieces(path) if len(p) == 1}
-        for b in batches:
-            at = b.schema.get_field_index("ids")
-            ids = b.column(at)
-            flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()
-            for c in np.unique(flat[flat < 0]).tolist():
-                if c not in known:
-                    known[c] = tuple(own[x] for x in chr(-1 - c).encode("utf-8", "surrogatepass"))
-            single = {c: v[0] for c, v in known.items() if len(v) == 1}
-            low = np.array(sorted(single), np.int64)
-            to = np.array([single[c] for c in low.tolist()], np.int32)
-            out, neg = flat.astype(np.int32), flat < 0
-            spot = np.minimum(np.searchsorted(low, flat), len(low) - 1)
-            fine = neg & (low[spot] == flat)
-            out[fine] = to[spot[fine]]
-            sizes = np.ones(len(flat), np.int64)
-            more = np.flatnonzero(neg & ~fine)
-            for i in more.tolist():
-                sizes[i] = len(known[int(flat[i])])
-            if len(more):
-                out = np.repeat(out, sizes)
-                first = np.cumsum(sizes) - sizes
-                for i in more.tolist():
-                    out[first[i] : first[i] + sizes[i]] = known[int(flat[i])]
-                ends = np.r_[0, np.cumsum(sizes)][ends]
-            cols = list(b.columns)
-            cols[at] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names)
-
-    return run
+    return let(F.transform(edges, spread), of)
 
 
 def heap_merge(word: str, table: dict[str, tuple[int, float]], own_bytes: list[int]) -> list[int]:

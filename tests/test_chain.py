@@ -3,7 +3,7 @@ import pytest
 
 from wardflow.operators import chain, kernel, score
 from wardflow.plans import catalogue
-from wardflow.plans.config import ScoreConfig, everything
+from wardflow.plans.config import ScoreConfig, everything, interactive
 from wardflow.plans.fixtures import K, Lattice
 
 DATA = "/root/testdata/sf0.001"
@@ -87,22 +87,44 @@ def test_state_goes_on_as_if_not_stopped(lattice):
     assert all(p["tolerance"] >= q["tolerance"] for p, q in zip(whole, whole[1:]))
 
 
-def test_kernel_score_is_the_relational_one(lattice, spark):
+CLIPPED = {"congruence_unclipped": False, "compactness_unclipped": False, "proportionality_unclipped": False, "competitiveness_unclipped": False, "eg_robust": False, "quadratic": True}
+
+
+@pytest.mark.parametrize(
+    "cfg",
+    [everything(), everything(**CLIPPED), everything(alignment_focus="dem", alignment_wins_only=True, alignment_win_share=0.49, mm_mode="favor_dem", eg_mode="favor_rep", bias_mode="favor_dem", hinge_dem=False, seats_favor_dem=False), everything(alignment_focus="rep", alignment_wins_only=True, alignment_win_share=0.9), interactive(), interactive(compactness_unclipped=False)],
+)
+def test_kernel_score_is_the_relational_one(lattice, spark, cfg):
     lat, x, plan = lattice
-    cfg = everything(weight_bias=0.0, weight_gini=0.0, weight_proportionality=0.0, weight_competitiveness=0.0, weight_compactness=0.0)
     plans = chain.run(spark, x, chain.ChainConfig(iterations=6, seed=4, score=cfg), 3, "plans", plan, every=2)
     rows = plans.collect()
     a = chain.assignments(plans).selectExpr("chain_id * 1000 + iteration as plan_id", "precinct_id", "district")
     got = {r["plan_id"]: r for r in score.scores(a, catalogue.layer(lat), cfg).collect()}
     assert len(got) == len(rows) == 12
+    weights = {k for k, v in cfg.__dict__.items() if k.startswith("weight_") and v}
     for r in rows:
         mine = kernel.score(x, np.array(r["plan"]), cfg)
         theirs = got[r["chain_id"] * 1000 + r["iteration"]]
+        assert len(mine) >= len(weights) + 1 and mine["total"] > 0
         for k, v in mine.items():
             assert theirs[k] == pytest.approx(v, abs=1e-8), k
         assert r["total"] == pytest.approx(theirs["total"])
 
 
+def test_no_metric_is_left_out_in_silence(lattice):
+    """Each weight by itself changes the total, and one that the layer can't serve is an error."""
+    _, x, plan = lattice
+    for k in ScoreConfig.__dataclass_fields__:
+        if k.startswith("weight_"):
+            cfg = ScoreConfig(**{"weight_cut_edges": 0.0, "hinge_seats": 4, k: 1.0})
+            got = kernel.score(x, np.random.default_rng(1).integers(0, K, len(plan)), cfg)
+            assert got["total"] != 0 or k == "weight_county_unified" and got["county_unified"] == 0, k  # no county holds a district there
+    bare = kernel.Arrays(x.population, x.u, x.v)
+    for k in ("weight_congruence", "weight_compactness", "weight_reock", "weight_bias"):
+        with pytest.raises(ValueError):
+            kernel.score(bare, plan, ScoreConfig(**{k: 1.0}))
+
+
 def test_chains_do_not_depend_on_dealing(lattice, spark):
     _, x, plan = lattice
     cfg = chain.ChainConfig(iterations=10, seed=6)

@@ -16,15 +16,16 @@ def reference_plan(csv: DataFrame, precincts: DataFrame, key: str, label: str) -
     return c.join(own, "k").join(dense, "ref_label").select("precinct_id", "ref_district", "ref_label")
 
 
-def cohesion(assignments: DataFrame, precincts: DataFrame, reference: DataFrame, focus: str = "none", wins_only: bool = False, win_share: float = 0.535) -> DataFrame:
+def cohesion(assignments: DataFrame, precincts: DataFrame, reference: DataFrame, focus: str = "none", wins_only: bool = False, win_share: float = 0.535, overlap: DataFrame | None = None) -> DataFrame:
     """(plan_id, ref_district, mass, cohesion): the sum of squared parts of a reference district's people, or of a party's voters. wins_only keeps the
-    reference districts in which that party has over win_share of the two-party vote."""
+    reference districts in which that party has over win_share of the two-party vote. overlap: (plan_id, ref_district, district, part), where it is known already."""
     weight = F.col({"none": "population", "dem": "dem_votes", "rep": "rep_votes"}[focus])
     p = precincts.join(reference, "precinct_id").select("precinct_id", "ref_district", weight.alias("weight"), "dem_votes", "rep_votes")
     own = p.groupBy("ref_district").agg(F.sum("weight").alias("mass"), F.sum("dem_votes").alias("d"), F.sum("rep_votes").alias("r"))
     if wins_only and focus in ("dem", "rep"):
         own = own.where((F.col("d") + F.col("r") > 0) & (F.col(focus[0]) / (F.col("d") + F.col("r")) > win_share))
-    overlap = assignments.join(p.select("precinct_id", "ref_district", "weight"), "precinct_id").groupBy("plan_id", "ref_district", "district").agg(F.sum("weight").alias("part"))
+    if overlap is None:
+        overlap = assignments.join(p.select("precinct_id", "ref_district", "weight"), "precinct_id").groupBy("plan_id", "ref_district", "district").agg(F.sum("weight").alias("part"))
     part = F.col("part") / F.col("mass")
     return overlap.join(own.where("mass > 0"), "ref_district").groupBy("plan_id", "ref_district").agg(F.first("mass").alias("mass"), F.sum(part * part).alias("cohesion"))
 

@@ -19,7 +19,12 @@ def placed(assignments: DataFrame, precincts: DataFrame) -> DataFrame:
 def totals(assignments: DataFrame, precincts: DataFrame, k: int) -> DataFrame:
     """(plan_id, district) with population, dem_votes, rep_votes, precincts, share (0.5 without votes) and ideal."""
     sums = placed(assignments, precincts).groupBy("plan_id", "district").agg(F.sum("population").alias("population"), F.sum("dem_votes").alias("dem_votes"), F.sum("rep_votes").alias("rep_votes"), F.count("*").alias("precincts"))
-    d = spine(assignments, k).join(sums, ["plan_id", "district"], "left").na.fill(0)
+    return completed(spine(assignments, k), sums, precincts, k)
+
+
+def completed(all_districts: DataFrame, sums: DataFrame, precincts: DataFrame, k: int) -> DataFrame:
+    """The totals of every district, from the sums of those that have precincts."""
+    d = all_districts.join(sums, ["plan_id", "district"], "left").na.fill(0)
     votes = F.col("dem_votes") + F.col("rep_votes")
     ideal = precincts.agg((F.sum("population") / k).alias("ideal"))
     return d.withColumn("votes", votes).withColumn("share", F.when(votes > 0, F.col("dem_votes") / votes).otherwise(F.lit(0.5))).join(F.broadcast(ideal))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,22 +14,39 @@ from pyspark.sql import functions as F
 from wardflow.functions import geometry
 
 DIGITS = 9
-#: Precincts on islands that are broadcast at most.
-HELD = 20_000
+#: Edges of a layer that every task may hold; larger layers take the relational way.
+HELD_EDGES = 5_000_000
+#: Components whose labels the driver may hold while it joins them.
+MOST_COMPONENTS = 1_000_000
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the folder that the cluster shares (spark.checkpoint.dir) and read again, or where there is none checkpointed reliably by Spark."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local master gets an own one; a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="wardflow-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return base.rstrip("/")
+
+
+def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """df written to the shared folder, in folders by a column if asked for, and read again."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    w = df.write.partitionBy(by) if by else df.write
+    w.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """Deletes a table that stored() gave and that is read no more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shared_sides(layer: DataFrame) -> DataFrame:
@@ -54,9 +73,9 @@ def shared_sides(layer: DataFrame) -> DataFrame:
     return pair.select("len", F.explode(two).alias("p")).groupBy("p.u", "p.v").agg(F.sum("len").alias("shared_len"))
 
 
-def overlapping(layer: DataFrame, cell: float) -> DataFrame:
+def overlapping(layer: DataFrame, cell: float, known: DataFrame | None = None) -> DataFrame:
     """(u, v) of precincts whose insides overlap, found among those that meet in a grid cell (an equi-join on the cell) by an exact test: a corner of one lies
-    inside the other, or their sides cross."""
+    inside the other, or their sides cross. known: pairs (u, v) that need no test and are left out."""
     pts = F.flatten(F.transform("rings", lambda r: r["pts"]))
     box = layer.select("precinct_id", "rings", F.array_min(F.transform(pts, lambda p: p["x"])).alias("x1"), F.array_max(F.transform(pts, lambda p: p["x"])).alias("x2"), F.array_min(F.transform(pts, lambda p: p["y"])).alias("y1"), F.array_max(F.transform(pts, lambda p: p["y"])).alias("y2"))
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
@@ -66,6 +85,8 @@ def overlapping(layer: DataFrame, cell: float) -> DataFrame:
     # A pair is tested in one cell only: the one with the lower corner of what their boxes share.
     near = near.where((F.col("gx") == F.floor(F.greatest("x1", "o_x1") / cell)) & (F.col("gy") == F.floor(F.greatest("y1", "o_y1") / cell)))
     near = near.select(F.col("precinct_id").alias("u"), F.col("o_precinct_id").alias("v"), "rings", "o_rings")
+    if known is not None:
+        near = near.join(known.select("u", "v"), ["u", "v"], "left_anti")
 
     def run(batches):
         for pdf in batches:
@@ -105,22 +126,38 @@ def interiors_meet(a, b) -> bool:
     return same or enters(s, t) or enters(t, s) or any(side(p[:2], p[2:], q[:2]) * side(p[:2], p[2:], q[2:]) < -1e-18 and side(q[:2], q[2:], p[:2]) * side(q[:2], q[2:], p[2:]) < -1e-18 for p in s for q in t)
 
 
+def neighbours(layer: DataFrame) -> DataFrame:
+    """(u, v, shared_len) of precincts that share a stretch of boundary or a part of their insides, which alone counts as length 0."""
+    sides = stored(shared_sides(layer), "sides")
+    pts = F.flatten(F.transform("rings", lambda r: r["pts"]))
+    extent = lambda a: F.array_max(F.transform(pts, lambda p: p[a])) - F.array_min(F.transform(pts, lambda p: p[a]))
+    cell = layer.agg(F.avg(F.greatest(extent("x"), extent("y")))).first()[0]
+    if not cell:  # no precinct has an area
+        return sides
+    more = overlapping(layer, float(cell), known=sides).select("u", "v", F.lit(0.0).alias("shared_len"))
+    return sides.unionByName(more)
+
+
 def prepared(layer: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(precinct_id, area, perimeter, ext_perimeter) and the edges (u, v, shared_len, is_virtual)."""
-    edges = shared_sides(layer).withColumn("is_virtual", F.lit(False))
+    edges = neighbours(layer).withColumn("is_virtual", F.lit(False))
     both = edges.select(F.explode(F.array("u", "v")).alias("precinct_id"), "shared_len").groupBy("precinct_id").agg(F.sum("shared_len").alias("shared"))
     g = layer.select("precinct_id", geometry.area(F.col("rings")).alias("area"), geometry.perimeter(F.col("rings")).alias("perimeter")).join(both, "precinct_id", "left")
     return g.select("precinct_id", "area", "perimeter", F.greatest(F.col("perimeter") - F.coalesce("shared", F.lit(0.0)), F.lit(0.0)).alias("ext_perimeter")), edges
 
 
-def numbered(edges: DataFrame) -> DataFrame:
-    """edges with edge_id, in order of (u, v)."""
-    return edges.withColumn("edge_id", (F.row_number().over(W.orderBy("u", "v")) - 1).cast("int"))
+def numbered(edges: DataFrame, width: int = 4096) -> DataFrame:
+    """edges with edge_id, in order of (u, v): rows are numbered within stretches of u, to which the sizes of the stretches before are added."""
+    e = edges.withColumn("_at", F.floor(F.col("u") / width))
+    before = W.orderBy("_at").rowsBetween(W.unboundedPreceding, -1)  # over stretches, not edges
+    first = e.groupBy("_at").agg(F.count("*").alias("_n")).select("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    own = F.row_number().over(W.partitionBy("_at").orderBy("u", "v"))
+    return e.withColumn("_own", own).join(first, "_at").withColumn("edge_id", (F.col("_first") + F.col("_own") - 1).cast("long")).drop("_at", "_own", "_first")
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, component) for nodes (node) and edges (u, v): the smallest node reachable. Labels jump to their label's label in each round, so
-    rounds grow with the logarithm of a component's length; each is written to the shared folder."""
+    rounds grow with the logarithm of a component's length; each is written to the shared folder, and the one before is deleted. Labels that still change after so many rounds are an error."""
     both = stored(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct(), "both")
     label = nodes.select("node", F.col("node").alias("c"))
     near = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -133,17 +170,57 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFra
         hook = step.join(label.select("node", F.col("c").alias("was")), "node").groupBy(F.col("was").alias("node")).agg(F.min("c").alias("h"))
         step = step.join(hook, "node", "left").select("node", F.least("c", F.coalesce("h", "c")).alias("c"))
         up = step.select(F.col("node").alias("k"), F.col("c").alias("cc"))
-        label = stored(step.join(up, step["c"] == up["k"], "left").select("node", F.coalesce("cc", "c").alias("c")), "labels")
+        old, label = label, stored(step.join(up, step["c"] == up["k"], "left").select("node", F.coalesce("cc", "c").alias("c")), "labels")
+        remove(old)
         now = label.agg(F.bit_xor(F.xxhash64("node", "c"))).first()[0]
         if now == before:
-            break
+            remove(both)
+            return label.select("node", F.col("c").alias("component"))
         before = now
-    return label.select("node", F.col("c").alias("component"))
+    raise RuntimeError(f"components are not complete after {rounds} rounds")
+
+
+def connected(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node that each of n nodes is linked to, by rounds of hooking and jumping."""
+    root = np.arange(n)
+    while True:
+        a, b = root[u], root[v]
+        open_ = a != b
+        if not open_.any():
+            return root
+        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
+        low = np.minimum(a, b)
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        while (root != root[root]).any():
+            root = root[root]
 
 
 def pieces(assignments: DataFrame, edges: DataFrame) -> DataFrame:
-    """(plan_id, district, pieces): connected parts of each district; virtual edges connect."""
+    """(plan_id, district, pieces): connected parts of each district; virtual edges connect. A plan is as large as its layer, whose edges every task holds: one shuffle
+    by plan. Layers with too many edges for that take components over all plans."""
     ids = assignments.select("plan_id", "precinct_id", "district")
+    if edges.count() > HELD_EDGES:
+        return pieces_by_components(ids, edges)
+    ends = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).toPandas()
+    held = ids.sparkSession.sparkContext.broadcast((ends.u.to_numpy(), ends.v.to_numpy()))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, district = pdf.precinct_id.to_numpy(), pdf.district.to_numpy()
+        order = np.argsort(at, kind="stable")
+        at, district = at[order], district[order]
+        u, v = held.value
+        i, j = (np.minimum(np.searchsorted(at, x), len(at) - 1) for x in (u, v))
+        inner = (at[i] == u) & (at[j] == v) & (district[i] == district[j])
+        root = connected(len(at), i[inner], j[inner])
+        d, n = np.unique(district[np.unique(root)], return_counts=True)
+        return pd.DataFrame({"plan_id": pdf.plan_id.iloc[0], "district": d, "pieces": n})
+
+    kinds = {f.name: f.dataType.simpleString() for f in ids.schema}
+    return ids.groupBy("plan_id").applyInPandas(run, f"plan_id {kinds['plan_id']}, district {kinds['district']}, pieces long")
+
+
+def pieces_by_components(ids: DataFrame, edges: DataFrame) -> DataFrame:
     span = F.broadcast(ids.agg((F.max("precinct_id") + 1).alias("span")))
     node = ids.join(span).select("plan_id", "district", "precinct_id", (F.col("plan_id") * F.col("span") + F.col("precinct_id")).alias("node"))
     u = node.select("plan_id", F.col("precinct_id").alias("u"), F.col("district").alias("du"), F.col("node").alias("nu"))
@@ -164,47 +241,92 @@ def segment_gap(a: np.ndarray, b: np.ndarray) -> float:
     return float(min(points(a[:, :2], b), points(b[:, :2], a)))
 
 
+def near_others(small: DataFrame, all_: DataFrame, nearest: int, cell: float, levels: int = 60) -> DataFrame:
+    """Each of small's precincts with its `nearest` of another group by centroid. Precincts are joined by grid cells, of which each looks at its own and those around;
+    what lies within a cell's width is surely found. Cells double until enough is, or all there is."""
+    out, left = None, small
+    box = all_.agg(F.min("at.x").alias("x"), F.min("at.y").alias("y"), F.greatest(F.max("at.x") - F.min("at.x"), F.max("at.y") - F.min("at.y")).alias("w")).first()
+    apart = F.hypot(F.col("at.x") - F.col("o_at.x"), F.col("at.y") - F.col("o_at.y"))
+    for _ in range(levels):
+        last = cell > box["w"]  # the cells around hold everything
+        place = lambda a, lo: F.floor((F.col(f"at.{a}") - lo) / cell)  # noqa: E731, B023
+        own = left.withColumn("gx", F.explode(F.array(*[place("x", box["x"]) + k for k in (-1, 0, 1)]))).withColumn("gy", F.explode(F.array(*[place("y", box["y"]) + k for k in (-1, 0, 1)])))
+        other = all_.select(place("x", box["x"]).alias("gx"), place("y", box["y"]).alias("gy"), *[F.col(c).alias(f"o_{c}") for c in all_.columns])
+        found = own.join(other, ["gx", "gy"]).where("group <> o_group").withColumn("apart", apart)
+        if not last:
+            found = found.where(F.col("apart") <= cell)
+        found = found.withColumn("r", F.row_number().over(W.partitionBy("precinct_id").orderBy("apart", "o_precinct_id"))).where(F.col("r") <= nearest).drop("r", "gx", "gy", "apart")
+        found = stored(found, "near")
+        done = found.groupBy("precinct_id").agg(F.count("*").alias("n")).where(F.col("n") >= (0 if last else nearest)).select("precinct_id")
+        kept = found.join(done, "precinct_id", "left_semi")
+        out = kept if out is None else out.unionByName(kept)
+        if last:
+            return out
+        left = stored(left.join(done, "precinct_id", "left_anti"), "left")
+        if left.isEmpty():
+            return out
+        cell *= 2
+    raise RuntimeError("the layer is too wide for its precincts")
+
+
 def bridges(layer: DataFrame, edges: DataFrame, nearest: int = 64) -> DataFrame:
-    """Virtual edges (u, v) that join all components to the most populous one. Prim's growth: the next component is that with the best link by
-    (other county first: no; distance; ids). Candidates within a county are all pairs; beyond it the `nearest` by centroid of each small component.
-    Small components are few and their candidates are chosen by Spark; the driver grows the tree over those."""
+    """Virtual edges (u, v) that join all components to one: the tree of the best links, by (same county first; distance; ids), which is the same whichever component it is
+    grown from. Every round each group but the mainland's (the most populous component's) takes its best link to another, so their number halves at least. Candidates are all pairs within
+    a county, and each small component's precincts' `nearest` of other groups. The driver holds a group for each component."""
     spark: SparkSession = layer.sparkSession
     c = components(layer.select(F.col("precinct_id").alias("node")), edges)
     p = stored(layer.join(c, layer["precinct_id"] == c["node"]).select("precinct_id", "component", "county_id", "population", "rings", geometry.centroid(F.col("rings")).alias("at")), "bridge-layer")
-    size = p.groupBy("component").agg(F.sum("population").alias("population")).orderBy(F.desc("population"), "component")
-    order = [r["component"] for r in size.limit(10_000).collect()]
-    if len(order) < 2:
-        return spark.createDataFrame([], "u long, v long, shared_len double, is_virtual boolean")
-    small = p.where(F.col("component") != order[0])
-    q = p.withColumnsRenamed({x: f"o_{x}" for x in p.columns})
-    apart = F.hypot(F.col("at.x") - F.col("o_at.x"), F.col("at.y") - F.col("o_at.y"))
-    same = small.join(q, (F.col("county_id") == F.col("o_county_id")) & (F.col("component") != F.col("o_component")))
-    # The nearest by centroid: cells of the grid that a component's own size sets, widened until there are enough, would prune this at scale; islands are few.
-    held = F.broadcast(small) if small.count() <= HELD else small
-    far = held.join(q, F.col("component") != F.col("o_component")).withColumn("r", F.row_number().over(W.partitionBy("precinct_id", "o_component").orderBy(apart, "o_precinct_id"))).where(F.col("r") <= nearest).drop("r")
-    pair = same.withColumn("tier", F.lit(0)).unionByName(far.withColumn("tier", F.lit(1)))
+    size = p.groupBy("component").agg(F.sum("population").alias("population"))
+    n = size.count()
+    if n > MOST_COMPONENTS:
+        raise ValueError(f"the layer has {n} components, more than {MOST_COMPONENTS}")
+    kind = "u long, v long, shared_len double, is_virtual boolean"
+    if n < 2:
+        return spark.createDataFrame([], kind)
+    mainland = size.orderBy(F.desc("population"), "component").first()["component"]
+    group = {r["component"]: r["component"] for r in size.collect()}
+    pts = F.flatten(F.transform("rings", lambda r: r["pts"]))
+    extent = F.array_max(F.transform(pts, lambda q: q["x"])) - F.array_min(F.transform(pts, lambda q: q["x"]))
+    cell = float(p.agg(F.avg(extent)).first()[0] or 1.0) * 4
+
+    def top(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
 
     def gaps(batches):
         for pdf in batches:
             pdf["gap"] = [segment_gap(_sides(a), _sides(b)) for a, b in zip(pdf["rings"], pdf["o_rings"])]
-            yield pdf[["component", "o_component", "precinct_id", "o_precinct_id", "tier", "gap"]]
-
-    g = pair.mapInPandas(gaps, "component long, o_component long, precinct_id long, o_precinct_id long, tier int, gap double")
-    key = F.struct("tier", F.round("gap", DIGITS).alias("gap"), F.least("precinct_id", "o_precinct_id").alias("u"), F.greatest("precinct_id", "o_precinct_id").alias("v"))
-    best = g.groupBy(F.least("component", "o_component").alias("a"), F.greatest("component", "o_component").alias("b")).agg(F.min(key).alias("k"))
-    links = [(r["a"], r["b"], tuple(r["k"])) for r in best.collect()]
-    inside, out = {order[0]}, []
-    while len(inside) < len(order):
-        k, new = min((k, (b if a in inside else a)) for a, b, k in links if (a in inside) != (b in inside))
-        inside.add(new)
-        out.append((k[2], k[3], 0.0, True))
-    return spark.createDataFrame(out, "u long, v long, shared_len double, is_virtual boolean")
+            yield pdf[["group", "o_group", "precinct_id", "o_precinct_id", "tier", "gap"]]
+
+    out: list[tuple] = []
+    while len(out) < n - 1:
+        now = spark.createDataFrame([(x, top(x)) for x in group], "component long, group long")
+        g = stored(p.join(now, "component").drop("component", "population"), "bridge-groups")
+        small = g.where(F.col("group") != top(mainland))
+        other = g.withColumnsRenamed({x: f"o_{x}" for x in g.columns})
+        same = small.join(other, (F.col("county_id") == F.col("o_county_id")) & (F.col("group") != F.col("o_group")))
+        pair = same.withColumn("tier", F.lit(0)).unionByName(near_others(small, g, nearest, cell).withColumn("tier", F.lit(1)))
+        found = pair.mapInPandas(gaps, "group long, o_group long, precinct_id long, o_precinct_id long, tier int, gap double")
+        key = F.struct("tier", F.round("gap", DIGITS).alias("gap"), F.least("precinct_id", "o_precinct_id").alias("u"), F.greatest("precinct_id", "o_precinct_id").alias("v"), "o_group")
+        links = found.groupBy("group").agg(F.min(key).alias("k")).collect()
+        joined = False
+        for r in sorted(links, key=lambda r: tuple(r["k"])):
+            a, b = top(r["group"]), top(r["k"]["o_group"])
+            if a != b:
+                group[max(a, b)] = min(a, b)
+                out.append((r["k"]["u"], r["k"]["v"], 0.0, True))
+                joined = True
+        if not joined:
+            raise RuntimeError(f"{n - 1 - len(out)} components have no link to others")
+    return spark.createDataFrame(sorted(out), kind)
 
 
 def dissolved(layer: DataFrame, owner: DataFrame) -> DataFrame:
-    """(owner, x1, y1, x2, y2): the outline of each owner's precincts: sides that no second precinct of the owner has. owner: (precinct_id, owner)."""
+    """The owner's columns with x1, y1, x2, y2: the outline of each owner's precincts: sides that no second precinct of the owner has. owner: precinct_id, and whatever names an owner."""
     s = geometry.segments(layer).join(owner, "precinct_id")
-    at = ["owner", "x1", "y1", "x2", "y2"]
+    at = [*(c for c in owner.columns if c != "precinct_id"), "x1", "y1", "x2", "y2"]
     return s.groupBy(*at).agg(F.count("*").alias("n")).where("n = 1").select(*at)
 
 

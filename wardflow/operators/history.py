@@ -34,6 +34,27 @@ def best_so_far(h: DataFrame) -> DataFrame:
     return h.select("chain_id", "seq", "iteration", run["total"].alias("best"), run["iteration"].alias("best_iteration"))
 
 
+def best_state(h: DataFrame) -> DataFrame:
+    """(chain_id, best, best_iteration, best_temperature, best_length): where a chain's best accepted row lies, and how long its history was there. The temperature is null where h has none."""
+    temp = F.col("temperature") if "temperature" in h.columns else F.lit(None).cast("double")
+    best = F.min(F.struct("total", "seq", "iteration", temp.alias("temperature"))).alias("b")
+    return h.where("accepted").groupBy("chain_id").agg(best).select("chain_id", F.col("b.total").alias("best"), F.col("b.iteration").alias("best_iteration"), F.col("b.temperature").alias("best_temperature"), F.col("b.seq").alias("best_length"))
+
+
+def duration(seconds: Column) -> Column:
+    """M:SS, or H:MM:SS from an hour on; below 0 as 0."""
+    s = F.greatest(F.lit(0).cast("long"), seconds.cast("long"))
+    h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)
+    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s % 60)).otherwise(F.format_string("%d:%02d", m, s % 60))
+
+
+def readout(runs: DataFrame) -> DataFrame:
+    """(chain_id, time, ips, left) of runs (chain_id, iteration, iterations, elapsed in seconds, running): iterations a second, null before the first, and the time that is left, null unless the run goes on."""
+    ips = F.when(F.col("iteration") > 0, F.when(F.col("elapsed") > 0, F.col("iteration") / F.col("elapsed")).otherwise(F.lit(0.0)))
+    goes = F.col("running") & (ips > 0) & (F.col("iteration") < F.col("iterations"))
+    return runs.select("chain_id", duration(F.col("elapsed")).alias("time"), ips.alias("ips"), F.when(goes, duration((F.col("iterations") - F.col("iteration")) / ips)).alias("left"))
+
+
 def smoothed(h: DataFrame, half: int = 3) -> DataFrame:
     """(chain_id, seq, smooth): the centred mean; ends take what there is."""
     return h.select("chain_id", "seq", F.avg("total").over(_order().rowsBetween(-half, half)).alias("smooth"))

@@ -282,24 +282,194 @@ def ncdf(z) -> np.ndarray:
     return _erfc(-np.asarray(z, float) / math.sqrt(2)) / 2
 
 
-def _tail(ps: np.ndarray, least: int) -> float:
+def win_counts(ps: np.ndarray) -> np.ndarray:
+    """The chances of exactly 0 to n wins."""
     f = np.zeros(len(ps) + 1)
     f[0] = 1.0
     for p in ps:
         f[1:] = f[1:] * (1 - p) + f[:-1] * p
         f[0] *= 1 - p
-    return float(f[least:].sum())
+    return f
 
 
-def score(x: Arrays, plan: np.ndarray, cfg: ScoreConfig) -> dict[str, float]:
-    """The metrics in use and their weighted total, as operators.score has them."""
+def _needs(what: str, *given) -> None:
+    if any(g is None for g in given):
+        raise ValueError(f"the layer lacks what {what} needs")
+
+
+def _directional(raw: float, mode: str, bound: float, quadratic: bool) -> float:
+    q = {"fair": min(1.0, abs(raw) / bound), "favor_dem": min(1.0, max(0.0, (raw + bound) / (2 * bound))), "favor_rep": min(1.0, max(0.0, (bound - raw) / (2 * bound)))}[mode]
+    return (q * q if quadratic else q) * 100
+
+
+def _county_metrics(x: Arrays, plan: np.ndarray, pop: np.ndarray, cfg: ScoreConfig, add) -> None:
     from wardflow.operators import county as cty
 
+    _needs("a county metric", x.county)
+    k, ideal = cfg.n_districts, x.population.sum() / cfg.n_districts
+    nc = int(x.county.max()) + 1
+    m = np.bincount(x.county * k + plan, weights=x.population, minlength=nc * k).reshape(nc, k)
+    cp = m.sum(1)
+    if cfg.weight_county_excess or cfg.weight_county_unified:
+        parts = (m > 0).sum(1)
+        add("county_excess", cfg.weight_county_excess, cty.SPLIT_SCALE * np.maximum(0, parts - np.ceil(cp / ideal))[cp > 0].sum())
+        most = np.floor(cp / max(ideal * (1 - cfg.tolerance), 1.0)).sum()
+        add("county_unified", cfg.weight_county_unified, cty.SPLIT_SCALE * (most - ((m > 0).sum(0) == 1).sum()))
+    if cfg.weight_congruence:
+
+        def direction(a: np.ndarray, other: np.ndarray) -> float:
+            size = a.sum(1)
+            whole = (a == other[None, :]) & (a > 0)
+            ok = size > 0
+            roots = np.sqrt(np.where(whole, 0, a)[ok] / size[ok, None]).sum(1) + np.sqrt(np.where(whole, a, 0)[ok].sum(1) / size[ok])
+            return float((size[ok] / size.sum() * roots).sum())
+
+        c, d = direction(m, pop), direction(m.T, cp)
+        if cfg.congruence_unclipped:
+            value = 0.5 * cty.SLOPE * (max(0.0, c - 1) + max(0.0, d - 1))
+        else:
+            w = (min(nc, k) - 1) / max(nc, k)
+            best = w * cty.MOST + (1 - w) * cty.LEAST
+            rise = lambda raw, at: 100 * max(0.0, min(1.0, (raw - at) / (at * cty.WORST - at)))
+            value = cty.CLIPPED_SCALE * 0.5 * (rise(c, best if nc > k else cty.MOST) + rise(d, cty.MOST if nc > k else best))
+        add("congruence", cfg.weight_congruence, value)
+
+
+def _band(raw: float, lo: float, hi: float, unclipped: bool) -> float:
+    from wardflow.operators import compactness as cmp
+
+    line = lambda v: 100.0 - (v - lo) / (hi - lo) * 100.0
+    if not unclipped:
+        return line(max(lo, min(hi, raw)))
+    knee = lo + (1.0 - cmp.DIVERGE / 100.0) * (hi - lo)
+    if raw <= lo or raw <= knee:
+        return 100.0 if raw <= lo else line(raw)
+    power = 100.0 / (hi - lo) * (cmp.LANDING - knee) / cmp.DIVERGE
+    return 0.0 if raw >= cmp.LANDING else cmp.DIVERGE * ((cmp.LANDING - raw) / (cmp.LANDING - knee)) ** power
+
+
+def _compactness_metrics(x: Arrays, plan: np.ndarray, cut: np.ndarray, cfg: ScoreConfig, add) -> None:
+    from wardflow.operators import compactness as cmp
+
+    _needs("a compactness metric", x.area, x.ext, x.shared)
+    k = cfg.n_districts
+    area = np.bincount(plan, weights=x.area, minlength=k)
+    pp = rk = 0.0
+    if cfg.weight_polsby_popper or cfg.weight_compactness:
+        per = np.bincount(plan, weights=x.ext, minlength=k) + np.bincount(np.r_[plan[x.u[cut]], plan[x.v[cut]]], weights=np.r_[x.shared[cut], x.shared[cut]], minlength=k)
+        pp = (1 - np.where(per > 0, np.minimum(1.0, 4 * math.pi * area / np.maximum(per, 1e-300) ** 2), 1.0).mean()) * 100
+        add("polsby_popper", cfg.weight_polsby_popper, pp)
+    if cfg.weight_reock or cfg.weight_compactness:
+        _needs("Reock", x.extrema)
+        value = np.zeros(k)
+        for d in range(k):
+            own = np.flatnonzero(plan == d)
+            if len(own):
+                p = x.extrema[own[np.argmax(x.extrema[own, :, 2], axis=0)], np.arange(16), :2]
+                r2 = ((p[:, None] - p[None]) ** 2).sum(2).max() / 4
+                value[d] = min(1.0, area[d] / (math.pi * r2)) if r2 > 0 else 0.0
+        rk = (1 - value.mean()) * 100
+        add("reock", cfg.weight_reock, rk)
+    if cfg.weight_compactness:
+        add("compactness", cfg.weight_compactness, 0.5 * _band(1 - rk / 100, *cmp.REOCK_BAND, cfg.compactness_unclipped) + 0.5 * _band(1 - pp / 100, *cmp.PP_BAND, cfg.compactness_unclipped))
+
+
+def _alignment(x: Arrays, plan: np.ndarray, cfg: ScoreConfig) -> float:
+    """0 where nothing is compared."""
+    w = {"none": x.population, "dem": x.dem, "rep": x.rep}[cfg.alignment_focus]
+    _needs("alignment", w)
+    k, n = cfg.n_districts, int(x.reference.max()) + 1
+    o = np.bincount(x.reference * k + plan, weights=w, minlength=n * k).reshape(n, k)
+    mass = o.sum(1)
+    ok = mass > 0
+    if cfg.alignment_wins_only and cfg.alignment_focus in ("dem", "rep"):
+        d, r = np.bincount(x.reference, weights=x.dem, minlength=n), np.bincount(x.reference, weights=x.rep, minlength=n)
+        ok &= (d + r > 0) & ((d if cfg.alignment_focus == "dem" else r) > cfg.alignment_win_share * (d + r))
+    if not ok.any():
+        return 0.0
+    c = ((o[ok] / mass[ok, None]) ** 2).sum(1)
+    return float(100 * (mass[ok] * (1 - c)).sum() / mass[ok].sum())
+
+
+def _proportionality(s: np.ndarray, v: float | None, chances, cfg: ScoreConfig) -> float:
+    """chances: the chance of so many D seats or more, at each swing, with its weight and node."""
+    from wardflow.operators import partisan as par
+
+    k = cfg.n_districts
+    if v is None:
+        return 0.0
+    est = float(ncdf((s - 0.5) / cfg.sigma).mean())
+    if not cfg.proportionality_unclipped:
+        won, raw = float((s > 0.5).mean()), float(np.rint(k * v - 1e-9)) / k - est
+        if (v < 0.5 - par.SLACK and won > 0.5) or (1 - v < 0.5 - par.SLACK and 1 - won > 0.5):
+            return 100.0
+        extra, gap = abs(v - 0.5) * (par.BONUS - 1), raw
+        if v > 0.5 and raw < 0:
+            gap = min(raw + extra, 0.0)
+        elif v < 0.5 and raw > 0:
+            gap = max(raw - extra, 0.0)
+        return min(100.0, 100.0 * abs(gap) / par.CAP)
+    over, extra = (est - v if v >= 0.5 else v - est), abs(v - 0.5)
+    d = -over if over <= 0 else par.LIGHT * over if over <= extra else par.LIGHT * extra + (over - extra)
+    p = 0.0
+    for z, w, f in chances():
+        behind = float(ncdf((0.5 - (v + z * cfg.swing)) / par.BLUR))
+        p += w * (behind * f[k // 2 + 1 :].sum() + (1 - behind) * (1 - f[k - k // 2 :].sum()))
+    p /= math.sqrt(2 * math.pi)
+    return float(100 * min(d / par.FULL, 1.0) * (1 - p) + 100 * p)
+
+
+def _vote_metrics(x: Arrays, plan: np.ndarray, cfg: ScoreConfig, add) -> None:
+    from wardflow.operators import partisan as par
+
+    _needs("a partisan metric", x.dem, x.rep)
+    k = cfg.n_districts
+    d, r = np.bincount(plan, weights=x.dem, minlength=k), np.bincount(plan, weights=x.rep, minlength=k)
+    t = d + r
+    s = np.where(t > 0, d / np.maximum(t, 1), 0.5)
+    v = float((s * t).sum() / t.sum()) if t.sum() else None
+    won = ncdf((s - 0.5) / cfg.sigma)
+    seats_at = lambda delta: float(ncdf((s + delta - 0.5) / cfg.sigma).mean())
+    held: list = []
+
+    def chances() -> list:
+        if not held:
+            held.extend((z, w, win_counts(ncdf((s - 0.5) / cfg.sigma_district + z * cfg.swing / cfg.sigma_district))) for z, w in hermite_nodes())
+        return held
+
+    chance = lambda least: float(sum(w * f[least:].sum() for _, w, f in chances())) / math.sqrt(2 * math.pi)
+    if cfg.weight_mean_median:
+        raw = float(s.mean() - np.median(s))
+        add("mean_median", cfg.weight_mean_median, raw, _directional(raw, cfg.mm_mode, cfg.mm_bound, cfg.quadratic))
+    if cfg.weight_efficiency_gap:
+        raw = float((t * ((2 * s - 0.5) - (ncdf((s - 0.5) / cfg.sigma_eg) if cfg.eg_robust else s > 0.5))).sum() / t.sum()) if t.sum() else 0.0
+        add("efficiency_gap", cfg.weight_efficiency_gap, raw, _directional(raw, cfg.eg_mode, cfg.eg_bound, cfg.quadratic))
+    if cfg.weight_seats:
+        seats = float(won.sum())
+        add("dem_seats", cfg.weight_seats, seats, min(100.0, max(0.0, ((k - seats) if cfg.seats_favor_dem else seats) / k * 100)))
+    if cfg.weight_bias:
+        raw = 0.0 if v is None else 0.5 - seats_at(0.5 - v)
+        add("partisan_bias", cfg.weight_bias, raw, _directional(raw, cfg.bias_mode, cfg.bias_bound, cfg.quadratic))
+    if cfg.weight_gini:
+        grid = np.array(par.GINI_GRID)
+        gaps = np.zeros(len(grid)) if v is None else np.array([abs(seats_at(g - v) - (1 - seats_at(1 - g - v))) for g in grid])
+        add("partisan_gini", cfg.weight_gini, min(1.0, ((gaps[:-1] + gaps[1:]) * np.diff(grid) / 2).sum() / par.GINI_BOUND) * 100)
+    if cfg.weight_proportionality:
+        add("proportionality", cfg.weight_proportionality, _proportionality(s, v, chances, cfg))
+    if cfg.weight_competitiveness:
+        c = min(1.0, max(0.0, float((1 - 4 * (won - 0.5) ** 2).mean())))
+        low = 100 - min(par.CMP_BEST, c) / par.CMP_BEST * 100
+        bent = low if c <= par.CMP_KNEE else par.CMP_DIVERGE * ((1 - c) / (1 - par.CMP_KNEE)) ** par.CMP_POWER
+        add("competitiveness", cfg.weight_competitiveness, bent if cfg.competitiveness_unclipped else low)
+    for name, weight, p in (("majority_dem", cfg.weight_majority_dem, lambda: chance(k // 2 + 1)), ("majority_rep", cfg.weight_majority_rep, lambda: 1 - chance(k - k // 2)), ("hinge_chance", cfg.weight_hinge, lambda: chance(min(max(cfg.hinge_seats, 1), k)) if cfg.hinge_dem else 1 - chance(max(1, k - cfg.hinge_seats + 1)))):
+        if weight:
+            add(name, weight, value := p(), 100 * max(0.0, 1 - value) ** 1.5)
+
+
+def score(x: Arrays, plan: np.ndarray, cfg: ScoreConfig) -> dict[str, float]:
+    """The metrics in use and their weighted total, as operators.score has them. A weight whose metric the layer can't give is an error, except alignment's: without a reference plan it is left out there too."""
     k, out, total = cfg.n_districts, {}, 0.0
     cut = x.cut(plan)
-    real = cut if x.virtual is None else cut[~x.virtual[cut]]
-    out["cut_edges"] = float(len(real))
-    total += cfg.weight_cut_edges * len(real)
     pop = np.bincount(plan, weights=x.population, minlength=k)
     ideal = x.population.sum() / k
 
@@ -308,74 +478,17 @@ def score(x: Arrays, plan: np.ndarray, cfg: ScoreConfig) -> dict[str, float]:
         out[name] = float(value)
         total += weight * float(value if penalty is None else penalty)
 
-    if x.county is not None and (cfg.weight_county_excess or cfg.weight_county_unified or cfg.weight_congruence):
-        nc = int(x.county.max()) + 1
-        m = np.bincount(x.county * k + plan, weights=x.population, minlength=nc * k).reshape(nc, k)
-        cp = m.sum(1)
-        if cfg.weight_county_excess or cfg.weight_county_unified:
-            parts = (m > 0).sum(1)
-            add("county_excess", cfg.weight_county_excess, cty.SPLIT_SCALE * np.maximum(0, parts - np.ceil(cp / ideal))[cp > 0].sum())
-            most = np.floor(cp / max(ideal * (1 - cfg.tolerance), 1.0)).sum()
-            add("county_unified", cfg.weight_county_unified, cty.SPLIT_SCALE * (most - ((m > 0).sum(0) == 1).sum()))
-        if cfg.weight_congruence:
-
-            def direction(a: np.ndarray, other: np.ndarray) -> float:
-                size = a.sum(1)
-                whole = (a == other[None, :]) & (a > 0)
-                ok = size > 0
-                roots = np.sqrt(np.where(whole, 0, a)[ok] / size[ok, None]).sum(1) + np.sqrt(np.where(whole, a, 0)[ok].sum(1) / size[ok])
-                return float((size[ok] / size.sum() * roots).sum())
-
-            c, d = direction(m, pop), direction(m.T, cp)
-            add("congruence", cfg.weight_congruence, 0.5 * cty.SLOPE * (max(0.0, c - 1) + max(0.0, d - 1)))
-    if x.area is not None and (cfg.weight_polsby_popper or cfg.weight_reock or cfg.weight_compactness):
-        area = np.bincount(plan, weights=x.area, minlength=k)
-        per = np.bincount(plan, weights=x.ext, minlength=k) + np.bincount(np.r_[plan[x.u[cut]], plan[x.v[cut]]], weights=np.r_[x.shared[cut], x.shared[cut]], minlength=k)
-        pp = np.where(per > 0, np.minimum(1.0, 4 * math.pi * area / np.maximum(per, 1e-300) ** 2), 1.0)
-        add("polsby_popper", cfg.weight_polsby_popper, (1 - pp.mean()) * 100)
-        if x.extrema is not None and (cfg.weight_reock or cfg.weight_compactness):
-            rk = np.zeros(k)
-            for d in range(k):
-                own = np.flatnonzero(plan == d)
-                if len(own):
-                    p = x.extrema[own[np.argmax(x.extrema[own, :, 2], axis=0)], np.arange(16), :2]
-                    r2 = ((p[:, None] - p[None]) ** 2).sum(2).max() / 4
-                    rk[d] = min(1.0, area[d] / (math.pi * r2)) if r2 > 0 else 0.0
-            add("reock", cfg.weight_reock, (1 - rk.mean()) * 100)
+    add("cut_edges", cfg.weight_cut_edges, len(cut) if x.virtual is None else np.count_nonzero(~x.virtual[cut]))
+    if cfg.weight_county_excess or cfg.weight_county_unified or cfg.weight_congruence:
+        _county_metrics(x, plan, pop, cfg, add)
+    if cfg.weight_polsby_popper or cfg.weight_reock or cfg.weight_compactness:
+        _compactness_metrics(x, plan, cut, cfg, add)
     if cfg.weight_pop_deviation:
         dev = np.abs(pop - ideal) / ideal
         add("pop_deviation", cfg.weight_pop_deviation, (np.maximum(0, dev - cfg.pop_harbor) ** 2).sum() * 100_000 / k)
     if cfg.weight_alignment and x.reference is not None:
-        w = {"none": x.population, "dem": x.dem, "rep": x.rep}[cfg.alignment_focus]
-        n = int(x.reference.max()) + 1
-        o = np.bincount(x.reference * k + plan, weights=w, minlength=n * k).reshape(n, k)
-        mass = o.sum(1)
-        ok = mass > 0
-        c = ((o[ok] / mass[ok, None]) ** 2).sum(1)
-        add("alignment", cfg.weight_alignment, 100 * (mass[ok] * (1 - c)).sum() / mass[ok].sum() if ok.any() else 0.0)
-    if x.dem is not None and cfg.needs_votes():
-        d, r = np.bincount(plan, weights=x.dem, minlength=k), np.bincount(plan, weights=x.rep, minlength=k)
-        t = d + r
-        s = np.where(t > 0, d / np.maximum(t, 1), 0.5)
-
-        def directional(raw: float, mode: str, bound: float) -> float:
-            q = {"fair": min(1.0, abs(raw) / bound), "favor_dem": min(1.0, max(0.0, (raw + bound) / (2 * bound))), "favor_rep": min(1.0, max(0.0, (bound - raw) / (2 * bound)))}[mode]
-            return (q * q if cfg.quadratic else q) * 100
-
-        if cfg.weight_mean_median:
-            raw = float(s.mean() - np.median(s))
-            add("mean_median", cfg.weight_mean_median, raw, directional(raw, cfg.mm_mode, cfg.mm_bound))
-        if cfg.weight_efficiency_gap:
-            raw = float((t * ((2 * s - 0.5) - (ncdf((s - 0.5) / cfg.sigma_eg) if cfg.eg_robust else s > 0.5))).sum() / t.sum()) if t.sum() else 0.0
-            add("efficiency_gap", cfg.weight_efficiency_gap, raw, directional(raw, cfg.eg_mode, cfg.eg_bound))
-        if cfg.weight_seats:
-            seats = float(ncdf((s - 0.5) / cfg.sigma).sum())
-            add("dem_seats", cfg.weight_seats, seats, min(100.0, max(0.0, ((k - seats) if cfg.seats_favor_dem else seats) / k * 100)))
-        if cfg.weight_majority_dem or cfg.weight_majority_rep or cfg.weight_hinge:
-            ps = [(w, ncdf((s - 0.5) / cfg.sigma_district + z * cfg.swing / cfg.sigma_district)) for z, w in hermite_nodes()]
-            chance = lambda least: sum(w * _tail(p, least) for w, p in ps) / math.sqrt(2 * math.pi)
-            for name, weight, p in (("majority_dem", cfg.weight_majority_dem, lambda: chance(k // 2 + 1)), ("majority_rep", cfg.weight_majority_rep, lambda: 1 - chance(k - k // 2)), ("hinge_chance", cfg.weight_hinge, lambda: chance(min(max(cfg.hinge_seats, 1), k)) if cfg.hinge_dem else 1 - chance(max(1, k - cfg.hinge_seats + 1)))):
-                if weight:
-                    add(name, weight, value := p(), 100 * max(0.0, 1 - value) ** 1.5)
+        add("alignment", cfg.weight_alignment, _alignment(x, plan, cfg))
+    if cfg.needs_votes():
+        _vote_metrics(x, plan, cfg, add)
     out["total"] = total
     return out

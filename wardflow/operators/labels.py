@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from wardflow.operators.districts import spine
 
 OUT = "plan_id long, district int, label int"
+#: Districts that a reference plan may have: their labels are held by the driver and by each task.
+MOST_LABELS = 100_000
 
 
 def centroids(assignments: DataFrame, points: DataFrame, k: int) -> DataFrame:
@@ -25,7 +27,7 @@ def centroids(assignments: DataFrame, points: DataFrame, k: int) -> DataFrame:
 def geographic(c: DataFrame, rule: str = "nw_se") -> DataFrame:
     """Labels 1 to k by the north-west to south-east diagonal, or from north to south (ties: west first), then by index; empty districts last."""
     if rule not in ("nw_se", "n_s"):
-        raise ValueError(f"unknown rule {rule!r}")
+        raise ValueError(f"districts can't be numbered by {rule!r}")
     plan = W.partitionBy("plan_id")
 
     def unit(a: str):
@@ -103,7 +105,10 @@ def overlaps(assignments: DataFrame, reference: DataFrame, precincts: DataFrame,
 def inferred(overlap: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """Every district takes the label of the reference district that it is matched to, over all at the largest shared weight; surplus districts take the
     smallest labels that are free. labels: (ref_district, ref_label), few."""
-    known = dict((r["ref_district"], r["ref_label"]) for r in labels.select("ref_district", "ref_label").distinct().limit(100_000).collect())
+    rows = labels.select("ref_district", "ref_label").distinct().limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"the reference plan has more than {MOST_LABELS} districts")
+    known = dict((r["ref_district"], r["ref_label"]) for r in rows)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         refs = sorted(known)

@@ -15,6 +15,25 @@ from wardflow.plans.config import ScoreConfig
 BREAKS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9)
 
 
+#: Where the colours of the two continuous scales lie between 0 and 1, and the colours.
+STOPS = (0.0, 0.25, 0.5, 0.75, 1.0)
+COMPACT = ((190, 50, 50), (210, 130, 50), (210, 200, 70), (100, 185, 85), (40, 155, 90))
+DEVIATION = ((65, 105, 225), (135, 165, 225), (185, 185, 185), (225, 155, 100), (200, 60, 60))
+
+
+def interpolated(t: Column, stops: tuple, values: tuple) -> Column:
+    """The piecewise linear function through (stop, value); beyond the ends their values."""
+    out = F.when(t <= stops[0], float(values[0]))
+    for a, b, v, w in zip(stops, stops[1:], values, values[1:]):
+        out = out.when(t <= b, v + (t - a) * ((w - v) / (b - a)))
+    return out.when(t.isNotNull(), float(values[-1]))
+
+
+def colour(t: Column, stops: tuple, colours: tuple) -> Column:
+    """Red, green and blue from 0 to 255, fractions dropped."""
+    return F.array(*[F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), interpolated(t, stops, [c[k] for c in colours])))).cast("int") for k in range(3)])
+
+
 def bucket(share: Column) -> Column:
     """0 to 11: the last break at or below a share."""
     return F.size(F.filter(F.array(*[F.lit(b) for b in BREAKS]), lambda b: b <= F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))) - 1
@@ -78,8 +97,11 @@ def shades(assignments: DataFrame, layer: Layer, k: int) -> DataFrame:
     """(plan_id, district, compactness shade, population shade from -1 to 1 at 10 % of the mean district), bucket, label point."""
     key = ["plan_id", "district"]
     d = districts.totals(assignments, layer.precincts, k)
-    pp, rk = compactness.polsby_popper(assignments, layer.geometry, layer.edges, k), compactness.reock(assignments, layer.geometry, layer.extrema, k)
+    pp = compactness.polsby_popper(assignments, layer.geometry, layer.edges, k)
+    # Without extreme points there is no Reock, and the shade is Polsby-Popper alone.
+    rk = compactness.reock(assignments, layer.geometry, layer.extrema, k) if layer.extrema is not None else pp.select(*key, F.col("polsby_popper").alias("reock"))
     at = assignments.join(layer.precincts.select("precinct_id", "x", "y"), "precinct_id").groupBy(*key).agg(F.avg(F.col("x") + 0.5).alias("label_x"), F.avg(F.col("y") + 0.5).alias("label_y"))
     dev = (F.col("population") - F.avg("population").over(W.partitionBy("plan_id"))) / F.avg("population").over(W.partitionBy("plan_id"))
     x = d.withColumn("dev", dev).join(pp.select(*key, "polsby_popper"), key).join(rk, key).join(at, key, "left")
+    # The colours are those of the shades, which run from 0 to 1 and from -1 to 1.
     return x.select(*key, (0.5 * F.col("polsby_popper") + 0.5 * F.col("reock")).alias("compact_shade"), (F.least(F.lit(0.1), F.greatest(F.lit(-0.1), F.col("dev"))) / 0.1).alias("pop_shade"), bucket(F.col("share")).alias("bucket"), "label_x", "label_y")

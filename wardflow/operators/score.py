@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.operators import alignment, compactness, county, districts, partisan, population
+from wardflow.operators.graph import stored
 from wardflow.plans.config import ScoreConfig
 
 
@@ -18,21 +19,53 @@ class Layer:
         self.precincts, self.edges, self.geometry, self.extrema, self.reference = precincts, edges, geometry, extrema, reference
 
 
+def summaries(assignments: DataFrame, layer: Layer, cfg: ScoreConfig) -> dict[str, DataFrame]:
+    """All that a score takes from plans' rows, in one job, with one shuffle of the assignments (by plan_id, which every aggregate and join that follows keeps to):
+
+    cells: the sums of each plan's precincts by district, county and reference district; cuts: of its cut edges by district; far: the districts' farthest precincts.
+    They are some hundred rows a plan, written to the shared folder, so that what follows reads rows of plans no more."""
+    a = assignments.select("plan_id", "precinct_id", "district").repartition("plan_id")
+    p = layer.precincts.select("precinct_id", "population", "dem_votes", "rep_votes", "county_id", F.lit(1).alias("one"))
+    shapes = cfg.weight_polsby_popper or cfg.weight_reock or cfg.weight_compactness
+    if shapes:
+        p = p.join(layer.geometry.select("precinct_id", "area", "ext_perimeter"), "precinct_id", "left")
+    if cfg.weight_alignment and layer.reference is not None:
+        p = p.join(layer.reference.select("precinct_id", "ref_district"), "precinct_id", "left")
+    keys = ["plan_id", "district", "county_id", *(["ref_district"] if "ref_district" in p.columns else [])]
+    sums = {"population": "population", "dem_votes": "dem_votes", "rep_votes": "rep_votes", "precincts": "one"} | ({"area": "area", "ext": "ext_perimeter"} if shapes else {})
+    cells = a.join(p, "precinct_id", "left").groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    ends = F.explode(F.array("du", "dv")).alias("district")
+    cuts = districts.cut_edges(a, layer.edges).select("plan_id", ends, "shared_len", "is_virtual").groupBy("plan_id", "district").agg(F.count_if(~F.col("is_virtual")).alias("real"), F.sum("shared_len").alias("cut"))
+    found = {"cells": cells, "cuts": cuts}
+    if cfg.weight_reock or cfg.weight_compactness:
+        found["far"] = compactness.farthest(a, layer.extrema)
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [df.withColumn("kind", F.lit(k)) for k, df in found.items()])
+    rows = stored(rows, "summaries", by="kind")
+    return {k: rows.where(F.col("kind") == k).select(*df.columns).repartition("plan_id") for k, df in found.items()}
+
+
 def scores(assignments: DataFrame, layer: Layer, cfg: ScoreConfig) -> DataFrame:
     """A row for each plan: the metrics in use, and total."""
     k, parts = cfg.n_districts, []
-    plans = assignments.select("plan_id").distinct()
+    s = summaries(assignments, layer, cfg)
+    cells = s["cells"]
+    plans = cells.select("plan_id").distinct()
+    all_districts = districts.spine(plans, k)
     terms: list[Column] = []
 
     def use(weight: float, value: Column) -> None:
         if weight:
             terms.append(F.lit(float(weight)) * value)
 
-    cuts = population.cut_count(districts.cut_edges(assignments, layer.edges))
+    def by_district(*columns: str) -> DataFrame:
+        return cells.groupBy("plan_id", "district").agg(*[F.sum(c).alias(c) for c in columns])
+
+    # A cut edge counts once in each of its two districts.
+    cuts = s["cuts"].groupBy("plan_id").agg((F.sum("real") / 2).cast("long").alias("cut_edges"))
     parts.append(plans.join(cuts, "plan_id", "left").na.fill(0, ["cut_edges"]))
     use(cfg.weight_cut_edges, F.col("cut_edges"))
     if cfg.weight_county_excess or cfg.weight_county_unified or cfg.weight_congruence:
-        m = county.matrix(assignments, layer.precincts)
+        m = cells.groupBy("plan_id", "county_id", "district").agg(F.sum("population").alias("population")).where("population > 0")
         if cfg.weight_county_excess or cfg.weight_county_unified:
             parts.append(county.splits(m, county.constants(layer.precincts, k, cfg.tolerance)).drop("max_unified"))
             use(cfg.weight_county_excess, F.col("county_excess"))
@@ -41,18 +74,21 @@ def scores(assignments: DataFrame, layer: Layer, cfg: ScoreConfig) -> DataFrame:
             parts.append(county.congruence(m, layer.precincts, k, cfg.congruence_unclipped).select("plan_id", "congruence"))
             use(cfg.weight_congruence, F.col("congruence"))
     if cfg.weight_polsby_popper or cfg.weight_compactness:
-        parts.append(compactness.penalty(compactness.polsby_popper(assignments, layer.geometry, layer.edges, k), "polsby_popper"))
+        parts.append(compactness.penalty(compactness.polsby_popper_of(all_districts, by_district("area", "ext"), s["cuts"].select("plan_id", "district", "cut")), "polsby_popper"))
         use(cfg.weight_polsby_popper, F.col("polsby_popper"))
     if cfg.weight_reock or cfg.weight_compactness:
-        parts.append(compactness.penalty(compactness.reock(assignments, layer.geometry, layer.extrema, k), "reock"))
+        pts = s["far"].join(layer.extrema.select("precinct_id", "dir", F.struct("px", "py").alias("p")), ["precinct_id", "dir"]).select("plan_id", "district", "p")
+        parts.append(compactness.penalty(compactness.reock_of(all_districts, by_district("area"), pts), "reock"))
         use(cfg.weight_reock, F.col("reock"))
-    d = districts.totals(assignments, layer.precincts, k)
+    d = districts.completed(all_districts, by_district("population", "dem_votes", "rep_votes", "precincts"), layer.precincts, k)
     if cfg.weight_pop_deviation:
         parts.append(population.deviation(d, k, cfg.pop_harbor).drop("max_deviation"))
         use(cfg.weight_pop_deviation, F.col("pop_deviation"))
     if cfg.weight_alignment and layer.reference is not None:
-        c = alignment.cohesion(assignments, layer.precincts, layer.reference, cfg.alignment_focus, cfg.alignment_wins_only, cfg.alignment_win_share)
-        parts.append(alignment.alignment(assignments, c))
+        weight = {"none": "population", "dem": "dem_votes", "rep": "rep_votes"}[cfg.alignment_focus]
+        overlap = cells.where("ref_district is not null").groupBy("plan_id", "ref_district", "district").agg(F.sum(weight).alias("part"))
+        c = alignment.cohesion(plans, layer.precincts, layer.reference, cfg.alignment_focus, cfg.alignment_wins_only, cfg.alignment_win_share, overlap)
+        parts.append(alignment.alignment(plans, c))
         use(cfg.weight_alignment, F.col("alignment"))
     if cfg.needs_votes():
         parts.append(votes(d, cfg))
@@ -96,6 +132,22 @@ def votes(d: DataFrame, cfg: ScoreConfig) -> DataFrame:
     return out.select("*", F.col("p.penalty").alias("proportionality"), F.col("p.inversion").alias("inversion_chance")).drop("p")
 
 
+def active_metrics(cfg: ScoreConfig, votes: bool, ratchet: bool = False, hinge: bool = False) -> list[str]:
+    """The metrics of a run whose history holds real values. Those of votes are there wherever votes are, but for the hinge chance, which somebody has to ask for; the others need a weight, their own or of what they are part of."""
+    needs = {
+        "compactness": cfg.weight_compactness,
+        "polsby_popper": cfg.weight_polsby_popper or cfg.weight_compactness,
+        "reock": cfg.weight_reock or cfg.weight_compactness,
+        "congruence": cfg.weight_congruence,
+        "excess_splits": cfg.weight_county_excess or cfg.weight_county_unified,
+        "pop_dev_max": cfg.weight_pop_deviation or ratchet,
+        "pop_dev_mean": cfg.weight_pop_deviation or ratchet,
+        **dict.fromkeys(("mean_median", "efficiency_gap", "dem_seats", "partisan_bias", "partisan_gini", "proportionality", "inversion_chance", "competitiveness", "majority_dem", "majority_rep"), votes),
+        "hinge_chance": votes and hinge,
+    }
+    return ["total", "temperature", "cut_edges", *(k for k, on in needs.items() if on)]
+
+
 #: Part of a breakdown: the weight's name, and the penalty in terms of score columns.
 def _contributions(cfg: ScoreConfig) -> dict[str, tuple[float, Column]]:
     c, quad, n = F.col, cfg.quadratic, cfg.n_districts

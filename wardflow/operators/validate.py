@@ -14,6 +14,8 @@ POPULATION = ("population", "pop", "total_pop", "totpop", "pop100", "p0010001",
 PRECINCT = ("geoid20", "geoid", "vtdid", "vtd", "precinct_id", "id", "gid", "objectid")
 COUNTY = ("cty", "county", "countyfp20", "countyfp", "county20", "cntyfp", "cntyfp20", "cty_code", "cntyvtd", "countyfips", "co_fips")
 ELECTION = (("baseline_d", "baseline_r"),)
+#: Names under which a layer's counties are looked for, in this order and as they are written.
+COUNTY_FIRST = ("CTY", "COUNTYFP20", "COUNTYFP", "COUNTY20", "COUNTY", "county", "CNTYFP", "CNTYFP20", "CTY_CODE", "CNTYVTD", "COUNTYFIPS", "CO_FIPS")
 SHOWN = 10
 
 
@@ -26,6 +28,18 @@ def hint(df: DataFrame, names: tuple, numbers: bool = False) -> str | None:
     return next((c for c in df.columns if c.lower() in names and (not numbers or numeric(df, c))), None)
 
 
+def with_county_codes(df: DataFrame, column: str | None = None) -> DataFrame:
+    """df with county_code, 0, 1 and so on in the order of the county column's values (its own, or the first of COUNTY_FIRST that df has); df as it is without one."""
+    from pyspark.sql import Window as W
+
+    column = column or next((c for c in COUNTY_FIRST if c in df.columns), None)
+    if column is None:
+        return df
+    # The values are a state's counties: a window over them is small. Spark chooses how to join.
+    codes = df.select(F.col(f"`{column}`").alias("_county")).distinct().withColumn("county_code", (F.row_number().over(W.orderBy("_county")) - 1).cast("int"))
+    return df.drop("county_code").join(codes, F.col(f"`{column}`").eqNullSafe(F.col("_county"))).drop("_county")
+
+
 def election_hint(df: DataFrame) -> tuple[str, str] | None:
     by = {c.lower(): c for c in df.columns}
     return next(((by[d], by[r]) for d, r in ELECTION if d in by and r in by and numeric(df, by[d]) and numeric(df, by[r])), None)
@@ -101,6 +115,15 @@ def column_issues(df: DataFrame, population: str | None, votes: list[tuple[str,
     return out
 
 
+def first_issue(layer: DataFrame, population: str | None, precinct: str | None, votes: list[tuple[str, str]] = (), county: str | None = None) -> str | None:
+    """What a user is told who wants to use a layer: the first thing that is wrong, in the order of choices, geometry and columns; None: it can be used."""
+    if not population:
+        return "Choose a population column."
+    if not precinct:
+        return "Choose a precinct id column."
+    return next(iter(geometry_issues(layer) or column_issues(layer, population, list(votes), county)), None)
+
+
 def connectivity_issue(components: DataFrame) -> str | None:
     """components: (node, component). The mainland is the component of most precincts; at most SHOWN rows of others are named."""
     sizes = components.groupBy("component").agg(F.count("*").alias("n"))

@@ -231,8 +231,7 @@ def compactness_blend(x):
 
 @query
 def district_boundary_segments(x):
-    a = x.assignments.where("plan_id = 0").select("precinct_id", F.col("district").alias("owner"))
-    return graph.dissolved(x.precincts, a)
+    return graph.dissolved(x.precincts, x.assignments.select("precinct_id", "plan_id", F.col("district").alias("owner")))
 
 
 # ---- alignment, score ----
@@ -509,9 +508,7 @@ def chain_stream_history(x):
     for k in range(3):  # a history grows file by file
         first.where(F.least(F.floor((F.col("seq") - 1) / 30), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
     q = stream.start(stream.figures(stream.read(x.spark, f"{base}/in")), f"{base}/out", f"{base}/state")
-    q.awaitTermination(600)
-    if q.exception():
-        raise q.exception()
+    stream.finished(q, 600)
     return x.spark.read.schema(stream.OUT).parquet(f"{base}/out")
 
 

@@ -249,8 +249,8 @@ a AS (SELECT *, CASE WHEN v > 0.5 AND raw < 0 THEN least(raw + extra, 0) WHEN v
     "reock": BASE + GEO + six("SELECT * FROM reocks", "reock"),
     "compactness_blend": BASE + GEO + six(f"SELECT plan_id, polsby_popper, reock, {blend(True)} AS blend, {blend(False)} AS blend_clipped FROM means", "polsby_popper", "reock", "blend", "blend_clipped"),
     "district_boundary_segments": BASE
-    + """, sides AS (SELECT a.district AS owner, (x + dx1)::DOUBLE AS x1, (y + dy1)::DOUBLE AS y1, (x + dx2)::DOUBLE AS x2, (y + dy2)::DOUBLE AS y2
-    FROM precincts JOIN assignments a USING (precinct_id), (VALUES (0, 0, 1, 0), (1, 0, 1, 1), (0, 1, 1, 1), (0, 0, 0, 1)) AS t(dx1, dy1, dx2, dy2) WHERE plan_id = 0) SELECT owner, x1, y1, x2, y2 FROM sides GROUP BY ALL HAVING count(*) = 1""",
+    + """, sides AS (SELECT plan_id, a.district AS owner, (x + dx1)::DOUBLE AS x1, (y + dy1)::DOUBLE AS y1, (x + dx2)::DOUBLE AS x2, (y + dy2)::DOUBLE AS y2
+    FROM precincts JOIN assignments a USING (precinct_id), (VALUES (0, 0, 1, 0), (1, 0, 1, 1), (0, 1, 1, 1), (0, 0, 0, 1)) AS t(dx1, dy1, dx2, dy2)) SELECT plan_id, owner, x1, y1, x2, y2 FROM sides GROUP BY ALL HAVING count(*) = 1""",
     "alignment_cohesion": BASE + aligned("population") + six("SELECT plan_id, alignment, alignment_min, alignment_mean FROM align", "alignment", "alignment_min", "alignment_mean"),
     "alignment_party_wins_only": BASE + aligned("dem_votes", "sum(dem_votes) / sum(dem_votes + rep_votes) > 0.49") + six("SELECT plan_id, alignment, alignment_min, alignment_mean FROM align", "alignment", "alignment_min", "alignment_mean"),
     "plan_score_total": SCORED

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -22,21 +23,28 @@ def read(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
 
 def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Acceptance of the last worse proposals and the best accepted total, row by row; rows that were seen before (by seq) are passed over."""
-    worse, best, best_at, last = state.get if state.exists else ("", None, None, 0)
-    rows = pd.concat(list(batches)).sort_values("seq")
-    out = []
-    for r in rows.itertuples():
-        if r.seq <= last:
-            continue
-        last = r.seq
-        if r.is_worse:
-            worse = (worse + ("1" if r.accepted else "0"))[-RECENT:]
-        if r.accepted and (best is None or r.total < best):
-            best, best_at = float(r.total), int(r.iteration)
-        rate = worse.count("1") / len(worse) if len(worse) >= LEAST_SEEN else None
-        out.append((key[0], int(r.seq), int(r.iteration), rate, best, best_at))
-    state.update((worse, best, best_at, int(last)))
-    yield pd.DataFrame(out, columns=["chain_id", "seq", "iteration", "rate", "best", "best_iteration"]).astype({"best_iteration": "Int64", "rate": "Float64", "best": "Float64"})
+    seen, best, best_at, last = state.get if state.exists else ("", None, None, 0)
+    # A chain's rows of one micro-batch have to be put in order of seq; they are its iterations since the last one.
+    x = pd.concat(batches).sort_values("seq", kind="stable").drop_duplicates("seq")
+    x = x[x.seq > last]
+    if len(x):
+        accepted, worse = x.accepted.to_numpy(bool), x.is_worse.to_numpy(bool)
+        # Acceptance of the last RECENT worse proposals up to each row, by sums over those of the state and of the batch.
+        bits = np.r_[np.frombuffer(seen.encode(), np.uint8) - 48, accepted[worse]].astype(np.int64)
+        sums, upto = np.r_[0, np.cumsum(bits)], len(seen) + np.cumsum(worse)
+        low = np.maximum(upto - RECENT, 0)
+        rate = np.where(upto - low >= LEAST_SEEN, (sums[upto] - sums[low]) / np.maximum(upto - low, 1), np.nan)
+        seen = "".join(map(str, bits[-RECENT:].tolist()))
+        # A row is the best if it is accepted and below all accepted ones before.
+        totals = np.where(accepted, x.total.to_numpy(float), np.inf)
+        lowest = np.minimum.accumulate(np.r_[np.inf if best is None else best, totals])
+        where = np.where(lowest[1:] < lowest[:-1], np.arange(len(x)), -1)
+        where = np.maximum.accumulate(where)
+        at = np.where(where >= 0, x.iteration.to_numpy(np.int64)[where], -1 if best_at is None else best_at)
+        none = np.isinf(lowest[1:])
+        best, best_at, last = (None, None, int(x.seq.iloc[-1])) if none[-1] else (float(lowest[-1]), int(at[-1]), int(x.seq.iloc[-1]))
+        state.update((seen, best, best_at, last))
+        yield pd.DataFrame({"chain_id": key[0], "seq": x.seq.to_numpy(np.int64), "iteration": x.iteration.to_numpy(np.int64), "rate": pd.array(np.where(np.isnan(rate), None, rate), "Float64"), "best": pd.array(np.where(none, None, lowest[1:]), "Float64"), "best_iteration": pd.array(np.where(none, None, at), "Int64")})
 
 
 def figures(stream: DataFrame) -> DataFrame:
@@ -47,3 +55,13 @@ def start(stream: DataFrame, out: str, checkpoint: str, interval: str | None = N
     """Appends to a Parquet folder; without an interval it takes what is there and stops."""
     w = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
+
+
+def finished(query: StreamingQuery, seconds: float) -> None:
+    """Waits for a query that stops by itself. One that hasn't by then is stopped, which is an error, as is a failure of its own: what it has written is not all."""
+    ended = query.awaitTermination(seconds)
+    if query.exception():
+        raise query.exception()
+    if not ended:
+        query.stop()
+        raise TimeoutError(f"the stream has not ended in {seconds} seconds")

@@ -54,6 +54,17 @@ def test_query_is_its_sql(spark, tmp_path, name):
     assert [clean(r) for r in sorted(got, key=key)] == [clean({k: r[k] for k in got[0]}) for r in sorted(want, key=key)]
 
 
+def test_line_dedup_counts_rows_whatever_their_ids(spark, tmp_path):
+    """Ten rows hold a line, of which some share an id and some have none: each row is a document, for the query and for its SQL."""
+    data = [(i % 4 if i % 3 else None, f"shared\nown {i}\nshared", "en", "a", 1) for i in range(10)] + [(1, "nine", "en", "a", 1)] * 9 + [(None, None, "en", "a", 1)] * 2
+    got = registry.QUERIES["op5_line_dedup"](spark, frame(spark, data, tmp_path)).collect()
+    want = duck(registry.ORACLE_SQL["op5_line_dedup"], data)
+    key = lambda r: (r["doc_id"] is None or r["doc_id"] != r["doc_id"], r["doc_id"] if r["doc_id"] == r["doc_id"] else None, r["n_lines"], r["n_dropped"], r["kept_sha256"])
+    plain = lambda rows: sorted((-1 if key(r)[0] else int(r["doc_id"]), *key(r)[2:]) for r in rows)
+    assert plain(got) == plain(want)
+    assert sum(r["n_dropped"] for r in got) == 20
+
+
 @pytest.mark.parametrize("name", ["op2_mixing", "op3_quality_rules", "op5_line_dedup", "op9_secrets", "op4_simhash", "op7_media_columns", "op10_sentencepiece"])
 def test_empty_table(spark, tmp_path, name):
     assert registry.QUERIES[name](spark, frame(spark, [], tmp_path)).collect() == []

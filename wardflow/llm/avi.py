@@ -9,6 +9,8 @@ A shot ends where the difference of neighbouring frames' 16-bin histograms excee
 shot by 3 standard deviations and a fixed rest; a cut's own difference belongs to no shot. A shot's first difference has none before it
 and ends the shot above FIRST, which is beyond what chance gives two frames of one scene. The clips between are timed by the stream's frame time.
 
+A very long text is one file in one task, which is packed and read some thousand frames at a time.
+
 Nulls: a null text is empty; an empty payload is padded to one frame. A null media value gives no clips and null results. Equal
 payloads give equal files. Repeated rows are each returned. An empty table gives an empty result; other columns pass or are not read.
 """
@@ -29,6 +31,8 @@ from wardflow.llm.common import table
 
 WIDTH, HEIGHT, FRAME, USEC = 16, 12, 192, 40_000
 BINS, RECENT, REST, FIRST = 16, 8, 40, 96
+#: Frames that are packed and placed at once.
+CHUNK = 4096
 
 # ---- lossless JPEG ----
 
@@ -114,7 +118,7 @@ def write_avi(payload: bytes) -> bytes:
     """The file of a payload whose length is a positive multiple of FRAME."""
     frames = np.frombuffer(payload, np.uint8).reshape(-1, HEIGHT, WIDTH)
     n, head = len(frames), np.frombuffer(_HEAD, np.uint8)
-    data = np.concatenate([_packed(frames[a : a + 4096]) for a in range(0, n, 4096)])
+    data = np.concatenate([_packed(frames[a : a + CHUNK]) for a in range(0, n, CHUNK)])
     width = data.shape[1]
     full = data == 255
     extra = full.sum(1)
@@ -122,12 +126,14 @@ def write_avi(payload: bytes) -> bytes:
     step = 8 + size + (size & 1)
     start = np.cumsum(step) - step
     movi = np.zeros(int(step.sum()), np.uint8)
-    movi[start[:, None] + np.arange(4)] = np.frombuffer(b"00dc", np.uint8)
-    movi[start[:, None] + np.arange(4, 8)] = size.astype("<u4").view(np.uint8).reshape(n, 4)
-    movi[start[:, None] + 8 + np.arange(len(head))] = head
-    shift = np.cumsum(full, axis=1) - full
-    movi[(start + 8 + len(head))[:, None] + np.arange(width) + shift] = data
-    movi[(start + 8 + size - 2)[:, None] + np.arange(2)] = np.frombuffer(_END, np.uint8)
+    for a in range(0, n, CHUNK):  # the places of some frames' bytes at a time, as each takes 8 bytes itself
+        at, own = start[a : a + CHUNK, None], size[a : a + CHUNK]
+        movi[at + np.arange(4)] = np.frombuffer(b"00dc", np.uint8)
+        movi[at + np.arange(4, 8)] = own.astype("<u4").view(np.uint8).reshape(-1, 4)
+        movi[at + 8 + np.arange(len(head))] = head
+        shift = np.cumsum(full[a : a + CHUNK], axis=1) - full[a : a + CHUNK]
+        movi[at + 8 + len(head) + np.arange(width) + shift] = data[a : a + CHUNK]
+        movi[at + (8 + own - 2)[:, None] + np.arange(2)] = np.frombuffer(_END, np.uint8)
     index = np.zeros(n, [("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")])
     index["id"], index["flags"], index["at"], index["size"] = b"00dc", 16, start + 4, size
     chunk = lambda k, *x: k + struct.pack("<I", sum(map(len, x))) + b"".join(x)
@@ -170,9 +176,9 @@ def read_avi(media: bytes) -> tuple[np.ndarray, int]:
     head = np.frombuffer(_HEAD, np.uint8)
     if not len(start):
         return np.zeros((0, HEIGHT, WIDTH), np.uint8), usec
-    if not (raw[start[:, None] + np.arange(len(head))] == head).all():
+    if not all((raw[start[a : a + CHUNK, None] + np.arange(len(head))] == head).all() for a in range(0, len(start), CHUNK)):
         return np.stack([decode_frame(media[a : a + n]) for a, n in zip(start.tolist(), size.tolist())]), usec
-    out = [_read_frames(raw, start[a : a + 4096] + len(head), size[a : a + 4096] - len(head) - 2) for a in range(0, len(start), 4096)]
+    out = [_read_frames(raw, start[a : a + CHUNK] + len(head), size[a : a + CHUNK] - len(head) - 2) for a in range(0, len(start), CHUNK)]
     return np.concatenate(out), usec
 
 
@@ -191,7 +197,9 @@ def shots(frames: np.ndarray) -> list[tuple[int, int]]:
     if not n:
         return []
     size = frames[0].size
-    h = np.bincount((np.arange(n)[:, None] * BINS + (frames.reshape(n, -1) >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
+    flat = frames.reshape(n, -1)
+    part = lambda f: np.bincount((np.arange(len(f))[:, None] * BINS + (f >> 4)).ravel(), minlength=len(f) * BINS).reshape(-1, BINS)
+    h = np.concatenate([part(flat[a : a + CHUNK]) for a in range(0, n, CHUNK)])
     d = np.abs(np.diff(h, axis=0)).sum(1) * FRAME // size
     sums, squares = np.r_[0, np.cumsum(d)].tolist(), np.r_[0, np.cumsum(d * d)].tolist()
     cuts, first = [], 0

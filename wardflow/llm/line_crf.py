@@ -154,18 +154,23 @@ def score(texts: list[str | None], w: np.ndarray, turn: np.ndarray) -> tuple[lis
     return scores, labels
 
 
-def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        xs = [line_features(t.as_py())[0] for t in b["text"]]
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["quality"], pa.array([x.ravel().tolist() if len(x) <= MAX_LINES else None for x in xs], pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+def _training(max_lines: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xs = [line_features(t.as_py())[0] for t in b["text"]]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["quality"], pa.array([x.ravel().tolist() if len(x) <= max_lines else None for x in xs], pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+
+    return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """The field's weights from labelled rows (doc_id, quality), at most max_docs of them."""
+def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> tuple[np.ndarray, np.ndarray]:
+    """The field's weights from labelled rows (doc_id, quality), at most max_docs ids of them, and 2 * max_docs documents where ids repeat; documents of over max_lines lines teach nothing.
+    Which they are depends on the rows alone, so reruns agree."""
     some = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(_training, "doc_id long, quality int, x array<double>").where("x is not null")
-    got = sorted(rows.limit(2 * max_docs).collect(), key=lambda r: (r["doc_id"], len(r["x"])))
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(_training(max_lines), "doc_id long, quality int, x array<double>").where("x is not null")
+    first = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(2 * max_docs)
+    got = sorted(first.collect(), key=lambda r: (r["doc_id"], r["x"]))
     return fit([beside(np.array(r["x"]).reshape(-1, N_OWN)) for r in got], np.array([r["quality"] for r in got], int))
 
 

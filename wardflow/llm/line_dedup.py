@@ -5,8 +5,8 @@ it. A batch first loses, by a merge anti-join, the keys that the runs already kn
 of level 0, bucketed and sorted by hash, so that later joins and merges need neither shuffle nor sort of the runs. `fanout` runs
 of a level are compacted to one of the next. The keys whose counts reach `min_docs` over all runs are the repeated ones.
 
-Nulls: a null text is one empty line. Keys that are empty after stripping are never dropped. Rows that repeat (same id and text)
-count as one document each and get equal results. An empty table gives an empty result. Other columns pass through untouched;
+Nulls: a null text is one empty line. Keys that are empty after stripping are never dropped. Each row is a document, so rows that repeat, or share
+an id, or have none, count each; those with equal id and text get equal results. A very long text is one row, its keys are sorted there. An empty table gives an empty result. Other columns pass through untouched;
 columns of the input named like the result's (n_lines, n_dropped) are replaced.
 """
 
@@ -80,10 +80,9 @@ class LineRuns:
 
 
 def repeated_keys(lines: DataFrame, min_docs: int, batches: int) -> DataFrame:
-    """(h1, h2) of keys in min_docs documents or more. lines: (uid, h1, h2), a row for each line of each document."""
+    """(h1, h2, n) of keys in min_docs documents or more. lines: (batch, h1, h2, first), a row for each line of each document; first: it is its document's first with this key."""
     spark = lines.sparkSession
-    once = lines.select("uid", "h1", "h2").distinct().withColumn("batch", F.pmod(F.xxhash64("uid"), F.lit(batches)))
-    counts = stored(once.groupBy("batch", "h1", "h2").agg(F.count("*").alias("n")), "line-counts")
+    counts = stored(lines.where("first").groupBy("batch", "h1", "h2").agg(F.count("*").alias("n")), "line-counts")
     runs = LineRuns(spark, min_docs)
     for k in range(batches):
         runs.add(counts.where(F.col("batch") == k).select("h1", "h2", "n"))
@@ -96,9 +95,21 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_do
     """docs with the text less its repeated lines, and n_lines (before), n_dropped."""
     cols = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    rows = docs.select(F.col(key).alias("did"), text_key(F.col(text)).alias("th"), F.monotonically_increasing_id().alias("uid"), split.alias("ls"))
-    lines = rows.select("did", "th", "uid", F.posexplode(F.transform("ls", line_key)).alias("pos", "k")).where(F.char_length("k") >= max(1, min_chars))
-    lines = stored(lines.select("did", "th", "uid", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2")), "lines")
+    # A document's keys are sorted in its own row, where equal ones are neighbours: which documents hold a key needs no shuffle of lines.
+    hashed = F.transform(split, lambda x, i: let(line_key(x), lambda k: F.when(F.char_length(k) >= max(1, min_chars), F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("line"), k).alias("h2"), i.alias("pos")))))
+    batch = F.pmod(F.monotonically_increasing_id(), F.lit(batches)).cast("int")
+    rows = docs.select(F.col(key).alias("did"), text_key(F.col(text)).alias("th"), batch.alias("batch"), F.sort_array(F.filter(hashed, lambda x: x.isNotNull())).alias("ks"))
+
+    def marked_first(ks: Column) -> Column:
+        def own(x: Column, i: Column) -> Column:
+            before = F.get(ks, i - 1)
+            first = (i == 0) | (before["h1"] != x["h1"]) | (before["h2"] != x["h2"])
+            return F.struct(x["pos"].alias("pos"), x["h1"].alias("h1"), x["h2"].alias("h2"), first.alias("first"))
+
+        return F.transform(ks, own)
+
+    lines = rows.select("did", "th", "batch", F.inline(marked_first(F.col("ks"))))
+    lines = stored(lines, "lines")
     bad = repeated_keys(lines, min_docs, batches)
     # Keys with more than 1/HEAVY of all lines are at most HEAVY in number: they are broadcast, so that no join deals out a hot key.
     most = F.broadcast(lines.agg((F.count("*") / HEAVY).alias("most")))
@@ -129,12 +140,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH l AS (SELECT doc_id, u.pos, u.line, translate(trim(u.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+WITH l AS (SELECT uid, doc_id, u.pos, u.line, translate(trim(u.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+           FROM (SELECT row_number() OVER () AS uid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
            LATERAL (SELECT unnest(ls) AS line, generate_subscripts(ls, 1) AS pos) AS u),
-bad AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
-m AS (SELECT l.doc_id, l.pos, l.line, bad.k IS NOT NULL AS gone FROM l LEFT JOIN bad ON l.k = bad.k)
+bad AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT uid) >= 10),
+m AS (SELECT l.uid, l.doc_id, l.pos, l.line, bad.k IS NOT NULL AS gone FROM l LEFT JOIN bad ON l.k = bad.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY uid, doc_id
 """

@@ -30,8 +30,16 @@ def cohesion(assignments: DataFrame, precincts: DataFrame, reference: DataFrame,
     return overlap.join(own.where("mass > 0"), "ref_district").groupBy("plan_id", "ref_district").agg(F.first("mass").alias("mass"), F.sum(part * part).alias("cohesion"))
 
 
+#: Of a plan with nothing to compare.
+NOTHING = {"alignment": 0.0, "alignment_mean": 100.0, "alignment_min": 100.0}
+
+
+def of_plans(c: DataFrame) -> DataFrame:
+    """The same for plans of which something is compared."""
+    g = c.groupBy("plan_id").agg((100.0 * F.sum(F.col("mass") * (1.0 - F.col("cohesion"))) / F.sum("mass")).alias("alignment"), (F.min("cohesion") * 100.0).alias("alignment_min"))
+    return g.withColumn("alignment_mean", 100.0 - F.col("alignment"))
+
+
 def alignment(assignments: DataFrame, c: DataFrame) -> DataFrame:
     """(plan_id, alignment, alignment_mean, alignment_min): the penalty, and the mean and least cohesion in percent; 0, 100, 100 if nothing is compared."""
-    g = c.groupBy("plan_id").agg((100.0 * F.sum(F.col("mass") * (1.0 - F.col("cohesion"))) / F.sum("mass")).alias("alignment"), (F.min("cohesion") * 100.0).alias("alignment_min"))
-    g = g.withColumn("alignment_mean", 100.0 - F.col("alignment"))
-    return assignments.select("plan_id").distinct().join(g, "plan_id", "left").na.fill({"alignment": 0.0, "alignment_mean": 100.0, "alignment_min": 100.0})
+    return assignments.select("plan_id").distinct().join(of_plans(c), "plan_id", "left").na.fill(NOTHING)

@@ -13,47 +13,50 @@ from wardflow.operators.districts import cut_edges, spine
 PP_BAND, REOCK_BAND, DIVERGE, LANDING = (0.10, 0.50), (0.25, 0.50), 15.0, 0.65
 
 
+def polsby_popper_value(area: Column, perimeter: Column) -> Column:
+    """1 without a perimeter."""
+    return F.when(perimeter > 0, F.least(F.lit(1.0), 4 * math.pi * area / (perimeter * perimeter))).otherwise(F.lit(1.0))
+
+
+def reock_value(area: Column, points: Column) -> Column:
+    """points: an array of (px, py). 0 for a degenerate district."""
+    square = lambda p, q: (p["px"] - q["px"]) * (p["px"] - q["px"]) + (p["py"] - q["py"]) * (p["py"] - q["py"])
+    r2 = F.array_max(F.flatten(F.transform(points, lambda p: F.transform(points, lambda q: square(p, q))))) / 4.0
+    return F.when(r2 > 0, F.least(F.lit(1.0), area / (math.pi * r2))).otherwise(F.lit(0.0))
+
+
 def polsby_popper(assignments: DataFrame, geometry: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """(plan_id, district, area, perimeter, polsby_popper). geometry: (precinct_id, area, ext_perimeter); a district's perimeter is its precincts' outer
-    sides and its cut edges' shared lengths. Without a perimeter the value is 1."""
+    sides and its cut edges' shared lengths."""
     own = assignments.join(geometry, "precinct_id").groupBy("plan_id", "district").agg(F.sum("area").alias("area"), F.sum("ext_perimeter").alias("ext"))
     cut = cut_edges(assignments, edges).select("plan_id", F.explode(F.array("du", "dv")).alias("district"), "shared_len").groupBy("plan_id", "district").agg(F.sum("shared_len").alias("cut"))
-    return polsby_popper_of(spine(assignments, k), own, cut)
-
-
-def polsby_popper_of(all_districts: DataFrame, own: DataFrame, cut: DataFrame) -> DataFrame:
-    """The same from each district's sums of area and outer sides (area, ext), and of its cut edges' lengths (cut)."""
-    d = all_districts.join(own, ["plan_id", "district"], "left").join(cut, ["plan_id", "district"], "left").na.fill(0.0)
+    d = spine(assignments, k).join(own, ["plan_id", "district"], "left").join(cut, ["plan_id", "district"], "left").na.fill(0.0, ["area", "ext", "cut"])
     p = F.col("ext") + F.col("cut")
-    return d.select("plan_id", "district", "area", p.alias("perimeter"), F.when(p > 0, F.least(F.lit(1.0), 4 * math.pi * F.col("area") / (p * p))).otherwise(F.lit(1.0)).alias("polsby_popper"))
-
-
-def reock(assignments: DataFrame, geometry: DataFrame, extrema: DataFrame, k: int) -> DataFrame:
-    """(plan_id, district, reock): the area over that of the circle whose diameter is the largest distance among 16 extreme points; 0 for a degenerate district."""
-    a = assignments.join(geometry.select("precinct_id", "area"), "precinct_id").groupBy("plan_id", "district").agg(F.sum("area").alias("area"))
-    far = F.max_by(F.struct("px", "py"), F.struct("proj", -F.col("precinct_id"))).alias("p")
-    pts = assignments.join(extrema, "precinct_id").groupBy("plan_id", "district", "dir").agg(far)
-    return reock_of(spine(assignments, k), a, pts)
+    return d.select("plan_id", "district", "area", p.alias("perimeter"), polsby_popper_value(F.col("area"), p).alias("polsby_popper"))
 
 
-def farthest(assignments: DataFrame, extrema: DataFrame, directions: int = 16) -> DataFrame:
-    """(plan_id, district, dir, precinct_id): the precinct that reaches farthest in each direction, the lowest of equals. Two passes of plain maxima and minima
-    over rows that hold all directions, which plans dealt by plan_id need no shuffle for."""
+def farthest(assignments: DataFrame, wide: DataFrame, directions: int = 16) -> DataFrame:
+    """(plan_id, district, dir, precinct_id): the precinct that reaches farthest in each direction, the lowest of equals. wide: precinct_id and its reach in each
+    direction, q0 and so on. Two passes of plain maxima and minima, which plans dealt by plan_id need no shuffle for."""
     ways = range(directions)
-    wide = extrema.groupBy("precinct_id").agg(*[F.max(F.when(F.col("dir") == k, F.col("proj"))).alias(f"q{k}") for k in ways])
     own = assignments.join(wide, "precinct_id")
     most = own.groupBy("plan_id", "district").agg(*[F.max(f"q{k}").alias(f"m{k}") for k in ways])
     first = own.join(most.hint("shuffle_hash"), ["plan_id", "district"]).groupBy("plan_id", "district").agg(*[F.min(F.when(F.col(f"q{k}") == F.col(f"m{k}"), F.col("precinct_id"))).alias(f"i{k}") for k in ways])
     return first.select("plan_id", "district", F.posexplode(F.array(*[f"i{k}" for k in ways])).alias("dir", "precinct_id")).where("precinct_id is not null")
 
 
-def reock_of(all_districts: DataFrame, a: DataFrame, pts: DataFrame) -> DataFrame:
-    """The same from each district's area and its extreme points (plan_id, district, dir, p)."""
-    pts = pts.groupBy("plan_id", "district").agg(F.collect_list("p").alias("ps"))
-    apart = F.flatten(F.transform("ps", lambda p: F.transform("ps", lambda q: (p["px"] - q["px"]) * (p["px"] - q["px"]) + (p["py"] - q["py"]) * (p["py"] - q["py"]))))
-    d = all_districts.join(a, ["plan_id", "district"], "left").join(pts.select("plan_id", "district", F.array_max(apart).alias("d2")), ["plan_id", "district"], "left").na.fill(0.0)
-    r2 = F.col("d2") / 4.0
-    return d.select("plan_id", "district", F.when(r2 > 0, F.least(F.lit(1.0), F.col("area") / (math.pi * r2))).otherwise(F.lit(0.0)).alias("reock"))
+def reaches(extrema: DataFrame, directions: int = 16) -> DataFrame:
+    """(precinct_id, q0, q1, ...): a row for each precinct."""
+    return extrema.groupBy("precinct_id").agg(*[F.max(F.when(F.col("dir") == k, F.col("proj"))).alias(f"q{k}") for k in range(directions)])
+
+
+def reock(assignments: DataFrame, geometry: DataFrame, extrema: DataFrame, k: int) -> DataFrame:
+    """(plan_id, district, reock): the area over that of the circle whose diameter is the largest distance among 16 extreme points; 0 for a degenerate district."""
+    a = assignments.join(geometry.select("precinct_id", "area"), "precinct_id").groupBy("plan_id", "district").agg(F.sum("area").alias("area"))
+    far = F.max_by(F.struct("px", "py"), F.struct("proj", -F.col("precinct_id"))).alias("p")
+    pts = assignments.join(extrema, "precinct_id").groupBy("plan_id", "district", "dir").agg(far).groupBy("plan_id", "district").agg(F.collect_list("p").alias("ps"))
+    d = spine(assignments, k).join(a, ["plan_id", "district"], "left").join(pts, ["plan_id", "district"], "left").na.fill(0.0, ["area"])
+    return d.select("plan_id", "district", reock_value(F.col("area"), F.col("ps")).alias("reock"))
 
 
 def penalty(d: DataFrame, column: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardflow.operators.districts import placed
@@ -50,14 +51,38 @@ def congruence(m: DataFrame, precincts: DataFrame, k: int, unclipped: bool = Tru
     a = _direction(m, "county_id", F.col("county_pop"), F.col("district_pop"), "raw_county")
     b = _direction(m, "district", F.col("district_pop"), F.col("county_pop"), "raw_district")
     out = a.join(b, "plan_id").join(state)
-    c, d = F.col("raw_county"), F.col("raw_district")
+    return out.select("plan_id", "raw_county", "raw_district", congruence_penalty(F.col("raw_county"), F.col("raw_district"), F.col("counties"), k, unclipped).alias("congruence"))
+
+
+def congruence_penalty(c: Column, d: Column, n: Column, k: int, unclipped: bool = True) -> Column:
+    """From both directions' sums and the number of counties."""
     if unclipped:
-        penalty = 0.5 * SLOPE * F.greatest(F.lit(0.0), c - 1.0) + 0.5 * SLOPE * F.greatest(F.lit(0.0), d - 1.0)
-    else:
-        n = F.col("counties")
-        w = (F.least(n, F.lit(k)) - 1) / F.greatest(n, F.lit(k))
-        best = w * MOST + (1.0 - w) * LEAST
-        rise = lambda raw, at: F.when(at * WORST <= at, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (raw - at) / (at * WORST - at))) * 100.0)
-        ref_c, ref_d = F.when(n > k, best).otherwise(MOST), F.when(n > k, F.lit(MOST)).otherwise(best)
-        penalty = CLIPPED_SCALE * (0.5 * rise(c, ref_c) + 0.5 * rise(d, ref_d))
-    return out.select("plan_id", "raw_county", "raw_district", penalty.alias("congruence"))
+        return 0.5 * SLOPE * F.greatest(F.lit(0.0), c - 1.0) + 0.5 * SLOPE * F.greatest(F.lit(0.0), d - 1.0)
+    w = (F.least(n, F.lit(k)) - 1) / F.greatest(n, F.lit(k))
+    best = w * MOST + (1.0 - w) * LEAST
+    rise = lambda raw, at: F.when(at * WORST <= at, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (raw - at) / (at * WORST - at))) * 100.0)
+    ref_c, ref_d = F.when(n > k, best).otherwise(MOST), F.when(n > k, F.lit(MOST)).otherwise(best)
+    return CLIPPED_SCALE * (0.5 * rise(c, ref_c) + 0.5 * rise(d, ref_d))
+
+
+def plan_terms(m: DataFrame, precincts: DataFrame, k: int, tolerance: float) -> DataFrame:
+    """(plan_id, excess_splits, unified_districts, max_unified, raw_county, raw_district, counties) in one pass over a matrix that is dealt by plan_id: what a cell needs
+    of its county and of its district are windows within the plan, and what counts once for a county or a district is taken from its first cell."""
+    counties = constants(precincts, k, tolerance)
+    most = F.broadcast(counties.agg(F.sum("max_clean").alias("max_unified")))
+    state = F.broadcast(precincts.agg(F.sum("population").alias("state"), F.count_distinct("county_id").alias("counties")))
+    m = m.join(counties.select("county_id", F.col("population").alias("county_pop"), "allowance"), "county_id", "left")
+    of_county, of_district = W.partitionBy("plan_id", "county_id"), W.partitionBy("plan_id", "district")
+    m = m.withColumns({"district_pop": F.sum("population").over(of_district), "in_district": F.count("*").over(of_district), "parts": F.count("*").over(of_county), "c1": F.row_number().over(of_county.orderBy("district")), "d1": F.row_number().over(of_district.orderBy("county_id"))})
+    whole_district, whole_county = F.col("population") == F.col("district_pop"), F.col("population") == F.col("county_pop")
+    kept = lambda whole: F.when(whole, F.col("population")).otherwise(0)
+    m = m.withColumns({"folded_c": F.sum(kept(whole_district)).over(of_county), "folded_d": F.sum(kept(whole_county & F.col("county_id").isNotNull())).over(of_district)}).join(state)
+
+    def raw(size: Column, whole: Column, folded: str, first: str) -> Column:
+        own = F.when(F.coalesce(whole, F.lit(False)), 0.0).otherwise(F.sqrt(F.col("population") / size))
+        once = F.when(F.col(first) == 1, F.sqrt(F.col(folded) / size)).otherwise(0.0)
+        return F.sum(F.when(F.col("county_id").isNotNull(), size / F.col("state") * (own + once)))
+
+    excess = F.sum(F.when((F.col("c1") == 1) & F.col("county_id").isNotNull(), F.greatest(F.lit(0), F.col("parts") - F.col("allowance"))))
+    g = m.groupBy("plan_id").agg(excess.alias("excess_splits"), F.count_if(F.col("in_district") == 1).alias("unified_districts"), raw(F.col("county_pop"), whole_district, "folded_c", "c1").alias("raw_county"), raw(F.col("district_pop"), whole_county, "folded_d", "d1").alias("raw_district"), F.first("counties").alias("counties"))
+    return g.join(most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,20 +19,20 @@ def placed(assignments: DataFrame, precincts: DataFrame) -> DataFrame:
 def totals(assignments: DataFrame, precincts: DataFrame, k: int) -> DataFrame:
     """(plan_id, district) with population, dem_votes, rep_votes, precincts, share (0.5 without votes) and ideal."""
     sums = placed(assignments, precincts).groupBy("plan_id", "district").agg(F.sum("population").alias("population"), F.sum("dem_votes").alias("dem_votes"), F.sum("rep_votes").alias("rep_votes"), F.count("*").alias("precincts"))
-    return completed(spine(assignments, k), sums, precincts, k)
-
-
-def completed(all_districts: DataFrame, sums: DataFrame, precincts: DataFrame, k: int) -> DataFrame:
-    """The totals of every district, from the sums of those that have precincts."""
-    d = all_districts.join(sums, ["plan_id", "district"], "left").na.fill(0)
+    d = spine(assignments, k).join(sums, ["plan_id", "district"], "left").na.fill(0, ["population", "dem_votes", "rep_votes", "precincts"])
     votes = F.col("dem_votes") + F.col("rep_votes")
     ideal = precincts.agg((F.sum("population") / k).alias("ideal"))
     return d.withColumn("votes", votes).withColumn("share", F.when(votes > 0, F.col("dem_votes") / votes).otherwise(F.lit(0.5))).join(F.broadcast(ideal))
 
 
+def vote_arrays() -> Column:
+    """An aggregate over a plan's districts: (district, share, votes) in order."""
+    return F.sort_array(F.collect_list(F.struct("district", "share", "votes")))
+
+
 def arrays(d: DataFrame) -> DataFrame:
     """A row for each plan: shares and votes by district, so that metrics over districts are expressions of one row."""
-    g = d.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("district", "share", "votes"))).alias("a"))
+    g = d.groupBy("plan_id").agg(vote_arrays().alias("a"))
     return g.select("plan_id", F.transform("a", lambda x: x["share"]).alias("s"), F.transform("a", lambda x: x["votes"].cast("double")).alias("t"))
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def deviation(d: DataFrame, k: int, harbor: float = 0.0) -> DataFrame:
-    """plan_id, penalty (sum of squared excess over the harbour, times 100,000 / k), pop_dev_max and pop_dev_mean in percent, max_deviation as a fraction."""
+def deviations(k: int, harbor: float = 0.0) -> list[Column]:
+    """Aggregates over a plan's districts: the penalty (sum of squared excess over the harbour, times 100,000 / k), pop_dev_max and pop_dev_mean in percent."""
     dev = F.abs(F.col("population") - F.col("ideal")) / F.col("ideal")
     over = F.greatest(F.lit(0.0), dev - harbor)
-    return d.groupBy("plan_id").agg((F.sum(over * over) * 100_000.0 / k).alias("pop_deviation"), (F.max(dev) * 100).alias("pop_dev_max"), (F.avg(dev) * 100).alias("pop_dev_mean"), F.max(dev).alias("max_deviation"))
+    return [(F.sum(over * over) * 100_000.0 / k).alias("pop_deviation"), (F.max(dev) * 100).alias("pop_dev_max"), (F.avg(dev) * 100).alias("pop_dev_mean")]
+
+
+def deviation(d: DataFrame, k: int, harbor: float = 0.0) -> DataFrame:
+    """plan_id, the aggregates of deviations(), and max_deviation as a fraction."""
+    dev = F.abs(F.col("population") - F.col("ideal")) / F.col("ideal")
+    return d.groupBy("plan_id").agg(*deviations(k, harbor), F.max(dev).alias("max_deviation"))
 
 
 def stats(d: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions import geometry
-from wardflow.operators import alignment, chain, compactness, county, districts, graph, history, labels, partisan, population, reports, score, validate
+from wardflow.operators import alignment, chain, compactness, control, county, districts, graph, history, labels, partisan, population, reports, score, validate
 from wardflow.plans import oracle
-from wardflow.plans.config import ScoreConfig, everything
+from wardflow.plans.config import ScoreConfig, everything, interactive
 from wardflow.plans.fixtures import K, Lattice
+from wardflow.sources import shapefile, tables
 
 CFG = everything()
 
@@ -375,9 +378,80 @@ def stable_colors(x):
     return labels.stable(a, a.where("plan_id = 0"), K)
 
 
+@query
+def shade_colours(x):
+    x = saved(x)
+    s = rounded(reports.shades(x.assignments, layer(x), K))
+    scales = {"compact": reports.colour(F.col("compact_shade"), reports.STOPS, reports.COMPACT), "pop": reports.colour((F.col("pop_shade") + 1) / 2, reports.STOPS, reports.DEVIATION)}
+    return s.select("plan_id", "district", *[c[k].alias(f"{n}_{name}") for n, c in scales.items() for k, name in enumerate(("red", "green", "blue"))])
+
+
+# ---- layers and their files ----
+
+
+@query
+def edge_numbers(x):
+    return graph.numbered(x.edges, 100).select("u", "v", "edge_id")
+
+
+@query
+def county_codes(x):
+    return validate.with_county_codes(x.precincts, "county_id").select("precinct_id", "county_code")
+
+
+@query
+def layer_issues(x):
+    """What is said of five choices of columns."""
+    p = x.precincts
+    choices = {"fine": ("population", "precinct_key"), "no population": (None, "precinct_key"), "no precinct": ("population", None), "unknown column": ("none", "precinct_key"), "text": ("precinct_key", "precinct_key")}
+    said = [(k, validate.first_issue(p, population, precinct, [("dem_votes", "rep_votes")], "county_id")) for k, (population, precinct) in choices.items()]
+    return x.spark.createDataFrame(said, "choice string, issue string")
+
+
+@query
+def shapefile_round_trip(x):
+    """The lattice written as a shapefile, then read as a table and, for its points, by SQL's table function."""
+    at = f"{graph.shared_dir(x.spark)}/layer-{uuid.uuid4().hex}/layer.shp"
+    rows = x.precincts.orderBy("precinct_id").select("precinct_key", "population", "rings").collect()
+    shapefile.write(at, [("KEY", "C", 12, 0), ("POP", "N", 12, 0)], [(r["precinct_key"], r["population"], [q.asDict(True) for q in r["rings"]]) for r in rows])
+    control.register(x.spark)
+    points = x.spark.sql(f"SELECT precinct_id, count(*) AS vertices, sum(x) AS sum_x, sum(y) AS sum_y FROM shapefile_vertices('{at}') GROUP BY precinct_id")
+    p = shapefile.load(x.spark, at)
+    return p.select("precinct_id", F.col("KEY").alias("key"), "population", geometry.area(F.col("rings")).alias("area")).join(points, "precinct_id")
+
+
+@query
+def plan_file_round_trip(x):
+    """Plan 1 written as a file, read, checked and taken as a run's start."""
+    x = saved(x)
+    at = f"{graph.shared_dir(x.spark)}/plan-{uuid.uuid4().hex}"
+    tables.write_plan(x.assignments.where("plan_id = 1"), x.precincts, at)
+    back = validate.load_plan(tables.read_plan(x.spark, at), x.precincts, x.edges, "precinct_key", "district", K, CFG.tolerance)
+    return back.withColumn("plan_id", F.lit(1).cast("long"))
+
+
 # ---- history ----
 
 
+@query
+def best_state(x):
+    return history.best_state(x.history).drop("best_temperature")
+
+
+@query
+def run_readout(x):
+    e = x.spark.read.parquet(f"{x.dir}/events.parquet").groupBy(F.col("user_id").cast("long").alias("chain_id")).agg(F.count("*").alias("n"), ((F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1e6).alias("elapsed"))
+    c = F.col("chain_id")
+    runs = e.select("chain_id", F.when(c % 10 == 0, 0).otherwise(F.col("n")).alias("iteration"), F.when(c % 3 == 0, F.col("n")).otherwise(2 * F.col("n")).alias("iterations"), "elapsed", (c % 4 != 0).alias("running"))
+    return history.readout(runs)
+
+
+@query
+def active_metrics(x):
+    runs = {"bare": score.active_metrics(ScoreConfig(), False), "interactive with votes": score.active_metrics(interactive(), True), "ratchet": score.active_metrics(ScoreConfig(), False, ratchet=True), "all": score.active_metrics(CFG, True, hinge=True)}
+    return x.spark.createDataFrame([(k, m) for k, v in runs.items() for m in v], "run string, metric string")
+
+
 @query
 def acceptance_rate(x):
     return history.acceptance(x.history)
@@ -487,9 +561,41 @@ def flip_chain(x):
     return _moves(x, "flip", 100)
 
 
+@query
+def chain_invariants(x):
+    """What the last plan of each chain keeps, for every kind of move and for first plans."""
+    x = saved(x)
+    arrays, start, found = packed(x), balanced(x), []
+    for move, iterations in (("two", 20), ("three", 20), ("flip", 100), ("first", 0)):
+        cfg = chain.ChainConfig(iterations=iterations, seed=2, only=None if move == "first" else move, score=ScoreConfig(n_districts=K))
+        plans = chain.assignments(chain.run(x.spark, arrays, cfg, 4, "plans", None if move == "first" else start, every=max(1, iterations)).where(F.col("iteration") == iterations))
+        found.append(plans.withColumn("move", F.lit(move)))
+    a = graph.stored(reduce(DataFrame.unionByName, found), "chain-plans")
+    kinds = F.create_map(*[F.lit(v) for k, m in enumerate(("two", "three", "flip", "first")) for v in (m, k)])
+    a = a.withColumn("plan_id", (F.col("chain_id") * 4 + kinds[F.col("move")]).cast("long"))
+    d = districts.totals(a, x.precincts, K)
+    off = F.max(F.abs(F.col("population") - F.col("ideal")) / F.col("ideal"))
+    kept = d.groupBy("plan_id").agg((off <= CFG.tolerance + 1e-9).alias("within"), F.sum("precincts").alias("precincts"), F.sum("population").alias("population"))
+    whole = graph.pieces(a, x.edges).groupBy("plan_id").agg(F.count("*").alias("districts"), F.max("pieces").alias("most_pieces"))
+    return a.select("plan_id", "move", "chain_id").distinct().join(whole, "plan_id").join(kept, "plan_id").select("move", "chain_id", "districts", "most_pieces", "within", "precincts", "population")
+
+
+@query
+def run_in_batches(x):
+    """A run that is stopped after each batch and taken up again, against the same run in one go."""
+    x = saved(x)
+    cfg = chain.ChainConfig(iterations=12, seed=7, score=interactive(n_districts=K))
+    arrays, start, at = packed(x), balanced(x), f"{graph.shared_dir(x.spark)}/run-{uuid.uuid4().hex}"
+    for _ in range(3):
+        control.Run(x.spark, at, arrays, cfg, 3, start).advance(5)
+    now = control.Run(x.spark, at, arrays, cfg, 3, start).states()
+    once = chain.run(x.spark, arrays, cfg, 3, "best", start).select("chain_id", F.col("iteration").alias("i"), F.col("total").alias("t"))
+    return now.join(once, "chain_id").select("chain_id", "iteration", ((F.col("i") == F.col("iteration")) & (F.col("t") == F.col("best"))).alias("same"))
+
+
 @query
 def annealed_ensemble(x):
-    weights = ScoreConfig(weight_county_excess=1.0, weight_polsby_popper=1.0, weight_mean_median=1.0, weight_pop_deviation=1.0)
+    weights = interactive(weight_county_excess=1.0, weight_mean_median=1.0, weight_pop_deviation=1.0)
     cfg = chain.ChainConfig(iterations=40, seed=3, flips=True, ratchet="standard", score=weights)
     best = chain.run(x.spark, packed(x), cfg, 8, "best", balanced(x))
     return best.select("chain_id", "iteration", "total", F.size("plan").alias("precincts"), F.array_max("plan").alias("last_district"))
@@ -498,8 +604,6 @@ def annealed_ensemble(x):
 @query
 def chain_stream_history(x):
     """The stream's figures after all files of a history have been read, one file at a time."""
-    import uuid
-
     from wardflow.streaming import history as stream
 
     h = x.history.select("chain_id", "seq", "iteration", "total", "is_worse", "accepted")

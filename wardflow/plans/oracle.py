@@ -7,7 +7,7 @@ import math
 from wardflow.functions.geometry import DIRECTIONS
 from wardflow.functions.numeric import hermite_nodes, normal_cdf_sql
 from wardflow.operators.partisan import CMP_KNEE, CMP_POWER, GINI_GRID
-from wardflow.operators.reports import BREAKS
+from wardflow.operators.reports import BREAKS, COMPACT, DEVIATION, STOPS
 from wardflow.plans.config import everything
 
 K = 8
@@ -326,3 +326,72 @@ l AS (SELECT o.chain_id, seq, seq AS iteration, last_value(own IGNORE NULLS) OVE
       FROM o LEFT JOIN f ON f.chain_id = o.chain_id AND f.total = o.best) """
     + six("SELECT * FROM l", "rate", "best")
 )
+
+#: A tour from the north-west corner to the nearest district that it has not met, by a row for each of its stops.
+SQL["renumber_proximity"] = (
+    BASE
+    + CENTRES
+    + """, begin AS (SELECT plan_id, arg_max(district, (ny + 1 - nx, -district)) AS spot FROM unit WHERE cx IS NOT NULL GROUP BY 1),
+gaps AS (SELECT a.plan_id, a.district AS a, b.district AS b, (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) AS d2 FROM unit a JOIN unit b ON a.plan_id = b.plan_id AND a.district <> b.district WHERE a.cx IS NOT NULL AND b.cx IS NOT NULL),
+tour(plan_id, spot, seen, step) AS (SELECT plan_id, spot, [spot], 1 FROM begin
+  UNION ALL SELECT t.plan_id, g.b, list_append(t.seen, g.b), t.step + 1 FROM tour t JOIN gaps g ON g.plan_id = t.plan_id AND g.a = t.spot AND NOT list_contains(t.seen, g.b)
+  QUALIFY row_number() OVER (PARTITION BY t.plan_id ORDER BY g.d2, g.b) = 1)
+SELECT s.plan_id, s.district, coalesce(step, (SELECT count(*) FROM tour u WHERE u.plan_id = s.plan_id) + row_number() OVER (PARTITION BY s.plan_id, t.step IS NULL ORDER BY s.district))::INT AS label
+FROM spine s LEFT JOIN tour t ON t.plan_id = s.plan_id AND t.spot = s.district"""
+)
+#: Districts choose in turn; a row for each choice.
+SQL["stable_colors"] = (
+    BASE
+    + f""", shared AS (SELECT a.plan_id, a.district, b.district AS was, count(*) AS n FROM assignments a JOIN assignments b ON b.plan_id = 0 AND b.precinct_id = a.precinct_id GROUP BY 1, 2, 3),
+grid AS (SELECT p.plan_id, d.k::INT AS district, w.k::INT AS was, coalesce(n, 0) AS n FROM (SELECT DISTINCT plan_id FROM assignments) p CROSS JOIN range({K}) d(k) CROSS JOIN range({K}) w(k) LEFT JOIN shared s ON s.plan_id = p.plan_id AND s.district = d.k AND s.was = w.k),
+sure AS (SELECT plan_id, district, list_sort(list(n), 'DESC') AS ns FROM grid GROUP BY 1, 2),
+turns AS (SELECT plan_id, district, row_number() OVER (PARTITION BY plan_id ORDER BY ns[1] - ns[2] DESC, district DESC) AS turn FROM sure),
+picks(plan_id, district, label, used, turn) AS (SELECT plan_id, NULL::INT, NULL::INT, []::INT[], 0::BIGINT FROM sure GROUP BY 1
+  UNION ALL SELECT p.plan_id, g.district, g.was, list_append(p.used, g.was), t.turn FROM picks p JOIN turns t ON t.plan_id = p.plan_id AND t.turn = p.turn + 1 JOIN grid g ON g.plan_id = p.plan_id AND g.district = t.district AND NOT list_contains(p.used, g.was)
+  QUALIFY row_number() OVER (PARTITION BY p.plan_id ORDER BY g.n DESC, g.was DESC) = 1)
+SELECT plan_id, district, label FROM picks WHERE turn > 0"""
+)
+#: One island of four unit squares, moved five units away: the best of all pairs.
+SQL["bridge_components"] = (
+    BASE
+    + """, c AS (SELECT precinct_id, county_id, x < 2 AND y < 2 AS island, (CASE WHEN x < 2 AND y < 2 THEN x - 5 ELSE x END)::DOUBLE AS x, y::DOUBLE AS y FROM precincts),
+pair AS (SELECT least(a.precinct_id, b.precinct_id) AS u, greatest(a.precinct_id, b.precinct_id) AS v, (a.county_id <> b.county_id)::INT AS tier, sqrt(pow(greatest(abs(a.x - b.x) - 1, 0), 2) + pow(greatest(abs(a.y - b.y) - 1, 0), 2)) AS gap
+         FROM c a JOIN c b ON a.island AND NOT b.island)
+SELECT u, v, 0.0::DOUBLE AS shared_len, true AS is_virtual FROM pair ORDER BY tier, round(gap, 9), u, v LIMIT 1"""
+)
+SQL["edge_numbers"] = BASE + "SELECT u, v, row_number() OVER (ORDER BY u, v) - 1 AS edge_id FROM edges"
+SQL["county_codes"] = BASE + "SELECT precinct_id, (dense_rank() OVER (ORDER BY county_id) - 1)::INT AS county_code FROM precincts"
+SQL["best_state"] = HISTORY + ", b AS (SELECT chain_id, arg_min(seq, (total, seq)) AS at FROM h WHERE accepted GROUP BY 1) " + six("SELECT h.chain_id, total AS best, seq AS best_iteration, seq AS best_length FROM h JOIN b ON b.chain_id = h.chain_id AND b.at = h.seq", "best")
+SQL["run_readout"] = (
+    """WITH r AS (SELECT user_id::BIGINT AS chain_id, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000::DOUBLE AS elapsed FROM events GROUP BY 1),
+s AS (SELECT *, CASE WHEN chain_id % 10 = 0 THEN 0 ELSE n END AS iteration, CASE WHEN chain_id % 3 = 0 THEN n ELSE 2 * n END AS iterations FROM r),
+i AS (SELECT *, CASE WHEN iteration = 0 THEN NULL WHEN elapsed > 0 THEN iteration / elapsed ELSE 0 END AS ips FROM s),
+l AS (SELECT *, floor(elapsed)::BIGINT AS a, CASE WHEN chain_id % 4 <> 0 AND ips > 0 AND iteration < iterations THEN floor((iterations - iteration) / ips)::BIGINT END AS b FROM i) """
+    + six(
+        "SELECT chain_id, "
+        + ", ".join(f"CASE WHEN {c} IS NULL THEN NULL WHEN {c} >= 3600 THEN printf('%d:%02d:%02d', {c} // 3600, {c} % 3600 // 60, {c} % 60) ELSE printf('%d:%02d', {c} // 60, {c} % 60) END AS {n}" for c, n in (("a", "time"), ("b", "\"left\"")))
+        + ", ips FROM l",
+        "ips",
+    )
+)
+
+
+def interpolated(t: str, channel: int, colours: tuple) -> str:
+    out = f"CASE WHEN {t} <= {STOPS[0]}::DOUBLE THEN {float(colours[0][channel])}::DOUBLE"
+    for a, b, v, w in zip(STOPS, STOPS[1:], colours, colours[1:]):
+        out += f" WHEN {t} <= {b}::DOUBLE THEN {v[channel]}::DOUBLE + ({t} - {a}::DOUBLE) * {(w[channel] - v[channel]) / (b - a)}::DOUBLE"
+    return f"floor({out} ELSE {float(colours[-1][channel])}::DOUBLE END)::INT"
+
+
+SQL["shade_colours"] = f"SELECT plan_id, district, {', '.join(f'{interpolated(t, k, c)} AS {n}_{name}' for t, c, n in (('compact_shade', COMPACT, 'compact'), ('(pop_shade + 1) / 2', DEVIATION, 'pop')) for k, name in enumerate(('red', 'green', 'blue')))} FROM ({SQL['district_shades']})"
+_ALWAYS = ["total", "temperature", "cut_edges"]
+_VOTES = ["mean_median", "efficiency_gap", "dem_seats", "partisan_bias", "partisan_gini", "proportionality", "inversion_chance", "competitiveness", "majority_dem", "majority_rep"]
+_ACTIVE = {"bare": _ALWAYS, "interactive with votes": [*_ALWAYS, "compactness", "polsby_popper", "reock", *_VOTES], "ratchet": [*_ALWAYS, "pop_dev_max", "pop_dev_mean"], "all": [*_ALWAYS, "compactness", "polsby_popper", "reock", "congruence", "excess_splits", "pop_dev_max", "pop_dev_mean", *_VOTES, "hinge_chance"]}
+SQL["active_metrics"] = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{m}')" for k, v in _ACTIVE.items() for m in v) + ") AS t(run, metric)"
+_ISSUES = [("fine", None), ("no population", "Choose a population column."), ("no precinct", "Choose a precinct id column."), ("unknown column", "Population column ''none'' is not in the layer."), ("text", "Population column ''precinct_key'' is not numeric (string).")]
+SQL["layer_issues"] = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if v is None else chr(39) + v + chr(39)})" for k, v in _ISSUES) + ") AS t(choice, issue)"
+SQL["shapefile_round_trip"] = BASE + "SELECT precinct_id, precinct_key AS key, population, 1.0::DOUBLE AS area, 5::BIGINT AS vertices, (5 * x + 2)::DOUBLE AS sum_x, (5 * y + 2)::DOUBLE AS sum_y FROM precincts"
+SQL["plan_file_round_trip"] = BASE + "SELECT plan_id, precinct_id, district FROM assignments WHERE plan_id = 1"
+#: What every valid plan of a chain keeps, whatever the draws: all districts, each in one piece and within the tolerance, and all precincts and people.
+SQL["chain_invariants"] = BASE + f"SELECT m AS move, c.k AS chain_id, {K}::BIGINT AS districts, 1::BIGINT AS most_pieces, true AS within, (SELECT count(*) FROM precincts) AS precincts, (SELECT sum(population) FROM precincts)::BIGINT AS population FROM (VALUES ('two'), ('three'), ('flip'), ('first')) AS t(m) CROSS JOIN range(4) c(k)"
+SQL["run_in_batches"] = "SELECT c.k AS chain_id, 12::BIGINT AS iteration, true AS same FROM range(3) c(k)"

@@ -136,10 +136,14 @@ class ShapefileSource(DataSource):
 
     def schema(self) -> StructType | str:
         disk, _ = opened(self.options["path"])
-        own = []
-        for path in files(self.options["path"])[:1]:
+        found = {}
+        for path in files(self.options["path"]):
             dbf = _bytes(disk, path[:-4] + ".dbf")
             own = [] if dbf is None else [f"`{name}` " + ("long" if kind == "N" and not d else "double" if kind in "NF" else "boolean" if kind == "L" else "string") for name, kind, _, d in fields(dbf)]
+            found.setdefault(tuple(own), path)
+        if len(found) > 1:
+            raise ValueError(f"files of one folder differ in their columns: {', '.join(found.values())}")
+        own = next(iter(found), ())
         return ", ".join([*own, f"rings {RINGS}", "precinct_id long"])
 
     def reader(self, schema) -> ShapefileReader:
@@ -208,7 +212,7 @@ def write(uri: str, names: list[tuple[str, str, int, int]], rows: list[tuple]) -
     """A small layer from rows (values..., rings), rings as the reader gives them. names: (name, type, width, decimals)."""
     disk, root = opened(uri)
     disk.create_dir(posixpath.dirname(root), recursive=True)
-    body, index = b"", b""
+    found, index, at = [], [], 0
     for k, row in enumerate(rows, 1):
         rings = row[-1]
         if rings is None:
@@ -220,14 +224,18 @@ def write(uri: str, names: list[tuple[str, str, int, int]], rows: list[tuple]) -
             starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
             box = (min(x for x, _ in pts), min(y for _, y in pts), max(x for x, _ in pts), max(y for _, y in pts)) if pts else (0.0,) * 4
             rec = struct.pack("<i4d2i", 5, *box, len(parts), len(pts)) + struct.pack(f"<{len(parts)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in pts)
-        index += struct.pack(">2i", 50 + len(body) // 2, len(rec) // 2)
-        body += struct.pack(">2i", k, len(rec) // 2) + rec
+        index.append(struct.pack(">2i", 50 + at // 2, len(rec) // 2))
+        found.append(struct.pack(">2i", k, len(rec) // 2) + rec)
+        at += len(found[-1])
+    body, index = b"".join(found), b"".join(index)
     head = lambda n: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 50 + n // 2) + struct.pack("<2i8d", 1000, 5, *[0.0] * 8)
     size = 1 + sum(w for _, _, w, _ in names)
     dbf = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(rows), 33 + 32 * len(names), size) + b"".join(struct.pack("<11sc4xBB14x", n.encode(), t.encode(), w, d) for n, t, w, d in names) + b"\r"
+    lines = []
     for row in rows:
         cells = [("" if v is None else f"{v:.{d}f}" if t == "N" and d else str(v)) for v, (_, t, _, d) in zip(row, names)]
-        dbf += b" " + b"".join((c.rjust(w) if t == "N" else c.ljust(w)).encode("utf-8")[:w] for c, (_, t, w, _) in zip(cells, names))
+        lines.append(b" " + b"".join((c.rjust(w) if t == "N" else c.ljust(w)).encode("utf-8")[:w] for c, (_, t, w, _) in zip(cells, names)))
+    dbf += b"".join(lines)
     for ext, raw in ((".shp", head(len(body)) + body), (".shx", head(len(index)) + index), (".dbf", dbf + b"\x1a"), (".cpg", b"UTF-8")):
         with disk.open_output_stream(root[:-4] + ext) as f:
             f.write(raw)

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from wardflow.llm import simhash as S
 
@@ -79,6 +80,37 @@ def test_forest_with_split_blocks(monkeypatch):
     assert whole == want
 
 
+def test_hot_blocks_are_dealt_on(spark):
+    """A third of all fingerprints lie close together; blocks of over 20 rows are spread, and no link is lost."""
+    rng = np.random.default_rng(2)
+    centre = rng.integers(-(2**63), 2**63, 3)
+    fs = set()
+    while len(fs) < 600:
+        f = int(centre[int(rng.integers(0, 3))] if rng.random() < 0.7 else rng.integers(-(2**63), 2**63))
+        for b in rng.integers(0, 64, int(rng.integers(0, 8))):
+            f ^= (1 << int(b)) if b < 63 else -(1 << 63)
+        fs.add(f)
+    fs = list(fs)
+    nodes = spark.createDataFrame(list(enumerate(fs)), "node long, f0 long")
+    want = brute_groups([f % 2**64 for f in fs], list(range(len(fs))), 3)
+    for most in (20, 1 << 16):
+        got = {r["node"]: r["root"] for r in S.linked(nodes, 1, 3, False, most).collect()}
+        assert [got.get(k, k) for k in range(len(fs))] == want
+    blocks = nodes.select("node", "f0", F.lit(7).cast("long").alias("k"), F.lit(-1).cast("long").alias("rest"))
+    parts = S.spread(blocks, len(fs), 3, 100).groupBy("k").count()
+    assert parts.agg(F.max("count")).first()[0] < len(fs) / 2 and parts.count() > 10
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d", "x", 5, 6, 7, 8, 9), (2, "a b c d", "y", 5, 6, 7, 8, 9), (None, None, None, 5, 6, 7, 8, 9)], "doc_id long, text string, `a b` string, h int, least int, key int, f0 int, bands int")
+    got = S.grouped(df, 3, 1, 3)
+    assert {"a b", "h", "least", "key", "bands"} < set(got.columns)
+    rows = sorted(got.collect(), key=lambda r: r["doc_id"] or 9)
+    assert [(r["a b"], r["h"], r["least"], r["key"], r["bands"], r["component_id"]) for r in rows] == [("x", 5, 6, 7, 9, 1), ("y", 5, 6, 7, 9, 1), (None, 5, 6, 7, 9, None)]
+    assert rows[0]["f0"] != 8
+    assert sorted(r["doc_id"] or 0 for r in S.drop_near_duplicates(df).collect()) == [0, 1]
+
+
 def test_empty(spark):
     assert S.grouped(spark.createDataFrame([], "doc_id long, text string"), 3, 1, 3).collect() == []
 

@@ -6,14 +6,18 @@ each plane, against itself shifted by d rows, adds one bit of the distances of 6
 pairs have all passed the radius are abandoned. A block gives a forest of its links, never its pairs. Connected components
 of all forests are the groups.
 
-With a small radius the block keys are pairs of fingerprint parts: of radius + 2 parts two are equal in any linked pair, so no link is lost.
+With a small radius the block keys are pairs of fingerprint parts: of radius + 2 parts two are equal in any linked pair, so no link is lost. Keys of over MOST rows
+are dealt on to tasks by further parts of the fingerprint, with the same guarantee.
 With a similarity bound the keys are bands of minima of the shingles' hashes: 32 bands of 3, so that a pair at the similarity 0.8 shares
 a band but for once in 1e9, and the fingerprint has 256 bits, with a radius SPREAD standard deviations over the distance expected of
 that similarity. What is found so are candidates only: rows whose candidates hang together meet once more, with their sets of shingles,
 and a pair enters the forest if the sets' Jaccard similarity reaches the bound.
 
+Rows whose candidates of a similarity bound hang together meet in one task, with their sets: its memory grows with the largest such group of different sets.
+
 Nulls: a null or wordless text has the zero fingerprint, and is linked like others. Rows that repeat are each returned. A null doc_id
-is never a group's least one unless all are null. Very large blocks are split by the other bits of the fingerprint. An empty table gives an empty result.
+is never a group's least one unless all are null. Very large blocks are split by the other bits of the fingerprint. A very long text is hashed by one task, some 16 bytes a word.
+An empty table gives an empty result. Of columns named like the result's (uid, f0 and so on, component_id, chosen) the result's own are returned.
 """
 
 from __future__ import annotations
@@ -25,11 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardflow.llm.common import lookup, stored, table
 from wardflow.llm.components import components
 
 SEED, LARGE, BANDS, ROWS, SPREAD = 42, 8192, 32, 3, 4
+#: Rows of a block that one task may hold, where the bits can part them.
+MOST = 1 << 16
 #: Multipliers that give further hash words and minima from one hash.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -122,8 +129,9 @@ def _sign(n: int, size: int, with_bands: bool, text: str):
 
 def signed(docs: DataFrame, n: int, size: int, with_bands: bool = False, text: str = "text") -> DataFrame:
     """docs with f0, f1 and so on in place of the text, and, if asked for, the bands and the digest s0, s1 of the set of shingles, which then count once each."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    return docs.mapInArrow(_sign(n, size, with_bands, text), kept + "".join(f", f{k} long" for k in range(size)) + ", s0 long, s1 long, bands array<long>" * with_bands)
+    new = [(f"f{k}", T.LongType()) for k in range(size)] + [("s0", T.LongType()), ("s1", T.LongType()), ("bands", T.ArrayType(T.LongType()))] * with_bands
+    schema = T.StructType([f for f in docs.schema if f.name != text] + [T.StructField(k, t) for k, t in new])
+    return docs.mapInArrow(_sign(n, size, with_bands, text), schema)
 
 
 # ---- bit-sliced comparison ----
@@ -307,7 +315,35 @@ def _linker(size: int, radius: int, similarity: float | None = None, chunk: int
     return run
 
 
-def linked(rows: DataFrame, size: int, radius: int, by_bands: bool) -> DataFrame:
+def spread(blocks: DataFrame, rows: int, radius: int, most: int = MOST) -> DataFrame:
+    """blocks (node, f0, k, rest: the bits that k says nothing of; rows in number) with keys under which at most `most` rows stand, as far as their bits allow: the rest of a larger
+    block's bits is dealt to radius + 1 stripes, of which a linked pair shares one, and each stripe's value is a key of its own. Stripes of the next level cut across those before."""
+    base, done = radius + 1, []
+    for level in range(int(math.log(64, base))):
+        # A key with so many rows makes a bucket of as many, and only rows of such buckets are counted by key.
+        buckets = max(1 << 12, 8 * rows // most)
+        bucket = F.pmod(F.col("k"), F.lit(buckets)).alias("bucket")
+        heavy = blocks.groupBy(bucket).agg(F.count("*").alias("n")).where(F.col("n") > most).select("bucket")
+        if heavy.isEmpty():
+            break
+        some = blocks.withColumn("bucket", bucket).join(heavy, "bucket", "left_semi")
+        large = stored(some.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > most).select("k"), "large-blocks")
+        if large.isEmpty():
+            break
+        done.append(blocks.join(large, "k", "left_anti"))
+        masks = [sum(1 << b for b in range(64) if b // base**level % base == j) for j in range(base)]
+        masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+        stripe = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(m).cast("long").alias("m")) for j, m in enumerate(masks)])).alias("s")
+        hot = blocks.join(large, "k", "left_semi").select("node", "f0", "k", "rest", stripe)
+        own = F.col("f0").bitwiseAND(F.col("rest")).bitwiseAND(F.col("s.m"))
+        blocks = stored(hot.select("node", "f0", F.xxhash64("k", "s.j", own).alias("k"), F.col("rest").bitwiseAND(F.bitwise_not(F.col("s.m"))).alias("rest")), "blocks")
+        rows = blocks.count()
+    for x in reversed(done):
+        blocks = blocks.unionByName(x)
+    return blocks
+
+
+def linked(rows: DataFrame, size: int, radius: int, by_bands: bool, most: int = MOST) -> DataFrame:
     """(node, root) of nodes that are linked. rows: node, f0 and so on, bands: each fingerprint, or set, once."""
     fs = [f"f{k}" for k in range(size)]
     if by_bands:
@@ -317,8 +353,10 @@ def linked(rows: DataFrame, size: int, radius: int, by_bands: bool) -> DataFrame
         cuts = [(k * width, 64 if k + 1 == parts else (k + 1) * width) for k in range(parts)]
         bits = [F.shiftrightunsigned(F.shiftleft("f0", 64 - b), 64 - b + a) for a, b in cuts]
         pairs = [(i, j) for i in range(parts) for j in range(i)]
-        keys = [F.xxhash64(F.lit(i * parts + j), bits[i], bits[j]) for i, j in pairs]
-        blocks = rows.select("node", *fs, F.explode(F.array(*keys)).alias("k"))
+        signed_mask = lambda i, j: (m := ((1 << 64) - 1) & ~sum(((1 << b) - 1) ^ ((1 << a) - 1) for a, b in (cuts[i], cuts[j]))) - ((m >> 63) << 64)
+        keys = [F.struct(F.xxhash64(F.lit(i * parts + j), bits[i], bits[j]).alias("k"), F.lit(signed_mask(i, j)).cast("long").alias("rest")) for i, j in pairs]
+        blocks = rows.select("node", *fs, F.explode(F.array(*keys)).alias("x")).select("node", *fs, "x.k", "x.rest")
+        blocks = spread(blocks, rows.count() * len(pairs), radius, most).drop("rest")
     dealt = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k").sortWithinPartitions("k", "node")
     return components(dealt.mapInArrow(_linker(size, radius), "u long, v long"))
 
@@ -343,17 +381,19 @@ def confirmed(docs: DataFrame, nodes: DataFrame, found: DataFrame, n: int, size:
     return components(dealt.mapInArrow(_linker(size, radius, similarity, 1000), "u long, v long"))
 
 
-def grouped(docs: DataFrame, n: int, size: int, radius: int, by_bands: bool = False, text: str = "text", key: str = "doc_id", similarity: float | None = None) -> DataFrame:
+def grouped(docs: DataFrame, n: int, size: int, radius: int, by_bands: bool = False, text: str = "text", key: str = "doc_id", similarity: float | None = None, most: int = MOST) -> DataFrame:
     """A row for each of docs: its columns but the text, f0 and so on, uid, and component_id, the least key of its group, and chosen: it is the group's one to keep.
 
     With a similarity, links are confirmed by the sets of shingles; docs, read a second time for that, have a uid, and their text is named so."""
     ids = [f"f{k}" for k in range(size)] + ["s0", "s1"] * by_bands
-    s = signed(docs, n, size, by_bands, text)
+    others = [c for c in docs.columns if c != text]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("d"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), *(["uid"] if similarity else []))
+    s = signed(own, n, size, by_bands)
     s = stored(s if similarity else s.withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
-    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "uid")).alias("first")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "uid")).alias("first")
     also = [F.first("bands").alias("bands")] if by_bands else []
     nodes = stored(s.groupBy(*ids).agg(F.min("uid").alias("node"), first, F.count("*").alias("n"), *also), "nodes")
-    found = linked(nodes, size, radius, by_bands)
+    found = linked(nodes, size, radius, by_bands, most)
     if similarity:
         found = confirmed(docs.select("uid", "text"), nodes, found, n, size, radius, similarity)
     of = nodes.select("node", *ids, "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -365,7 +405,9 @@ def grouped(docs: DataFrame, n: int, size: int, radius: int, by_bands: bool = Fa
     right = of.groupBy("h").agg(F.collect_list(F.struct("f", "least")).alias("of"))
     out = lookup(own, right, "h", counts)
     hit = F.filter("of", lambda x: x["f"] == F.struct(*ids))[0]["least"]
-    return out.withColumn("least", hit).select(*s.drop("bands", "s0", "s1").columns, F.col("least.key").alias("component_id"), (F.col("least.uid") == F.col("uid")).alias("chosen"))
+    made = [f"f{k}" for k in range(size)] + ["uid", "component_id", "chosen"]
+    out = out.withColumn("least", hit).select("d", *made[:-2], F.col("least.key").alias("component_id"), (F.col("least.uid") == F.col("uid")).alias("chosen"))
+    return out.select(*[F.col(f"d.`{c}`").alias(c) for c in others if c not in made], *made)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.llm.common import fresh_path, remove
+from wardflow.llm.common import HEAVY, fresh_path, remove
 
 
 def _signature(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def with_least(edges: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    """edges (u, v) with m of least (u, m, n: u's number of edges). Nodes with over 1/HEAVY of the rows, of which there are 2 * HEAVY at most, are broadcast."""
+    hot = F.broadcast(least.where(F.col("n") > rows / HEAVY).select("u", "m"))
+    cold = edges.join(hot.select("u"), "u", "left_anti").join(least.select("u", "m"), "u")
+    return edges.join(hot, "u").unionByName(cold)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): each node of edges (u, v: long), with the smallest node that it is linked to. Isolated nodes have no row.
 
     A round links each node's larger neighbours, then its smaller ones, to the smallest of them; it ends when nothing changes. Each
     round is written to the shared folder, the one before is deleted, and the driver sees only a count and a hash. Rounds grow with the logarithm of the nodes; a table that
-    still changes after so many is an error. A hub's edges may be dealt to many tasks: the sums are partial ones, and Spark splits the joins' skewed side. An edge table with null ends loses those rows."""
+    still changes after so many is an error. A hub's edges are never in one task: the sums are partial ones, and hubs, of which there can be few, are broadcast to their edges. An edge table with null ends loses those rows."""
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     spark, kind = e.sparkSession, "u long, v long"
 
@@ -31,13 +38,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not now[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u")
-        # Nodes that are the least of their neighbours have no row in low and keep their edges.
-        up = e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(low, "u", "left")
-        large = up.select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v"))
-        large = large.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        # Nodes that are the least of their neighbours keep their edges.
+        up = with_least(e.select(F.col("v").alias("u"), F.col("u").alias("v")), low, now[0])
+        large = up.select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_least(large, least, now[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         old = at
         e, at = put(small)
         remove(spark, old)

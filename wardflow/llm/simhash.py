@@ -397,8 +397,8 @@ def grouped(docs: DataFrame, n: int, size: int, radius: int, by_bands: bool = Fa
     if similarity:
         found = confirmed(docs.select("uid", "text"), nodes, found, n, size, radius, similarity)
     of = nodes.select("node", *ids, "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = of.groupBy("root").agg(F.min("first").alias("least"))
-    of = stored(of.select(*ids, "root").join(least, "root").select(F.xxhash64(*ids).alias("h"), F.struct(*ids).alias("f"), "least"), "groups")
+    least = of.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n"))
+    of = stored(lookup(of.select(*ids, "root"), least.select("root", "least"), "root", least.select("root", "n")).select(F.xxhash64(*ids).alias("h"), F.struct(*ids).alias("f"), "least"), "groups")
     counts = nodes.select(F.xxhash64(*ids).alias("h"), "n").groupBy("h").agg(F.sum("n").alias("n"))
     own = s.drop("bands").withColumn("h", F.xxhash64(*ids) if len(ids) > 1 else F.xxhash64("f0"))
     # h may join two fingerprints, though hardly ever: they are compared as well.

@@ -62,3 +62,15 @@ def test_rows(spark):
     clips = A.clips(A.stored_media(df.where("doc_id = 7"))).toPandas().sort_values("clip")
     assert clips.start_ms.iloc[0] == 0 and (clips.start_ms.iloc[1:].to_numpy() == clips.end_ms.iloc[:-1].to_numpy()).all()
     assert A.clips(A.stored_media(df.limit(0))).collect() == []
+
+
+def test_a_very_long_text_is_stored_without_loss(spark):
+    """Some ten thousand frames, packed and read in parts; other columns are not read."""
+    import hashlib
+
+    text = "".join(chr(32 + (k * k) % 90) for k in range(2_500_000)) + "é😀"
+    df = spark.createDataFrame([(1, text, 5), (2, None, 6)], "doc_id long, text string, media int")
+    got = {r["doc_id"]: r for r in A.stored_media(df).mapInArrow(A._features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").collect()}
+    for k, t in ((1, text), (2, None)):
+        n, payload = A.padded(t)
+        assert got[k]["n_bytes"] == n and got[k]["payload_sha256"] == hashlib.sha256(payload).hexdigest()

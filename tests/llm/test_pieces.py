@@ -194,3 +194,13 @@ def test_pieces_that_become_due_after_their_turn(spark):
     words = [(w, e + singles(w), ids) for w, e, ids in words]
     df = spark.createDataFrame(words, "w string, edges array<long>, ids array<int>")
     assert all(r["got"] == r["ids"] for r in df.select("ids", P.merged("edges", "w").alias("got")).collect())
+
+
+def test_clashing_columns(spark):
+    names = ["f", "span", "w", "d", "_text", "a b", "n_pieces", "ids"]
+    df = spark.createDataFrame([(1, "Hello 12, é", *range(8)), (2, None, *range(8))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = {r["doc_id"]: r.asDict() for r in P.encode(df, digests=True).collect()}
+    assert got[1]["ids"] == brute("Hello 12, é") and got[1]["n_pieces"] == len(got[1]["ids"]) and got[2]["ids"] is None
+    for r in got.values():
+        assert [r[n] for n in names[:6]] == list(range(6)) and r["text"] in ("Hello 12, é", None)
+    assert {r["doc_id"]: r["decoded"] for r in P.decode(P.encode(df)).collect()} == {1: "Hello 12, é", 2: None}

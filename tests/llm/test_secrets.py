@@ -83,3 +83,9 @@ def test_many_matches_in_one_text(spark):
     r = S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).selectExpr("size(found) AS n", "element_at(found, -1) AS last").first()
     assert r["n"] == n and tuple(r["last"]) == (17 * (n - 1), 0, 17 * n - 3)
     assert time.time() - began < 60
+
+
+def test_clashing_columns(spark):
+    df = S.scan(spark.createDataFrame([(1, "token=abcdefgh", 7, "x")], "doc_id long, text string, found int, `a b` string"))
+    assert df.columns == ["doc_id", "text", "a b", "found"]
+    assert [tuple(x) for x in df.first()["found"]] == [(0, 0, 14)]

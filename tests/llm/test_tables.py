@@ -199,3 +199,13 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame(rows(), KIND).withColumns({"n_words": F.lit("clash"), "kept": F.lit("own"), "low": F.lit(1)})
     out = quality_rules.filter_documents(df)
     assert out.columns == df.columns and out.first()["n_words"] == "clash" and 0 < out.count() < df.count()
+
+
+def test_mixed_documents_keep_columns_whatever_their_names(spark):
+    df = spark.createDataFrame([(i if i % 5 else None, "a b c d", "en", "x" if i % 2 else None, 1, "own", i, i, i) for i in range(60)], KIND + ", start string, size long, target long, `a b` long")
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert len(rows) >= 85 and all(r["start"] == "own" and r["size"] == r["target"] == r["a b"] for r in rows)
+    q = mixing.queue(df, chunk=2)
+    assert q.where("key is null").select("source", "start").distinct().count() == 12

@@ -62,3 +62,14 @@ def test_foreign_files_and_empty_tables(spark, tmp_path):
     empty = f"file://{tmp_path}/none"
     R.records(spark.createDataFrame([], "page_id long, url string, html string")).write.format("warc").mode("append").save(empty)
     assert spark.read.format("warc").load(empty).collect() == []
+
+
+def test_a_very_long_payload_and_other_columns(spark, tmp_path):
+    R.register(spark)
+    long = "é<b>x</b>" * 400_000
+    pages = spark.createDataFrame([(1, "http://a", long, "other", 3), (2, "http://b", long, "other", 4), (3, None, None, None, None)], "page_id long, url string, html string, record_type string, payload int")
+    at = f"file://{tmp_path}/long"
+    R.records(pages).write.format("warc").mode("append").save(at)
+    got = {r["record_id"]: r for r in spark.read.format("warc").load(at).collect()}
+    assert bytes(got["<urn:page:1>"]["payload"]).decode() == long and got["<urn:page:2>"]["record_type"] == "revisit"
+    assert got["<urn:page:3>"]["payload_bytes"] == 0 and got["<urn:page:1>"]["payload_bytes"] == len(long.encode())

@@ -7,6 +7,8 @@ their lengths in bytes (an empty line weighs as 1).
 Only the fit is bounded: it takes at most `max_docs` labelled documents of at most `max_lines` lines, the first by a hash of their
 ids. Its rows are brought to the driver as numbers; scoring is a map over whole documents without a shuffle.
 
+A very long text is one chain in one task, of some hundred bytes a line; such texts are scored a few at a time.
+
 Nulls: a null or empty text is one empty line and is scored. Rows with a null id or quality teach nothing. Without labels of both kinds
 all scores are 0.5. Repeated rows are each scored, alike. An empty table gives an empty result. Other columns than id and text are not read.
 """

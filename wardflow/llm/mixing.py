@@ -9,8 +9,9 @@ Targets: sources in code-point order (null last) weigh `weights`, repeating, and
 `epochs` times its source's words, and the excess goes to the others by weight until none is above.
 
 A source may hold any share of the rows: its queue is cut by hash into chunks of about `chunk` documents, whose sums give each
-chunk's start, so that no task holds more than a chunk. Nulls: a null text has size 0, a null source is a source of its own.
-Rows that repeat are each queued; which of equal rows comes first does not show in the result. Sources without words have target
+chunk's start, so that no task holds more than a chunk. Nulls: a null text has size 0, a null source is a source of its own, a row without an id takes its place by
+its text. Rows that repeat are each queued; which of equal rows comes first does not show in the result, and rows that share an id share a chunk. A very long text is split into words in its own row.
+mixed_documents gives all columns back, whatever their names; the others name their columns themselves. Sources without words have target
 0, and their documents are not taken. An empty table gives an empty result.
 """
 
@@ -44,7 +45,9 @@ def queue(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     """A row for each document: its key, source and `keep` columns, size, source_size, target, and start: its source's words before it in the queue."""
     keep = [] if keep is None else keep
     size = F.size(words(F.col(text))).cast("long")
-    d = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), *keep, size.alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))).alias("r"), text_key(F.col(text)).alias("th"))
+    # Rows without an id are shuffled by their texts, lest all of them have one place.
+    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), text_key(F.col(text))["a"].cast("string")))
+    d = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), *keep, size.alias("size"), F.md5(F.concat_ws(":", F.lit(seed), name)).alias("r"), text_key(F.col(text)).alias("th"))
     d = stored(d, "mix-sizes")
     chunks = max(16, -(-d.count() // chunk))
     d = d.withColumn("part", F.floor(F.conv(F.substring("r", 1, 8), 16, 10).cast("double") / 2.0**32 * chunks).cast("long"))

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardflow.llm.common import fresh_path, let, stored, table
 
@@ -293,7 +294,7 @@ def _runs(b: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, int]]:
 
 def common_words(docs: DataFrame, text: str, most: int, path: str, bpe: bool) -> dict[str, bytes]:
     """Encoded words that are frequent in a sample of documents, COMMON at most. They spare what all splits would ask for; the result is the same whichever they are."""
-    part = docs.sample(min(1.0, 2 * SAMPLE / max(1, docs.count())), seed=1).select(text).limit(SAMPLE)
+    part = docs.sample(min(1.0, 2 * SAMPLE / max(1, docs.count())), seed=1).select(F.col(f"`{text}`").alias("text")).limit(SAMPLE)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -409,15 +410,17 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text", scanned: bool
     others = [c for c in docs.columns if c not in ("ids", *["n_pieces", "decoded_sha256"][: 2 * digests])]
     most = LONG if bpe else 1 << 30
     common = spark.sparkContext.broadcast(common_words(docs, text, most, path, bpe))
-    asked = docs.select(*_split_columns(), text).mapInArrow(_asked(most, common), "w string, f long, span long")
+    asked = docs.select(*_split_columns(), F.col(f"`{text}`").alias("text")).mapInArrow(_asked(most, common), "w string, f long, span long")
     # Many partitions, so that a word's edges are grouped in memory.
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = asked.repartition(parts, "w").groupBy("w").agg(F.collect_list(F.struct("f", "span")).alias("to"))
     found = encode_words(words, path, short_only=bpe, bpe=bpe).select("w", "ids", F.inline("to"))
     at = fresh_path(spark, "pieces")
     found.repartition("f", "span", F.pmod(F.xxhash64("w"), F.lit(SALTS))).sortWithinPartitions("f", "span").write.option("compression", "zstd").partitionBy("f", "span").parquet(at)
-    kind = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
-    return docs.select(*_split_columns(), F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in others]).mapInArrow(_looked_up(at, path, most, common, digests), kind + "ids array<int>" + ", n_pieces long, decoded_sha256 string" * digests)
+    own = docs.select(*_split_columns(), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("d"))
+    new = [("ids", T.ArrayType(T.IntegerType())), *[("n_pieces", T.LongType()), ("decoded_sha256", T.StringType())][: 2 * digests]]
+    out = own.mapInArrow(_looked_up(at, path, most, common, digests), T.StructType([own.schema["d"], *(T.StructField(k, t) for k, t in new)]))
+    return out.select(*[F.col(f"d.`{c}`").alias(c) for c in others], *(k for k, _ in new))
 
 
 def decoder(path: str = MODEL):
@@ -451,8 +454,8 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             said = [own(x.values.to_numpy()).decode("utf-8", "surrogatepass") if x.is_valid else None for x in b["ids"]]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], [*b.schema.names, "decoded"])
 
-    kind = "".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}, " for c in others)
-    return encoded.select(*[F.col(f"`{c}`") for c in others]).mapInArrow(run, kind + "decoded string")
+    schema = T.StructType([*(encoded.schema[c] for c in others), T.StructField("decoded", T.StringType())])
+    return encoded.select(*[F.col(f"`{c}`") for c in others]).mapInArrow(run, schema)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -481,5 +484,5 @@ def with_digests(encoded: DataFrame, path: str = MODEL) -> DataFrame:
                 digests.append(_digest(own(got)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(digests)], [*b.schema.names, "n_pieces", "decoded_sha256"])
 
-    kind = "".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}, " for c in names)
-    return encoded.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, kind + "n_pieces long, decoded_sha256 string")
+    schema = T.StructType([*(encoded.schema[c] for c in names), T.StructField("n_pieces", T.LongType()), T.StructField("decoded_sha256", T.StringType())])
+    return encoded.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)

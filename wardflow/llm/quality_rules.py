@@ -11,6 +11,8 @@ one are rejected.
 
 All of it is DataFrame functions. Repeated windows are found by sorting the 64-bit hashes of a document's own windows.
 
+A very long text's words and window hashes are arrays of its own row.
+
 Nulls: a null text has no words and fails the base rule; null languages and sources form groups of their own. Repeated rows count
 each. An empty table gives an empty result. Columns of the input named like a measure are replaced.
 """

@@ -6,6 +6,8 @@ a list, for each file). Predicates on the record type and other headers are push
 block is skipped by a seek if a predicate fails or the schema has no `payload`. Blocks are HTTP responses whose bodies are gzip-coded;
 digests are of the decoded body, and a revisit has the HTTP headers alone. Files are opened through pyarrow's file systems.
 
+A very long payload is held whole by the task that writes or reads its record, and by no other. Other columns than SCHEMA's are not written.
+
 Nulls: a null payload is empty; null headers are not written, and read as null. Repeated rows are records each. Empty tables write no file
 and read as no rows. A file that is no WARC raises an error that names its place.
 """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from types import SimpleNamespace
 
@@ -46,7 +47,11 @@ def unit_geometry(x: Lattice) -> tuple[DataFrame, DataFrame]:
 
 def saved(x: Lattice) -> SimpleNamespace:
     """The lattice's tables written once, as layers and plans are in use: a score reads them in a dozen places."""
-    return SimpleNamespace(spark=x.spark, w=x.w, **{k: graph.stored(getattr(x, k), k) for k in ("precincts", "edges", "assignments", "reference")})
+    graph.shared_dir(x.spark)  # sets one where the session has none
+    names = ("precincts", "edges", "assignments", "reference")
+    with ThreadPoolExecutor(len(names)) as pool:
+        tables = list(pool.map(lambda k: graph.stored(getattr(x, k), k), names))
+    return SimpleNamespace(spark=x.spark, w=x.w, dir=x.dir, **dict(zip(names, tables)))
 
 
 def totals(x: Lattice) -> DataFrame:

@@ -147,7 +147,7 @@ def test_splits_may_change_between_the_passes(spark, tmp_path):
     try:
         for first, then in ((4, 7), (7, 4), (1, 16)):
             spark.conf.set(key, first)
-            out = P.encode(spark.read.parquet(at), scanned=True, digests=True)
+            out = P.encode(spark.read.parquet(at), digests=True)
             spark.conf.set(key, then)
             got = {r["doc_id"]: r for r in spark.read.parquet(at).select("doc_id").join(out, "doc_id").collect()}
             assert len(got) == len(rows)

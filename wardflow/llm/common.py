@@ -55,10 +55,10 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """df, written to the shared folder and read again: its lineage is cut and survives the loss of executors."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,9 +10,10 @@ the state is the word's cuts, the edges come in order of their ranks (ties: the
 out the cut between them. Words of over LONG characters, of which the state would need more bits than a number has, are merged with a heap
 instead, with the same result. Characters without a piece are byte pieces (in Viterbi at 10 less than the least score).
 
-The documents don't move. Words that are frequent in a small sample, of a bounded number, are encoded first and known to all tasks. A first pass over the documents sends each
-input split's other distinct words to the lattice; words and ids go back to a dictionary of each file's splits, written to the shared folder; a second pass reads
-those dictionaries of its file that overlap its own split, so splits may differ from pass to pass, as when executors come or go. A dictionary is as large as a split's words at most.
+Words that are frequent in a small sample, of a bounded number, are encoded first and known to all tasks. A first pass over the documents numbers each task's
+words as they appear and writes, to the shared folder, the documents as numbers and behind them the task's other distinct words, which go through the lattice once for
+the whole corpus; their ids come back to a dictionary for each of the first pass's tasks. The second pass reads the numbers, of which a file holds those of one such task, and gathers the
+ids. So neither pass depends on how the other's input is split, and executors may come or go between them. A dictionary is as large as a task's words at most.
 
 Decoding joins the pieces' bytes and takes off the first blank; it gives back every text exactly.
 
@@ -274,24 +275,6 @@ def best_path(edges: str, longest: int) -> Column:
 # ---- documents ----
 
 
-#: What a split's place in its file is counted in, in bytes.
-KB = 1024
-
-
-def _split_columns() -> list[Column]:
-    """f, the file that a row was read from, and span, its split's place in it: the first and the last KB, as the halves of a number."""
-    first, size = F.input_file_block_start(), F.input_file_block_length()
-    span = F.shiftleft(F.floor(first / KB).cast("long"), 32) + F.ceil((first + size) / KB).cast("long")
-    return [F.xxhash64(F.input_file_name()).alias("f"), span.alias("span")]
-
-
-def _runs(b: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, int]]:
-    """((f, span), first, end) of rows of one split, from a batch's first two columns."""
-    f, span = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-    cut = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (span[1:] != span[:-1])]) if len(f) else np.empty(0, int)
-    yield from zip(zip(f[cut].tolist(), span[cut].tolist()), cut.tolist(), [*cut[1:].tolist(), len(f)])
-
-
 def common_words(docs: DataFrame, text: str, most: int, path: str, bpe: bool) -> dict[str, bytes]:
     """Encoded words that are frequent in a sample of documents, COMMON at most. They spare what all splits would ask for; the result is the same whichever they are."""
     part = docs.sample(min(1.0, 2 * SAMPLE / max(1, docs.count())), seed=1).select(F.col(f"`{text}`").alias("text")).limit(SAMPLE)
@@ -307,119 +290,124 @@ def common_words(docs: DataFrame, text: str, most: int, path: str, bpe: bool) ->
     return {r["w"]: np.array(r["ids"], "<i4").tobytes() for r in encode_words(top, path, short_only=bpe, bpe=bpe).toLocalIterator()}
 
 
-def _asked(most: int, common):
-    """Distinct words of each split of up to `most` characters that aren't common."""
+class _Numbers(dict):
+    """Words and their numbers; a word that is new has the next one."""
+
+    def __missing__(self, w: str) -> int:
+        self[w] = n = len(self)
+        return n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, at, seen = common.value, None, set()
 
-        def out():
-            new = [w for w in seen if len(w) <= most and w not in shared]
-            for a in range(0, len(new), 50_000):
-                part = new[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([x] * len(part), pa.int64()) for x in at)], ["w", "f", "span"])
+def _numbered(common):
+    """Texts as their words' numbers, each 32 bits, and at a task's end its words that aren't common with their numbers. common: the common words, which have the first ones."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        split, known = TaskContext.get().partitionId(), _Numbers(common.value)
+        shared = len(known)
+        kind = None
         for b in batches:
-            for split, i, j in _runs(b):
-                if split != at:
-                    yield from out()
-                    at, seen = split, set()
-                for t in b.column(2).slice(i, j - i).to_pylist():
-                    if t:
-                        seen.update(WORDS.findall(" " + t))
-        yield from out()
+            kind = b.schema.field("d").type
+            a = 0
+            while a < b.num_rows:  # some MB at a time
+                said, held, z = [], 0, a
+                while z < b.num_rows and held < 4 << 20:
+                    t = b.column(0)[z].as_py()
+                    said.append(None if t is None else np.fromiter(map(known.__getitem__, WORDS.findall(" " + t)), "<i4").tobytes() if t else b"")
+                    held, z = held + len(said[-1] or b""), z + 1
+                none = [pa.nulls(z - a, x) for x in (pa.string(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array([split] * (z - a), pa.int32()), *none, pa.array(said, pa.binary()), b.column(1).slice(a, z - a)], ["split", "w", "k", "words", "d"])
+                a = z
+        new = list(known)[shared:]
+        for a in range(0, len(new), 50_000):
+            part = new[a : a + 50_000]
+            n = len(part)
+            yield pa.RecordBatch.from_arrays([pa.array([split] * n, pa.int32()), pa.array(part, pa.string()), pa.array(range(shared + a, shared + a + n), pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, kind)], ["split", "w", "k", "words", "d"])
 
     return run
 
 
-class _Known(dict):
-    """Words and their ids as 32-bit numbers: the common ones and those of a split, which all dictionaries of its file that overlap it hold together."""
+class _Dictionary:
+    """The ids of words by number: the common ones', then those of a split."""
 
-    def __init__(self, path: str, split: tuple[int, int], most: int, common: dict[str, bytes], long_word):
+    def __init__(self, path: str, split: int, common: list[bytes]):
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        super().__init__(common)
-        self.most, self.long_word = most, long_word
-        first, end = split[1] >> 32, split[1] & 0xFFFFFFFF
+        sizes, flats, ks = [np.array([len(x) // 4 for x in common], np.int64)], [np.frombuffer(b"".join(common), "<i4")], [np.arange(len(common))]
         disk, root = fs.FileSystem.from_uri(path)
-        for folder in disk.get_file_info(fs.FileSelector(f"{root}/f={split[0]}", allow_not_found=True)):
-            span = int(folder.base_name.removeprefix("span="))
-            if span >> 32 >= end or span & 0xFFFFFFFF <= first:
-                continue
-            for f in disk.get_file_info(fs.FileSelector(folder.path)):
-                if not f.base_name.endswith(".parquet"):
-                    continue
+        for f in disk.get_file_info(fs.FileSelector(f"{root}/split={split}", allow_not_found=True)):
+            if f.base_name.endswith(".parquet"):
                 with pq.ParquetFile(f.path, filesystem=disk) as p:
-                    for b in p.iter_batches(50_000, columns=["w", "ids"]):
-                        at = (4 * b.column(1).offsets.to_numpy().astype(np.int64)).tolist()
-                        raw = b.column(1).values.to_numpy().astype("<i4", copy=False).tobytes()
-                        self.update(zip(b.column(0).to_pylist(), (raw[x:y] for x, y in zip(at, at[1:]))))
-
-    def __missing__(self, w: str) -> bytes:
-        if len(w) <= self.most:
-            raise KeyError(f"{w!r} has not been encoded: the input has changed since the first pass")
-        self[w] = self.long_word(w)
-        return self[w]
-
-
-def _looked_up(path: str, model: str, most: int, common, digests: bool):
+                    for b in p.iter_batches(100_000, columns=["k", "ids"]):
+                        ks.append(b.column(0).to_numpy())
+                        flats.append(b.column(1).flatten().to_numpy().astype("<i4", copy=False))
+                        sizes.append(np.diff(b.column(1).offsets.to_numpy()).astype(np.int64))
+        k, size = np.concatenate(ks), np.concatenate(sizes)
+        self.flat = np.concatenate(flats)
+        self.begin, self.size = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
+        self.begin[k], self.size[k] = np.cumsum(size) - size, size
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, one after the other, and each word's number of them."""
+        n = self.size[numbers]
+        return self.flat[np.arange(int(n.sum())) + np.repeat(self.begin[numbers] - (np.cumsum(n) - n), n)], n
+
+
+def _looked_up(path: str, model: str, common, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known, table = None, {}, {}
+        at, known = None, None
         own = decoder(model) if digests else None
-
-        def long_word(w: str) -> bytes:
-            if not table:
-                table.update({p: (i, s) for p, i, s in pieces(model)})
-            return np.array(heap_merge(w, table, byte_ids(model)), "<i4").tobytes()
-
         for b in batches:
-            for split, i, j in _runs(b):
-                if split != at:
-                    at, known = split, {}
-                    known = _Known(path, split, most, common.value, long_word)
-                part = b.slice(i, j - i)
-                a = 0
-                while a < part.num_rows:  # some MB at a time
-                    ids, counts, said, held, z = [], [], [], 0, a
-                    while z < part.num_rows and held < 8 << 20:
-                        t = part.column(2)[z].as_py()
-                        raw = None if t is None else b"".join(map(known.__getitem__, WORDS.findall(" " + t))) if t else b""
-                        ids.append(raw)
-                        counts.append(len(raw) // 4 if raw is not None else None)
-                        if own:
-                            said.append(_digest(own(np.frombuffer(raw or b"", "<i4"))))
-                        held, z = held + len(raw or b""), z + 1
-                    offsets = np.r_[0, np.cumsum([c or 0 for c in counts])].astype(np.int32)
-                    values = pa.array(np.frombuffer(b"".join(x or b"" for x in ids), "<i4"))
-                    mask = pa.array([x is None for x in ids])
-                    out = pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)
-                    more = [pa.array([c or 0 for c in counts], pa.int64()), pa.array(said, pa.string())] if own else []
-                    yield pa.RecordBatch.from_arrays([*part.slice(a, z - a).columns[3:], out, *more], [*part.schema.names[3:], "ids", *["n_pieces", "decoded_sha256"][: len(more)]])
-                    a = z
+            split, raw = b.column(0).to_numpy(), b.column(1)
+            a = 0
+            while a < b.num_rows:  # rows of one split, some MB at a time
+                z, held, rows = a, 0, []
+                while z < b.num_rows and split[z] == split[a] and held < 1 << 20:
+                    rows.append(raw[z].as_py())
+                    held, z = held + len(rows[-1] or b""), z + 1
+                if split[a] != at:
+                    known = None  # two need not be held at once
+                    at, known = split[a], _Dictionary(path, int(split[a]), common.value)
+                ids, n = known.ids(np.frombuffer(b"".join(x or b"" for x in rows), "<i4"))
+                words = np.cumsum([0, *(len(x or b"") // 4 for x in rows)])
+                ends = np.r_[0, np.cumsum(n)][words]
+                mask = pa.array([x is None for x in rows])
+                out = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=mask)
+                more = []
+                if own:
+                    said = [_digest(own(ids[i:j])) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                    more = [pa.array(np.diff(ends), pa.int64()), pa.array(said, pa.string())]
+                yield pa.RecordBatch.from_arrays([b.column(2).slice(a, z - a), out, *more], ["d", "ids", *["n_pieces", "decoded_sha256"][: len(more)]])
+                a = z
 
     return run
 
 
-def encode(docs: DataFrame, path: str = MODEL, text: str = "text", scanned: bool = False, digests: bool = False, bpe: bool | None = None) -> DataFrame:
-    """docs with ids, and with digests also n_pieces and decoded_sha256, of the text that the ids decode to (null: of an empty one). scanned: docs is read from files as it stands, so that its splits are known; else it is stored first. bpe: as in encode_words."""
-    if not scanned:
-        docs = stored(docs, "pieces-docs")
+def encode(docs: DataFrame, path: str = MODEL, text: str = "text", digests: bool = False, bpe: bool | None = None, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns `keep`) with ids, and with digests also n_pieces and decoded_sha256, of the text that the ids decode to (null: of an empty one). bpe: as in encode_words."""
     spark = docs.sparkSession
     bpe = is_bpe(path) if bpe is None else bpe
-    others = [c for c in docs.columns if c not in ("ids", *["n_pieces", "decoded_sha256"][: 2 * digests])]
-    most = LONG if bpe else 1 << 30
-    common = spark.sparkContext.broadcast(common_words(docs, text, most, path, bpe))
-    asked = docs.select(*_split_columns(), F.col(f"`{text}`").alias("text")).mapInArrow(_asked(most, common), "w string, f long, span long")
+    others = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", *["n_pieces", "decoded_sha256"][: 2 * digests])]
+    common = common_words(docs, text, LONG if bpe else 1 << 30, path, bpe)
+    numbers, values = (spark.sparkContext.broadcast(x) for x in ({w: k for k, w in enumerate(common)}, list(common.values())))
+    own = docs.select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("d"))
+    d = T.StructField("d", own.schema["d"].dataType)
+    passed = own.mapInArrow(_numbered(numbers), T.StructType([T.StructField("split", T.IntegerType()), T.StructField("w", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("words", T.BinaryType()), d]))
+    passed = stored(passed, "pieces-words", "zstd")
+    asked = passed.where("w is not null").select("w", "split", "k")
     # Many partitions, so that a word's edges are grouped in memory.
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = asked.repartition(parts, "w").groupBy("w").agg(F.collect_list(F.struct("f", "span")).alias("to"))
-    found = encode_words(words, path, short_only=bpe, bpe=bpe).select("w", "ids", F.inline("to"))
+    long = F.char_length("w") > LONG
+    words = (asked.where(~long) if bpe else asked).repartition(parts, "w").groupBy("w").agg(F.collect_list(F.struct("split", "k")).alias("to"))
+    found = encode_words(words, path, short_only=bpe, bpe=bpe).select("ids", F.inline("to"))
+    if bpe:
+        found = found.unionByName(asked.where(long).mapInArrow(_long_words(path), "w string, split int, k int, ids array<int>").drop("w"))
     at = fresh_path(spark, "pieces")
-    found.repartition("f", "span", F.pmod(F.xxhash64("w"), F.lit(SALTS))).sortWithinPartitions("f", "span").write.option("compression", "zstd").partitionBy("f", "span").parquet(at)
-    own = docs.select(*_split_columns(), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("d"))
+    found.repartition("split", F.pmod("k", F.lit(SALTS))).sortWithinPartitions("split").write.option("compression", "zstd").partitionBy("split").parquet(at)
     new = [("ids", T.ArrayType(T.IntegerType())), *[("n_pieces", T.LongType()), ("decoded_sha256", T.StringType())][: 2 * digests]]
-    out = own.mapInArrow(_looked_up(at, path, most, common, digests), T.StructType([own.schema["d"], *(T.StructField(k, t) for k, t in new)]))
+    out = passed.where("k is null").select("split", "words", "d").mapInArrow(_looked_up(at, path, values, digests), T.StructType([d, *(T.StructField(k, t) for k, t in new)]))
     return out.select(*[F.col(f"d.`{c}`").alias(c) for c in others], *(k for k, _ in new))
 
 
@@ -459,14 +447,12 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, scanned=True, digests=True).drop("text")
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True, keep=["doc_id"])
 
 
 def lattice_best_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same documents by the best path through the lattice, as if the model's scores were a unigram model's."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, scanned=True, digests=True, bpe=False).drop("text")
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True, bpe=False, keep=["doc_id"])
 
 
 def with_digests(encoded: DataFrame, path: str = MODEL) -> DataFrame:

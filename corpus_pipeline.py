@@ -50,7 +50,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs, scanned=True, digests=True)
+    return pieces.encode(docs, digests=True)
 
 
 STAGES = [

@@ -43,7 +43,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WORDS = re.compile(r" *+(?:[A-Za-z\u00c0-\u024f]++(?![^\x00-\x7f])|[^A-Za-z0-9 \n\x80-\U0010ffff]++(?![^\x00-\x7f])|[^ \n0-9]++)|[\n0-9]| +")
 UNKNOWN, LONG, HEAD = 10.0, 62, 3
 #: Words that every task knows from a sample, at most, and the documents of that sample.
-COMMON, SAMPLE = 1 << 17, 4000
+COMMON, SAMPLE = 1 << 18, 16_000
 #: Tasks that write a split's dictionary.
 SALTS = 4
 #: Bits of an edge's start, length and id; NONE: the rank of what merges nothing.
@@ -298,8 +298,17 @@ class _Numbers(dict):
         return n
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, all their lowest bytes first, then the next ones: they compress to less."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def _numbered(common):
-    """Texts as their words' numbers, each 32 bits, and at a task's end its words that aren't common with their numbers. common: the common words, which have the first ones."""
+    """Texts as their words' numbers, and at a task's end its words that aren't common with their numbers. common: the common words, which have the first ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -314,7 +323,7 @@ def _numbered(common):
                 said, held, z = [], 0, a
                 while z < b.num_rows and held < 4 << 20:
                     t = b.column(0)[z].as_py()
-                    said.append(None if t is None else np.fromiter(map(known.__getitem__, WORDS.findall(" " + t)), "<i4").tobytes() if t else b"")
+                    said.append(None if t is None else _planes(np.fromiter(map(known.__getitem__, WORDS.findall(" " + t)), "<i4")) if t else b"")
                     held, z = held + len(said[-1] or b""), z + 1
                 none = [pa.nulls(z - a, x) for x in (pa.string(), pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array([split] * (z - a), pa.int32()), *none, pa.array(said, pa.binary()), b.column(1).slice(a, z - a)], ["split", "w", "k", "words", "d"])
@@ -370,7 +379,7 @@ def _looked_up(path: str, model: str, common, digests: bool):
                 if split[a] != at:
                     known = None  # two need not be held at once
                     at, known = split[a], _Dictionary(path, int(split[a]), common.value)
-                ids, n = known.ids(np.frombuffer(b"".join(x or b"" for x in rows), "<i4"))
+                ids, n = known.ids(np.concatenate([_from_planes(x or b"") for x in rows]))
                 words = np.cumsum([0, *(len(x or b"") // 4 for x in rows)])
                 ends = np.r_[0, np.cumsum(n)][words]
                 mask = pa.array([x is None for x in rows])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -16,6 +17,10 @@ from wardflow.operators.history import FLIP, MIDPOINT, RATCHET_FLOOR, RATCHET_ST
 from wardflow.plans.config import ScoreConfig
 
 HISTORY = "chain_id long, seq long, iteration long, move string, proposed double, total double, is_worse boolean, accepted boolean, temperature double, tolerance double, metrics map<string,double>"
+#: What of a layer each task may hold.
+MOST_PRECINCTS, MOST_EDGES = 1_000_000, 5_000_000
+#: Iterations whose rows a chain holds at once.
+BLOCK = 1000
 PLANS = "chain_id long, iteration long, total double, plan array<int>"
 
 
@@ -149,7 +154,10 @@ def advance(x: kernel.Arrays, cfg: ChainConfig, s: State, steps: int) -> list[di
 
 
 def packed(precincts: DataFrame, edges: DataFrame, geometry: DataFrame | None = None, extrema: DataFrame | None = None, reference: DataFrame | None = None) -> kernel.Arrays:
-    """One layer as arrays, on the driver: its precinct ids must be 0 to n - 1. A layer is some ten thousand precincts, whatever the number of plans."""
+    """One layer as arrays, on the driver: its precinct ids must be 0 to n - 1. A layer is some ten thousand precincts, whatever the number of plans; one that is too large for every task to hold is an error."""
+    n, m = precincts.count(), edges.count()
+    if n > MOST_PRECINCTS or m > MOST_EDGES:
+        raise ValueError(f"the layer has {n} precincts and {m} edges, more than {MOST_PRECINCTS} or {MOST_EDGES}")
     p = precincts.select("precinct_id", "population", "county_id", "dem_votes", "rep_votes").toPandas().sort_values("precinct_id")
     if (p.precinct_id.to_numpy() != np.arange(len(p))).any():
         raise ValueError("precinct ids must be 0 to n - 1")
@@ -176,21 +184,22 @@ def run(spark, layer: kernel.Arrays, cfg: ChainConfig, chains: int, output: str
     held = spark.sparkContext.broadcast(layer)
     first = None if start is None else np.asarray(start)
 
-    def one(chain_id: int) -> pd.DataFrame:
+    def one(chain_id: int) -> Iterator[pd.DataFrame]:
         x = held.value
         s = begin(x, cfg, chain_id, first)
         if s is None:
-            return pd.DataFrame()
-        if output == "history":
-            return pd.DataFrame(advance(x, cfg, s, cfg.iterations)).assign(chain_id=chain_id)
-        if output == "best":
-            advance(x, cfg, s, cfg.iterations)
-            return pd.DataFrame({"chain_id": [chain_id], "iteration": [s.iteration], "total": [s.best], "plan": [s.best_plan.tolist()]})
-        rows = [(chain_id, 0, s.total, s.plan.tolist())]
+            return
+        here = lambda total, plan: pd.DataFrame({"chain_id": [chain_id], "iteration": [s.iteration], "total": [total], "plan": [plan.tolist()]})
+        if output == "plans":
+            yield here(s.total, s.plan)
         while s.iteration < cfg.iterations:
-            advance(x, cfg, s, every)
-            rows.append((chain_id, s.iteration, s.total, s.plan.tolist()))
-        return pd.DataFrame(rows, columns=["chain_id", "iteration", "total", "plan"])
+            rows = advance(x, cfg, s, every if output == "plans" else BLOCK)
+            if output == "history":
+                yield pd.DataFrame(rows).assign(chain_id=chain_id)
+            elif output == "plans":
+                yield here(s.total, s.plan)
+        if output == "best":
+            yield here(s.best, s.best_plan)
 
     schema = HISTORY if output == "history" else PLANS
     names = [c.split(" ")[0] for c in schema.replace("map<string,double>", "map").split(", ")]
@@ -198,9 +207,9 @@ def run(spark, layer: kernel.Arrays, cfg: ChainConfig, chains: int, output: str
     def each(batches):
         for pdf in batches:
             for c in pdf["chain_id"]:
-                got = one(int(c))
-                if len(got):
-                    yield got[names]
+                for got in one(int(c)):
+                    if len(got):
+                        yield got[names]
 
     return _chains(spark, chains).repartition(max(1, min(chains, 10_000)), "chain_id").mapInPandas(each, schema)
 

@@ -404,6 +404,27 @@ def county_codes(x):
     return validate.with_county_codes(x.precincts, "county_id").select("precinct_id", "county_code")
 
 
+@query
+def column_roles(x):
+    """What a layer's columns are taken for by their names; a text is no population."""
+    p = x.precincts.select(F.lit("text").alias("pop"), F.col("population").alias("TOTPOP"), F.col("precinct_key").alias("VTDID"), F.col("county_id").alias("CountyFP"), F.col("dem_votes").alias("baseline_d"), F.col("rep_votes").alias("BASELINE_R"))
+    dem, rep = validate.election_hint(p)
+    roles = [("population", validate.hint(p, validate.POPULATION, numbers=True)), ("precinct", validate.hint(p, validate.PRECINCT)), ("county", validate.hint(p, validate.COUNTY)), ("dem", dem), ("rep", rep)]
+    return x.spark.createDataFrame(roles, "role string, name string")
+
+
+@query
+def padded_ids(x):
+    p = x.precincts.select("precinct_id", (F.col("precinct_id") + 1_000_000_000).alias("geoid"), (F.col("precinct_id") + 100_000).alias("code"))
+    return validate.padded(validate.padded(p, "geoid", 10), "code", 8)
+
+
+@query
+def coerced_columns(x):
+    p = x.precincts.select(F.col("precinct_key").alias("key"), F.col("population").cast("string").alias("people"), F.when(F.col("precinct_id") == 5, "none").otherwise("1").alias("mixed"), F.lit(None).cast("string").alias("empty"))
+    return x.spark.createDataFrame(validate.coerced(p).dtypes, "name string, type string")
+
+
 @query
 def layer_issues(x):
     """What is said of five choices of columns."""

@@ -395,3 +395,17 @@ SQL["plan_file_round_trip"] = BASE + "SELECT plan_id, precinct_id, district FROM
 #: What every valid plan of a chain keeps, whatever the draws: all districts, each in one piece and within the tolerance, and all precincts and people.
 SQL["chain_invariants"] = BASE + f"SELECT m AS move, c.k AS chain_id, {K}::BIGINT AS districts, 1::BIGINT AS most_pieces, true AS within, (SELECT count(*) FROM precincts) AS precincts, (SELECT sum(population) FROM precincts)::BIGINT AS population FROM (VALUES ('two'), ('three'), ('flip'), ('first')) AS t(m) CROSS JOIN range(4) c(k)"
 SQL["run_in_batches"] = "SELECT c.k AS chain_id, 12::BIGINT AS iteration, true AS same FROM range(3) c(k)"
+#: All ways to give six reference districts one of eight districts each, and of these the one that keeps most people.
+SQL["renumber_infer"] = (
+    BASE
+    + f""", kept AS (SELECT a.plan_id, ref_district AS r, a.district AS d, sum(population)::BIGINT AS n FROM assignments a JOIN precincts USING (precinct_id) JOIN reference USING (precinct_id) GROUP BY 1, 2, 3),
+grid AS (SELECT p.plan_id, r.k::INT AS r, d.k::INT AS d, coalesce(n, 0) AS n FROM (SELECT DISTINCT plan_id FROM assignments) p CROSS JOIN range(6) r(k) CROSS JOIN range({K}) d(k) LEFT JOIN kept k ON k.plan_id = p.plan_id AND k.r = r.k AND k.d = d.k),
+ways(plan_id, r, ds, total) AS (SELECT DISTINCT plan_id, 0, []::INT[], 0::BIGINT FROM assignments
+  UNION ALL SELECT w.plan_id, w.r + 1, list_append(ds, g.d), (total + g.n)::BIGINT FROM ways w JOIN grid g ON g.plan_id = w.plan_id AND g.r = w.r AND NOT list_contains(ds, g.d)),
+best AS (SELECT plan_id, arg_max(ds, total) AS ds FROM ways WHERE r = 6 GROUP BY 1),
+own AS (SELECT plan_id, d.k::INT AS district, list_position(ds, d.k::INT) AS place FROM best CROSS JOIN range({K}) d(k))
+SELECT plan_id, district, CASE WHEN place > 0 THEN 9 + place ELSE row_number() OVER (PARTITION BY plan_id, coalesce(place, 0) > 0 ORDER BY district) END::INT AS label FROM own"""
+)
+SQL["column_roles"] = "SELECT * FROM (VALUES ('population', 'TOTPOP'), ('precinct', 'VTDID'), ('county', 'CountyFP'), ('dem', 'baseline_d'), ('rep', 'BASELINE_R')) AS t(role, name)"
+SQL["padded_ids"] = BASE + "SELECT precinct_id, lpad((1000000000 + precinct_id)::VARCHAR, 11, '0') AS geoid, lpad((100000 + precinct_id)::VARCHAR, 8, '0') AS code FROM precincts"
+SQL["coerced_columns"] = "SELECT * FROM (VALUES ('key', 'string'), ('people', 'double'), ('mixed', 'string'), ('empty', 'string')) AS t(name, type)"

@@ -325,14 +325,12 @@ def _numbered(common):
                     t = b.column(0)[z].as_py()
                     said.append(None if t is None else _planes(np.fromiter(map(known.__getitem__, WORDS.findall(" " + t)), "<i4")) if t else b"")
                     held, z = held + len(said[-1] or b""), z + 1
-                none = [pa.nulls(z - a, x) for x in (pa.string(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array([split] * (z - a), pa.int32()), *none, pa.array(said, pa.binary()), b.column(1).slice(a, z - a)], ["split", "w", "k", "words", "d"])
+                none = [pa.nulls(z - a, x) for x in (pa.list_(pa.string()), pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array([split] * (z - a), pa.int32()), *none, pa.array(said, pa.binary()), b.column(1).slice(a, z - a)], ["split", "new", "first", "words", "d"])
                 a = z
         new = list(known)[shared:]
-        for a in range(0, len(new), 50_000):
-            part = new[a : a + 50_000]
-            n = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array([split] * n, pa.int32()), pa.array(part, pa.string()), pa.array(range(shared + a, shared + a + n), pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, kind)], ["split", "w", "k", "words", "d"])
+        for a in range(0, len(new), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([split], pa.int32()), pa.array([new[a : a + 10_000]], pa.list_(pa.string())), pa.array([shared + a], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, kind)], ["split", "new", "first", "words", "d"])
 
     return run
 
@@ -340,7 +338,8 @@ def _numbered(common):
 class _Dictionary:
     """The ids of words by number: the common ones', then those of a split."""
 
-    def __init__(self, path: str, split: int, common: list[bytes]):
+    def __init__(self, path: str, split: int, common: list[bytes], width: int):
+        import pyarrow.compute as pc
         import pyarrow.parquet as pq
         from pyarrow import fs
 
@@ -351,8 +350,8 @@ class _Dictionary:
                 with pq.ParquetFile(f.path, filesystem=disk) as p:
                     for b in p.iter_batches(100_000, columns=["k", "ids"]):
                         ks.append(b.column(0).to_numpy())
-                        flats.append(b.column(1).flatten().to_numpy().astype("<i4", copy=False))
-                        sizes.append(np.diff(b.column(1).offsets.to_numpy()).astype(np.int64))
+                        flats.append(np.frombuffer(b"".join(b.column(1).to_pylist()), f">u{width}").astype("<i4"))
+                        sizes.append(pc.binary_length(b.column(1)).to_numpy().astype(np.int64) // width)
         k, size = np.concatenate(ks), np.concatenate(sizes)
         self.flat = np.concatenate(flats)
         self.begin, self.size = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
@@ -364,7 +363,12 @@ class _Dictionary:
         return self.flat[np.arange(int(n.sum())) + np.repeat(self.begin[numbers] - (np.cumsum(n) - n), n)], n
 
 
-def _looked_up(path: str, model: str, common, digests: bool):
+def _packed(ids: str, width: int) -> Column:
+    """ids as bytes, `width` for each, the highest first."""
+    return F.unhex(F.array_join(F.transform(ids, lambda x: F.lpad(F.hex(x), 2 * width, "0")), ""))
+
+
+def _looked_up(path: str, model: str, common, digests: bool, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, known = None, None
         own = decoder(model) if digests else None
@@ -378,7 +382,7 @@ def _looked_up(path: str, model: str, common, digests: bool):
                     held, z = held + len(rows[-1] or b""), z + 1
                 if split[a] != at:
                     known = None  # two need not be held at once
-                    at, known = split[a], _Dictionary(path, int(split[a]), common.value)
+                    at, known = split[a], _Dictionary(path, int(split[a]), common.value, width)
                 ids, n = known.ids(np.concatenate([_from_planes(x or b"") for x in rows]))
                 words = np.cumsum([0, *(len(x or b"") // 4 for x in rows)])
                 ends = np.r_[0, np.cumsum(n)][words]
@@ -403,20 +407,21 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text", digests: bool
     numbers, values = (spark.sparkContext.broadcast(x) for x in ({w: k for k, w in enumerate(common)}, list(common.values())))
     own = docs.select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("d"))
     d = T.StructField("d", own.schema["d"].dataType)
-    passed = own.mapInArrow(_numbered(numbers), T.StructType([T.StructField("split", T.IntegerType()), T.StructField("w", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("words", T.BinaryType()), d]))
+    passed = own.mapInArrow(_numbered(numbers), T.StructType([T.StructField("split", T.IntegerType()), T.StructField("new", T.ArrayType(T.StringType())), T.StructField("first", T.IntegerType()), T.StructField("words", T.BinaryType()), d]))
     passed = stored(passed, "pieces-words", "zstd")
-    asked = passed.where("w is not null").select("w", "split", "k")
+    asked = passed.where("first is not null").select("split", "first", F.posexplode("new").alias("pos", "w")).select("w", "split", (F.col("first") + F.col("pos")).alias("k"))
     # Many partitions, so that a word's edges are grouped in memory.
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     long = F.char_length("w") > LONG
     words = (asked.where(~long) if bpe else asked).repartition(parts, "w").groupBy("w").agg(F.collect_list(F.struct("split", "k")).alias("to"))
-    found = encode_words(words, path, short_only=bpe, bpe=bpe).select("ids", F.inline("to"))
+    width = 2 if max(i for _, i, _ in pieces(path)) < 1 << 16 else 4
+    found = encode_words(words, path, short_only=bpe, bpe=bpe).select(_packed("ids", width).alias("ids"), F.inline("to"))
     if bpe:
-        found = found.unionByName(asked.where(long).mapInArrow(_long_words(path), "w string, split int, k int, ids array<int>").drop("w"))
+        found = found.unionByName(asked.where(long).mapInArrow(_long_words(path), "w string, split int, k int, ids array<int>").select(_packed("ids", width).alias("ids"), "split", "k"))
     at = fresh_path(spark, "pieces")
     found.repartition("split", F.pmod("k", F.lit(SALTS))).sortWithinPartitions("split").write.option("compression", "zstd").partitionBy("split").parquet(at)
     new = [("ids", T.ArrayType(T.IntegerType())), *[("n_pieces", T.LongType()), ("decoded_sha256", T.StringType())][: 2 * digests]]
-    out = passed.where("k is null").select("split", "words", "d").mapInArrow(_looked_up(at, path, values, digests), T.StructType([d, *(T.StructField(k, t) for k, t in new)]))
+    out = passed.where("first is null").select("split", "words", "d").mapInArrow(_looked_up(at, path, values, digests, width), T.StructType([d, *(T.StructField(k, t) for k, t in new)]))
     return out.select(*[F.col(f"d.`{c}`").alias(c) for c in others], *(k for k, _ in new))
 
 

@@ -42,7 +42,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: character goes to its end in one word.
 WORDS = re.compile(r" *+(?:[A-Za-z\u00c0-\u024f]++(?![^\x00-\x7f])|[^A-Za-z0-9 \n\x80-\U0010ffff]++(?![^\x00-\x7f])|[^ \n0-9]++)|[\n0-9]| +")
 UNKNOWN, LONG, HEAD = 10.0, 62, 3
-#: Words that every task knows from a sample, at most, and the documents of that sample.
+#: Words that every task knows from a sample, at most, and how many documents a sample is expected to hold.
 COMMON, SAMPLE = 1 << 18, 16_000
 #: Tasks that write a split's dictionary.
 SALTS = 4
@@ -277,7 +277,7 @@ def best_path(edges: str, longest: int) -> Column:
 
 def common_words(docs: DataFrame, text: str, most: int, path: str, bpe: bool) -> dict[str, bytes]:
     """Encoded words that are frequent in a sample of documents, COMMON at most. They spare what all splits would ask for; the result is the same whichever they are."""
-    part = docs.sample(min(1.0, 2 * SAMPLE / max(1, docs.count())), seed=1).select(F.col(f"`{text}`").alias("text")).limit(SAMPLE)
+    part = docs.sample(min(1.0, SAMPLE / max(1, docs.count())), seed=1).select(F.col(f"`{text}`").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,7 +286,7 @@ def common_words(docs: DataFrame, text: str, most: int, path: str, bpe: bool) ->
                 for a in range(0, len(found), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(found[a : a + 50_000], pa.string())], ["w"])
 
-    top = part.mapInArrow(each, "w string").groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(COMMON).select("w")
+    top = part.mapInArrow(each, "w string").groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(COMMON).select("w").repartition(16)
     return {r["w"]: np.array(r["ids"], "<i4").tobytes() for r in encode_words(top, path, short_only=bpe, bpe=bpe).toLocalIterator()}
 
 

@@ -17,7 +17,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     A round links each node's larger neighbours, then its smaller ones, to the smallest of them; it ends when nothing changes. Each
     round is written to the shared folder, the one before is deleted, and the driver sees only a count and a hash. Rounds grow with the logarithm of the nodes; a table that
-    still changes after so many is an error. A hub's edges may be dealt to many tasks: the sums are partial ones, and Spark splits the joins' skewed side. An edge table with null ends loses those rows."""
+    still changes after so many is an error. The sums of a hub's edges are partial ones, but they meet in one task of a join, as numbers. An edge table with null ends loses those rows."""
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     spark, kind = e.sparkSession, "u long, v long"
 

@@ -74,3 +74,47 @@ def test_a_very_long_text_is_stored_without_loss(spark):
     for k, t in ((1, text), (2, None)):
         n, payload = A.padded(t)
         assert got[k]["n_bytes"] == n and got[k]["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+
+
+def _with_audio(media, absolute=False):
+    """The file with an audio stream in front of the video's, an audio chunk before each frame, and an index of all of them."""
+    import struct
+
+    chunk = lambda k, x: k + struct.pack("<I", len(x)) + x + b"\0" * (len(x) & 1)
+    own = [media[a : a + n] for a, n in zip(*(x.tolist() for x in A._frame_places(media)[:2]))]
+    strl = lambda kind: chunk(b"LIST", b"strl" + chunk(b"strh", kind + b"\0" * 52))
+    hdrl = chunk(b"LIST", b"hdrl" + chunk(b"avih", struct.pack("<14I", 50_000, *[0] * 13)) + strl(b"auds") + strl(b"vids"))
+    movi, index, base = b"movi", b"", 12 + len(hdrl) + 8 if absolute else 0
+    for f in own:
+        for k, x in ((b"00wb", b"sound"), (b"01dc", f)):
+            index += struct.pack("<4sIII", k, 16, base + len(movi), len(x))
+            movi += chunk(k, x)
+    body = b"AVI " + hdrl + chunk(b"LIST", movi) + chunk(b"idx1", index)
+    return chunk(b"RIFF", body)
+
+
+@pytest.mark.parametrize("absolute", [False, True])
+def test_only_the_video_stream_is_read(absolute):
+    payload = random.Random(3).randbytes(3 * A.FRAME)
+    got, usec = A.read_avi(_with_audio(A.write_avi(payload), absolute))
+    assert got.tobytes() == payload and usec == 50_000
+    without = _with_audio(A.write_avi(payload))
+    assert A.read_avi(without[: without.rindex(b"idx1")])[0].tobytes() == payload
+
+
+def test_damaged_files_give_a_reason(spark):
+    good = A.write_avi(random.Random(5).randbytes(4 * A.FRAME))
+    at = good.index(b"\xff\xc3")
+    baseline = good[: at + 1] + b"\xc0" + good[at + 2 :]
+    bad = {"cut": good[:-100], "short": good[:10], "text": b"no film", "empty": b"", "baseline": baseline, "places": good[:-8] + (2**31).to_bytes(4, "little") + good[-4:]}
+    for k, x in bad.items():
+        with pytest.raises(A.MediaError):
+            A.read_avi(x)
+    rows = [(i, 7, x) for i, x in enumerate([good, None, *bad.values()])]
+    df = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary").selectExpr("*", "1 as clip", "2 as error")
+    clips = A.clips(df).collect()
+    assert {r["doc_id"] for r in clips} == {0, *range(2, 2 + len(bad))}
+    assert all((r["error"] is None) == (r["doc_id"] == 0) and (r["clip"] is None) == (r["doc_id"] > 0) for r in clips)
+    got = {r["doc_id"]: r for r in df.select("doc_id", "n_bytes", "media").mapInArrow(A._features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").collect()}
+    assert len(got) == len(rows) and got[1]["feature"] is None and got[0]["payload_bytes"] == 4 * A.FRAME
+    assert all(got[k]["feature"].startswith("error: ") and got[k]["payload_sha256"] is None for k in range(2, len(rows)))

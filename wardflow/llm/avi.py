@@ -11,7 +11,8 @@ and ends the shot above FIRST, which is beyond what chance gives two frames of o
 
 A very long text is one file in one task, which is packed and read some thousand frames at a time.
 
-Nulls: a null text is empty; an empty payload is padded to one frame. A null media value gives no clips and null results. Equal
+Nulls: a null text is empty; an empty payload is padded to one frame. A null media value gives no clips and null results; one that is no AVI file, is cut off or otherwise damaged, or holds frames of another process than
+the lossless one gives a row with the reason in `error`, and no clips. Entries of other streams than the first video stream are not read. Equal
 payloads give equal files. Repeated rows are each returned. An empty table gives an empty result; other columns pass or are not read.
 """
 
@@ -93,7 +94,7 @@ def decode_frame(jpeg: bytes) -> np.ndarray:
         elif marker == 0xFFDA:
             break
         elif 0xFFC0 <= marker <= 0xFFCF:
-            raise ValueError("only the lossless process is decoded")
+            raise MediaError("only the lossless process is decoded")
     raw = jpeg[at : jpeg.rindex(_END)].replace(b"\xff\x00", b"\xff")
     bits, pos = "".join(f"{x:08b}" for x in raw), 0
     out = np.zeros(shape, np.int64)
@@ -102,6 +103,8 @@ def decode_frame(jpeg: bytes) -> np.ndarray:
             length = 1
             while (length, int(bits[pos : pos + length], 2)) not in table:
                 length += 1
+                if length > 16:
+                    raise MediaError("no such code")
             c = table[length, int(bits[pos : pos + length], 2)]
             pos += length
             v = int(bits[pos : pos + c], 2) if c else 0
@@ -146,37 +149,73 @@ def write_avi(payload: bytes) -> bytes:
     return chunk(b"RIFF", b"AVI ", hdrl, chunk(b"LIST", b"movi", movi.tobytes()), chunk(b"idx1", index.tobytes()))
 
 
-def read_avi(media: bytes) -> tuple[np.ndarray, int]:
-    """Frames (n, height, width) and microseconds of each."""
-    if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
-        raise ValueError("no AVI file")
-    usec, movi, index, at = USEC, None, None, 12
-    while at + 8 <= len(media):
-        k, n = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-        if k == b"LIST" and media[at + 8 : at + 12] == b"hdrl":
-            usec = struct.unpack_from("<I", media, at + 20)[0]
-        elif k == b"LIST" and media[at + 8 : at + 12] == b"movi":
-            movi = (at + 8, n)
-        elif k == b"idx1":
-            index = np.frombuffer(media, [("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")], n // 16, at + 8)
+class MediaError(ValueError):
+    """A file that is no AVI, is damaged, or holds frames that are not decoded."""
+
+
+INDEX = np.dtype([("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")])
+
+
+def _chunks(media: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(id, first byte, bytes) of the chunks between two places."""
+    while at + 8 <= end:
+        n = struct.unpack_from("<I", media, at + 4)[0]
+        if at + 8 + n > end:
+            raise MediaError(f"chunk at byte {at} ends beyond byte {end}")
+        yield media[at : at + 4], at + 8, n
         at += 8 + n + (n & 1)
+
+
+def _frame_places(media: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """First bytes and sizes of the first video stream's frames, and microseconds of each. The index's places count from the list of frames or, in some files, from the file's start."""
+    if media[:4] != b"RIFF" or media[8:12] != b"AVI " or len(media) < 12:
+        raise MediaError("no AVI file")
+    usec, movi, index, kinds = USEC, None, None, []
+    for k, at, n in _chunks(media, 12, len(media)):
+        if k == b"LIST" and media[at : at + 4] == b"hdrl":
+            for k2, at2, n2 in _chunks(media, at + 4, at + n):
+                if k2 == b"avih" and n2 >= 4:
+                    usec = struct.unpack_from("<I", media, at2)[0]
+                elif k2 == b"LIST" and media[at2 : at2 + 4] == b"strl":
+                    kinds += [media[x : x + 4] for k3, x, _ in _chunks(media, at2 + 4, at2 + n2) if k3 == b"strh"]
+        elif k == b"LIST" and media[at : at + 4] == b"movi":
+            movi = (at, n)
+        elif k == b"idx1":
+            index = np.frombuffer(media, INDEX, n // 16, at)
     if movi is None:
-        raise ValueError("no frames")
+        raise MediaError("no frames")
+    stream = b"%02d" % (kinds.index(b"vids") if b"vids" in kinds else 0)
+    names = (stream + b"dc", stream + b"db")
     if index is None:
-        found, at = [], movi[0] + 4
-        while at + 8 <= movi[0] + movi[1]:
-            k, n = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-            if k in (b"00dc", b"00db"):
-                found.append((at + 8, n))
-            at += 8 + n + (n & 1)
+        found = [(at, n) for k, at, n in _chunks(media, movi[0] + 4, movi[0] + movi[1]) if k in names]
         start, size = np.array(found, np.int64).reshape(-1, 2).T
-    else:
-        start, size = index["at"].astype(np.int64) + movi[0] + 8, index["size"].astype(np.int64)
+        return start, size, usec
+    index = index[np.isin(index["id"], names)]
+    start, size = index["at"].astype(np.int64) + 8, index["size"].astype(np.int64)
+    if len(index) and media[(at := movi[0] + int(index["at"][0])) : at + 4] in names:
+        start += movi[0]
+    elif len(index) and media[(at := int(index["at"][0])) : at + 4] not in names:
+        raise MediaError("the index points at no frame")
+    if len(index) and int((start + size).max()) > len(media):
+        raise MediaError("the index points beyond the file")
+    return start, size, usec
+
+
+def read_avi(media: bytes) -> tuple[np.ndarray, int]:
+    """Frames (n, height, width) and microseconds of each. What is no such file, or is damaged, is a MediaError."""
+    try:
+        return _read_avi(media)
+    except (struct.error, IndexError, ValueError, KeyError) as e:
+        raise e if isinstance(e, MediaError) else MediaError(f"damaged frames: {e}") from e
+
+
+def _read_avi(media: bytes) -> tuple[np.ndarray, int]:
+    start, size, usec = _frame_places(media)
     raw = np.frombuffer(media, np.uint8)
     head = np.frombuffer(_HEAD, np.uint8)
     if not len(start):
         return np.zeros((0, HEIGHT, WIDTH), np.uint8), usec
-    if not all((raw[start[a : a + CHUNK, None] + np.arange(len(head))] == head).all() for a in range(0, len(start), CHUNK)):
+    if int(size.min()) < len(head) or not all((raw[start[a : a + CHUNK, None] + np.arange(len(head))] == head).all() for a in range(0, len(start), CHUNK)):
         return np.stack([decode_frame(media[a : a + n]) for a, n in zip(start.tolist(), size.tolist())]), usec
     out = [_read_frames(raw, start[a : a + CHUNK] + len(head), size[a : a + CHUNK] - len(head) - 2) for a in range(0, len(start), CHUNK)]
     return np.concatenate(out), usec
@@ -254,7 +293,7 @@ def stored_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def clips(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """A row for each shot: key, clip, first and last frame, start_ms, end_ms (end exclusive)."""
+    """A row for each shot: key, clip, first and last frame, start_ms, end_ms (end exclusive); for a file that can't be read, a row with nulls and the reason in error."""
 
     def run(batches):
         def rows():
@@ -262,13 +301,17 @@ def clips(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataF
                 for k, m in zip(b.column(0), b.column(1)):
                     if m.as_py() is None:
                         continue
-                    frames, usec = read_avi(m.as_py())
+                    try:
+                        frames, usec = read_avi(m.as_py())
+                    except MediaError as e:
+                        yield 100, (k.as_py(), *[None] * 5, str(e))
+                        continue
                     for i, (a, z) in enumerate(shots(frames)):
-                        yield 100, (k.as_py(), i, a, z, a * usec // 1000, (z + 1) * usec // 1000)
+                        yield 100, (k.as_py(), i, a, z, a * usec // 1000, (z + 1) * usec // 1000, None)
 
-        yield from _batched(rows(), [key, "clip", "first_frame", "last_frame", "start_ms", "end_ms"], [pa.int64()] * 6)
+        yield from _batched(rows(), [key, "clip", "first_frame", "last_frame", "start_ms", "end_ms", "error"], [pa.int64()] * 6 + [pa.string()])
 
-    return media.select(key, column).mapInArrow(run, f"`{key}` long, clip long, first_frame long, last_frame long, start_ms long, end_ms long")
+    return media.select(key, column).mapInArrow(run, f"`{key}` long, clip long, first_frame long, last_frame long, start_ms long, end_ms long, error string")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +319,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, n, m in zip(b["doc_id"], b["n_bytes"], b["media"]):
                 media = m.as_py()
-                frames, usec = read_avi(media)
+                try:
+                    frames, usec = read_avi(media or b"")
+                except MediaError as e:
+                    held = (None, None, None) if media is None else (len(media), hashlib.sha256(media).hexdigest(), f"error: {e}")
+                    yield 500, (k.as_py(), n.as_py(), None, None, None, *held)
+                    continue
                 payload = frames.tobytes()
                 said = ",".join(f"{a * usec // 1000}-{(z + 1) * usec // 1000}" for a, z in shots(frames))
                 yield 500 + len(said), (k.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(frames)} frames; clips ms {said}")

@@ -160,3 +160,59 @@ def test_equal_fingerprints_of_other_shingles(spark):
     docs += [(5, "spam " * 400 + tail(5, 100)), (6, tail(5, 100)), (7, "spam " * 300 + tail(5, 100))]
     got = S.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
     assert sorted(r["doc_id"] for r in got.collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def _similar(rng, n, length=60):
+    """Word lists around a few texts: near copies, chains whose neighbours alone are alike, and others."""
+    out = []
+    while len(out) < n:
+        w = [f"x{v}" for v in rng.integers(0, 10**6, length)]
+        out.append(w)
+        for k in range(int(rng.integers(0, 12))):
+            v = list(out[-1] if k % 2 else w)
+            v[int(rng.integers(0, length))] = f"c{rng.integers(0, 10**6)}"
+            out.append(v)
+    return [" ".join(w) for w in out[:n]]
+
+
+def test_large_groups_of_candidates_are_dealt_to_chunks(spark):
+    """Blocks of a few rows' weight count as large: the links are those of all pairs."""
+    rng = np.random.default_rng(6)
+    texts = _similar(rng, 220) + ["same " + " ".join(f"y{i}" for i in range(60)) + f" z{k}" for k in range(60)]
+    own = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    pairs = [(i, j) for i in range(len(own)) for j in range(i) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])]
+    root = list(range(len(own)))
+    for _ in range(len(own)):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, uid long").repartition(5)
+    for most in (5, 40):
+        got = S.grouped(docs, 5, 4, S.radius_at(0.8, 256), by_bands=True, similarity=0.8, most=most).collect()
+        assert [r["component_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == root
+
+
+def test_blocks_beyond_a_task_meet_in_chunks(spark):
+    """One block of candidates in which nothing but chains hangs together, dealt on in chunks of 4 and of 30."""
+    rng = np.random.default_rng(8)
+    texts = _similar(rng, 90)
+    own = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = brute_groups([0] * len(texts), list(range(len(texts))), -1)
+    for _ in range(len(own)):
+        for i in range(len(own)):
+            for j in range(i):
+                if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]):
+                    want[i] = want[j] = min(want[i], want[j])
+    nodes = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
+    signed = S.signed(nodes.withColumnRenamed("uid", "node"), 5, 4, True).select("node", *(f"f{k}" for k in range(4)))
+    blocks = signed.withColumn("k", F.lit(1).cast("long")).withColumn("w", F.lit(1).cast("long"))
+    for most in (4, 30, 1000):
+        found = {r["node"]: r["root"] for r in S.dealt(blocks, S._linker(4, 256, 0.8, 5), len(texts), most, nodes).collect()}
+        assert [found.get(k, k) for k in range(len(texts))] == want
+        plan = S.large_keys(blocks, len(texts), most, F.col("w"))
+        assert (plan is None) == (most == 1000)
+
+
+def test_forest_begins_with_labels():
+    f = np.array([[0], [1 << 40], [0], [1 << 41], [7 << 50]], np.uint64)
+    a, b = S.forest(np.zeros(5, int), f, 0, label=np.array([5, 9, 6, 9, 5]))
+    assert dict(zip(a.tolist(), b.tolist())) == {2: 0, 3: 1, 4: 0}

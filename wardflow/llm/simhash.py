@@ -13,7 +13,9 @@ a band but for once in 1e9, and the fingerprint has 256 bits, with a radius SPRE
 that similarity. What is found so are candidates only: rows whose candidates hang together meet once more, with their sets of shingles,
 and a pair enters the forest if the sets' Jaccard similarity reaches the bound.
 
-Rows whose candidates of a similarity bound hang together meet in one task, with their sets: its memory grows with the largest such group of different sets.
+No task holds a large block (`dealt`), be it a band's or one of candidates: its rows are dealt to chunks by hash, and each chunk gives its forest. A row for each tree of each
+chunk then meets the other trees' rows. What is one component by then needs no more comparisons, so only rows outside their block's largest component are left to meet all others,
+chunk by chunk. Near copies of one text mostly end as one component in the first two steps; a block of rows that hang together in no way costs a comparison for each two chunks of it, and loses no link.
 
 Nulls: a null or wordless text has the zero fingerprint, and is linked like others. Rows that repeat are each returned. A null doc_id
 is never a group's least one unless all are null. Very large blocks are split by the other bits of the fingerprint. A very long text is hashed by one task, some 16 bytes a word.
@@ -27,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +37,10 @@ from wardflow.llm.common import lookup, stored, table
 from wardflow.llm.components import components
 
 SEED, LARGE, BANDS, ROWS, SPREAD = 42, 8192, 32, 3, 4
+#: A chunk's weight: rows, of which one with a text counts as one more for each PAGE characters.
+CHUNK, PAGE = 8192, 4000
+#: Large blocks of which something small may be broadcast; more are looked up.
+HELD = 100_000
 #: Rows of a block that one task may hold, where the bits can part them.
 MOST = 1 << 16
 #: Multipliers that give further hash words and minima from one hash.
@@ -206,7 +212,7 @@ def _link(root: np.ndarray, i: np.ndarray, j: np.ndarray, alike: Alike | None) -
         _join(root, i, j)
 
 
-def jaccard(sets: pa.ListArray, similarity: float) -> Alike:
+def jaccard(sets: pa.LargeListArray, similarity: float) -> Alike:
     """Whether the sets of rows i and j have this Jaccard similarity. No set has a value twice."""
     at = sets.offsets.to_numpy()
     values = sets.values.to_numpy()[at[0] : at[-1]]
@@ -227,10 +233,21 @@ def jaccard(sets: pa.ListArray, similarity: float) -> Alike:
     return alike
 
 
-def forest(key: np.ndarray, f: np.ndarray, radius: int, free: np.ndarray | None = None, alike: Alike | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, other row) that join what lies within the radius, and is alike, among rows of equal key. key is sorted. free: the bits that may differ in a large block."""
+def sets(texts: pa.ChunkedArray, n: int) -> pa.ListArray:
+    """The texts' sets of n-word shingles' hashes, each sorted."""
+    found = [np.unique(shingle_hashes(t.as_py(), n)).view(np.int64) for t in texts]
+    at = np.cumsum([0, *map(len, found)])
+    return pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
+
+
+def forest(key: np.ndarray, f: np.ndarray, radius: int, alike: Alike | None = None, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, other row) that join what lies within the radius, and is alike, among rows of equal key. key is sorted. Rows of equal key and label are one tree to begin with."""
     n = len(key)
     root = np.arange(n)
+    if label is not None and n:
+        order = np.lexsort((root, label, key))
+        first = np.r_[True, (key[order][1:] != key[order][:-1]) | (label[order][1:] != label[order][:-1])]
+        root[order] = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
     new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.empty(0, int)
     count = np.diff(np.r_[new, n])
     for a, m in zip(new[count > LARGE], count[count > LARGE]):
@@ -286,12 +303,13 @@ def _split(root: np.ndarray, rows: np.ndarray, f: np.ndarray, radius: int, alike
                 _link(root, rows[own_rows[i]], rows[own_rows[i + d]], alike)
 
 
-def _linker(size: int, radius: int, similarity: float | None = None, chunk: int = 100_000):
+def _linker(size: int, radius: int, similarity: float | None = None, n: int = 5, chunk: int = 100_000):
     def links(t: pa.Table) -> pa.RecordBatch:
         key = t["k"].to_numpy()
         f = np.stack([t[f"f{k}"].to_numpy().view(np.uint64) for k in range(size)], 1)
         node = t["node"].to_numpy()
-        a, b = forest(key, f, radius, alike=jaccard(t["set"].combine_chunks(), similarity) if similarity else None)
+        alike = jaccard(sets(t["text"], n), similarity) if similarity else None
+        a, b = forest(key, f, radius, alike, t["label"].to_numpy() if "label" in t.column_names else None)
         return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,20 +333,25 @@ def _linker(size: int, radius: int, similarity: float | None = None, chunk: int
     return run
 
 
+def large_keys(blocks: DataFrame, rows: int, most: int, weight: Column | int = 1) -> DataFrame | None:
+    """(k, n) of the keys whose rows weigh more than `most`; None: there are none. rows: what all weigh."""
+    # A key of such weight makes a bucket of as much, and only rows of such buckets are counted by key.
+    buckets = max(1 << 12, 8 * rows // most)
+    own = blocks.select("k", F.pmod(F.col("k"), F.lit(buckets)).alias("bucket"), F.lit(weight).alias("w") if isinstance(weight, int) else weight.alias("w"))
+    heavy = own.groupBy("bucket").agg(F.sum("w").alias("n")).where(F.col("n") > most).select("bucket")
+    if heavy.isEmpty():
+        return None
+    large = stored(own.join(heavy, "bucket", "left_semi").groupBy("k").agg(F.sum("w").cast("long").alias("n")).where(F.col("n") > most), "large-blocks")
+    return None if large.isEmpty() else large
+
+
 def spread(blocks: DataFrame, rows: int, radius: int, most: int = MOST) -> DataFrame:
     """blocks (node, f0, k, rest: the bits that k says nothing of; rows in number) with keys under which at most `most` rows stand, as far as their bits allow: the rest of a larger
     block's bits is dealt to radius + 1 stripes, of which a linked pair shares one, and each stripe's value is a key of its own. Stripes of the next level cut across those before."""
     base, done = radius + 1, []
     for level in range(int(math.log(64, base))):
-        # A key with so many rows makes a bucket of as many, and only rows of such buckets are counted by key.
-        buckets = max(1 << 12, 8 * rows // most)
-        bucket = F.pmod(F.col("k"), F.lit(buckets)).alias("bucket")
-        heavy = blocks.groupBy(bucket).agg(F.count("*").alias("n")).where(F.col("n") > most).select("bucket")
-        if heavy.isEmpty():
-            break
-        some = blocks.withColumn("bucket", bucket).join(heavy, "bucket", "left_semi")
-        large = stored(some.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > most).select("k"), "large-blocks")
-        if large.isEmpty():
+        large = large_keys(blocks, rows, most)
+        if large is None:
             break
         done.append(blocks.join(large, "k", "left_anti"))
         masks = [sum(1 << b for b in range(64) if b // base**level % base == j) for j in range(base)]
@@ -343,6 +366,54 @@ def spread(blocks: DataFrame, rows: int, radius: int, most: int = MOST) -> DataF
     return blocks
 
 
+def dealt(blocks: DataFrame, link, rows: int, most: int = CHUNK, texts: DataFrame | None = None) -> DataFrame:
+    """(node, root) of what `link` links within blocks. blocks: k, node (once in a block), w (a row's weight) and what else `link` reads; rows: what all weigh; texts: (uid, text) of the nodes, if `link` reads
+    them. A task holds a block of a weight up to `most`, or a chunk or two of a larger one."""
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = [c for c in blocks.columns if c not in ("k", "w")] + ["text"] * (texts is not None)
+    chunk = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
+
+    def with_texts(x: DataFrame) -> DataFrame:
+        return x if texts is None else x.join(texts.withColumnRenamed("uid", "node"), "node")
+
+    def met(x: DataFrame, *more: str) -> DataFrame:
+        return x.select("k", *rest, *more).repartition(tasks, "k").sortWithinPartitions("k", "node").mapInArrow(link, "u long, v long")
+
+    def of_block(x: DataFrame, values: DataFrame, counts: DataFrame) -> DataFrame:
+        """x with values by k, of which there are at most rows / most."""
+        return x.join(F.broadcast(values), "k", "left") if values.count() <= HELD else lookup(x, values, "k", counts)
+
+    large = large_keys(blocks, rows, most, F.col("w"))
+    if large is None:
+        return components(met(with_texts(blocks)))
+    blocks = of_block(blocks, large.select("k", F.ceil(F.col("n") / most).alias("chunks")), large)
+    links = stored(met(with_texts(blocks.where("chunks is null"))), "links")
+    hot = stored(with_texts(blocks.where("chunks is not null")), "large-rows")
+    # Forests of the chunks.
+    inner = stored(met(hot.withColumn("k", F.xxhash64("k", chunk("own", "chunks")))), "links")
+
+    def labelled() -> DataFrame:
+        return hot.join(components(inner), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+
+    # One row for each tree meets the others'.
+    first = labelled().groupBy("k", "label").agg(F.min("node").alias("node")).select("k", "node")
+    first = stored(hot.drop("chunks").join(first, ["k", "node"], "left_semi"), "trees")
+    size = stored(first.groupBy("k").agg(F.ceil(F.sum("w") / most).alias("parts"), F.count("*").alias("n")), "sizes")
+    first = of_block(first, size.select("k", "parts"), size.select("k", "n"))
+    inner = inner.unionByName(stored(met(first.withColumn("k", F.xxhash64("k", F.lit("trees"), chunk("trees", "parts")))), "links"))
+    # Rows outside their block's largest component meet all.
+    at = stored(labelled(), "labelled")
+    size = at.groupBy("k", "label").agg(F.sum("w").alias("n")).groupBy("k").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("out"), F.sum("n").alias("n"))
+    size = stored(size, "sizes").where("out > 0")
+    if not size.isEmpty():
+        at = of_block(at, size.select("k", "main", F.ceil(F.col("out") / most).alias("parts")), size.select("k", "n")).where("parts is not null")
+        every = at.select("*", chunk("own", "chunks").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("b"))
+        out = at.where("label <> main").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("a"), chunk("out", "parts").alias("b"))
+        # A row outside may stand in a task twice; its two rows have one label and are one tree.
+        inner = inner.unionByName(stored(met(every.unionByName(out).withColumn("k", F.xxhash64("k", F.lit("pairs"), "a", "b")), "label"), "links"))
+    return components(links.unionByName(inner))
+
+
 def linked(rows: DataFrame, size: int, radius: int, by_bands: bool, most: int = MOST) -> DataFrame:
     """(node, root) of nodes that are linked. rows: node, f0 and so on, bands: each fingerprint, or set, once."""
     fs = [f"f{k}" for k in range(size)]
@@ -357,28 +428,16 @@ def linked(rows: DataFrame, size: int, radius: int, by_bands: bool, most: int =
         keys = [F.struct(F.xxhash64(F.lit(i * parts + j), bits[i], bits[j]).alias("k"), F.lit(signed_mask(i, j)).cast("long").alias("rest")) for i, j in pairs]
         blocks = rows.select("node", *fs, F.explode(F.array(*keys)).alias("x")).select("node", *fs, "x.k", "x.rest")
         blocks = spread(blocks, rows.count() * len(pairs), radius, most).drop("rest")
-    dealt = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k").sortWithinPartitions("k", "node")
-    return components(dealt.mapInArrow(_linker(size, radius), "u long, v long"))
-
-
-def _sets(n: int, most: int = 500):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b.slice(k, most) for b in batches for k in range(0, b.num_rows, most)):
-            of = [np.unique(shingle_hashes(t.as_py(), n)).view(np.int64) for t in b["text"]]
-            at = b.schema.get_field_index("text")
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], *b.columns[at + 1 :], pa.array(of, pa.list_(pa.int64()))], [*b.schema.names[:at], *b.schema.names[at + 1 :], "set"])
-
-    return run
+        met = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k").sortWithinPartitions("k", "node")
+        return components(met.mapInArrow(_linker(size, radius), "u long, v long"))
+    return dealt(blocks.withColumn("w", F.lit(1).cast("long")), _linker(size, radius), rows.count() * BANDS, min(most, CHUNK))
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, found: DataFrame, n: int, size: int, radius: int, similarity: float) -> DataFrame:
-    """(node, root) of nodes that links of this Jaccard similarity join. found: of candidate links. docs: uid and text."""
-    names = ["node", "k", *(f"f{k}" for k in range(size))]
-    open_ = found.join(nodes, "node").select("node", F.col("root").alias("k"), *names[2:])
-    texts = docs.join(open_, docs["uid"] == open_["node"]).select(*names, "text")
-    sets = texts.mapInArrow(_sets(n), "".join(f"{c} long, " for c in names) + "set array<long>")
-    dealt = sets.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k").sortWithinPartitions("k", "node")
-    return components(dealt.mapInArrow(_linker(size, radius, similarity, 1000), "u long, v long"))
+def confirmed(docs: DataFrame, nodes: DataFrame, found: DataFrame, n: int, size: int, radius: int, similarity: float, most: int = CHUNK) -> DataFrame:
+    """(node, root) of nodes that links of this Jaccard similarity join. found: of candidate links. docs: uid and text. nodes: node, fingerprints and w."""
+    open_ = found.join(nodes, "node").select("node", F.col("root").alias("k"), *(f"f{k}" for k in range(size)), "w")
+    rows = nodes.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    return dealt(open_, _linker(size, radius, similarity, n, 1000), rows, most, docs)
 
 
 def grouped(docs: DataFrame, n: int, size: int, radius: int, by_bands: bool = False, text: str = "text", key: str = "doc_id", similarity: float | None = None, most: int = MOST) -> DataFrame:
@@ -387,15 +446,16 @@ def grouped(docs: DataFrame, n: int, size: int, radius: int, by_bands: bool = Fa
     With a similarity, links are confirmed by the sets of shingles; docs, read a second time for that, have a uid, and their text is named so."""
     ids = [f"f{k}" for k in range(size)] + ["s0", "s1"] * by_bands
     others = [c for c in docs.columns if c != text]
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("d"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), *(["uid"] if similarity else []))
+    weight = (1 + F.floor(F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)) / PAGE)).cast("long").alias("w")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("d"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), *(["uid", weight] if similarity else []))
     s = signed(own, n, size, by_bands)
     s = stored(s if similarity else s.withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "uid")).alias("first")
-    also = [F.first("bands").alias("bands")] if by_bands else []
+    also = [F.first("bands").alias("bands")] * by_bands + [F.max("w").alias("w")] * (similarity is not None)
     nodes = stored(s.groupBy(*ids).agg(F.min("uid").alias("node"), first, F.count("*").alias("n"), *also), "nodes")
     found = linked(nodes, size, radius, by_bands, most)
     if similarity:
-        found = confirmed(docs.select("uid", "text"), nodes, found, n, size, radius, similarity)
+        found = confirmed(docs.select("uid", "text"), nodes, found, n, size, radius, similarity, min(most, CHUNK))
     of = nodes.select("node", *ids, "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("first").alias("least"))
     of = stored(of.select(*ids, "root").join(least, "root").select(F.xxhash64(*ids).alias("h"), F.struct(*ids).alias("f"), "least"), "groups")

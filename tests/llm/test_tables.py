@@ -127,20 +127,38 @@ def test_runs_are_compacted(spark):
 # ---- mixing ----
 
 
-def test_mix_meets_its_targets_and_reruns_agree(spark):
+def test_mix_is_cut_once_at_the_budget_and_reruns_agree(spark):
     data = rows(5) + [(9, "tie tie", "en", "a", 1)] * 4 + [(None, "no id", "en", None, 1)] * 2
-    q = mixing.queue(spark.createDataFrame(data, KIND).repartition(7), chunk=10)
-    taken = mixing.taken_words(0) + mixing.taken_words(1)
-    df = q.select("key", "source", "size", "source_size", "target", taken.alias("taken"))
-    a = sorted(map(str, df.collect()))
-    again = mixing.queue(spark.createDataFrame(list(reversed(data)), KIND), chunk=10).select("key", "source", "size", "source_size", "target", taken.alias("taken"))
-    assert sorted(map(str, again.collect())) == a
-    p = df.toPandas()
-    assert (p.taken <= 2 * p["size"]).all()
-    by = p.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"))
-    assert (abs(by.taken - by.target) <= 1).all()
+    got = []
+    for df in (spark.createDataFrame(data, KIND).repartition(7), spark.createDataFrame(list(reversed(data)), KIND)):
+        q = mixing.truncated(mixing.queue(df, chunk=10), chunk=10)
+        got.append(q.select("key", "source", "size", "source_size", "target", "start", "taken").toPandas())
+    p = got[0]
+    total = int(p["size"].sum())
+    # All copies in one list, and the budget taken off it.
+    copies = sorted(((r.start + k * r.source_size + r.size) / r.target, r.key is None or r.key != r.key, r.key if r.key == r.key else 0, k, r.size, r.taken[k]) for r in p.itertuples() for k in (0, 1) if r.size and r.target)
+    left = 3 * total // 2
+    for *_, size, taken in copies:
+        assert taken == max(0, min(size, left)) or taken in (0, size)  # the last: one of equal rows
+        left -= size
+    assert sum(x[-1] for x in copies) == 3 * total // 2
+    by = p.assign(t=[sum(x) for x in p.taken]).groupby("source", dropna=False).agg(taken=("t", "sum"), target=("target", "first"), size=("source_size", "first"), most=("size", "max"))
+    assert (abs(by.taken - by.target) <= by.most).all()
     assert by.target.sum() == pytest.approx(1.5 * by["size"].sum())
     assert (by.target <= 2 * by["size"]).all()
+    key = lambda f: sorted(map(str, f.drop(columns="taken").assign(t=[sum(x) for x in f.taken]).itertuples(index=False)))
+    assert key(got[0]) == key(got[1])
+
+
+def test_the_cut_in_each_stretch(spark, monkeypatch):
+    """Few stretches, of which the last one with words holds the cut, give what many give."""
+    df = spark.createDataFrame(rows(8), KIND)
+    want = sorted(map(str, mixing.truncated(mixing.queue(df)).select("key", "source", "start", "taken").collect()))
+    monkeypatch.setattr(mixing, "STRETCHES", 1)
+    assert sorted(map(str, mixing.truncated(mixing.queue(df)).select("key", "source", "start", "taken").collect())) == want
+    for share, epochs in ((0.3, 1), (2.5, 3)):
+        q = mixing.truncated(mixing.queue(df, share=share, epochs=epochs), share, epochs).toPandas()
+        assert sum(map(sum, q.taken)) == int(q["size"].sum() * share) and all(len(x) == epochs for x in q.taken)
 
 
 def test_stream_is_in_order_of_finish(spark):

@@ -2,15 +2,18 @@
 
 Every source shuffles its documents by a hash of id and seed and queues them, `epochs` times over in the same order. A copy's
 virtual finish time is the source's words up to and including it, divided by the source's target; the mix is all copies in order
-of virtual finish time, truncated at the total budget. At virtual time 1 each source has given its target's words, so the budget
-ends there: a copy counts with the words before that time, and one that starts later is not taken.
+of virtual finish time (then of id and epoch), truncated where their words reach the budget: of the copy that passes it the first words are taken, of those behind it none.
+A source's taken words are thus its target's but for a document's.
 
-Targets: sources in code-point order (null last) weigh `weights`, repeating, and share `share` of all words; a target stops at
+Targets: sources in code-point order (null last) weigh `weights`, repeating, and share `share` of all words, which is the budget (rounded down); a target stops at
 `epochs` times its source's words, and the excess goes to the others by weight until none is above.
 
 A source may hold any share of the rows: its queue is cut by hash into chunks of about `chunk` documents, whose sums give each
-chunk's start, so that no task holds more than a chunk. Nulls: a null text has size 0, a null source is a source of its own, a row without an id takes its place by
-its text. Rows that repeat are each queued; which of equal rows comes first does not show in the result, and rows that share an id share a chunk. A very long text is split into words in its own row.
+chunk's start, so that no task holds more than a chunk. The cut is found the same way: equal stretches of virtual time hold about equally many words, so
+words are summed by stretches (STRETCHES at most), and only the copies of the one stretch in which the budget is reached are put in order and summed up.
+
+Nulls: a null text has size 0, a null source is a source of its own, a row without an id takes its place by
+its text. Rows that repeat are each queued; which of equal rows comes first does not show in the result but where the budget ends between them, and rows that share an id share a chunk. A very long text is split into words in its own row.
 mixed_documents gives all columns back, whatever their names; the others name their columns themselves. Sources without words have target
 0, and their documents are not taken. An empty table gives an empty result.
 """
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from wardflow.llm.common import stored, table, text_key, words
 
 WEIGHTS = (3, 1, 2)
+#: Stretches of virtual time, whose sums one task holds.
+STRETCHES = 100_000
 
 
 def targets(sources: DataFrame, share: float = 1.5, epochs: int = 2, weights: tuple = WEIGHTS) -> DataFrame:
@@ -42,13 +47,13 @@ def targets(sources: DataFrame, share: float = 1.5, epochs: int = 2, weights: tu
 
 
 def queue(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: str = "mix", share: float = 1.5, epochs: int = 2, weights: tuple = WEIGHTS, chunk: int = 2000, keep: list[str] | None = None) -> DataFrame:
-    """A row for each document: its key, source and `keep` columns, size, source_size, target, and start: its source's words before it in the queue."""
+    """A row for each document: its key, source and `keep` columns, size, source_size, target, uid (the row's own number), and start: its source's words before it in the queue."""
     keep = [] if keep is None else keep
     size = F.size(words(F.col(text))).cast("long")
     # Rows without an id are shuffled by their texts, lest all of them have one place.
     name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), text_key(F.col(text))["a"].cast("string")))
     d = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), *keep, size.alias("size"), F.md5(F.concat_ws(":", F.lit(seed), name)).alias("r"), text_key(F.col(text)).alias("th"))
-    d = stored(d, "mix-sizes")
+    d = stored(d, "mix-sizes").withColumn("uid", F.monotonically_increasing_id())
     chunks = max(16, -(-d.count() // chunk))
     d = d.withColumn("part", F.floor(F.conv(F.substring("r", 1, 8), 16, 10).cast("double") / 2.0**32 * chunks).cast("long"))
     parts = d.groupBy("source", "part").agg(F.sum("size").alias("words"))
@@ -58,8 +63,8 @@ def queue(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     sources = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), share, epochs, weights)
     parts = _null_safe(parts, sources)
     d = _null_safe(d, parts.select("source", "part", "offset", "source_size", "target"), also=["part"])
-    within = W.partitionBy("source", "part").orderBy("r", "key", "size", "th").rowsBetween(W.unboundedPreceding, -1)
-    return d.select("key", "source", *keep, "size", "source_size", "target", (F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("start"))
+    within = W.partitionBy("source", "part").orderBy("r", "key", "size", "th", "uid").rowsBetween(W.unboundedPreceding, -1)
+    return d.select("key", "source", *keep, "size", "source_size", "target", "uid", (F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("start"))
 
 
 def _null_safe(left: DataFrame, right: DataFrame, also: list[str] = ()) -> DataFrame:
@@ -70,25 +75,48 @@ def _null_safe(left: DataFrame, right: DataFrame, also: list[str] = ()) -> DataF
     return left.join(r, on).drop(*(f"_{c}" for c in ("source", *also)))
 
 
-def taken_words(epoch: Column | int) -> Column:
-    """The words that the mix takes of a document's copy."""
-    begin = F.col("start") + F.col("source_size") * epoch
-    return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.floor(F.col("target")) - begin))
+def finish(epoch: Column | int) -> Column:
+    """The virtual finish time of a document's copy; null where the source has no words."""
+    return F.when(F.col("target") > 0, (F.col("start") + F.col("source_size") * epoch + F.col("size")) / F.col("target"))
+
+
+def place(epoch: Column | int) -> Column:
+    """What copies are ordered by."""
+    return F.struct(finish(epoch).alias("finish"), F.col("key").isNull().alias("none"), "key", (F.lit(epoch) if isinstance(epoch, int) else epoch).cast("int").alias("epoch"), "uid")
+
+
+def truncated(q: DataFrame, share: float = 1.5, epochs: int = 2, chunk: int = 2000) -> DataFrame:
+    """The queue with `taken`: for each epoch, the words that the mix takes of the copy, in an array. Written to the shared folder first, as it is read three times."""
+    q = stored(q, "mix-queue")
+    n, words_ = q.agg(F.count("*"), F.sum("size")).first()
+    stretches = min(STRETCHES, max(16, -(-n * epochs // chunk)))
+    e = q.where("size > 0 and target > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    e = e.select("size", place(F.col("epoch")).alias("at")).withColumn("stretch", F.least(F.floor(F.col("at.finish") * stretches), F.lit(4 * stretches)).cast("long"))
+    budget = F.lit(int((words_ or 0) * min(share, epochs))).cast("long")
+    upto = W.orderBy("stretch").rowsBetween(W.unboundedPreceding, W.currentRow)  # over stretches, not copies
+    sums = e.groupBy("stretch").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(upto))
+    last = sums.where((F.col("upto") >= budget) & (F.col("upto") - F.col("words") < budget)).select(F.col("stretch").alias("of"), (F.col("upto") - F.col("words")).alias("before"))
+    own = e.join(F.broadcast(last), F.col("stretch") == F.col("of"))
+    within = W.partitionBy("stretch").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    own = own.withColumn("left", budget - F.col("before") - F.coalesce(F.sum("size").over(within), F.lit(0))).where((F.col("left") > 0) & (F.col("left") <= F.col("size")))
+    cut = own.agg(F.min(F.struct("at", "left")).alias("cut"))  # one row: the copy that the budget ends in; null: it is not reached
+    at = F.col("cut.at")
+    taken = lambda k: F.when(F.col("target") > 0, F.when(at.isNull() | (place(k) < at), F.col("size")).when(place(k) == at, F.col("cut.left")).otherwise(0)).otherwise(0).cast("long")
+    return q.join(F.broadcast(cut)).withColumn("taken", F.array(*[taken(k) for k in range(epochs)])).drop("cut")
 
 
-def mix(docs: DataFrame, epochs: int = 2, ordered: bool = True, **options) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, epochs: int = 2, chunk: int = 2000, ordered: bool = True, **options) -> DataFrame:
     """The mixed stream: a row for each taken copy, in order of virtual finish time (range-sorted over all partitions, unless the caller does)."""
-    q = queue(docs, epochs=epochs, **options).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    q = q.withColumn("taken", taken_words(F.col("epoch"))).where(F.col("taken") > 0)
-    q = q.withColumn("finish", (F.col("start") + F.col("source_size") * F.col("epoch") + F.col("size")) / F.col("target"))
-    return q.orderBy("finish", "source", "epoch", "key") if ordered else q
+    q = truncated(queue(docs, share=share, epochs=epochs, chunk=chunk, **options), share, epochs, chunk)
+    q = q.select("*", F.posexplode("taken").alias("epoch", "words")).drop("taken").withColumnRenamed("words", "taken").where("taken > 0")
+    q = q.withColumn("finish", finish(F.col("epoch")))
+    return q.orderBy("finish", F.col("key").asc_nulls_last(), "epoch", "uid") if ordered else q
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    q = queue(docs)
-    first = (F.col("start") + F.col("size")) / F.col("target")
-    out = q.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (taken_words(0) + taken_words(1)).alias("taken"), F.when(F.col("target") > 0, first).alias("finish"))
+    q = truncated(queue(docs))
+    out = q.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("taken")[0] + F.col("taken")[1]).alias("taken"), finish(0).alias("finish"))
     return out.orderBy("finish", "doc_id")
 
 
@@ -102,11 +130,12 @@ s3 AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(su
 f AS (SELECT level FROM s3 WHERE level <= meets ORDER BY meets, source IS NULL, source LIMIT 1),
 s4 AS (SELECT source, source_size, least(cap::DOUBLE, f.level * w) AS target FROM s3, f),
 q AS (SELECT d.*, s4.source_size, s4.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY r, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-      FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (greatest(0, least(size, floor(target)::BIGINT - start)) + greatest(0, least(size, floor(target)::BIGINT - start - source_size)))::BIGINT AS taken,
-       CASE WHEN target > 0 THEN (start + size)::DOUBLE / target END AS finish
-FROM q
+      FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
+c AS (SELECT doc_id, size, (start + source_size * epoch + size)::DOUBLE / target AS finish, epoch FROM q, (VALUES (0), (1)) AS e(epoch) WHERE size > 0),
+r AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, doc_id, epoch ROWS UNBOUNDED PRECEDING) AS upto FROM c),
+t AS (SELECT doc_id, sum(greatest(0, least(size, (SELECT (sum(size) * 3) // 2 FROM d) - (upto - size))))::BIGINT AS taken FROM r GROUP BY doc_id)
+SELECT doc_id, q.size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, CASE WHEN target > 0 THEN (start + q.size)::DOUBLE / target END AS finish
+FROM q LEFT JOIN t USING (doc_id)
 """
 
 
@@ -115,4 +144,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     cols = docs.columns
     own = stored(docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("d")), "mix-docs")
     taken = mix(own.select("at", "d.doc_id", "d.text", "d.source"), keep=["at"], ordered=False, **options).select("at", "finish", "epoch")
-    return own.join(taken, "at").orderBy("finish", "epoch", "at").select(*[F.col(f"d.`{c}`").alias(c) for c in cols])
+    return own.join(taken, "at").orderBy("finish", F.col("d.doc_id").asc_nulls_last(), "epoch", "at").select(*[F.col(f"d.`{c}`").alias(c) for c in cols])

@@ -68,10 +68,12 @@ def plain(rows):
         sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
     gone = {b for a in range(len(rows)) for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     rows = [r for i, r in enumerate(rows) if i not in gone]
-    out = []
-    for r in sql(mixing.OP2_SQL, rows):
-        copies = [x for x in (0, 1) if min(r["size"], int(r["target"]) - (round(r["finish"] * r["target"]) - r["size"] + x * r["source_size"])) > 0]
-        out += [next(x for x in rows if x[0] == r["doc_id"])] * len(copies)
+    queue = sql(mixing.OP2_SQL, rows)
+    copies = sorted((r["finish"] + k * r["source_size"] / r["target"], r["doc_id"], k, r["size"]) for r in queue for k in (0, 1) if r["size"])
+    out, left = [], 3 * sum(r["size"] for r in queue) // 2
+    for _, i, _, size in copies:
+        out += [next(x for x in rows if x[0] == i)] * (left > 0)
+        left -= size
     return sorted((r[0], r[1], r[4], tuple(brute_ids(r[1])), hashlib.sha256(r[1].encode()).hexdigest()) for r in out)
 
 
@@ -86,6 +88,19 @@ def test_run_is_the_plain_one(spark):
     assert got == want
 
 
+def test_two_runs_leave_each_other_alone(spark):
+    """A second run deletes nothing that the first one's result reads, and a run leaves only what its result reads."""
+    at = spark.conf.get("spark.checkpoint.dir") + "/corpora"
+    frames = []
+    for seed in (3, 4):
+        df = spark.createDataFrame(corpus(seed)[:60], "doc_id long, text string, lang string, source string, n_chars long")
+        df.write.mode("overwrite").parquet(f"{at}/{seed}/documents.parquet")
+        frames.append(C.run(spark, f"{at}/{seed}"))
+    stage = C.STAGES[0][1](spark, spark.read.parquet(f"{at}/3/documents.parquet"), "")
+    counts = [f.count() for f in frames]
+    assert min(counts) > 40 and stage.count() > 30 and [f.count() for f in frames] == counts
+
+
 def test_stages_keep_the_columns(spark):
     df = spark.createDataFrame([(1, None, None, None, None), (None, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in C.STAGES[:-1]:

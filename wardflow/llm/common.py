@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -34,23 +35,29 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Lists that take the paths given out while they are open.
-_RECORDS: list[list[str]] = []
+class _Records(threading.local):
+    """Lists that take the paths given out while they are open, by thread."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_RECORDS = _Records()
 
 
 @contextlib.contextmanager
 def recorded() -> Iterator[list[str]]:
-    """The paths given out meanwhile, for a caller that knows when they are no longer read."""
-    _RECORDS.append(paths := [])
+    """The paths given out meanwhile in this thread, for a caller that knows when they are no longer read."""
+    _RECORDS.open.append(paths := [])
     try:
         yield paths
     finally:
-        _RECORDS.pop()
+        _RECORDS.open.remove(paths)
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    for paths in _RECORDS:
+    for paths in _RECORDS.open:
         paths.append(path)
     return path
 

@@ -4,7 +4,9 @@ Every stage gets what the one before kept, as documents read from Parquet, and a
 rejected documents and near copies are gone, repeated lines are cut out (n_chars follows), and the mix gives documents out once,
 twice or not at all, in its order. The last adds the pieces' ids and digests.
 
-A stage's result reads tables that the stage has stored. They are deleted when the next stage begins, as by then the result has been written.
+A stage's result reads tables that the stage has stored. run() deletes them, and the documents that the stage has read, when it has written the result; what the last stage
+stores stays, as run()'s own result reads it. Whoever calls the STAGES one after the other writes each result before the next stage is called: a stage deletes what the one before it stored
+when it was last called. The first stage deletes nothing, and run() and the STAGES don't touch each other's tables.
 """
 
 from __future__ import annotations
@@ -15,18 +17,23 @@ from pyspark.sql import functions as F
 from wardflow.llm import line_dedup, mixing, pieces, quality_rules, simhash
 from wardflow.llm.common import recorded, remove, stored
 
-_LEFT: list[str] = []
+#: What each of STAGES has stored when it was last called.
+_LEFT: dict[int, list[str]] = {}
 
 
-def cleared(stage):
-    """The stage, which first deletes what the stage before it has stored."""
+def _clear(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        remove(spark, path)
+
+
+def cleared(k: int, stage):
+    """Stage k, which first deletes what the stage before it has stored."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _LEFT:
-            remove(spark, _LEFT.pop())
+        _clear(spark, _LEFT.pop(k - 1, []))
         with recorded() as paths:
             out = stage(spark, docs, sf_dir)
-        _LEFT.extend(paths)
+        _LEFT[k] = paths
         return out
 
     return run_stage
@@ -53,22 +60,27 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, digests=True)
 
 
-STAGES = [
-    ("quality rules", cleared(quality)),
-    ("line dedup", cleared(lines)),
-    ("SimHash near-dedup", cleared(near_copies)),
-    ("mixing sources to target weights", cleared(mixed)),
-    ("SentencePiece encoding and decoding", cleared(encoded)),
+_STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near_copies),
+    ("mixing sources to target weights", mixed),
+    ("SentencePiece encoding and decoding", encoded),
 ]
+STAGES = [(name, cleared(k, stage)) for k, (name, stage) in enumerate(_STAGES)]
 
 #: Fingerprints and pieces are beyond SQL; tests/llm/test_pipeline.py holds the run against a plain one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES):
-            docs = stored(docs, f"stage-{k}")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for k, (_, stage) in enumerate(_STAGES, 1):
+        with recorded() as paths:
+            docs = stage(spark, docs, sf_dir)
+            if k < len(_STAGES):
+                docs = stored(docs, f"stage-{k}")
+        if k < len(_STAGES):
+            _clear(spark, [*before, *paths[:-1]])
+            before = paths[-1:]  # the stage's documents, which the next one reads
     return docs

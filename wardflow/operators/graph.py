@@ -49,28 +49,11 @@ def remove(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def shared_sides(layer: DataFrame) -> DataFrame:
-    """(u, v, shared_len) of precincts with a common stretch of boundary, corners excluded. Sides lie on lines; two sides of one line (an equi-join on
-    its rounded direction and distance) share what their intervals do. Sides are first cut at the layer's vertices on their line,
-    so the join is on equal pieces and no line, however long, makes a pair for each two of its sides."""
-    s = geometry.segments(layer)
-    dx, dy = (F.col("x2") - F.col("x1")) / F.col("len"), (F.col("y2") - F.col("y1")) / F.col("len")
-    line = s.select("precinct_id", "x1", "y1", "x2", "y2", F.round(dx, DIGITS).alias("dx"), F.round(dy, DIGITS).alias("dy"), F.round(dx * F.col("y1") - dy * F.col("x1"), 6).alias("off"))
-    along = lambda x, y: F.round(F.col("dx") * F.col(x) + F.col("dy") * F.col(y), 6)
-    line = line.select("precinct_id", (F.col("dx") + 0.0).alias("dx"), (F.col("dy") + 0.0).alias("dy"), (F.col("off") + 0.0).alias("off"), along("x1", "y1").alias("a"), along("x2", "y2").alias("b"))
-    key = ["dx", "dy", "off"]
-    # A vertex in the inside of a side is found by walking each line in order: sides open and close, and marks between cut them.
-    ends = line.select(*key, F.explode(F.array("a", "b")).alias("m")).distinct()
-    pieces = ends.withColumn("z", F.lead("m").over(W.partitionBy(*key).orderBy("m"))).where("z is not null")
-    pieces = pieces.withColumn("at", F.row_number().over(W.partitionBy(*key).orderBy("m")))
-    first = pieces.select(*key, F.col("m").alias("a"), F.col("at").alias("i"))
-    last = pieces.select(*key, F.col("z").alias("b"), F.col("at").alias("j"))
-    cut = line.join(first, [*key, "a"]).join(last, [*key, "b"]).select("precinct_id", *key, F.explode(F.sequence("i", "j")).alias("at"))
-    cut = cut.distinct().join(pieces.select(*key, "at", (F.col("z") - F.col("m")).alias("len")), [*key, "at"])
-    pair = cut.groupBy(*key, "at", "len").agg(F.sort_array(F.collect_set("precinct_id")).alias("ids")).where(F.size("ids") > 1)
-    # More than two owners of a piece mean polygons that overlap; each two of them are neighbours.
-    two = F.flatten(F.transform("ids", lambda u, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda v: F.struct(u.alias("u"), v.alias("v")))))
-    return pair.select("len", F.explode(two).alias("p")).groupBy("p.u", "p.v").agg(F.sum("len").alias("shared_len"))
+def shared_sides(layer: DataFrame, tol: float | None = None) -> DataFrame:
+    """(u, v, shared_len) of precincts with a common stretch of boundary, corners excluded. Boundaries are noded within a tolerance first, so that rounded vertices on a neighbour's side count as on it."""
+    from wardflow.operators import topology  # which is built on this module
+
+    return topology.contacts(topology.borders(topology.pieces(layer, tol)))
 
 
 def overlapping(layer: DataFrame, cell: float, known: DataFrame | None = None) -> DataFrame:
@@ -324,10 +307,15 @@ def bridges(layer: DataFrame, edges: DataFrame, nearest: int = 64) -> DataFrame:
 
 
 def dissolved(layer: DataFrame, owner: DataFrame) -> DataFrame:
-    """The owner's columns with x1, y1, x2, y2: the outline of each owner's precincts: sides that no second precinct of the owner has. owner: precinct_id, and whatever names an owner."""
-    s = geometry.segments(layer).join(owner, "precinct_id")
-    at = [*(c for c in owner.columns if c != "precinct_id"), "x1", "y1", "x2", "y2"]
-    return s.groupBy(*at).agg(F.count("*").alias("n")).where("n = 1").select(*at)
+    """The owner's columns with x1, y1, x2, y2: the outline of each owner's precincts: noded pieces of sides that no second precinct of the owner has. owner: precinct_id, and whatever names an owner.
+    topology.outlines makes rings of them."""
+    from wardflow.operators import topology
+
+    a, b = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    s = topology.pieces(layer).select("precinct_id", F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).join(owner, "precinct_id")
+    own = [c for c in owner.columns if c != "precinct_id"]
+    ends = [F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2")]
+    return s.groupBy(*own, "a", "b").agg(F.count("*").alias("n")).where("n = 1").select(*own, *ends)
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

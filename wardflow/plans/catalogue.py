@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions import geometry
-from wardflow.operators import alignment, chain, compactness, control, county, districts, graph, history, labels, partisan, population, reports, score, validate
+from wardflow.operators import alignment, chain, compactness, control, county, districts, graph, history, labels, partisan, population, reports, score, topology, validate
 from wardflow.plans import oracle
 from wardflow.plans.config import ScoreConfig, everything, interactive
 from wardflow.plans.fixtures import K, Lattice
@@ -242,6 +242,52 @@ def district_boundary_segments(x):
     return graph.dissolved(x.precincts, x.assignments.select("precinct_id", "plan_id", F.col("district").alias("owner")))
 
 
+@query
+def adjacency_inexact(x):
+    """Contacts of polygons whose vertices lie on their neighbours' sides but for rounding."""
+    return graph.shared_sides(x.junctions)
+
+
+def _arcs(x: Lattice) -> DataFrame:
+    return graph.stored(topology.arcs(topology.borders(topology.pieces(x.precincts)), x.assignments), "arcs")
+
+
+@query
+def district_outlines(x):
+    """Of each district's rings: their areas' sum, their length, outer rings less holes, and corners counted with every precinct's."""
+    r = topology.outlines(_arcs(x))
+    step = F.transform(F.slice("pts", F.lit(1), F.size("pts") - 1), lambda p, i: F.hypot(F.get("pts", i + 1)["x"] - p["x"], F.get("pts", i + 1)["y"] - p["y"]))
+    length = F.aggregate(step, F.lit(0.0), lambda a, v: a + v)
+    return r.groupBy("plan_id", "district").agg(F.sum("area").alias("area"), F.sum(length).alias("perimeter"), F.sum(F.when(F.col("is_hole"), -1).otherwise(1)).alias("rings_less_holes"), F.sum(F.size("pts") - 1).alias("corners"))
+
+
+@query
+def outlines_simplified(x):
+    """Districts' area by plan after their arcs have been thinned: all that the layer's own outline holds, as neighbours stay flush."""
+    r = topology.outlines(topology.simplified(_arcs(x), 0.9))
+    return r.groupBy("plan_id").agg(F.sum("area").alias("area"), F.count_distinct("district").alias("districts"))
+
+
+@query
+def label_points(x):
+    """Whether each district's label stands in it, and how deep where the district is a rectangle."""
+    r = graph.stored(topology.outlines(_arcs(x)), "outlines")
+    pts = F.col("pts")
+    extent = lambda a: F.array_max(F.transform(pts, lambda p: p[a])) - F.array_min(F.transform(pts, lambda p: p[a]))
+    whole = r.groupBy("plan_id", "district").agg((F.count("*") == 1).alias("one"), F.max(F.abs(F.col("area") - extent("x") * extent("y")) < 1e-9).alias("full"))
+    p = topology.label_points(r).join(whole, ["plan_id", "district"]).withColumn("precinct_id", (F.floor("label_y") * x.w + F.floor("label_x")).cast("long"))
+    own = x.assignments.select("plan_id", "precinct_id", F.col("district").alias("at"))
+    return p.join(own, ["plan_id", "precinct_id"], "left").select("plan_id", "district", F.coalesce(F.col("at") == F.col("district"), F.lit(False)).alias("inside"), F.when(F.col("one") & F.col("full"), F.col("depth")).alias("depth"))
+
+
+@query
+def label_collisions(x):
+    """Which districts' numbers are shown at the means of their precincts' centres."""
+    p = x.assignments.join(x.precincts.select("precinct_id", "x", "y"), "precinct_id").groupBy("plan_id", "district")
+    p = p.agg(F.avg(F.col("x") + 0.5).alias("label_x"), F.avg(F.col("y") + 0.5).alias("label_y"), F.count("*").alias("n"))
+    return topology.placed_labels(p, F.col("n"), F.col("district") + 1, 4.0, 3.0, 0.5)
+
+
 # ---- alignment, score ----
 
 

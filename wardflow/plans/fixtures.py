@@ -61,6 +61,21 @@ class Lattice:
         wrapped = more.select("plan_id", "precinct_id", self.striped((F.col("x") + F.col("plan_id") - 2) % self.w, self.k))
         return stripes.unionAll(balanced).unionAll(wrapped)
 
+    @property
+    def junctions(self) -> DataFrame:
+        """For each precinct three polygons at the scale of projected coordinates: 3 i on one side of a line, 3 i + 1 and 3 i + 2 on the other, whose common vertex on it is a rounded number. The
+        line runs from (ax, ay) to (bx, by), the vertex is (mx, my). Lines of different precincts lie far apart."""
+        d = lambda c: F.col(c).cast("double")
+        p = self.precincts.select("precinct_id", "county_id", (500_000.5 + d("x") * 5000).alias("ax"), (4_000_000.25 + d("y") * 5000).alias("ay"), (300 + d("population") / 10).alias("dx"), (d("county_id") * 37 - 400).alias("dy"))
+        p = p.withColumns({"bx": F.col("ax") + F.col("dx"), "by": F.col("ay") + F.col("dy")})
+        t = (d("county_id") + 3) / 31
+        p = p.withColumns({"mx": F.col("ax") + F.col("dx") * t, "my": F.col("ay") + F.col("dy") * t})
+        point = lambda n, s: F.struct((F.col(f"{n}x") - s * F.col("dy") / 4).alias("x"), (F.col(f"{n}y") + s * F.col("dx") / 4).alias("y"))
+        own = lambda k, *pts: F.struct((F.col("precinct_id") * 3 + k).alias("precinct_id"), F.array(F.struct(F.lit(False).alias("is_hole"), F.array(*pts, pts[0]).alias("pts"))).alias("rings"))
+        a, b, m = point("a", 0), point("b", 0), point("m", 0)
+        three = F.array(own(0, a, b, point("b", 1), point("a", 1)), own(1, a, point("a", -1), point("m", -1), m), own(2, m, point("m", -1), point("b", -1), b))
+        return p.select(F.explode(three).alias("t")).select("t.*")
+
     @property
     def reference(self) -> DataFrame:
         d = self.striped(F.col("y"), 6)

@@ -409,3 +409,35 @@ SELECT plan_id, district, CASE WHEN place > 0 THEN 9 + place ELSE row_number() O
 SQL["column_roles"] = "SELECT * FROM (VALUES ('population', 'TOTPOP'), ('precinct', 'VTDID'), ('county', 'CountyFP'), ('dem', 'baseline_d'), ('rep', 'BASELINE_R')) AS t(role, name)"
 SQL["padded_ids"] = BASE + "SELECT precinct_id, lpad((1000000000 + precinct_id)::VARCHAR, 11, '0') AS geoid, lpad((100000 + precinct_id)::VARCHAR, 8, '0') AS code FROM precincts"
 SQL["coerced_columns"] = "SELECT * FROM (VALUES ('key', 'string'), ('people', 'double'), ('mixed', 'string'), ('empty', 'string')) AS t(name, type)"
+
+SQL["adjacency_inexact"] = (
+    BASE
+    + """, j AS (SELECT precinct_id AS i, 500000.5::DOUBLE + x::DOUBLE * 5000 AS ax, 4000000.25::DOUBLE + y::DOUBLE * 5000 AS ay, 300 + population::DOUBLE / 10 AS dx, county_id::DOUBLE * 37 - 400 AS dy, (county_id::DOUBLE + 3) / 31 AS t FROM precincts),
+m AS (SELECT *, ax + dx AS bx, ay + dy AS "by", ax + dx * t AS mx, ay + dy * t AS my FROM j),
+c AS (SELECT 3 * i AS u, 3 * i + 1 AS v, sqrt(pow(mx - ax, 2) + pow(my - ay, 2)) AS n FROM m UNION ALL SELECT 3 * i, 3 * i + 2, sqrt(pow(bx - mx, 2) + pow("by" - my, 2)) FROM m
+      UNION ALL SELECT 3 * i + 1, 3 * i + 2, sqrt(pow(dx, 2) + pow(dy, 2)) / 4 FROM m) """
+    + six("SELECT u, v, n AS shared_len FROM c", "shared_len")
+)
+SQL["district_outlines"] = (
+    BASE
+    + """, pair AS (SELECT a.plan_id, a.district, count(*) AS n FROM placed a JOIN placed b ON b.plan_id = a.plan_id AND b.district = a.district AND (b.precinct_id = a.precinct_id + 1 AND a.x < a.w - 1 OR b.precinct_id = a.precinct_id + a.w) GROUP BY 1, 2),
+block AS (SELECT plan_id, district, count(*) AS n FROM (SELECT a.plan_id, a.district, a.precinct_id FROM placed a JOIN placed b ON b.plan_id = a.plan_id AND b.district = a.district AND b.x BETWEEN a.x AND a.x + 1 AND b.y BETWEEN a.y AND a.y + 1 GROUP BY ALL HAVING count(*) = 4) GROUP BY 1, 2),
+cell AS (SELECT plan_id, district, count(*) AS n FROM placed GROUP BY 1, 2)
+SELECT plan_id, district, cell.n::DOUBLE AS area, (4 * cell.n - 2 * coalesce(pair.n, 0))::DOUBLE AS perimeter, (cell.n - coalesce(pair.n, 0) + coalesce(block.n, 0))::BIGINT AS rings_less_holes, (4 * cell.n - 2 * coalesce(pair.n, 0))::BIGINT AS corners
+FROM cell LEFT JOIN pair USING (plan_id, district) LEFT JOIN block USING (plan_id, district)"""
+)
+SQL["outlines_simplified"] = BASE + "SELECT plan_id, count(*)::DOUBLE AS area, count(DISTINCT district) AS districts FROM placed GROUP BY 1"
+SQL["label_points"] = (
+    BASE
+    + """, box AS (SELECT plan_id, district, count(*) AS n, max(x) - min(x) + 1 AS a, max(y) - min(y) + 1 AS b FROM placed GROUP BY 1, 2)
+SELECT plan_id, district, true AS inside, CASE WHEN n = a * b THEN least(a, b) / 2::DOUBLE END AS depth FROM box"""
+)
+SQL["label_collisions"] = (
+    BASE
+    + """, mid AS (SELECT plan_id, district, avg(x + 0.5) AS lx, avg(y + 0.5) AS ly, row_number() OVER (PARTITION BY plan_id ORDER BY count(*) DESC, district) AS k, (district + 1)::VARCHAR AS label FROM placed GROUP BY plan_id, district),
+box AS (SELECT plan_id, district, k, label, {'x1': lx - len(label) * 2.0 - 0.5, 'x2': lx + len(label) * 2.0 + 0.5, 'y1': ly - 2.0, 'y2': ly + 2.0} AS b FROM mid),
+walk AS (SELECT plan_id, district, k, label, true AS shown, [b] AS boxes FROM box WHERE k = 1
+  UNION ALL SELECT n.plan_id, n.district, n.k, n.label, f.free, CASE WHEN f.free THEN list_append(w.boxes, n.b) ELSE w.boxes END
+  FROM walk w JOIN box n ON n.plan_id = w.plan_id AND n.k = w.k + 1, LATERAL (SELECT len(list_filter(w.boxes, lambda o: NOT (n.b.x2 < o.x1 OR n.b.x1 > o.x2 OR n.b.y2 < o.y1 OR n.b.y1 > o.y2))) = 0 AS free) f)
+SELECT plan_id, district, label, shown FROM walk"""
+)

@@ -33,7 +33,7 @@ def test_slanted_sides(spark):
 
 def test_overlaps(spark):
     p = polygons(spark, [[square(0, 0, 2)], [square(1, 1, 2)], [square(3, 0, 1)], [square(0.5, 0.5, 0.5)]])
-    assert {(r["u"], r["v"]) for r in graph.overlapping(p, 1.5).collect()} == {(0, 1), (0, 3)}
+    assert {(r["u"], r["v"]) for r in graph.overlapping(p).collect()} == {(0, 1), (0, 3)}
 
 
 def test_components_and_bridges(spark):
@@ -50,6 +50,48 @@ def test_components_and_bridges(spark):
     assert validate.connectivity_issue(whole) is None
 
 
+def test_overlaps_of_large_and_small(spark):
+    """A large precinct over a quarter of small ones, which have no pairs among themselves."""
+    rings = [[square(0.5, 0.5, 20)]] + [[square(x, y)] for x in range(25) for y in range(25)]
+    p = polygons(spark, rings)
+    want = {(0, 1 + 25 * x + y) for x in range(21) for y in range(21)}
+    assert {(r["u"], r["v"]) for r in graph.overlapping(p).collect()} == want
+
+
+def test_nearest_pairs_in_a_county_of_ten_thousand(spark):
+    """Two banks of 5,000 precincts each, whose river is narrowest in one place, and three islands: as all pairs say."""
+    import random
+    import time
+
+    rng = random.Random(2)
+    at = [(x, y - 60.0) for x in range(100) for y in range(50)] + [(x, y + 1 + (0.0 if y else 0.5 * (x != 61))) for x in range(100) for y in range(50)]
+    at += [(40.25, -5.0), (300.0, 400.0), (-90.0, 3.0)]
+    rings = [[square(x, y, 1 - 0.2 * rng.random())] for x, y in at]
+    group = [0] * 5000 + [1] * 5000 + [2, 3, 4]
+    p = polygons(spark, rings, county_id=[7] * len(at), group=group)
+    g = graph.stored(graph._box(p).drop("rings"), "boxes")
+    began = time.time()
+    found = graph.nearest_in_county(g.where("group > 0"), g)
+    got = {}
+    for r in found.collect():
+        a, b = (rings[r[c]][0]["pts"] for c in ("precinct_id", "o_precinct_id"))
+        gap = lambda k: max(b[0][k] - a[2][k], a[0][k] - b[2][k], 0)  # noqa: E731, B023
+        key = (round((gap("x") ** 2 + gap("y") ** 2) ** 0.5, 9), min(r["precinct_id"], r["o_precinct_id"]), max(r["precinct_id"], r["o_precinct_id"]))
+        got[r["group"]] = min(got.get(r["group"], key), key)
+    assert time.time() - began < 120 and found.count() < 500
+    import numpy as np
+
+    box = np.array([[q[0][0]["pts"][0]["x"], q[0][0]["pts"][0]["y"], q[0][0]["pts"][2]["x"], q[0][0]["pts"][2]["y"]] for q in ([r] for r in rings)])
+    of = np.array(group)
+    for k in (1, 2, 3, 4):
+        a, b = np.flatnonzero(of == k), np.flatnonzero(of != k)
+        dx = np.maximum(np.maximum(box[b, 0] - box[a, 2, None], box[a, 0, None] - box[b, 2]), 0)
+        dy = np.maximum(np.maximum(box[b, 1] - box[a, 3, None], box[a, 1, None] - box[b, 3]), 0)
+        d = np.round(np.hypot(dx, dy), 9)
+        i, j = np.nonzero(d == d.min())
+        assert got[k] == min((float(d.min()), int(min(a[u], b[v])), int(max(a[u], b[v]))) for u, v in zip(i, j))
+
+
 def test_long_paths_are_one_component(spark):
     n = 300
     e = spark.range(n - 1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))

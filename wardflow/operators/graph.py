@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 
@@ -56,20 +57,30 @@ def shared_sides(layer: DataFrame, tol: float | None = None) -> DataFrame:
     return topology.contacts(topology.borders(topology.pieces(layer, tol)))
 
 
-def overlapping(layer: DataFrame, cell: float, known: DataFrame | None = None) -> DataFrame:
-    """(u, v) of precincts whose insides overlap, found among those that meet in a grid cell (an equi-join on the cell) by an exact test: a corner of one lies
-    inside the other, or their sides cross. known: pairs (u, v) that need no test and are left out."""
+def _box(layer: DataFrame) -> DataFrame:
+    """layer's rows with the ends of their extent, x1, x2, y1 and y2."""
     pts = F.flatten(F.transform("rings", lambda r: r["pts"]))
-    box = layer.select("precinct_id", "rings", F.array_min(F.transform(pts, lambda p: p["x"])).alias("x1"), F.array_max(F.transform(pts, lambda p: p["x"])).alias("x2"), F.array_min(F.transform(pts, lambda p: p["y"])).alias("y1"), F.array_max(F.transform(pts, lambda p: p["y"])).alias("y2"))
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    g = box.withColumn("gx", F.explode(span("x1", "x2"))).withColumn("gy", F.explode(span("y1", "y2")))
-    other = g.withColumnsRenamed({c: f"o_{c}" for c in ("precinct_id", "rings", "x1", "x2", "y1", "y2")})
-    near = g.join(other, ["gx", "gy"]).where((F.col("precinct_id") < F.col("o_precinct_id")) & (F.col("x1") < F.col("o_x2")) & (F.col("o_x1") < F.col("x2")) & (F.col("y1") < F.col("o_y2")) & (F.col("o_y1") < F.col("y2")))
-    # A pair is tested in one cell only: the one with the lower corner of what their boxes share.
-    near = near.where((F.col("gx") == F.floor(F.greatest("x1", "o_x1") / cell)) & (F.col("gy") == F.floor(F.greatest("y1", "o_y1") / cell)))
-    near = near.select(F.col("precinct_id").alias("u"), F.col("o_precinct_id").alias("v"), "rings", "o_rings")
+    end = lambda f, a: f(F.transform(pts, lambda p: p[a]))
+    return layer.select("*", end(F.array_min, "x").alias("x1"), end(F.array_max, "x").alias("x2"), end(F.array_min, "y").alias("y1"), end(F.array_max, "y").alias("y2"))
+
+
+def overlapping(layer: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(u, v) of precincts whose insides overlap, found among those whose boxes meet by an exact test: a corner of one lies inside the other, or their sides cross. A box is looked up by cells of
+    its own size, and looks up those of its size and larger, so no box takes more than a few cells and small ones don't meet because a large one is near. known: pairs (u, v) that need no test and are left out."""
+    box = _box(layer).where("x1 is not null").select("precinct_id", "x1", "x2", "y1", "y2")
+    extent = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    box = stored(box.where(extent > 0).withColumn("level", F.ceil(F.log2(extent)).cast("int")), "boxes")
+    levels = sorted(r["level"] for r in box.select("level").distinct().collect())  # sizes by powers of two
+    cells = lambda c, level: F.sequence(F.floor(F.col(f"{c}1") / F.pow(F.lit(2.0), level)), F.floor(F.col(f"{c}2") / F.pow(F.lit(2.0), level)))
+    at = lambda df, level: df.withColumn("gx", F.explode(cells("x", level))).withColumn("gy", F.explode(cells("y", level)))
+    small = at(box.withColumn("of", F.explode(F.lit(levels).cast("array<int>"))).where("of >= level"), F.col("of"))
+    large = at(box, F.col("level")).withColumnsRenamed({c: f"o_{c}" for c in ("precinct_id", "x1", "x2", "y1", "y2")}).withColumnRenamed("level", "of")
+    near = small.join(large, ["of", "gx", "gy"]).where((F.col("x1") < F.col("o_x2")) & (F.col("o_x1") < F.col("x2")) & (F.col("y1") < F.col("o_y2")) & (F.col("o_y1") < F.col("y2")) & (F.col("precinct_id") != F.col("o_precinct_id")))
+    near = near.select(F.least("precinct_id", "o_precinct_id").alias("u"), F.greatest("precinct_id", "o_precinct_id").alias("v")).distinct()
     if known is not None:
         near = near.join(known.select("u", "v"), ["u", "v"], "left_anti")
+    rings = layer.select("precinct_id", "rings")
+    near = near.join(rings.withColumnRenamed("precinct_id", "u"), "u").join(rings.withColumnsRenamed({"precinct_id": "v", "rings": "o_rings"}), "v")
 
     def run(batches):
         for pdf in batches:
@@ -112,12 +123,7 @@ def interiors_meet(a, b) -> bool:
 def neighbours(layer: DataFrame) -> DataFrame:
     """(u, v, shared_len) of precincts that share a stretch of boundary or a part of their insides, which alone counts as length 0."""
     sides = stored(shared_sides(layer), "sides")
-    pts = F.flatten(F.transform("rings", lambda r: r["pts"]))
-    extent = lambda a: F.array_max(F.transform(pts, lambda p: p[a])) - F.array_min(F.transform(pts, lambda p: p[a]))
-    cell = layer.agg(F.avg(F.greatest(extent("x"), extent("y")))).first()[0]
-    if not cell:  # no precinct has an area
-        return sides
-    more = overlapping(layer, float(cell), known=sides).select("u", "v", F.lit(0.0).alias("shared_len"))
+    more = overlapping(layer, sides).select("u", "v", F.lit(0.0).alias("shared_len"))
     return sides.unionByName(more)
 
 
@@ -252,13 +258,63 @@ def near_others(small: DataFrame, all_: DataFrame, nearest: int, cell: float, le
     raise RuntimeError("the layer is too wide for its precincts")
 
 
+def _gaps(batches):
+    for pdf in batches:
+        pdf["gap"] = [segment_gap(_sides(a), _sides(b)) for a, b in zip(pdf["rings"], pdf["o_rings"])]
+        yield pdf[["group", "o_group", "precinct_id", "o_precinct_id", "tier", "gap"]]
+
+
+GAP = "group long, o_group long, precinct_id long, o_precinct_id long, tier int, gap double"
+
+
+def nearest_in_county(small: DataFrame, all_: DataFrame) -> DataFrame:
+    """(group, o_group, precinct_id, o_precinct_id) that hold, for each of small's groups, the nearest pair of one of its precincts and one of another group in the same county, by the distance of their sides. small, all_:
+    precinct_id, group, county_id and box ends.
+
+    Pairs of cells are refined from a county's extent on, four by four parts at a time: each has the extent of what is in it, hence a least and a most distance, and a pair whose
+    least is more than the least most of its group is dropped. Rows are thus made for what lies about as near as the nearest alone."""
+    size = all_.agg(F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2"), F.avg(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).first()
+    width = max(size[2] - size[0], size[3] - size[1]) or 1.0
+    levels = max(1, math.ceil(math.log(max(width / (size[4] or width), 1.0), 4)))
+    place = lambda a, lo: F.floor(((F.col(f"{a}1") + F.col(f"{a}2")) / 2 - lo) / width * (1 - 1e-12) * 4**levels).cast("long")
+    held = lambda df: df.withColumns({"gx": place("x", size[0]), "gy": place("y", size[1])})
+    ends = [F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.max("y2").alias("y2")]
+    cell = lambda k: [F.floor(F.col(c) / 4 ** (levels - k)).cast("long").alias(c) for c in ("gx", "gy")]
+    up = lambda k: [F.floor(F.col(c) / 4 ** (levels - k)).cast("long").alias(f"up_{c}") for c in ("gx", "gy")]
+    small, all_ = stored(held(small), "near-small"), stored(held(all_), "near-all")
+    other = lambda df: df.withColumnsRenamed({c: f"o_{c}" for c in df.columns if c != "county_id"})
+    apart = lambda far: F.hypot(*[F.greatest(F.col(f"o_{a}2") - F.col(f"{a}1"), F.col(f"{a}2") - F.col(f"o_{a}1")) if far else F.greatest(F.col(f"o_{a}1") - F.col(f"{a}2"), F.col(f"{a}1") - F.col(f"o_{a}2"), F.lit(0.0)) for a in "xy"])
+
+    def kept(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.withColumns({"least": apart(False), "most": apart(True)})
+        most = pairs.groupBy("group").agg(F.min("most").alias("bound"))
+        return pairs.join(most, "group").where(F.col("least") <= F.col("bound") * (1 + 1e-9) + 10.0**-DIGITS)
+
+    pairs = None
+    for k in range(levels + 1):
+        a = small.select("county_id", "group", *up(k - 1), *cell(k), "x1", "x2", "y1", "y2").groupBy("county_id", "group", "up_gx", "up_gy", "gx", "gy").agg(*ends)
+        b = all_.select("county_id", "group", *up(k - 1), *cell(k), "x1", "x2", "y1", "y2").groupBy("county_id", "up_gx", "up_gy", "gx", "gy").agg(*ends, F.min("group").alias("first"), F.max("group").alias("last"))
+        b = other(b)
+        if pairs is None:
+            p = a.join(b, "county_id")
+        else:
+            p = pairs.join(a, ["county_id", "group", "up_gx", "up_gy"]).join(b, ["county_id", "o_up_gx", "o_up_gy"])
+        p = stored(kept(p.where((F.col("o_first") != F.col("group")) | (F.col("o_last") != F.col("group")))), "near-cells")
+        pairs = p.select("county_id", "group", *[F.col(f"{o}{c}").alias(f"{o}up_{c}") for o in ("", "o_") for c in ("gx", "gy")])
+    a = small.select("county_id", "group", "precinct_id", "x1", "x2", "y1", "y2", F.col("gx").alias("up_gx"), F.col("gy").alias("up_gy"))
+    b = other(all_.select("county_id", "group", "precinct_id", "x1", "x2", "y1", "y2", F.col("gx").alias("up_gx"), F.col("gy").alias("up_gy")))
+    p = pairs.join(a, ["county_id", "group", "up_gx", "up_gy"]).join(b, ["county_id", "o_up_gx", "o_up_gy"]).where("group <> o_group")
+    return kept(p).select("group", "o_group", "precinct_id", "o_precinct_id")
+
+
 def bridges(layer: DataFrame, edges: DataFrame, nearest: int = 64) -> DataFrame:
     """Virtual edges (u, v) that join all components to one: the tree of the best links, by (same county first; distance; ids), which is the same whichever component it is
-    grown from. Every round each group but the mainland's (the most populous component's) takes its best link to another, so their number halves at least. Candidates are all pairs within
+    grown from. Every round each group but the mainland's (the most populous component's) takes its best link to another, so their number halves at least. Candidates are the nearest pairs within
     a county, and each small component's precincts' `nearest` of other groups. The driver holds a group for each component."""
     spark: SparkSession = layer.sparkSession
     c = components(layer.select(F.col("precinct_id").alias("node")), edges)
     p = stored(layer.join(c, layer["precinct_id"] == c["node"]).select("precinct_id", "component", "county_id", "population", "rings", geometry.centroid(F.col("rings")).alias("at")), "bridge-layer")
+    rings = p.select("precinct_id", "rings")
     size = p.groupBy("component").agg(F.sum("population").alias("population"))
     n = size.count()
     if n > MOST_COMPONENTS:
@@ -278,20 +334,15 @@ def bridges(layer: DataFrame, edges: DataFrame, nearest: int = 64) -> DataFrame:
             x = group[x]
         return x
 
-    def gaps(batches):
-        for pdf in batches:
-            pdf["gap"] = [segment_gap(_sides(a), _sides(b)) for a, b in zip(pdf["rings"], pdf["o_rings"])]
-            yield pdf[["group", "o_group", "precinct_id", "o_precinct_id", "tier", "gap"]]
-
     out: list[tuple] = []
     while len(out) < n - 1:
         now = spark.createDataFrame([(x, top(x)) for x in group], "component long, group long")
-        g = stored(p.join(now, "component").drop("component", "population"), "bridge-groups")
+        g = stored(_box(p.join(now, "component").drop("component", "population")).drop("rings"), "bridge-groups")
         small = g.where(F.col("group") != top(mainland))
-        other = g.withColumnsRenamed({x: f"o_{x}" for x in g.columns})
-        same = small.join(other, (F.col("county_id") == F.col("o_county_id")) & (F.col("group") != F.col("o_group")))
-        pair = same.withColumn("tier", F.lit(0)).unionByName(near_others(small, g, nearest, cell).withColumn("tier", F.lit(1)))
-        found = pair.mapInPandas(gaps, "group long, o_group long, precinct_id long, o_precinct_id long, tier int, gap double")
+        same = nearest_in_county(small.where("county_id is not null"), g.where("county_id is not null")).withColumn("tier", F.lit(0))
+        far = near_others(small, g, nearest, cell).select("group", "o_group", "precinct_id", "o_precinct_id").withColumn("tier", F.lit(1))
+        pair = same.unionByName(far).join(rings, "precinct_id").join(rings.withColumnsRenamed({"precinct_id": "o_precinct_id", "rings": "o_rings"}), "o_precinct_id")
+        found = pair.mapInPandas(_gaps, GAP)
         key = F.struct("tier", F.round("gap", DIGITS).alias("gap"), F.least("precinct_id", "o_precinct_id").alias("u"), F.greatest("precinct_id", "o_precinct_id").alias("v"), "o_group")
         links = found.groupBy("group").agg(F.min(key).alias("k")).collect()
         joined = False

@@ -673,19 +673,40 @@ def annealed_ensemble(x):
     return best.select("chain_id", "iteration", "total", F.size("plan").alias("precincts"), F.array_max("plan").alias("last_district"))
 
 
-@query
-def chain_stream_history(x):
-    """The stream's figures after all files of a history have been read, one file at a time."""
+def _streamed(x: Lattice, files: list[DataFrame]) -> DataFrame:
+    """The stream's rows after all files of a history have been read, one file at a time."""
     from wardflow.streaming import history as stream
 
-    h = x.history.select("chain_id", "seq", "iteration", "total", "is_worse", "accepted")
-    first = graph.stored(h, "history")  # sets a shared folder where the session has none
-    base = f"{x.spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{uuid.uuid4().hex}"
-    for k in range(3):  # a history grows file by file
-        first.where(F.least(F.floor((F.col("seq") - 1) / 30), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    q = stream.start(stream.figures(stream.read(x.spark, f"{base}/in")), f"{base}/out", f"{base}/state")
-    stream.finished(q, 600)
+    base = f"{graph.shared_dir(x.spark)}/stream-{uuid.uuid4().hex}"
+    for f in files:  # a history grows file by file
+        f.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream.finished(stream.start(stream.figures(stream.read(x.spark, f"{base}/in")), f"{base}/out", f"{base}/state"), 600)
     return x.spark.read.schema(stream.OUT).parquet(f"{base}/out")
 
 
+def _stream_rows(x: Lattice) -> DataFrame:
+    return graph.stored(x.history.select("chain_id", "seq", "iteration", "total", "is_worse", "accepted", F.lit(0).cast("long").alias("run")), "history")
+
+
+@query
+def chain_stream_history(x):
+    first = _stream_rows(x)
+    files = [first.where(F.least(F.floor((F.col("seq") - 1) / 30), F.lit(2)) == k) for k in range(3)]
+    return _streamed(x, files).select("chain_id", "seq", "iteration", "rate", "best", "best_iteration")
+
+
+@query
+def chain_stream_reset(x):
+    """Every third chain is reset after 20 rows; at the end the first file comes once more. By run: its rows, its best and where, and by chain the rows that came late."""
+    h = _stream_rows(x)
+    again = (F.col("chain_id") % 3 == 0) & (F.col("seq") > 20)
+    h = h.withColumn("run", again.cast("long")).withColumn("file", F.least(F.floor((F.col("seq") - 1) / 30), F.lit(1)))
+    h = h.withColumns({c: F.when(again, F.col(c) - 20).otherwise(F.col(c)) for c in ("seq", "iteration")})
+    files = [h.where(F.col("file") == k).drop("file") for k in (0, 1, 0)]
+    out = _streamed(x, files)
+    late = out.groupBy("chain_id").agg(F.coalesce(F.sum("late"), F.lit(0)).alias("late"))
+    end = out.where("seq is not null").groupBy("chain_id", "run").agg(F.count("*").alias("n"), F.max("seq").alias("last"), F.max_by("best", "seq").alias("best"), F.max_by("best_iteration", "seq").alias("best_iteration"))
+    return end.join(late, "chain_id")
+
+
 ORACLE_SQL = oracle.SQL

@@ -441,3 +441,11 @@ walk AS (SELECT plan_id, district, k, label, true AS shown, [b] AS boxes FROM bo
   FROM walk w JOIN box n ON n.plan_id = w.plan_id AND n.k = w.k + 1, LATERAL (SELECT len(list_filter(w.boxes, lambda o: NOT (n.b.x2 < o.x1 OR n.b.x1 > o.x2 OR n.b.y2 < o.y1 OR n.b.y1 > o.y2))) = 0 AS free) f)
 SELECT plan_id, district, label, shown FROM walk"""
 )
+
+SQL["chain_stream_reset"] = (
+    HISTORY
+    + """, g AS (SELECT chain_id, (chain_id % 3 = 0 AND seq > 20)::BIGINT AS run, CASE WHEN chain_id % 3 = 0 AND seq > 20 THEN seq - 20 ELSE seq END AS seq, seq <= 30 AS early, total, accepted FROM h),
+e AS (SELECT chain_id, run, count(*) AS n, max(seq) AS last, min(CASE WHEN accepted THEN total END) AS best, arg_min(CASE WHEN accepted THEN seq END, (total, seq)) FILTER (WHERE accepted) AS best_iteration FROM g GROUP BY 1, 2),
+l AS (SELECT chain_id, count(*) FILTER (WHERE early) AS late FROM g GROUP BY 1) """
+    + six("SELECT chain_id, run, n, last, best, best_iteration, late FROM e JOIN l USING (chain_id)", "best")
+)

@@ -1,5 +1,9 @@
-"""Chains' histories as a stream: files that are added to a folder are read once each; every chain's rolling figures are kept as state, and a restart goes
-on from the checkpoint."""
+"""Chains' histories as a stream: files that are added to a folder are read once each; every chain's rolling figures are kept as state, and a restart of the query goes
+on from the checkpoint.
+
+A chain may be reset and begin anew (a run each, from seq 1). Its figures then begin anew too; rows of an earlier run, and rows up to the last seq that has been seen, come late: they change nothing, but are
+counted. Rows carry the number of their run, or null: then a first row that is another than the run's own first one begins the next run, and the rows that follow it in its file belong to that.
+"""
 
 from __future__ import annotations
 
@@ -8,53 +12,106 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-ROWS = "chain_id long, seq long, iteration long, total double, is_worse boolean, accepted boolean"
-OUT = "chain_id long, seq long, iteration long, rate double, best double, best_iteration long"
-STATE = "worse string, best double, best_iteration long, last long"
+ROWS = "chain_id long, seq long, iteration long, total double, is_worse boolean, accepted boolean, run long"
+#: A row for each row of the history that counts; and one with null seq for each micro-batch in which `late` rows of the chain were passed over.
+OUT = "chain_id long, run long, seq long, iteration long, rate double, best double, best_iteration long, late long"
 RECENT, LEAST_SEEN = 200, 10
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
     return spark.readStream.schema(ROWS).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
-def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Acceptance of the last worse proposals and the best accepted total, row by row; rows that were seen before (by seq) are passed over."""
-    seen, best, best_at, last = state.get if state.exists else ("", None, None, 0)
-    # A chain's rows of one micro-batch have to be put in order of seq; they are its iterations since the last one.
-    x = pd.concat(batches).sort_values("seq", kind="stable").drop_duplicates("seq")
-    x = x[x.seq > last]
-    if len(x):
-        accepted, worse = x.accepted.to_numpy(bool), x.is_worse.to_numpy(bool)
-        # Acceptance of the last RECENT worse proposals up to each row, by sums over those of the state and of the batch.
-        bits = np.r_[np.frombuffer(seen.encode(), np.uint8) - 48, accepted[worse]].astype(np.int64)
-        sums, upto = np.r_[0, np.cumsum(bits)], len(seen) + np.cumsum(worse)
-        low = np.maximum(upto - RECENT, 0)
-        rate = np.where(upto - low >= LEAST_SEEN, (sums[upto] - sums[low]) / np.maximum(upto - low, 1), np.nan)
-        seen = "".join(map(str, bits[-RECENT:].tolist()))
-        # A row is the best if it is accepted and below all accepted ones before.
-        totals = np.where(accepted, x.total.to_numpy(float), np.inf)
-        lowest = np.minimum.accumulate(np.r_[np.inf if best is None else best, totals])
-        where = np.where(lowest[1:] < lowest[:-1], np.arange(len(x)), -1)
-        where = np.maximum.accumulate(where)
-        at = np.where(where >= 0, x.iteration.to_numpy(np.int64)[where], -1 if best_at is None else best_at)
-        none = np.isinf(lowest[1:])
-        best, best_at, last = (None, None, int(x.seq.iloc[-1])) if none[-1] else (float(lowest[-1]), int(at[-1]), int(x.seq.iloc[-1]))
-        state.update((seen, best, best_at, last))
-        yield pd.DataFrame({"chain_id": key[0], "seq": x.seq.to_numpy(np.int64), "iteration": x.iteration.to_numpy(np.int64), "rate": pd.array(np.where(np.isnan(rate), None, rate), "Float64"), "best": pd.array(np.where(none, None, lowest[1:]), "Float64"), "best_iteration": pd.array(np.where(none, None, at), "Int64")})
+def numbered_runs(x: pd.DataFrame, run: int, last: int, first: float | None) -> np.ndarray:
+    """The run of each row, in the order of their coming; run, last and first: where the chain is, and its run's first total."""
+    own = x.run.to_numpy(float)
+    out = np.where(np.isnan(own), -1, own).astype(np.int64)
+    unknown = np.flatnonzero(out < 0)
+    seq, total = x.seq.to_numpy(np.int64), x.total.to_numpy(float)
+    for i in unknown.tolist():
+        if seq[i] == 1:
+            if last and total[i] != first:
+                run += 1
+            last, first = max(last, 1), total[i]
+        out[i] = run
+    return out
+
+
+class Follow(StatefulProcessor):
+    """Acceptance of the last worse proposals and the best accepted total, row by row."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "run long, last long, first double, best double, best_iteration long")
+        self.recent = handle.getListState("recent", "accepted boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """A chain's rows of one micro-batch, a few numbers each, have to be put in order of seq."""
+        run, last, first, best, best_at = self.now.get() if self.now.exists() else (0, 0, None, None, None)
+        bits = np.array([int(r[0]) for r in self.recent.get()], np.int64)
+        x = pd.concat(rows, ignore_index=True)
+        x["run"] = numbered_runs(x, run, last, first)
+        late = 0
+        for number, own in x.groupby("run", sort=True):
+            if number < run:
+                late += len(own)
+                continue
+            if number > run:
+                run, last, first, best, best_at, bits = int(number), 0, None, None, None, bits[:0]
+            n = len(own)
+            own = own.sort_values("seq", kind="stable").drop_duplicates("seq")
+            own = own[own.seq > last]
+            late += n - len(own)
+            if len(own):
+                if own.seq.iloc[0] == 1:
+                    first = float(own.total.iloc[0])
+                frame, bits, best, best_at = figures_of(own, bits, best, best_at)
+                last = int(own.seq.iloc[-1])
+                yield frame.assign(chain_id=key[0], run=run, late=pd.array([None] * len(frame), "Int64"))[[c.split()[0] for c in OUT.split(", ")]]
+        self.now.update((run, last, first, best, best_at))
+        self.recent.put([(bool(b),) for b in bits[-RECENT:]]) if len(bits) else self.recent.clear()
+        if late:
+            yield pd.DataFrame({"chain_id": [key[0]], "run": [run], "seq": pd.array([None], "Int64"), "iteration": pd.array([None], "Int64"), "rate": pd.array([None], "Float64"), "best": pd.array([None], "Float64"), "best_iteration": pd.array([None], "Int64"), "late": pd.array([late], "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def figures_of(x: pd.DataFrame, bits: np.ndarray, best: float | None, best_at: int | None) -> tuple[pd.DataFrame, np.ndarray, float | None, int | None]:
+    """Figures of rows in order, with the outcomes of worse proposals and the best afterwards."""
+    accepted, worse = x.accepted.to_numpy(bool), x.is_worse.to_numpy(bool)
+    # Acceptance of the last RECENT worse proposals up to each row, by sums over those of the state and of the batch.
+    n, bits = len(bits), np.r_[bits, accepted[worse]].astype(np.int64)
+    sums, upto = np.r_[0, np.cumsum(bits)], n + np.cumsum(worse)
+    low = np.maximum(upto - RECENT, 0)
+    rate = np.where(upto - low >= LEAST_SEEN, (sums[upto] - sums[low]) / np.maximum(upto - low, 1), np.nan)
+    # A row is the best if it is accepted and below all accepted ones before.
+    totals = np.where(accepted, x.total.to_numpy(float), np.inf)
+    lowest = np.minimum.accumulate(np.r_[np.inf if best is None else best, totals])
+    where = np.maximum.accumulate(np.where(lowest[1:] < lowest[:-1], np.arange(len(x)), -1))
+    at = np.where(where >= 0, x.iteration.to_numpy(np.int64)[where], -1 if best_at is None else best_at)
+    none = np.isinf(lowest[1:])
+    best, best_at = (None, None) if none[-1] else (float(lowest[-1]), int(at[-1]))
+    frame = pd.DataFrame({"seq": pd.array(x.seq, "Int64"), "iteration": pd.array(x.iteration, "Int64"), "rate": pd.array(np.where(np.isnan(rate), None, rate), "Float64"), "best": pd.array(np.where(none, None, lowest[1:]), "Float64"), "best_iteration": pd.array(np.where(none, None, at), "Int64")})
+    return frame, bits[-RECENT:], best, best_at
 
 
 def figures(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("chain_id").applyInPandasWithState(follow, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("chain_id").transformWithStateInPandas(statefulProcessor=Follow(), outputStructType=OUT, outputMode="Append", timeMode="None")
 
 
 def start(stream: DataFrame, out: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Appends to a Parquet folder; without an interval it takes what is there and stops."""
+    """Appends to a Parquet folder; without an interval it takes what is there and stops. State of this kind stands in RocksDB, which the session is set to while the query starts."""
     w = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
-    return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
+    conf = stream.sparkSession.conf
+    was = conf.get(PROVIDER)
+    conf.set(PROVIDER, ROCKS)
+    try:
+        return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
+    finally:
+        conf.set(PROVIDER, was)
 
 
 def finished(query: StreamingQuery, seconds: float) -> None:

@@ -120,6 +120,53 @@ def test_shapefile(spark, tmp_path):
     assert shapefile.inspect(spark, f"{tmp_path}/none.shp")["error"]
 
 
+def test_shapefile_is_read_in_parts(spark, tmp_path):
+    """Parts by the index read their own bytes of the three files, and wanted columns and boxes spare decoding."""
+    import os
+
+    at = f"{tmp_path}/layer.shp"
+    n = 500
+    rows = [(k, 10 + k, f"p{k}", k / 8, 1, [square(k % 25, k // 25)]) for k in range(n)]
+    shapefile.write(at, FIELDS, rows)
+    shapefile.register(spark)
+    whole = spark.read.format("shp").load(at)
+    parts = spark.read.format("shp").option("split", 4000).load(at)
+    size = os.path.getsize(at)
+    assert whole.rdd.getNumPartitions() == 1 and parts.rdd.getNumPartitions() == -(-size // 4000)
+    assert sorted(parts.collect(), key=str) == sorted(whole.collect(), key=str) and [r["precinct_id"] for r in whole.collect()] == list(range(n))
+    reader = shapefile.ShapefileReader(f"file://{at}", ["rings", "precinct_id", "NAME"], split=4000)
+    plan = reader.partitions()
+    got = list(reader.read(plan[3]))
+    assert [r[1] for r in got] == list(range(plan[3].first, plan[3].end)) and [r[2] for r in got] == [f"p{r[1]}" for r in got]
+    share = sum(os.path.getsize(f"{tmp_path}/layer{e}") for e in (".shp", ".shx", ".dbf")) / len(plan)
+    assert reader.bytes_read < 1.3 * share + 500
+    few = spark.read.format("shp").schema("precinct_id long, POP long").option("box", "3.5,2.5,4.5,2.6").load(at)
+    assert few.columns == ["precinct_id", "POP"] and sorted(map(tuple, few.collect())) == [(53, 63), (54, 64)]
+    want = sorted(whole.collect(), key=str)
+    os.remove(f"{tmp_path}/layer.shx")
+    assert sorted(spark.read.format("shp").option("split", 4000).load(at).collect(), key=str) == want
+
+
+def test_shapefiles_are_written_by_tasks(spark, tmp_path):
+    shapefile.register(spark)
+    kind = "GEOID20 long, NAME string, SHARE double, OPEN boolean, rings " + geometry.RINGS
+    rows = [(k, f"é{k}" if k % 3 else None, k / 7 if k % 5 else None, k % 2 == 0, None if k == 4 else [square(k, 0, 3), square(k + 1, 1, 1, hole=True)]) for k in range(40)]
+    df = spark.createDataFrame(rows, kind).repartitionByRange(3, "GEOID20").sortWithinPartitions("GEOID20")
+    at = f"file://{tmp_path}/out"
+    df.write.format("shp").option("roll", 2000).mode("append").save(at)
+    assert len(shapefile.files(at)) > 3
+    back = spark.read.format("shp").load(at).orderBy("precinct_id")
+    assert [(r["GEOID20"], r["NAME"], r["SHARE"], r["OPEN"]) for r in back.collect()] == [r[:4] for r in rows]
+    area = lambda d: [r[0] for r in d.orderBy("GEOID20").select(F.round(geometry.area(F.col("rings")), 9)).collect()]
+    assert area(back) == area(df)
+    df.limit(2).write.format("shp").mode("overwrite").save(at)
+    assert spark.read.format("shp").load(at).count() == 2
+    with pytest.raises(Exception, match="longer than"):
+        spark.createDataFrame([("x" * 90, None)], "NAME string, rings " + geometry.RINGS).write.format("shp").mode("append").save(f"{at}2")
+    spark.createDataFrame([], kind).write.format("shp").mode("append").save(f"{at}3")
+    assert shapefile.files(f"{at}3") == []
+
+
 def test_column_rules(spark):
     df = spark.createDataFrame([(1, "01", "2", -1), (2, "02", "3", None)], "id long, code string, n string, bad long")
     c = validate.coerced(df)

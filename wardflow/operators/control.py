@@ -157,14 +157,14 @@ def register(spark: SparkSession) -> None:
     @udtf(returnType="precinct_id long, ring int, is_hole boolean, vertex int, x double, y double")
     class ShapefileVertices:
         def eval(self, path: str):
-            from wardflow.sources.shapefile import _bytes, files, opened, shapes
-
-            disk, _ = opened(path)
-            for file in files(path):
-                for k, rings in enumerate(shapes(_bytes(disk, file))):
-                    for i, (hole, pts) in enumerate(rings or ()):
-                        for j, (x, y) in enumerate(pts):
-                            yield k, i, hole, j, x, y
+            from wardflow.sources.shapefile import ShapefileReader
+
+            reader = ShapefileReader(path, ["rings", "precinct_id"])
+            for part in reader.partitions():
+                for rings, k in reader.read(part):
+                    for i, ring in enumerate(rings or ()):
+                        for j, p in enumerate(ring["pts"]):
+                            yield k, i, ring["is_hole"], j, p["x"], p["y"]
 
     spark.udtf.register("run_chain", RunChain)
     spark.udtf.register("shapefile_vertices", ShapefileVertices)

@@ -482,10 +482,11 @@ def layer_issues(x):
 
 @query
 def shapefile_round_trip(x):
-    """The lattice written as a shapefile, then read as a table and, for its points, by SQL's table function."""
-    at = f"{graph.shared_dir(x.spark)}/layer-{uuid.uuid4().hex}/layer.shp"
-    rows = x.precincts.orderBy("precinct_id").select("precinct_key", "population", "rings").collect()
-    shapefile.write(at, [("KEY", "C", 12, 0), ("POP", "N", 12, 0)], [(r["precinct_key"], r["population"], [q.asDict(True) for q in r["rings"]]) for r in rows])
+    """The lattice written as shapefiles, one a task, then read as a table and, for its points, by SQL's table function, file by file."""
+    at = f"{graph.shared_dir(x.spark)}/layer-{uuid.uuid4().hex}"
+    shapefile.register(x.spark)
+    p = x.precincts.select("precinct_id", F.col("precinct_key").alias("KEY"), F.col("population").alias("POP"), "rings")
+    p.repartitionByRange(4, "precinct_id").sortWithinPartitions("precinct_id").drop("precinct_id").write.format("shp").mode("append").save(at)
     control.register(x.spark)
     points = x.spark.sql(f"SELECT precinct_id, count(*) AS vertices, sum(x) AS sum_x, sum(y) AS sum_y FROM shapefile_vertices('{at}') GROUP BY precinct_id")
     p = shapefile.load(x.spark, at)

@@ -15,7 +15,7 @@ from wardflow.operators import alignment, chain, compactness, control, county, d
 from wardflow.plans import oracle
 from wardflow.plans.config import ScoreConfig, everything, interactive
 from wardflow.plans.fixtures import K, Lattice
-from wardflow.sources import shapefile, tables
+from wardflow.sources import shapefile, store, tables
 
 CFG = everything()
 
@@ -550,6 +550,18 @@ def history_compact(x):
     return history.compacted(x.history, 60, 30, 7).select("chain_id", "seq", "total")
 
 
+@query
+def history_store(x):
+    """A stored history that grows by three files and is thinned after each."""
+    h = graph.stored(x.history.select("chain_id", "seq", "total"), "history")
+    at = store.HistoryStore(x.spark, f"{graph.shared_dir(x.spark)}/histories-{uuid.uuid4().hex}", 4)
+    for k in range(3):
+        at.append(h.where(F.least(F.floor((F.col("seq") - 1) / 20), F.lit(2)) == k))
+        at.compact(30, 10, 4)
+    at.clean()
+    return at.read()
+
+
 @query
 def history_render(x):
     return history.rendered(x.history, 10)

@@ -449,3 +449,17 @@ e AS (SELECT chain_id, run, count(*) AS n, max(seq) AS last, min(CASE WHEN accep
 l AS (SELECT chain_id, count(*) FILTER (WHERE early) AS late FROM g GROUP BY 1) """
     + six("SELECT chain_id, run, n, last, best, best_iteration, late FROM e JOIN l USING (chain_id)", "best")
 )
+
+
+def _stored_history() -> str:
+    """Three files, thinned after each: of a chain of over 30 rows those before its last 10 that have not been thinned are cut to one in 4."""
+    steps, before = [], "SELECT * FROM (SELECT chain_id, seq, total, false AS thinned FROM h) WHERE false"
+    for k in range(3):
+        steps.append(f"""a{k} AS ({before} UNION ALL SELECT chain_id, seq, total, false FROM h WHERE least((seq - 1) // 20, 2) = {k}),
+n{k} AS (SELECT *, count(*) OVER c AS n, count(*) FILTER (WHERE thinned) OVER c AS old, row_number() OVER (PARTITION BY chain_id ORDER BY seq) - 1 AS i FROM a{k} WINDOW c AS (PARTITION BY chain_id)),
+t{k} AS (SELECT chain_id, seq, total, thinned OR (n > 30 AND n - 10 > old AND i < n - 10) AS thinned FROM n{k} WHERE n <= 30 OR n - 10 <= old OR i < old OR i >= n - 10 OR (i - old) % 4 = 0)""")
+        before = f"SELECT * FROM t{k}"
+    return HISTORY + ", " + ", ".join(steps) + " " + six("SELECT * FROM t2", "total")
+
+
+SQL["history_store"] = _stored_history()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions import geometry
-from wardflow.operators import alignment, chain, compactness, control, county, districts, graph, history, labels, partisan, population, reports, score, topology, validate
+from wardflow.operators import alignment, chain, compactness, control, county, districts, graph, history, labels, partisan, population, reports, score, topology, tree, validate
 from wardflow.plans import oracle
 from wardflow.plans.config import ScoreConfig, everything, interactive
 from wardflow.plans.fixtures import K, Lattice
@@ -368,6 +368,33 @@ def bridge_components(x):
     return graph.bridges(p, _apart(x))
 
 
+def _comb(x: Lattice) -> DataFrame:
+    """A spanning tree of the lattice: each row of it runs to the west, and its first column to the south."""
+    up = F.when(F.col("x") > 0, F.col("precinct_id") - 1).when(F.col("y") > 0, F.col("precinct_id") - x.w)
+    return graph.stored(x.precincts.select(F.col("precinct_id").alias("node"), up.cast("long").alias("parent"), "population", "county_id"), "comb")
+
+
+@query
+def subtree_sums(x):
+    return tree.sums(_comb(x), "population")
+
+
+@query
+def subtree_members(x):
+    """Size, depth and people of the subtrees of one county's precincts."""
+    t = _comb(x)
+    m = tree.members(t, t.where("county_id = 0"))
+    return m.join(t.select("node", "population"), "node").groupBy("root").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"), F.sum("population").alias("population"))
+
+
+@query
+def holding_precincts(x):
+    """How many precincts of each district part it if they go."""
+    x = saved(x)
+    held = tree.holding(x.assignments, x.edges).join(x.assignments, ["plan_id", "precinct_id"])
+    return held.groupBy("plan_id", "district").agg(F.count("*").alias("precincts"))
+
+
 @query
 def contiguity_check(x):
     x = saved(x)

@@ -463,3 +463,8 @@ t{k} AS (SELECT chain_id, seq, total, thinned OR (n > 30 AND n - 10 > old AND i
 
 
 SQL["history_store"] = _stored_history()
+
+BELOW = BASE + """, t AS (SELECT precinct_id AS node, CASE WHEN x > 0 THEN precinct_id - 1 WHEN y > 0 THEN precinct_id - w END AS parent, population, county_id FROM precincts),
+up AS (SELECT node, node AS root, 0 AS depth FROM t UNION ALL SELECT up.node, t.parent, depth + 1 FROM up JOIN t ON t.node = up.root WHERE t.parent IS NOT NULL) """
+SQL["subtree_sums"] = BELOW + "SELECT root AS node, sum(population)::BIGINT AS population FROM up JOIN t USING (node) GROUP BY 1"
+SQL["subtree_members"] = BELOW + "SELECT root, count(*) AS nodes, max(depth) AS depth, sum(t.population)::BIGINT AS population FROM up JOIN t USING (node) JOIN t r ON r.node = up.root WHERE r.county_id = 0 GROUP BY 1"

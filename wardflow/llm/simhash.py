@@ -39,6 +39,8 @@ from wardflow.llm.components import components
 SEED, LARGE, BANDS, ROWS, SPREAD = 42, 8192, 32, 3, 4
 #: A chunk's weight: rows, of which one with a text counts as one more for each PAGE characters.
 CHUNK, PAGE = 8192, 4000
+#: A link, and the block that it was found in.
+LINK = "u long, v long, k long"
 #: Large blocks of which something small may be broadcast; more are looked up.
 HELD = 100_000
 #: Rows of a block that one task may hold, where the bits can part them.
@@ -310,7 +312,7 @@ def _linker(size: int, radius: int, similarity: float | None = None, n: int = 5,
         node = t["node"].to_numpy()
         alike = jaccard(sets(t["text"], n), similarity) if similarity else None
         a, b = forest(key, f, radius, alike, t["label"].to_numpy() if "label" in t.column_names else None)
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(key[a])], ["u", "v", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole blocks at a time: rows come sorted by key."""
@@ -377,7 +379,7 @@ def dealt(blocks: DataFrame, link, rows: int, most: int = CHUNK, texts: DataFram
         return x if texts is None else x.join(texts.withColumnRenamed("uid", "node"), "node")
 
     def met(x: DataFrame, *more: str) -> DataFrame:
-        return x.select("k", *rest, *more).repartition(tasks, "k").sortWithinPartitions("k", "node").mapInArrow(link, "u long, v long")
+        return x.select("k", *rest, *more).repartition(tasks, "k").sortWithinPartitions("k", "node").mapInArrow(link, LINK)
 
     def of_block(x: DataFrame, values: DataFrame, counts: DataFrame) -> DataFrame:
         """x with values by k, of which there are at most rows / most."""
@@ -388,30 +390,34 @@ def dealt(blocks: DataFrame, link, rows: int, most: int = CHUNK, texts: DataFram
         return components(met(with_texts(blocks)))
     blocks = of_block(blocks, large.select("k", F.ceil(F.col("n") / most).alias("chunks")), large)
     links = stored(met(with_texts(blocks.where("chunks is null"))), "links")
-    hot = stored(with_texts(blocks.where("chunks is not null")), "large-rows")
-    # Forests of the chunks.
-    inner = stored(met(hot.withColumn("k", F.xxhash64("k", chunk("own", "chunks")))), "links")
+    hot = stored(with_texts(blocks.where("chunks is not null")).withColumn("own", F.xxhash64("k", chunk("own", "chunks"))), "large-rows")
+    # Forests of the chunks: a row's label is its tree's root there, so no more rows than a chunk's have one label.
+    found = stored(met(hot.withColumn("k", F.col("own"))), "links")
+    roots = found.select(F.col("k").alias("own"), F.col("u").alias("node"), "v")
+    at = stored(hot.select(*[c for c in hot.columns if c != "text"]).join(roots, ["own", "node"], "left").withColumn("label", F.coalesce("v", "node")).drop("v"), "labelled")
 
-    def labelled() -> DataFrame:
-        return hot.join(components(inner), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    def whole(x: DataFrame) -> DataFrame:
+        return x if texts is None else x.join(hot.select("k", "node", "text"), ["k", "node"])
 
-    # One row for each tree meets the others'.
-    first = labelled().groupBy("k", "label").agg(F.min("node").alias("node")).select("k", "node")
-    first = stored(hot.drop("chunks").join(first, ["k", "node"], "left_semi"), "trees")
+    # The trees' roots meet each other.
+    first = at.where("node = label")
     size = stored(first.groupBy("k").agg(F.ceil(F.sum("w") / most).alias("parts"), F.count("*").alias("n")), "sizes")
-    first = of_block(first, size.select("k", "parts"), size.select("k", "n"))
-    inner = inner.unionByName(stored(met(first.withColumn("k", F.xxhash64("k", F.lit("trees"), chunk("trees", "parts")))), "links"))
+    first = of_block(first, size.select("k", "parts"), size.select("k", "n")).withColumn("tree", F.xxhash64("k", F.lit("trees"), chunk("trees", "parts")))
+    joined = stored(met(whole(first).withColumn("k", F.col("tree"))), "links")
+    roots = first.select("k", "tree", "node").join(joined.select(F.col("k").alias("tree"), F.col("u").alias("node"), "v"), ["tree", "node"]).select("k", F.col("node").alias("label"), "v")
+    at = stored(at.join(roots, ["k", "label"], "left").withColumn("label", F.coalesce("v", "label")).drop("v"), "labelled")
+    links = links.unionByName(found).unionByName(joined)
     # Rows outside their block's largest component meet all.
-    at = stored(labelled(), "labelled")
     size = at.groupBy("k", "label").agg(F.sum("w").alias("n")).groupBy("k").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("out"), F.sum("n").alias("n"))
     size = stored(size, "sizes").where("out > 0")
     if not size.isEmpty():
         at = of_block(at, size.select("k", "main", F.ceil(F.col("out") / most).alias("parts")), size.select("k", "n")).where("parts is not null")
+        at = whole(at)
         every = at.select("*", chunk("own", "chunks").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("b"))
         out = at.where("label <> main").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("a"), chunk("out", "parts").alias("b"))
         # A row outside may stand in a task twice; its two rows have one label and are one tree.
-        inner = inner.unionByName(stored(met(every.unionByName(out).withColumn("k", F.xxhash64("k", F.lit("pairs"), "a", "b")), "label"), "links"))
-    return components(links.unionByName(inner))
+        links = links.unionByName(stored(met(every.unionByName(out).withColumn("k", F.xxhash64("k", F.lit("pairs"), "a", "b")), "label"), "links"))
+    return components(links)
 
 
 def linked(rows: DataFrame, size: int, radius: int, by_bands: bool, most: int = MOST) -> DataFrame:
@@ -429,7 +435,7 @@ def linked(rows: DataFrame, size: int, radius: int, by_bands: bool, most: int =
         blocks = rows.select("node", *fs, F.explode(F.array(*keys)).alias("x")).select("node", *fs, "x.k", "x.rest")
         blocks = spread(blocks, rows.count() * len(pairs), radius, most).drop("rest")
         met = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k").sortWithinPartitions("k", "node")
-        return components(met.mapInArrow(_linker(size, radius), "u long, v long"))
+        return components(met.mapInArrow(_linker(size, radius), LINK))
     return dealt(blocks.withColumn("w", F.lit(1).cast("long")), _linker(size, radius), rows.count() * BANDS, min(most, CHUNK))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardflow.functions.numeric import normal_cdf
-from wardflow.operators import compactness, districts
+from wardflow.operators import compactness, score
 from wardflow.operators.score import Layer
 from wardflow.plans.config import ScoreConfig
 
@@ -39,14 +41,21 @@ def bucket(share: Column) -> Column:
     return F.size(F.filter(F.array(*[F.lit(b) for b in BREAKS]), lambda b: b <= F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))) - 1
 
 
+def _measured(assignments: DataFrame, layer: Layer, cfg: ScoreConfig, circles: bool = True, counties: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """Each plan's districts with their sums, polsby_popper and, if asked for, reock and the counties that they touch: all from one shuffle of the assignments, as a score is."""
+    own = replace(cfg, weight_polsby_popper=1.0, weight_reock=float(circles), weight_compactness=0.0, weight_alignment=0.0)
+    rows = score.summaries(assignments, layer, own, also)
+    d = score.by_district(rows, layer, cfg.n_districts, also).withColumn("polsby_popper", compactness.polsby_popper_value(F.col("area"), F.col("ext") + F.col("cut")))
+    if circles:
+        d = d.withColumn("reock", compactness.reock_value(F.col("area"), F.col("ps")))
+    if counties:
+        d = d.join(rows.where("kind = 0").repartition("plan_id").groupBy("plan_id", "district").agg(F.count_distinct("county_id").alias("counties")), ["plan_id", "district"], "left")
+    return d
+
+
 def metrics(assignments: DataFrame, layer: Layer, cfg: ScoreConfig) -> DataFrame:
     """The columns of the metrics file, for each plan and 1-indexed district."""
-    k = cfg.n_districts
-    d = districts.totals(assignments, layer.precincts, k)
-    key = ["plan_id", "district"]
-    pp = compactness.polsby_popper(assignments, layer.geometry, layer.edges, k).select(*key, F.col("polsby_popper").alias("pp"))
-    rk = compactness.reock(assignments, layer.geometry, layer.extrema, k).select(*key, F.col("reock").alias("rk"))
-    x = d.join(districts.incidence(assignments, layer.edges), key, "left").join(districts.counties_touched(assignments, layer.precincts), key, "left").join(pp, key).join(rk, key)
+    x = _measured(assignments, layer, cfg, counties=True).withColumnsRenamed({"polsby_popper": "pp", "reock": "rk", "real": "cut_edges"})
     dev = (F.col("population") - F.col("ideal")) / F.col("ideal") * 100.0
     dem, rep = F.col("share") * 100.0, F.when(F.col("votes") > 0, F.col("rep_votes") / F.col("votes")).otherwise(F.lit(0.5)) * 100.0
     return x.select(
@@ -72,7 +81,7 @@ def metrics(assignments: DataFrame, layer: Layer, cfg: ScoreConfig) -> DataFrame
 def live_table(assignments: DataFrame, layer: Layer, cfg: ScoreConfig, labels: DataFrame | None = None) -> DataFrame:
     """plan_id, label, population, deviation, Polsby-Popper and shares in percent, margin D - R; the shares are null without votes. labels: (plan_id, district, label)."""
     key = ["plan_id", "district"]
-    d = districts.totals(assignments, layer.precincts, cfg.n_districts).join(compactness.polsby_popper(assignments, layer.geometry, layer.edges, cfg.n_districts).select(*key, "polsby_popper"), key)
+    d = _measured(assignments, layer, cfg, circles=False)
     d = d.join(labels, key) if labels is not None else d.withColumn("label", F.col("district") + 1)
     some = F.col("votes") > 0
     pct = lambda c: F.when(some, F.col(c) / F.col("votes") * 100.0)
@@ -95,13 +104,11 @@ def precinct_buckets(precincts: DataFrame) -> DataFrame:
 
 def shades(assignments: DataFrame, layer: Layer, k: int) -> DataFrame:
     """(plan_id, district, compactness shade, population shade from -1 to 1 at 10 % of the mean district), bucket, label point."""
-    key = ["plan_id", "district"]
-    d = districts.totals(assignments, layer.precincts, k)
-    pp = compactness.polsby_popper(assignments, layer.geometry, layer.edges, k)
     # Without extreme points there is no Reock, and the shade is Polsby-Popper alone.
-    rk = compactness.reock(assignments, layer.geometry, layer.extrema, k) if layer.extrema is not None else pp.select(*key, F.col("polsby_popper").alias("reock"))
-    at = assignments.join(layer.precincts.select("precinct_id", "x", "y"), "precinct_id").groupBy(*key).agg(F.avg(F.col("x") + 0.5).alias("label_x"), F.avg(F.col("y") + 0.5).alias("label_y"))
-    dev = (F.col("population") - F.avg("population").over(W.partitionBy("plan_id"))) / F.avg("population").over(W.partitionBy("plan_id"))
-    x = d.withColumn("dev", dev).join(pp.select(*key, "polsby_popper"), key).join(rk, key).join(at, key, "left")
+    circles = layer.extrema is not None
+    d = _measured(assignments, layer, ScoreConfig(n_districts=k), circles, also=("x", "y"))
+    mean = F.avg("population").over(W.partitionBy("plan_id"))
+    at = lambda c: F.when(F.col("precincts") > 0, F.col(c) / F.col("precincts") + 0.5)
+    x = d.withColumns({"dev": (F.col("population") - mean) / mean, "label_x": at("x"), "label_y": at("y"), "reock": F.col("reock" if circles else "polsby_popper")})
     # The colours are those of the shades, which run from 0 to 1 and from -1 to 1.
-    return x.select(*key, (0.5 * F.col("polsby_popper") + 0.5 * F.col("reock")).alias("compact_shade"), (F.least(F.lit(0.1), F.greatest(F.lit(-0.1), F.col("dev"))) / 0.1).alias("pop_shade"), bucket(F.col("share")).alias("bucket"), "label_x", "label_y")
+    return x.select("plan_id", "district", (0.5 * F.col("polsby_popper") + 0.5 * F.col("reock")).alias("compact_shade"), (F.least(F.lit(0.1), F.greatest(F.lit(-0.1), F.col("dev"))) / 0.1).alias("pop_shade"), bucket(F.col("share")).alias("bucket"), "label_x", "label_y")

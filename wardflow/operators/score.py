@@ -19,13 +19,13 @@ class Layer:
         self.precincts, self.edges, self.geometry, self.extrema, self.reference = precincts, edges, geometry, extrema, reference
 
 
-def summaries(assignments: DataFrame, layer: Layer, cfg: ScoreConfig) -> DataFrame:
+def summaries(assignments: DataFrame, layer: Layer, cfg: ScoreConfig, also: tuple[str, ...] = ()) -> DataFrame:
     """All that a score takes from plans' rows, in one job, with one shuffle of the assignments (by plan_id, which every aggregate and join that follows keeps to).
 
     The rows are of three kinds: the sums of a plan's precincts by district, county and reference district; those of its cut edges by district; the districts' extreme points.
-    They are some hundred a plan, written to the shared folder, so that what follows reads rows of plans no more."""
+    They are some hundred a plan, written to the shared folder, so that what follows reads rows of plans no more. also: further columns of precincts to be summed."""
     a = assignments.select("plan_id", "precinct_id", "district").repartition("plan_id")
-    p = layer.precincts.select("precinct_id", "population", "dem_votes", "rep_votes", "county_id", F.lit(1).alias("precincts"))
+    p = layer.precincts.select("precinct_id", "population", "dem_votes", "rep_votes", "county_id", F.lit(1).alias("precincts"), *also)
     shapes = bool(cfg.weight_polsby_popper or cfg.weight_reock or cfg.weight_compactness)
     circles = bool(cfg.weight_reock or cfg.weight_compactness)
     if shapes:
@@ -44,9 +44,9 @@ def summaries(assignments: DataFrame, layer: Layer, cfg: ScoreConfig) -> DataFra
     return stored(rows, "summaries", by="kind")
 
 
-def by_district(rows: DataFrame, layer: Layer, k: int) -> DataFrame:
+def by_district(rows: DataFrame, layer: Layer, k: int, also: tuple[str, ...] = ()) -> DataFrame:
     """A row for each plan and district 0 to k-1, with all sums and points of the summaries, share, votes and ideal."""
-    sums = [c for c in ("population", "dem_votes", "rep_votes", "precincts", "area", "ext", "real", "cut") if c in rows.columns]
+    sums = [c for c in ("population", "dem_votes", "rep_votes", "precincts", "area", "ext", "real", "cut", *also) if c in rows.columns]
     points = [F.collect_list("p").alias("ps")] if "p" in rows.columns else []
     g = rows.repartition("plan_id").groupBy("plan_id", "district").agg(*[F.sum(c).alias(c) for c in sums], *points)
     # Districts without precincts are put in within the plan's own row.

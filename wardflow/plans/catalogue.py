@@ -8,6 +8,7 @@ from functools import reduce
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardflow.functions import geometry
@@ -479,11 +480,14 @@ def county_codes(x):
 
 @query
 def column_roles(x):
-    """What a layer's columns are taken for by their names; a text is no population."""
+    """What a layer's columns are taken for by their names, with the longest value in them; a text is no population."""
     p = x.precincts.select(F.lit("text").alias("pop"), F.col("population").alias("TOTPOP"), F.col("precinct_key").alias("VTDID"), F.col("county_id").alias("CountyFP"), F.col("dem_votes").alias("baseline_d"), F.col("rep_votes").alias("BASELINE_R"))
     dem, rep = validate.election_hint(p)
     roles = [("population", validate.hint(p, validate.POPULATION, numbers=True)), ("precinct", validate.hint(p, validate.PRECINCT)), ("county", validate.hint(p, validate.COUNTY)), ("dem", dem), ("rep", rep)]
-    return x.spark.createDataFrame(roles, "role string, name string")
+    value = lambda c: F.col(c).cast("string")
+    seen = p.agg(*[F.max(F.struct(F.length(value(c)).alias("n"), value(c).alias("v")))["v"].alias(r) for r, c in roles])
+    said = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(c).alias("name"), F.col(r).alias("longest")) for r, c in roles]))
+    return seen.select(said.alias("s")).select("s.*")
 
 
 @query
@@ -494,8 +498,12 @@ def padded_ids(x):
 
 @query
 def coerced_columns(x):
+    """What texts are taken for, and what they add up to where they are numbers."""
     p = x.precincts.select(F.col("precinct_key").alias("key"), F.col("population").cast("string").alias("people"), F.when(F.col("precinct_id") == 5, "none").otherwise("1").alias("mixed"), F.lit(None).cast("string").alias("empty"))
-    return x.spark.createDataFrame(validate.coerced(p).dtypes, "name string, type string")
+    c = validate.coerced(p)
+    kinds = dict(c.dtypes)
+    sums = c.agg(*[(F.sum(k) if t == "double" else F.any_value(F.lit(None).cast("double"))).alias(k) for k, t in kinds.items()])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(t).alias("type"), F.col(k).alias("total")) for k, t in kinds.items()])).alias("s")).select("s.*")
 
 
 @query
@@ -548,7 +556,9 @@ def run_readout(x):
 
 @query
 def active_metrics(x):
-    runs = {"bare": score.active_metrics(ScoreConfig(), False), "interactive with votes": score.active_metrics(interactive(), True), "ratchet": score.active_metrics(ScoreConfig(), False, ratchet=True), "all": score.active_metrics(CFG, True, hinge=True)}
+    """The metrics of four settings' runs on this layer, which has votes or not."""
+    votes = x.precincts.agg(F.coalesce(F.sum(F.col("dem_votes") + F.col("rep_votes")), F.lit(0))).first()[0] > 0
+    runs = {"bare": score.active_metrics(ScoreConfig(), False), "interactive": score.active_metrics(interactive(), votes), "ratchet": score.active_metrics(ScoreConfig(), False, ratchet=True), "all": score.active_metrics(CFG, votes, hinge=True)}
     return x.spark.createDataFrame([(k, m) for k, v in runs.items() for m in v], "run string, metric string")
 
 
@@ -614,24 +624,27 @@ def recency_bands(x):
     return history.banded(x.history)
 
 
+def _progress(x: Lattice) -> DataFrame:
+    """The history with p, how far a chain has come with each row."""
+    n = F.count("*").over(W.partitionBy("chain_id"))
+    return x.history.select("chain_id", "seq", "total", (F.col("seq") / n).alias("p"))
+
+
 @query
 def flip_rate_curve(x):
-    g = x.spark.range(0, 101).select(F.col("id").alias("step"), (F.col("id") / 100.0).alias("p"))
-    return g.select("step", history.flip_rate(F.col("p")).alias("rate"), history.flip_rate(F.col("p"), 0.0).alias("rate_upper"), history.flip_rate(F.col("p"), 1.0).alias("rate_lower"))
+    return _progress(x).select("chain_id", "seq", history.flip_rate(F.col("p")).alias("rate"), history.flip_rate(F.col("p"), 0.0).alias("rate_upper"), history.flip_rate(F.col("p"), 1.0).alias("rate_lower"))
 
 
 @query
 def cooling_schedule(x):
-    rate = history.cooling_rate(200.0, 1.0, 0.9, 1000)
-    g = x.spark.range(0, 1001, 10).select(F.col("id").alias("iteration"))
-    t = history.temperature(F.col("iteration"), 200.0, rate)
-    return g.select("iteration", t.alias("temperature"), history.acceptance_chance(F.lit(5.0), t).alias("chance"))
+    """Temperature ten iterations a row on, and the chance that a proposal as much worse as the row is above 50 is accepted."""
+    t = history.temperature(F.col("seq") * 10, 200.0, history.cooling_rate(200.0, 1.0, 0.9, 1000))
+    return x.history.select("chain_id", "seq", t.alias("temperature"), history.acceptance_chance(F.col("total") - 50.0, t).alias("chance"))
 
 
 @query
 def ratchet_ceiling(x):
-    g = x.spark.range(0, 101).select(F.col("id").alias("step"), (F.col("id") / 100.0).alias("p"))
-    return g.select("step", history.ratchet_ceiling(F.col("p"), 0.05).alias("ceiling"), history.ratchet_ceiling(F.col("p"), 0.001).alias("tight"))
+    return _progress(x).select("chain_id", "seq", history.ratchet_ceiling(F.col("p"), 0.05).alias("ceiling"), history.ratchet_ceiling(F.col("p"), 0.001).alias("tight"))
 
 
 # ---- chains ----

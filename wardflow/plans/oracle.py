@@ -295,9 +295,9 @@ l AS (SELECT chain_id, seq, last_value(own IGNORE NULLS) OVER (PARTITION BY chai
     "history_entropy": HISTORY + six("SELECT chain_id, count(*) FILTER (WHERE accepted) AS accepted_worse, count(*) FILTER (WHERE NOT accepted) AS rejected_worse, count(*) FILTER (WHERE accepted) / count(*) * 100 AS entropy FROM h WHERE is_worse GROUP BY 1", "entropy"),
     "history_revert": HISTORY + ", b AS (SELECT chain_id, arg_min(seq, (total, seq)) AS upto FROM h WHERE accepted GROUP BY 1) " + six("SELECT h.chain_id, seq, total FROM h JOIN b USING (chain_id) WHERE seq <= upto", "total"),
     "recency_bands": HISTORY + six("SELECT chain_id, seq, exp(-(n - seq) / 2000.0::DOUBLE) AS weight, least(floor(exp(-(n - seq) / 2000.0::DOUBLE) * 24), 23)::INT AS band FROM h", "weight"),
-    "flip_rate_curve": "WITH g AS (SELECT unnest(range(101)) AS step), p AS (SELECT step, step / 100.0::DOUBLE AS p FROM g) " + six(f"SELECT step, {flip('p', 0.835)} AS rate, {flip('p', 0.0)} AS rate_upper, {flip('p', 1.0)} AS rate_lower FROM p", "rate", "rate_upper", "rate_lower"),
-    "cooling_schedule": "WITH g AS (SELECT unnest(range(0, 1001, 10)) AS iteration), " + f"t AS (SELECT iteration, 200 * pow({RATE!r}::DOUBLE, iteration) AS temperature FROM g) " + six("SELECT iteration, temperature, exp(-5 / temperature) AS chance FROM t", "temperature", "chance"),
-    "ratchet_ceiling": "WITH g AS (SELECT unnest(range(101)) AS step), p AS (SELECT step, step / 100.0::DOUBLE AS p FROM g) " + six("SELECT step, CASE WHEN p <= 0.33 THEN 0.05 ELSE 0.05 + (0.0025 - 0.05) * least((p - 0.33) / (1 - 0.33), 1) END AS ceiling, 0.001::DOUBLE AS tight FROM p", "ceiling", "tight"),
+    "flip_rate_curve": HISTORY + ", p AS (SELECT chain_id, seq, seq / n AS p FROM h) " + six(f"SELECT chain_id, seq, {flip('p', 0.835)} AS rate, {flip('p', 0.0)} AS rate_upper, {flip('p', 1.0)} AS rate_lower FROM p", "rate", "rate_upper", "rate_lower"),
+    "cooling_schedule": HISTORY + f", t AS (SELECT chain_id, seq, 200 * pow({RATE!r}::DOUBLE, seq * 10) AS temperature, total - 50 AS d FROM h) " + six("SELECT chain_id, seq, temperature, CASE WHEN d <= 0 THEN 1 ELSE exp(-d / temperature) END AS chance FROM t", "temperature", "chance"),
+    "ratchet_ceiling": HISTORY + ", p AS (SELECT chain_id, seq, seq / n AS p FROM h) " + six("SELECT chain_id, seq, CASE WHEN p <= 0.33 THEN 0.05 ELSE 0.05 + (0.0025 - 0.05) * least((p - 0.33) / (1 - 0.33), 1) END AS ceiling, 0.001::DOUBLE AS tight FROM p", "ceiling", "tight"),
 }
 
 #: Pieces of each district: labels walk along edges inside it, and every node keeps the least that reaches it.
@@ -387,9 +387,6 @@ SQL["shade_colours"] = f"SELECT plan_id, district, {', '.join(f'{interpolated(t,
 _ALWAYS = ["total", "temperature", "cut_edges"]
 _VOTES = ["mean_median", "efficiency_gap", "dem_seats", "partisan_bias", "partisan_gini", "proportionality", "inversion_chance", "competitiveness", "majority_dem", "majority_rep"]
 _ACTIVE = {"bare": _ALWAYS, "interactive with votes": [*_ALWAYS, "compactness", "polsby_popper", "reock", *_VOTES], "ratchet": [*_ALWAYS, "pop_dev_max", "pop_dev_mean"], "all": [*_ALWAYS, "compactness", "polsby_popper", "reock", "congruence", "excess_splits", "pop_dev_max", "pop_dev_mean", *_VOTES, "hinge_chance"]}
-SQL["active_metrics"] = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{m}')" for k, v in _ACTIVE.items() for m in v) + ") AS t(run, metric)"
-_ISSUES = [("fine", None), ("no population", "Choose a population column."), ("no precinct", "Choose a precinct id column."), ("unknown column", "Population column ''none'' is not in the layer."), ("text", "Population column ''precinct_key'' is not numeric (string).")]
-SQL["layer_issues"] = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if v is None else chr(39) + v + chr(39)})" for k, v in _ISSUES) + ") AS t(choice, issue)"
 SQL["shapefile_round_trip"] = BASE + "SELECT precinct_id, precinct_key AS key, population, 1.0::DOUBLE AS area, 5::BIGINT AS vertices, (5 * x + 2)::DOUBLE AS sum_x, (5 * y + 2)::DOUBLE AS sum_y FROM precincts"
 SQL["plan_file_round_trip"] = BASE + "SELECT plan_id, precinct_id, district FROM assignments WHERE plan_id = 1"
 #: What every valid plan of a chain keeps, whatever the draws: all districts, each in one piece and within the tolerance, and all precincts and people.
@@ -406,9 +403,7 @@ best AS (SELECT plan_id, arg_max(ds, total) AS ds FROM ways WHERE r = 6 GROUP BY
 own AS (SELECT plan_id, d.k::INT AS district, list_position(ds, d.k::INT) AS place FROM best CROSS JOIN range({K}) d(k))
 SELECT plan_id, district, CASE WHEN place > 0 THEN 9 + place ELSE row_number() OVER (PARTITION BY plan_id, coalesce(place, 0) > 0 ORDER BY district) END::INT AS label FROM own"""
 )
-SQL["column_roles"] = "SELECT * FROM (VALUES ('population', 'TOTPOP'), ('precinct', 'VTDID'), ('county', 'CountyFP'), ('dem', 'baseline_d'), ('rep', 'BASELINE_R')) AS t(role, name)"
 SQL["padded_ids"] = BASE + "SELECT precinct_id, lpad((1000000000 + precinct_id)::VARCHAR, 11, '0') AS geoid, lpad((100000 + precinct_id)::VARCHAR, 8, '0') AS code FROM precincts"
-SQL["coerced_columns"] = "SELECT * FROM (VALUES ('key', 'string'), ('people', 'double'), ('mixed', 'string'), ('empty', 'string')) AS t(name, type)"
 
 SQL["adjacency_inexact"] = (
     BASE
@@ -468,3 +463,29 @@ BELOW = BASE + """, t AS (SELECT precinct_id AS node, CASE WHEN x > 0 THEN preci
 up AS (SELECT node, node AS root, 0 AS depth FROM t UNION ALL SELECT up.node, t.parent, depth + 1 FROM up JOIN t ON t.node = up.root WHERE t.parent IS NOT NULL) """
 SQL["subtree_sums"] = BELOW + "SELECT root AS node, sum(population)::BIGINT AS population FROM up JOIN t USING (node) GROUP BY 1"
 SQL["subtree_members"] = BELOW + "SELECT root, count(*) AS nodes, max(depth) AS depth, sum(t.population)::BIGINT AS population FROM up JOIN t USING (node) JOIN t r ON r.node = up.root WHERE r.county_id = 0 GROUP BY 1"
+
+#: Metrics that are there only where the layer has votes.
+VOTED = "mean_median efficiency_gap dem_seats partisan_bias partisan_gini proportionality inversion_chance competitiveness majority_dem majority_rep hinge_chance".split()
+_METRICS = ", ".join(f"('{k.removesuffix(' with votes')}', '{m}', {str(m in VOTED).lower()})" for k, v in _ACTIVE.items() for m in v)
+SQL["active_metrics"] = BASE + f", m AS (SELECT * FROM (VALUES {_METRICS}) AS t(run, metric, voted)) SELECT run, metric FROM m WHERE NOT voted OR (SELECT sum(dem_votes + rep_votes) FROM precincts) > 0"
+_ROLES = [("population", "TOTPOP", "population"), ("precinct", "VTDID", "precinct_key"), ("county", "CountyFP", "county_id"), ("dem", "baseline_d", "dem_votes"), ("rep", "BASELINE_R", "rep_votes")]
+SQL["column_roles"] = BASE + " UNION ALL ".join(f"SELECT '{r}' AS role, '{n}' AS name, arg_max({c}::VARCHAR, (len({c}::VARCHAR), {c}::VARCHAR)) AS longest FROM precincts" for r, n, c in _ROLES)
+_TEXTS = [("key", "precinct_key"), ("people", "population::VARCHAR"), ("mixed", "CASE WHEN precinct_id = 5 THEN 'none' ELSE '1' END"), ("empty", "NULL::VARCHAR")]
+#: A text is a number if all its values read as one and none begins with 0 and a digit.
+SQL["coerced_columns"] = (
+    BASE
+    + ", v AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS name, {c} AS v FROM precincts" for n, c in _TEXTS)
+    + "), r AS (SELECT name, count(v) > 0 AND count(v) = count(TRY_CAST(v AS DOUBLE)) AND count(*) FILTER (WHERE regexp_matches(trim(v), '^0[0-9]')) = 0 AS num, sum(TRY_CAST(v AS DOUBLE)) AS total FROM v GROUP BY 1) "
+    + six("SELECT name, CASE WHEN num THEN 'double' ELSE 'string' END AS type, CASE WHEN num THEN total END AS total FROM r", "total")
+)
+_CHOICES = [("fine", "population", "precinct_key"), ("no population", None, "precinct_key"), ("no precinct", "population", None), ("unknown column", "none", "precinct_key"), ("text", "precinct_key", "precinct_key")]
+_CHOSEN = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in x) + ")" for x in _CHOICES)
+#: What is said of a choice, from what the columns hold.
+SQL["layer_issues"] = (
+    BASE
+    + f", c AS (SELECT * FROM (VALUES {_CHOSEN}) AS t(choice, pop, id)), "
+    + "k AS (SELECT 'population' AS name, typeof(any_value(population)) AS kind, count(*) FILTER (WHERE population IS NULL OR population < 0) AS bad, sum(population) AS total FROM precincts UNION ALL SELECT 'precinct_key', typeof(any_value(precinct_key)), 0, 0 FROM precincts) "
+    + """SELECT choice, CASE WHEN pop IS NULL THEN 'Choose a population column.' WHEN id IS NULL THEN 'Choose a precinct id column.' WHEN p.name IS NULL THEN 'Population column ''' || pop || ''' is not in the layer.'
+    WHEN p.kind = 'VARCHAR' THEN 'Population column ''' || pop || ''' is not numeric (string).' WHEN p.bad > 0 OR p.total = 0 THEN 'other' END AS issue FROM c LEFT JOIN k p ON p.name = c.pop"""
+)

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardflow.functions import geometry
-from wardflow.operators import alignment, chain, compactness, control, county, districts, graph, history, labels, partisan, population, reports, score, topology, tree, validate
+from wardflow.operators import alignment, chain, compactness, control, county, districts, graph, history, labels, partisan, population, raster, reports, score, topology, tree, validate
 from wardflow.plans import oracle
 from wardflow.plans.config import ScoreConfig, everything, interactive
 from wardflow.plans.fixtures import K, Lattice
@@ -289,6 +289,26 @@ def label_collisions(x):
     return topology.placed_labels(p, F.col("n"), F.col("district") + 1, 4.0, 3.0, 0.5)
 
 
+PICTURE = (200, 160)
+
+
+@query
+def layer_pixels(x):
+    return raster.pixels(x.precincts, *PICTURE)
+
+
+@query
+def border_masks(x):
+    """Pixels by plan: on borders of districts, the same three pixels thick, on borders of counties, and on the outline."""
+    v = graph.stored(raster.pixels(x.precincts, *PICTURE), "pixels")
+    plans = v.join(x.assignments, "precinct_id").select("plan_id", "row", "col", F.col("district").alias("value"))
+    d = graph.stored(raster.borders(plans, *PICTURE, ["plan_id"]), "masks")
+    thick = raster.thickened(d.where("border"), 3, *PICTURE, ["plan_id"]).groupBy("plan_id").agg(F.count("*").alias("thick"))
+    county = v.join(x.precincts.select("precinct_id", F.col("county_id").alias("value")), "precinct_id").select("row", "col", "value")
+    counties = raster.borders(county, *PICTURE).agg(F.count_if("border").alias("counties"))
+    return d.groupBy("plan_id").agg(F.count_if("border").alias("districts"), F.count_if("outline").alias("outline")).join(thick, "plan_id").join(F.broadcast(counties))
+
+
 # ---- alignment, score ----
 
 

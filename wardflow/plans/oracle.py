@@ -489,3 +489,22 @@ SQL["layer_issues"] = (
     + """SELECT choice, CASE WHEN pop IS NULL THEN 'Choose a population column.' WHEN id IS NULL THEN 'Choose a precinct id column.' WHEN p.name IS NULL THEN 'Population column ''' || pop || ''' is not in the layer.'
     WHEN p.kind = 'VARCHAR' THEN 'Population column ''' || pop || ''' is not numeric (string).' WHEN p.bad > 0 OR p.total = 0 THEN 'other' END AS issue FROM c LEFT JOIN k p ON p.name = c.pop"""
 )
+
+#: Pixels of a picture of 200 by 160, whose middles never lie on the lattice's lines.
+PIXELS = (
+    BASE
+    + """, fit AS (SELECT w, least(200 / w, 160 / w) * 0.96::DOUBLE AS scale FROM size),
+px AS (SELECT r.r AS "row", c.c AS col, floor((c.c + 0.5 - (200 - w * scale) / 2) / scale)::BIGINT AS x, floor((160 - (r.r + 0.5) - (160 - w * scale) / 2) / scale)::BIGINT AS y, w FROM range(160) r(r), range(200) c(c), fit),
+pix AS (SELECT "row", col, y * w + x AS precinct_id FROM px WHERE x BETWEEN 0 AND w - 1 AND y BETWEEN 0 AND w - 1) """
+)
+SQL["layer_pixels"] = PIXELS + 'SELECT "row", col, precinct_id FROM pix'
+SQL["border_masks"] = (
+    PIXELS
+    + """, val AS (SELECT plan_id, "row", col, district AS value FROM pix JOIN assignments USING (precinct_id)), cval AS (SELECT "row", col, county_id AS value FROM pix JOIN precincts USING (precinct_id)),
+step AS (SELECT * FROM (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) AS t(a, b)),
+near AS (SELECT v.plan_id, v."row", v.col, bool_or(o.value IS NOT NULL AND o.value <> v.value) AS border, bool_or(o.value IS NULL AND v."row" + a BETWEEN 0 AND 159 AND v.col + b BETWEEN 0 AND 199) AS outline
+  FROM (SELECT v.*, a, b, v."row" + a AS nr, v.col + b AS nc FROM val v, step) v LEFT JOIN val o ON o.plan_id = v.plan_id AND o."row" = nr AND o.col = nc GROUP BY 1, 2, 3),
+thick AS (SELECT DISTINCT plan_id, "row" + i.a AS r, col + j.b AS c FROM near, range(-2, 3) i(a), range(-2, 3) j(b) WHERE border AND abs(i.a) + abs(j.b) <= 2 AND "row" + i.a BETWEEN 0 AND 159 AND col + j.b BETWEEN 0 AND 199),
+county AS (SELECT count(*) AS counties FROM (SELECT DISTINCT v."row", v.col FROM (SELECT v.*, v."row" + a AS nr, v.col + b AS nc FROM cval v, step) v JOIN cval o ON o."row" = nr AND o.col = nc AND o.value <> v.value))
+SELECT plan_id, count(*) FILTER (WHERE border) AS districts, count(*) FILTER (WHERE outline) AS outline, (SELECT count(*) FROM thick t WHERE t.plan_id = near.plan_id) AS thick, (SELECT counties FROM county) AS counties FROM near GROUP BY plan_id"""
+)

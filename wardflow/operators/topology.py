@@ -75,7 +75,8 @@ def pieces(layer: DataFrame, tol: float | None = None) -> DataFrame:
     if size["most"] is None:
         return s.select(*names)
     tol = RELATIVE * size["most"] if tol is None else tol
-    s = graph.stored(_snapped(s, tol), "snapped")
+    moved = _snapped(s, tol)
+    s = s if moved is s else graph.stored(moved, "snapped")
     part = LONG * size["mean"]
     s = s.withColumn("len", length)
     p = s.withColumn("n", F.greatest(F.ceil(F.col("len") / part), F.lit(1))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))

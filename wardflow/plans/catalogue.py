@@ -253,13 +253,37 @@ def _arcs(x: Lattice) -> DataFrame:
     return graph.stored(topology.arcs(topology.borders(topology.pieces(x.precincts)), x.assignments), "arcs")
 
 
+def _measured_rings(rings: DataFrame) -> DataFrame:
+    step = F.transform(F.slice("pts", F.lit(1), F.size("pts") - 1), lambda p, i: F.hypot(F.get("pts", i + 1)["x"] - p["x"], F.get("pts", i + 1)["y"] - p["y"]))
+    length = F.aggregate(step, F.lit(0.0), lambda a, v: a + v)
+    return rings.groupBy("plan_id", "district").agg(F.sum("area").alias("area"), F.sum(length).alias("perimeter"), F.sum(F.when(F.col("is_hole"), -1).otherwise(1)).alias("rings_less_holes"), F.sum(F.size("pts") - 1).alias("corners"))
+
+
 @query
 def district_outlines(x):
     """Of each district's rings: their areas' sum, their length, outer rings less holes, and corners counted with every precinct's."""
-    r = topology.outlines(_arcs(x))
-    step = F.transform(F.slice("pts", F.lit(1), F.size("pts") - 1), lambda p, i: F.hypot(F.get("pts", i + 1)["x"] - p["x"], F.get("pts", i + 1)["y"] - p["y"]))
-    length = F.aggregate(step, F.lit(0.0), lambda a, v: a + v)
-    return r.groupBy("plan_id", "district").agg(F.sum("area").alias("area"), F.sum(length).alias("perimeter"), F.sum(F.when(F.col("is_hole"), -1).otherwise(1)).alias("rings_less_holes"), F.sum(F.size("pts") - 1).alias("corners"))
+    return _measured_rings(topology.outlines(_arcs(x)))
+
+
+@query
+def county_outlines(x):
+    """The same of counties, which are scattered: many rings each, with holes in them."""
+    counties = x.precincts.select(F.lit(0).cast("long").alias("plan_id"), "precinct_id", F.col("county_id").cast("int").alias("district"))
+    arcs = topology.arcs(topology.borders(topology.pieces(x.precincts)), counties)
+    return _measured_rings(topology.outlines(arcs)).drop("plan_id").withColumnRenamed("district", "county_id")
+
+
+@query
+def district_layer_file(x):
+    """Districts as polygons with their figures, written as a layer by tasks and read again, whole and within a box."""
+    at = f"{graph.shared_dir(x.spark)}/districts-{uuid.uuid4().hex}"
+    shapefile.register(x.spark)
+    d = totals(x).select("plan_id", "district", "population")
+    p = topology.polygons(topology.outlines(_arcs(x))).join(d, ["plan_id", "district"]).select(F.col("plan_id").alias("PLAN"), F.col("district").alias("DISTRICT"), F.col("population").alias("POP"), "rings")
+    p.write.format("shp").mode("append").save(at)
+    corner = x.spark.read.format("shp").schema("PLAN long, DISTRICT long").option("box", "-1,-1,0.5,0.5").load(at).withColumn("at_corner", F.lit(True))
+    back = x.spark.read.format("shp").load(at)
+    return back.join(corner, ["PLAN", "DISTRICT"], "left").select(F.col("PLAN").alias("plan_id"), F.col("DISTRICT").alias("district"), F.col("POP").alias("population"), geometry.area(F.col("rings")).alias("area"), F.coalesce("at_corner", F.lit(False)).alias("at_corner"))
 
 
 @query

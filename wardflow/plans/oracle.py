@@ -413,14 +413,21 @@ c AS (SELECT 3 * i AS u, 3 * i + 1 AS v, sqrt(pow(mx - ax, 2) + pow(my - ay, 2))
       UNION ALL SELECT 3 * i + 1, 3 * i + 2, sqrt(pow(dx, 2) + pow(dy, 2)) / 4 FROM m) """
     + six("SELECT u, v, n AS shared_len FROM c", "shared_len")
 )
-SQL["district_outlines"] = (
-    BASE
-    + """, pair AS (SELECT a.plan_id, a.district, count(*) AS n FROM placed a JOIN placed b ON b.plan_id = a.plan_id AND b.district = a.district AND (b.precinct_id = a.precinct_id + 1 AND a.x < a.w - 1 OR b.precinct_id = a.precinct_id + a.w) GROUP BY 1, 2),
-block AS (SELECT plan_id, district, count(*) AS n FROM (SELECT a.plan_id, a.district, a.precinct_id FROM placed a JOIN placed b ON b.plan_id = a.plan_id AND b.district = a.district AND b.x BETWEEN a.x AND a.x + 1 AND b.y BETWEEN a.y AND a.y + 1 GROUP BY ALL HAVING count(*) = 4) GROUP BY 1, 2),
-cell AS (SELECT plan_id, district, count(*) AS n FROM placed GROUP BY 1, 2)
-SELECT plan_id, district, cell.n::DOUBLE AS area, (4 * cell.n - 2 * coalesce(pair.n, 0))::DOUBLE AS perimeter, (cell.n - coalesce(pair.n, 0) + coalesce(block.n, 0))::BIGINT AS rings_less_holes, (4 * cell.n - 2 * coalesce(pair.n, 0))::BIGINT AS corners
-FROM cell LEFT JOIN pair USING (plan_id, district) LEFT JOIN block USING (plan_id, district)"""
-)
+def _outlined(cells: str, by: str) -> str:
+    """Sums over rings from cells alone: a lattice region's outer rings less its holes are cells less pairs side by side plus full blocks of four."""
+    same = " AND ".join(f"b.{c} = a.{c}" for c in by.split(", "))
+    own = ", ".join(f"a.{c}" for c in by.split(", "))
+    return f""", cells AS ({cells}),
+pair AS (SELECT {own}, count(*) AS n FROM cells a JOIN cells b ON {same} AND (b.precinct_id = a.precinct_id + 1 AND a.x < a.w - 1 OR b.precinct_id = a.precinct_id + a.w) GROUP BY ALL),
+block AS (SELECT {by}, count(*) AS n FROM (SELECT {own}, a.precinct_id FROM cells a JOIN cells b ON {same} AND b.x BETWEEN a.x AND a.x + 1 AND b.y BETWEEN a.y AND a.y + 1 GROUP BY ALL HAVING count(*) = 4) GROUP BY ALL),
+cell AS (SELECT {by}, count(*) AS n FROM cells GROUP BY ALL)
+SELECT {by}, cell.n::DOUBLE AS area, (4 * cell.n - 2 * coalesce(pair.n, 0))::DOUBLE AS perimeter, (cell.n - coalesce(pair.n, 0) + coalesce(block.n, 0))::BIGINT AS rings_less_holes, (4 * cell.n - 2 * coalesce(pair.n, 0))::BIGINT AS corners
+FROM cell LEFT JOIN pair USING ({by}) LEFT JOIN block USING ({by})"""
+
+
+SQL["district_outlines"] = BASE + _outlined("SELECT * FROM placed", "plan_id, district")
+SQL["county_outlines"] = BASE + _outlined("SELECT * FROM precincts", "county_id")
+SQL["district_layer_file"] = BASE + "SELECT plan_id, district::BIGINT AS district, sum(population)::BIGINT AS population, count(*)::DOUBLE AS area, min(x) = 0 AND min(y) = 0 AS at_corner FROM placed GROUP BY 1, 2"
 SQL["outlines_simplified"] = BASE + "SELECT plan_id, count(*)::DOUBLE AS area, count(DISTINCT district) AS districts FROM placed GROUP BY 1"
 SQL["label_points"] = (
     BASE

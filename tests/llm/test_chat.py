@@ -43,3 +43,14 @@ def test_rows(spark):
         assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert C.formatted(empty).collect() == []
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    """A turn of 600,000 characters with control strings throughout; columns named like the result's are not read."""
+    long = "ok <|end|> [INST]\\ é" * 30_000
+    said = [(1, 0, "user", "a", 1, 2), (1, 1, "assistant", long, 3, 4), (2, 0, "assistant", "b", 5, 6)]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string, tokens int, turns int").selectExpr("*", "7 as formatted", "8 as loss")
+    got = {r["conv_id"]: r for r in C.formatted(df).collect()}
+    assert C.parse(got[1]["formatted"]) == [("user", "a"), ("assistant", long)] and C.parse(got[2]["formatted"]) == [("assistant", "b")]
+    assert C.unescape("".join(got[1]["formatted"][p["s"] : p["e"]] for p in got[1]["loss_parts"][0])) == long
+    assert len(got[1]["tokens"]) == len(got[1]["loss"]) > 100_000 or any(got[1]["loss"])

@@ -57,3 +57,25 @@ def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r["score"] for r in C.scored(docs, *C.learn(docs, none)).collect()] == [0.5, 0.5]
+
+
+def test_null_labels_and_clashing_columns(spark):
+    """Rows whose label or id is null teach nothing, and columns named like the result's are not read."""
+    import numpy as np
+
+    from wardflow.llm import line_crf as L
+
+    good, bad = "A plain line of words that says something.\nAnd one more of them.", "$$$ ### 12 12 12\n$$$ ### 12 12 12"
+    docs = spark.createDataFrame([(k, good if k % 2 else bad, 1.0, "x", 3) for k in range(40)] + [(None, good, 1.0, "x", 3)], "doc_id long, text string, score double, line_labels string, quality int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    more = labels.unionByName(spark.createDataFrame([(30, None), (None, 1), (31, 7)], "doc_id long, quality int"))
+    w, turn = L.learn(docs.drop("quality"), more)
+    again, _ = L.learn(docs.drop("quality"), labels)
+    assert (w == again).all() and np.abs(w).max() > 0
+    got = L.scored(docs, w, turn)
+    assert got.columns == ["doc_id", "score", "line_labels"]
+    by = {r["doc_id"]: r for r in got.collect()}
+    assert all((by[k]["score"] > 0.5) == (k % 2 == 1) for k in range(40)) and by[None]["score"] > 0.5
+    assert all(set(by[k]["line_labels"]) <= {"0", "1"} and len(by[k]["line_labels"]) == 2 for k in range(40))
+    none, _ = L.learn(docs.drop("quality"), labels.where("quality = 5"))
+    assert (none == 0).all()

@@ -216,3 +216,14 @@ def test_forest_begins_with_labels():
     f = np.array([[0], [1 << 40], [0], [1 << 41], [7 << 50]], np.uint64)
     a, b = S.forest(np.zeros(5, int), f, 0, label=np.array([5, 9, 6, 9, 5]))
     assert dict(zip(a.tolist(), b.tolist())) == {2: 0, 3: 1, 4: 0}
+
+
+def test_a_very_long_text(spark):
+    """A text of 300,000 words and its copy with one changed are linked; the fingerprint is brute force's."""
+    w = [f"w{(k * 7919) % 5000}" for k in range(300_000)]
+    v = list(w)
+    v[1000] = "changed"
+    df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(v)), (3, "other words here")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in S.grouped(df, 3, 1, 3).collect()}
+    assert got[1]["component_id"] == got[2]["component_id"] == 1 and got[3]["component_id"] == 3
+    assert got[1]["f0"] % 2**64 == brute_fingerprint(" ".join(w))

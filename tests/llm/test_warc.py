@@ -73,3 +73,18 @@ def test_a_very_long_payload_and_other_columns(spark, tmp_path):
     got = {r["record_id"]: r for r in spark.read.format("warc").load(at).collect()}
     assert bytes(got["<urn:page:1>"]["payload"]).decode() == long and got["<urn:page:2>"]["record_type"] == "revisit"
     assert got["<urn:page:3>"]["payload_bytes"] == 0 and got["<urn:page:1>"]["payload_bytes"] == len(long.encode())
+
+
+def test_an_archive_that_is_cut_off(spark, tmp_path):
+    """Records before the cut are read where they are asked for by header; the cut one is an error."""
+    R.register(spark)
+    at = f"file://{tmp_path}/c"
+    R.records(spark.createDataFrame(ROWS, "page_id long, url string, html string")).coalesce(1).write.format("warc").mode("append").save(at)
+    path = next(p for p in (tmp_path / "c").iterdir() if p.suffix == ".warc")
+    whole = spark.read.format("warc").load(str(path)).count()
+    raw = path.read_bytes()
+    path.write_bytes(raw[: raw.rindex(b"WARC/1.1") + 20])
+    with pytest.raises(Exception, match="content-length"):
+        spark.read.format("warc").load(str(path)).count()
+    path.write_bytes(raw[: raw.rindex(b"WARC/1.1")])
+    assert spark.read.format("warc").load(str(path)).count() == whole - 1

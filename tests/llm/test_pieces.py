@@ -169,6 +169,13 @@ def test_best_path_of_whole_texts(spark):
         assert r["ids"] == (None if t is None else [i for w in P.words_of(t) for i in viterbi(w)])
 
 
+def test_a_very_long_word_of_a_unigram_model(spark):
+    """One word of some thousand characters is folded over its whole lattice."""
+    rows = [(1, "thorreouÉ" * 300), (2, "x"), (3, None)]
+    got = {r["doc_id"]: r["ids"] for r in P.encode(spark.createDataFrame(rows, "doc_id long, text string"), bpe=False).collect()}
+    assert got == {k: None if t is None else [i for w in P.words_of(t) for i in viterbi(w)] for k, t in rows}
+
+
 def test_no_piece_crosses_words():
     table, _, _ = model()
     rng = random.Random(4)

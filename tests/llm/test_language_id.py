@@ -69,6 +69,9 @@ def test_document_frequencies_cover_all_rows_and_fits_are_bounded(spark):
     assert np.allclose(small.idf, np.log(401 / (1 + frequency)) + 1)
     again = L.learn(df.repartition(7), max_docs=60)
     assert (small.weights == again.weights).all() and (small.features == again.features).all()
+    # A bound on features leaves at least a document of each language, whatever its length.
+    tiny = L.learn(df.unionByName(spark.createDataFrame([(9000, "les que " * 50_000, "it", "s")], KIND)), max_features=40)
+    assert tiny.langs == ["de", "en", "fr", "it"]
     top = L.learn(df, max_langs=1)
     assert top.langs == ["en"]
 

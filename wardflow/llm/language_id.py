@@ -5,8 +5,8 @@ features, weighted by their number and their inverse document frequency, and sca
 learning rates by coordinate and an elastic net (the first part makes most weights exactly 0), then the scores are divided by a temperature that fits a part of the sample kept
 from the fit. The most probable language is the prediction, its probability the score.
 
-Document frequencies and languages' sizes are counted over all documents to learn from. Only the fit is bounded: it takes at most `max_docs` documents, dealt evenly
-over the languages as far as they have them (the first by a hash of their texts), and knows the `max_langs` most frequent languages. Equal texts of a language count once among them. The driver gets these documents' features, the frequencies (one
+Document frequencies and languages' sizes are counted over all documents to learn from. Only the fit is bounded: it takes at most `max_docs` documents with `max_features` features (8 bytes each), dealt evenly
+over the languages as far as they have them (the first by a hash of their texts, one at least), and knows the `max_langs` most frequent languages. Equal texts of a language count once among them. The driver gets these documents' features, the frequencies (one
 number a feature) and the languages. Predicting is a map over whole texts without a shuffle.
 
 Nulls: a null text, or one without a letter, is `und` with score 0. Rows with a null language teach nothing. Ties go to the language that is first by code point. Without anything to learn from all
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wardflow.llm.common import table, text_key
 
-GRAM, BITS, MAX_DOCS, MAX_LANGS = 3, 16, 6000, 256
+GRAM, BITS, MAX_DOCS, MAX_LANGS, MAX_FEATURES = 3, 16, 6000, 256, 12_000_000
 UNKNOWN = "und"
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -157,7 +157,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["lang"], b["r"], pa.array(fs, pa.binary()), pa.array(ns, pa.binary())], ["lang", "r", "f", "n"])
 
 
-def learn(docs: DataFrame, max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS) -> Model | None:
+def learn(docs: DataFrame, max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS, max_features: int = MAX_FEATURES) -> Model | None:
     """A model from docs (text, lang); None: there is nothing to learn from."""
     d = docs.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = d.groupBy("lang").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "lang").limit(max_langs)
@@ -177,7 +177,10 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS)
     own = d.join(F.broadcast(share), "lang").where((F.shiftrightunsigned(h["a"], 11) / 2.0**53) < F.col("share"))
     own = own.select("lang", "text", h["a"].alias("a"), F.shiftrightunsigned(h["b"], 11).alias("r")).dropDuplicates(["lang", "a", "r"])
     own = own.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("a", "r"))).where(F.col("k") <= quota)
-    rows = own.mapInArrow(_sparse, "lang string, r long, f binary, n binary").toArrow().to_pylist()
+    x = own.mapInArrow(_sparse, "lang string, r long, f binary, n binary")
+    by = W.partitionBy("lang").orderBy("r", "f", "n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    x = x.withColumns({"k": F.count("*").over(by), "size": F.sum(F.length("f") / 4).over(by)}).where((F.col("k") == 1) | (F.col("size") <= max_features // len(sizes)))
+    rows = x.select("lang", "r", "f", "n").toArrow().to_pylist()
     rows = sorted((r for r in rows if r["f"]), key=lambda r: (r["lang"], r["r"], r["f"], r["n"]))
     langs = sorted({r["lang"] for r in rows})
     if not langs:

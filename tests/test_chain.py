@@ -142,3 +142,31 @@ def test_flip_probability_is_the_column(spark):
         rows = spark.range(0, 21).select((F.col("id") / 20.0).alias("p")).select("p", history.flip_rate(F.col("p"), mid).alias("r")).collect()
         for r in rows:
             assert chain.flip_probability(r["p"], mid) == pytest.approx(r["r"]), (mid, r["p"])
+
+
+def test_a_laid_layer_is_the_packed_one(spark, lattice):
+    grid, x, plan = lattice
+    own, start = catalogue.laid(grid, everything()).load()
+    for k, v in x.__dict__.items():
+        if k != "around":
+            assert np.array_equal(getattr(own, k), v), k
+    assert np.array_equal(start, plan) and all((own.around[i] == x.around[i]).all() for i in range(len(plan)))
+    bare, none = catalogue.laid(grid, ScoreConfig(), False).load()
+    assert bare.extrema is None and bare.area is None and bare.reference is None and none is None
+    cfg = chain.ChainConfig(iterations=5, seed=3, score=ScoreConfig(weight_pop_deviation=1.0))
+    rows = lambda df: sorted(tuple(r) for r in df.drop("metrics").collect())
+    assert rows(chain.run(spark, catalogue.laid(grid, cfg.score), cfg, 2)) == rows(chain.run(spark, x, cfg, 2, "history", plan))
+
+
+def test_queries_of_chains_keep_the_layer_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(chain, "packed", lambda *a, **k: pytest.fail("the layer is collected"))
+    monkeypatch.setattr(catalogue, "balanced", lambda x: pytest.fail("a plan is collected"))
+    for name in ("initial_partition", "recom_chain", "recom_n3_chain", "flip_chain", "chain_invariants", "run_in_batches", "annealed_ensemble"):
+        assert catalogue.QUERIES[name](spark, DATA).count()
+
+
+def test_laid_layers_are_checked(spark):
+    p = spark.createDataFrame([(0, 1, 0, 1, 1), (2, 1, 0, 1, 1)], "precinct_id long, population long, county_id int, dem_votes long, rep_votes long")
+    e = spark.createDataFrame([], "u long, v long, shared_len double, is_virtual boolean")
+    with pytest.raises(ValueError, match="0 to n - 1"):
+        chain.laid(p, e, ScoreConfig())

@@ -22,9 +22,9 @@ ROW = f"{chain.HISTORY}, state string"
 class Run:
     """chains of one layer and one setting in a folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, layer: kernel.Arrays, cfg: chain.ChainConfig, chains: int, start: np.ndarray | None = None):
+    def __init__(self, spark: SparkSession, path: str, layer: kernel.Arrays | chain.Laid, cfg: chain.ChainConfig, chains: int, start: np.ndarray | None = None):
         self.spark, self.path, self.cfg, self.chains = spark, path.rstrip("/"), cfg, chains
-        self.layer, self.start = spark.sparkContext.broadcast(layer), None if start is None else np.asarray(start)
+        self.given = chain.held(spark, layer, start)
         self._stop, self._go = threading.Event(), threading.Event()
         self._go.set()
 
@@ -44,16 +44,17 @@ class Run:
     def advance(self, steps: int) -> int:
         """One more batch of `steps` iterations of every chain; the iterations that the run has reached."""
         done = self._batches()
-        held, cfg, first = self.layer, self.cfg, self.start
+        given, cfg = self.given, self.cfg
         names = [c.split(" ")[0] for c in ROW.replace("map<string,double>", "map").split(", ")]
 
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
+                x, first = given()
                 for c, said in zip(pdf["chain_id"], pdf["state"]):
-                    s = chain.State.load(said) if said else chain.begin(held.value, cfg, int(c), first)
+                    s = chain.State.load(said) if said else chain.begin(x, cfg, int(c), first)
                     if s is None:  # no first plan was found
                         continue
-                    rows = pd.DataFrame(chain.advance(held.value, cfg, s, steps)).assign(chain_id=int(c), state=None)
+                    rows = pd.DataFrame(chain.advance(x, cfg, s, steps)).assign(chain_id=int(c), state=None)
                     if len(rows):
                         yield rows[names]
                     yield pd.DataFrame([{**dict.fromkeys(names), "chain_id": int(c), "iteration": s.iteration, "state": s.dump()}])[names]

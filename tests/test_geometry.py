@@ -194,3 +194,21 @@ def test_plan_file_round_trip(spark, tmp_path):
     assert tables.plan_columns(spark, f"{tmp_path}/plan") == ["precinct_key", "district"]
     back = validate.load_plan(tables.read_plan(spark, f"{tmp_path}/plan"), layer.precincts, layer.edges, "precinct_key", "district", 2, 0.5)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, plan.select("plan_id", "precinct_id", "district").collect()))
+
+
+def test_extrema_group_a_row_for_each_precinct(spark, capsys):
+    pts = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0), (0.0, 0.0)]
+    own = lambda q: [{"is_hole": False, "pts": [{"x": x, "y": y} for x, y in q]}]
+    rows = [(1, own(pts)), (2, own([(x - 9, -y) for x, y in pts])), (2, own([(20.0, 0.0), (21.0, 0.0), (20.0, 1.0), (20.0, 0.0)])), (3, None), (4, [])]
+    df = spark.createDataFrame(rows, f"precinct_id long, rings {geometry.RINGS}")
+    got = {(r["precinct_id"], r["dir"]): (r["px"], r["py"], r["proj"]) for r in geometry.extrema(df).collect()}
+    for k in (1, 2):
+        every = [(p["x"], p["y"]) for i, r in rows if i == k for ring in r for p in ring["pts"]]
+        for d, (c, s) in enumerate(geometry.DIRECTIONS):
+            best = min(every, key=lambda p: (-round(p[0] * c + p[1] * s, 9), p))
+            assert got.pop((k, d)) == pytest.approx((*best, best[0] * c + best[1] * s), abs=1e-8)
+    assert not got
+    geometry.extrema(df).explain()
+    plan = capsys.readouterr().out
+    assert plan.index("Generate") < plan.index("Aggregate")  # the outermost step; vertices and directions are no rows beneath the grouping
+    assert plan.count("Generate") == 1

@@ -212,3 +212,19 @@ def test_extrema_group_a_row_for_each_precinct(spark, capsys):
     plan = capsys.readouterr().out
     assert plan.index("Generate") < plan.index("Aggregate")  # the outermost step; vertices and directions are no rows beneath the grouping
     assert plan.count("Generate") == 1
+
+
+def test_reock_of_a_large_layer_broadcasts_no_rows_of_plans(spark, monkeypatch, capsys):
+    from wardflow.operators import compactness, districts
+    from wardflow.plans import catalogue
+    from wardflow.plans.fixtures import K, Lattice
+
+    x = Lattice(spark, "/root/testdata/sf0.001")
+    geo = catalogue.unit_geometry(x)[0]
+    run = lambda: compactness.reock(x.assignments, geo, geometry.extrema(x.precincts), K)
+    plain = sorted(tuple(r) for r in run().collect())
+    monkeypatch.setattr(districts, "FEW", 5)
+    assert sorted(tuple(r) for r in run().collect()) == plain
+    run().explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin [precinct_id" in plan and "BroadcastHashJoin [precinct_id" not in plan

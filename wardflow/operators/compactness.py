@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.operators.districts import cut_edges, spine
+from wardflow.operators.districts import cut_edges, is_large, sorted_joins, spine
 
 # The bands of the two measures, where the unclipped form leaves the line, and where it lands.
 PP_BAND, REOCK_BAND, DIVERGE, LANDING = (0.10, 0.50), (0.25, 0.50), 15.0, 0.65
@@ -28,6 +28,7 @@ def reock_value(area: Column, points: Column) -> Column:
 def polsby_popper(assignments: DataFrame, geometry: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """(plan_id, district, area, perimeter, polsby_popper). geometry: (precinct_id, area, ext_perimeter); a district's perimeter is its precincts' outer
     sides and its cut edges' shared lengths."""
+    assignments = sorted_joins(assignments, is_large(geometry))
     own = assignments.join(geometry, "precinct_id").groupBy("plan_id", "district").agg(F.sum("area").alias("area"), F.sum("ext_perimeter").alias("ext"))
     cut = cut_edges(assignments, edges).select("plan_id", F.explode(F.array("du", "dv")).alias("district"), "shared_len").groupBy("plan_id", "district").agg(F.sum("shared_len").alias("cut"))
     d = spine(assignments, k).join(own, ["plan_id", "district"], "left").join(cut, ["plan_id", "district"], "left").na.fill(0.0, ["area", "ext", "cut"])
@@ -52,9 +53,11 @@ def reaches(extrema: DataFrame, directions: int = 16) -> DataFrame:
 
 def reock(assignments: DataFrame, geometry: DataFrame, extrema: DataFrame, k: int) -> DataFrame:
     """(plan_id, district, reock): the area over that of the circle whose diameter is the largest distance among 16 extreme points; 0 for a degenerate district."""
+    large = is_large(geometry)
+    assignments = sorted_joins(assignments, large)
     a = assignments.join(geometry.select("precinct_id", "area"), "precinct_id").groupBy("plan_id", "district").agg(F.sum("area").alias("area"))
-    far = F.max_by(F.struct("px", "py"), F.struct("proj", -F.col("precinct_id"))).alias("p")
-    pts = assignments.join(extrema, "precinct_id").groupBy("plan_id", "district", "dir").agg(far).groupBy("plan_id", "district").agg(F.collect_list("p").alias("ps"))
+    far = farthest(assignments, reaches(extrema)).join(sorted_joins(extrema, large), ["precinct_id", "dir"])
+    pts = far.groupBy("plan_id", "district").agg(F.collect_list(F.struct("px", "py")).alias("ps"))
     d = spine(assignments, k).join(a, ["plan_id", "district"], "left").join(pts, ["plan_id", "district"], "left").na.fill(0.0, ["area"])
     return d.select("plan_id", "district", reock_value(F.col("area"), F.col("ps")).alias("reock"))
 

@@ -103,6 +103,61 @@ def test_an_owner_within_an_owner_is_nested_in_the_smallest(spark):
     assert a == [(0, 0, False, 49.0), (0, 1, True, -25.0), (1, 0, False, 9.0), (1, 1, True, -1.0)]
 
 
+@pytest.mark.parametrize("stripe", [7, 40])
+def test_stripes_give_the_same_arcs_and_rings(spark, monkeypatch, stripe):
+    """Scattered owners with rings that cross stripes, loops, holes in holes, and ends of two open chains in one junction."""
+    rng = random.Random(stripe)
+    nested = ["aaaaaaaaaaaa", "abbbbbbbbbba", "abaaaaaaaaba", "abacccccccba", "abacaaaacaba", "abacacdacaba", "abaccccccaba", "abaaaaaaaaba", "abbbbbbbbbba", "aaaaaaaaaaaa"]
+    scattered = ["".join(rng.choice("aabc ") for _ in range(14)) for _ in range(9)]
+    mixed = [a + b for a, b in zip([*nested], [*scattered, "a" * 14])]
+    layer, plan, _ = lattice(spark, mixed)
+    own = graph.stored(topology.borders(topology.pieces(layer)), "borders")
+    points = lambda r: [tuple(p) for p in r["pts"]]
+    either = lambda r: min((points(r), r["left_district"], r["right_district"]), (points(r)[::-1], r["right_district"], r["left_district"]))
+
+    def turned(pts):
+        k = pts.index(min(pts))
+        return tuple(pts[k:-1] + pts[: k + 1])
+
+    def found():
+        a = graph.stored(topology.arcs(own, plan), "arcs")
+        rings = topology.outlines(a).collect()
+        arcs_ = a.collect()
+        assert len({r["arc"] for r in arcs_}) == len(arcs_)
+        return sorted(map(either, arcs_)), rings
+
+    arcs_, rings = found()
+    monkeypatch.setattr(topology, "STRIPE", stripe)
+    arcs_2, rings_2 = found()
+    assert arcs_2 == arcs_
+    form = lambda rs: sorted((r["district"], r["is_hole"], r["area"], turned(points(r))) for r in rs)
+    assert form(rings_2) == form(rings)
+
+    def holders(rs):
+        """Of each hole the outer ring that it is in."""
+        outer = {(r["district"], r["polygon"]): turned(points(r)) for r in rs if not r["is_hole"]}
+        return {turned(points(r)): outer[r["district"], r["polygon"]] for r in rs if r["is_hole"]}
+
+    assert holders(rings_2) == holders(rings) and len(holders(rings)) >= 3
+    assert {(r["district"], r["polygon"], r["ring"], r["area"]) for r in rings_2} == {(r["district"], r["polygon"], r["ring"], r["area"]) for r in rings}
+
+
+def test_no_task_holds_a_large_layers_chains(spark, monkeypatch):
+    layer, plan, _ = lattice(spark, ["abababababab", "babababababa"] * 4)
+    seen = spark.sparkContext.accumulator(0)
+    was = topology._chained
+
+    def counted(t, cuts):
+        if t.num_rows > 60:
+            seen.add(1)
+        return was(t, cuts)
+
+    monkeypatch.setattr(topology, "_chained", counted)
+    monkeypatch.setattr(topology, "STRIPE", 30)
+    topology.arcs(topology.borders(topology.pieces(layer)), plan).collect()
+    assert seen.value == 0
+
+
 @pytest.mark.parametrize("tol", [0.0, 0.8, 1.5])
 def test_simplified_neighbours_stay_flush(spark, tol):
     rng = random.Random(3)

@@ -16,11 +16,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardflow.functions import geometry
 from wardflow.operators import graph
+from wardflow.operators.districts import sorted_joins
 
 #: Of the largest coordinate: what single operations on doubles leave exact by far, and less than a layer's finest detail.
 RELATIVE = 1e-9
@@ -122,40 +126,89 @@ def contacts(borders_: DataFrame) -> DataFrame:
 # ---- outlines ----
 
 ARC = f"plan_id long, arc long, left_district int, right_district int, pts {POINTS}"
+#: Points of a layer's borders, or of a district's arcs, that one task links; more are cut to stripes by x.
+STRIPE = 50_000
+
+
+def _cuts(df: DataFrame, x: Column, n: int) -> list[float]:
+    """Where n stripes of about as many rows meet."""
+    if n < 2:
+        return []
+    return sorted(set(df.agg(F.percentile_approx(x, [k / n for k in range(1, n)], 100 * n)).first()[0]))
+
+
+def _stripe(x: Column, cuts: list[float], before: int = 0) -> Column:
+    """How many cuts x has reached."""
+    if not cuts:
+        return F.lit(before)
+    k = len(cuts) // 2
+    return F.when(x < cuts[k], _stripe(x, cuts[:k], before)).otherwise(_stripe(x, cuts[k + 1 :], before + k + 1))
+
+
+def _xy(pts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A column of points: where each row begins (and the last ends), and all points."""
+    a = pts.combine_chunks()
+    flat = a.flatten()
+    return np.r_[0, np.cumsum(pc.list_value_length(a).to_numpy())].astype(np.int64), np.stack([flat.field(c).to_numpy() for c in ("x", "y")], 1)
+
+
+def _points(begin: np.ndarray, xy: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.StructArray.from_arrays([pa.array(xy[:, k].astype(float)) for k in (0, 1)], ["x", "y"]))
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each stretch of n, one stretch after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def arcs(borders_: DataFrame, assignments: DataFrame) -> DataFrame:
     """(plan_id, arc, left_district, right_district, pts): chains of border pieces between junctions of each plan's districts; -1 is outside. A closed chain without a junction begins at its
-    least point. assignments: plan_id, precinct_id, district. A plan's borders, of which there are fewer than its layer has, are one task's."""
+    least point. assignments: plan_id, precinct_id, district. A small layer's borders are one task's by plan. A large layer is cut to stripes, which a task each chains, and only chains that cross from one to the next are
+    linked by plan, by their ends; their points meet in Spark."""
     a = assignments.select("plan_id", "precinct_id", "district")
     b = graph.stored(borders_.select(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], F.get("left", F.lit(0)).alias("left"), F.get("right", F.lit(0)).alias("right")), "borders")
-    side = lambda c: a.select("plan_id", F.col("precinct_id").alias(c), F.col("district").alias(f"d_{c}"))
+    cuts = _cuts(b, F.col("x1"), math.ceil(b.count() / STRIPE))
+    side = lambda c: sorted_joins(a.select("plan_id", F.col("precinct_id").alias(c), F.col("district").alias(f"d_{c}")), bool(cuts))
     both = b.where("left is not null and right is not null").join(side("left"), "left").join(side("right"), ["plan_id", "right"]).where("d_left <> d_right")
     outer = [b.where(f"{o} is null and {c} is not null").join(side(c), c).withColumn(f"d_{o}", F.lit(None).cast("int")) for c, o in (("left", "right"), ("right", "left"))]
     names = ["plan_id", "x1", "y1", "x2", "y2", "d_left", "d_right"]
     e = both.select(*names).unionByName(outer[0].select(*names)).unionByName(outer[1].select(*names))
     e = e.withColumns({c: F.coalesce(F.col(c), F.lit(-1)).cast("int") for c in ("d_left", "d_right")}).withColumn("plan_id", F.col("plan_id").cast("long"))
-    return e.groupBy("plan_id").applyInPandas(_chained, ARC)
-
-
-def _chained(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["x1", "y1", "x2", "y2"], ignore_index=True)
-    m = len(pdf)
-    ends = np.concatenate([pdf[["x1", "y1"]].to_numpy(), pdf[["x2", "y2"]].to_numpy()])
-    points, at = np.unique(ends, axis=0, return_inverse=True)
-    at = at.ravel()
-    start, stop = at, np.r_[at[m:], at[:m]]  # half k < m runs along piece k, half k + m against it
-    left, right = pdf.d_left.to_numpy(), pdf.d_right.to_numpy()
-    left, right = np.r_[left, right], np.r_[right, left]
-    twin = (np.arange(2 * m) + m) % (2 * m)
-    degree = np.bincount(start, minlength=len(points))
-    low, high = np.minimum(left, right), np.maximum(left, right)
-    kinds = np.zeros(len(points), bool)  # where the districts on both sides change
+    part = f"{ARC}, stripe int, open boolean, note boolean"
+    stripes = F.explode(F.array_distinct(F.array(_stripe(F.col("x1"), cuts), _stripe(F.col("x2"), cuts))))
+    t = e.withColumn("stripe", stripes).groupBy("plan_id", "stripe").applyInArrow(lambda x: _chained(x, cuts), part)
+    if not cuts:
+        return t.select(*[c.split()[0] for c in ARC.split(", pts")[0].split(", ")], "pts")
+    t = graph.stored(t, "chains")
+    ends = t.where("open or note").select("plan_id", "arc", "note", *[F.element_at("pts", k)[c].alias(f"{c}{i}") for i, k in ((1, 1), (2, -1)) for c in ("x", "y")])
+    linked = ends.groupBy("plan_id").applyInArrow(_linked, "plan_id long, arc long, chain long, pos int, turned boolean, loop boolean")
+    turned = F.col("turned")
+    way = lambda a, b: F.when(turned, F.col(a)).otherwise(F.col(b))
+    rows = F.struct("pos", F.when(turned, F.reverse("pts")).otherwise(F.col("pts")).alias("pts"))
+    c = t.where("open").join(linked, ["plan_id", "arc"]).groupBy("plan_id", F.col("chain").alias("arc")).agg(
+        F.first(way("right_district", "left_district")).alias("left_district"), F.first(way("left_district", "right_district")).alias("right_district"), F.first("loop").alias("loop"), F.sort_array(F.collect_list(rows)).alias("parts"))
+    c = c.withColumn("pts", _strung("parts"))
+    at = F.array_position("pts", F.array_min("pts")).cast("int")
+    first = F.concat(F.slice("pts", at, F.size("pts") - at), F.slice("pts", F.lit(1), at))
+    c = c.withColumn("pts", F.when(F.col("loop") & (at > 1), first).otherwise(F.col("pts")))
+    names = [x.split()[0] for x in ARC.split(", pts")[0].split(", ")] + ["pts"]
+    return t.where("not open and not note").select(*names).unionByName(c.select(*names))
+
+
+def _strung(parts: str) -> Column:
+    """The points of parts that each begin where the one before ends."""
+    more = F.flatten(F.transform(parts, lambda p: F.slice(p["pts"], F.lit(2), F.size(p["pts"]) - 1)))
+    return F.concat(F.slice(F.col(parts)[0]["pts"], F.lit(1), F.lit(1)), more)
+
+
+def _chains(start: np.ndarray, stop: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Halves in order of their chains, the first half of each one's chain, and of each whether it is of a closed chain without a stop, which begins at its least point. Half k < m runs along piece k, half k + m against it; stops: the points where chains
+    end. Each chain is there once, not both ways. Other points have two pieces."""
+    m = len(start) // 2
+    twin = (np.arange(2 * m) + m) % max(1, 2 * m)
     order = np.argsort(start, kind="stable")
-    first = order[np.searchsorted(start[order], np.arange(len(points)))]
-    kinds[start[(low != low[first[start]]) | (high != high[first[start]])]] = True
-    stops = (degree != 2) | kinds
-    last = order[np.searchsorted(start[order], np.arange(len(points)), side="right") - 1]
+    first = order[np.searchsorted(start[order], np.arange(len(stops)))] if m else order
+    last = order[np.searchsorted(start[order], np.arange(len(stops)), side="right") - 1] if m else order
     follows = lambda: np.where(stops[stop], -1, np.where(first[stop] != twin, first[stop], last[stop]))
     after = follows()
 
@@ -169,7 +222,8 @@ def _chained(pdf: pd.DataFrame) -> pd.DataFrame:
     to, _ = ranked(after)
     closed = after[to] >= 0
     if closed.any():  # each loop begins at its least point
-        least, jump = np.where(closed, start, len(points)), np.where(after < 0, np.arange(2 * m), after)
+        stops = stops.copy()
+        least, jump = np.where(closed, start, len(stops)), np.where(after < 0, np.arange(2 * m), after)
         for _ in range((2 * m).bit_length() + 1):
             least, jump = np.minimum(least, least[jump]), jump[jump]
         stops[np.unique(least[closed])] = True
@@ -178,17 +232,76 @@ def _chained(pdf: pd.DataFrame) -> pd.DataFrame:
     _, far = ranked(after)
     begins = np.flatnonzero(stops[start])
     begins = begins[begins < twin[to[begins]]]  # each arc once, not both ways
-    rows = []
     lookup = np.full(2 * m, -1)
     lookup[to[begins]] = begins
     own = np.flatnonzero(lookup[to] >= 0)
     own = own[np.lexsort((-far[own], lookup[to[own]]))]
-    head = lookup[to[own]]
-    for k, part in enumerate(np.split(own, np.flatnonzero(np.diff(head)) + 1) if len(own) else []):
-        h = part[0]
-        xy = points[np.r_[start[h], stop[part]]]
-        rows.append((pdf.plan_id.iloc[0], k, int(left[h]), int(right[h]), [{"x": x, "y": y} for x, y in xy.tolist()]))
-    return pd.DataFrame(rows, columns=["plan_id", "arc", "left_district", "right_district", "pts"])
+    return own, lookup[to[own]], closed[own]
+
+
+def _chained(t: pa.Table, cuts: list[float]) -> pa.Table:
+    """Chains of a stripe's pieces, which are those that begin in it; those that only end in it tell of its points. Chains end at points of other stripes, and where a piece of another one comes in, and are then open; notes tell which of their ends, and of the latter points, are junctions."""
+    t = t.sort_by([(c, "ascending") for c in ("x1", "y1", "x2", "y2")])
+    x1, y1, x2, y2, left, right = (t[c].to_numpy() for c in ("x1", "y1", "x2", "y2", "d_left", "d_right"))
+    m, own_stripe = len(x1), t["stripe"][0].as_py()
+    points, at = np.unique(np.concatenate([np.stack([x1, y1], 1), np.stack([x2, y2], 1)]), axis=0, return_inverse=True)
+    at = at.ravel()
+    start, stop = at, np.r_[at[m:], at[:m]]
+    left, right = np.r_[left, right], np.r_[right, left]
+    degree = np.bincount(start, minlength=len(points))
+    low, high = np.minimum(left, right), np.maximum(left, right)
+    stops = degree != 2
+    order = np.argsort(start, kind="stable")
+    first = order[np.searchsorted(start[order], np.arange(len(points)))]
+    stops[start[(low != low[first[start]]) | (high != high[first[start]])]] = True  # where the districts on both sides change
+    inside = np.searchsorted(cuts, points[:, 0], side="right") == own_stripe
+    other = ~inside[at[:m]]  # another stripe's pieces
+    met = np.zeros(len(points), bool)
+    met[stop[:m][other]] = True
+    ends = ~inside | (met & ~stops)  # chains go on from here
+    own, head, _ = _chains(start, stop, stops | ends | met)
+    kept = ~np.r_[other, other][own]
+    own, head = own[kept], head[kept]
+    begin = np.flatnonzero(np.r_[True, head[1:] != head[:-1]]) if len(own) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[begin, len(own)])
+    # A chain's points: where its first half begins, and where each half ends.
+    where = np.empty(len(own) + len(begin), np.int64)
+    where[begin + np.arange(len(begin))] = start[own[begin]]
+    where[np.arange(len(own)) + np.repeat(np.arange(len(begin)) + 1, n)] = stop[own]
+    h = own[begin]
+    last = own[begin + n - 1] if len(begin) else h
+    onward = ends[start[h]] | ends[stop[last]]
+    met[np.r_[start[h], stop[last]][np.r_[onward, onward]]] = True
+    notes = np.flatnonzero(met & stops & inside)
+    k, extra = len(begin), len(notes)
+    where, size = np.r_[where, notes], np.r_[n + 1, np.ones(extra, np.int64)]
+    none = np.full(extra, -1)
+    return pa.table({
+        "plan_id": pa.array(np.full(k + extra, t["plan_id"][0].as_py()), pa.int64()), "arc": pa.array((own_stripe << 32) + np.arange(k + extra), pa.int64()), "left_district": pa.array(np.r_[left[h], none], pa.int32()), "right_district": pa.array(np.r_[right[h], none], pa.int32()), "pts": _points(np.r_[0, np.cumsum(size)], points[where]),
+        "stripe": pa.array(np.full(k + extra, own_stripe), pa.int32()), "open": pa.array(np.r_[onward, np.zeros(extra, bool)]), "note": pa.array(np.r_[np.zeros(k, bool), np.ones(extra, bool)]),
+    })
+
+
+def _linked(t: pa.Table) -> pa.Table:
+    """Which open chains of a plan's stripes are one, by their ends."""
+    t = t.sort_by("arc")
+    note = t["note"].to_numpy()
+    one, two = (np.stack([t[f"x{i}"].to_numpy(), t[f"y{i}"].to_numpy()], 1) for i in (1, 2))
+    points, at = np.unique(np.concatenate([one, two]), axis=0, return_inverse=True)
+    a, b = np.split(at.ravel(), 2)
+    stops = np.zeros(len(points), bool)
+    stops[a[note]] = True
+    a, b, arc = a[~note], b[~note], t["arc"].to_numpy()[~note]
+    m = len(arc)
+    start, stop = np.r_[a, b], np.r_[b, a]
+    stops |= np.bincount(start, minlength=len(points)) != 2
+    own, head, loop = _chains(start, stop, stops)
+    begin = np.flatnonzero(np.r_[True, head[1:] != head[:-1]]) if len(own) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[begin, len(own)])
+    return pa.table({
+        "plan_id": pa.array(np.full(len(own), t["plan_id"][0].as_py()), pa.int64()), "arc": pa.array(arc[own % max(1, m)]), "chain": pa.array(np.repeat(arc[own[begin] % max(1, m)], n)), "pos": pa.array(_spread(np.zeros(len(n), np.int64), n), pa.int32()),
+        "turned": pa.array(own >= m), "loop": pa.array(loop),
+    })
 
 
 def _farthest(xy: np.ndarray) -> tuple[int, float]:
@@ -253,10 +366,153 @@ RING = f"plan_id long, district int, polygon int, ring int, is_hole boolean, are
 
 def outlines(arcs_: DataFrame) -> DataFrame:
     """(plan_id, district, polygon, ring, is_hole, area, pts): each district's closed rings, the inside on the left; polygons from the largest on, each with its outer ring (0) and the holes in it. area is
-    the ring's own. Parts that touch in a point are polygons apart, holes that do are one ring. A district's arcs are one task's."""
-    own = lambda d, way: arcs_.where(F.col(d) >= 0).select("plan_id", F.col(d).alias("district"), way.alias("pts"))
-    both = own("left_district", F.col("pts")).unionByName(own("right_district", F.reverse("pts")))
-    return both.groupBy("plan_id", "district").applyInPandas(_rings, RING)
+    the ring's own. Parts that touch in a point are polygons apart, holes that do are one ring. A small district's arcs are one task's. Large districts are cut to stripes, in each of which a task links arcs to paths;
+    rings that cross from one to the next are linked by the paths' ends, and holes are looked up by cells among the rings about them."""
+    own = lambda d, turned: arcs_.where(F.col(d) >= 0).select("plan_id", F.col(d).alias("district"), (2 * F.col("arc") + turned).alias("key"), (F.reverse("pts") if turned else F.col("pts")).alias("pts"))
+    both = own("left_district", 0).unionByName(own("right_district", 1))
+    most = both.groupBy("plan_id", "district").agg(F.sum(F.size("pts")).alias("n")).agg(F.max("n")).first()[0]
+    cuts = _cuts(arcs_, F.col("pts")[0]["x"], math.ceil((most or 0) / STRIPE))
+    if not cuts:
+        return both.drop("key").groupBy("plan_id", "district").applyInPandas(_rings, RING)
+    at = lambda k: _stripe(F.element_at("pts", k)["x"], cuts)
+    part = f"plan_id long, district int, key long, before long, last long, open boolean, area double, pts {POINTS}"
+    by = ["plan_id", "district"]
+    t = both.withColumn("stripe", F.explode(F.array_distinct(F.array(at(1), at(-1))))).groupBy(*by, "stripe").applyInArrow(lambda x: _paths_of(x, cuts), part)
+    t = graph.stored(t, "paths")
+    linked = t.where("open").select(*by, "key", "before", "last").groupBy(*by).applyInArrow(_joined, "plan_id long, district int, key long, ring long, pos int")
+    c = t.where("open").join(linked, [*by, "key"]).groupBy(*by, "ring").agg(F.sort_array(F.collect_list(F.struct("pos", "pts"))).alias("parts")).select(*by, _strung("parts").alias("pts"))
+    x0, y0 = F.col("pts")[0]["x"], F.col("pts")[0]["y"]
+    step = lambda p, i: (p["x"] - x0) * (F.get("pts", i + 1)["y"] - y0) - (F.get("pts", i + 1)["x"] - x0) * (p["y"] - y0)
+    c = c.withColumn("area", F.aggregate(F.transform(F.slice("pts", F.lit(1), F.size("pts") - 1), step), F.lit(0.0), lambda a, x: a + x) / 2)
+    return _nested(t.where("not open").select(*by, "area", "pts").unionByName(c.select(*by, "area", "pts")).where(F.size("pts") > 3))
+
+
+def _nested(rings: DataFrame) -> DataFrame:
+    """The rings (plan_id, district, area, pts) with their polygons: each hole in the smallest outer ring about it."""
+    by = ["plan_id", "district"]
+    end = lambda f, c: f(F.transform("pts", lambda p: p[c]))
+    r = graph.stored(rings.withColumns({"x1": end(F.array_min, "x"), "y1": end(F.array_min, "y"), "x2": end(F.array_max, "x"), "y2": end(F.array_max, "y")}), "rings")
+    number = lambda *cols: F.row_number().over(W.partitionBy(*cols).orderBy("order", "x1", "y1", "pts"))
+    extent = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    outer = r.where("area > 0").withColumn("order", -F.col("area")).withColumns({"polygon": number(*by) - 1, "level": F.ceil(F.log2(extent)).cast("int")})
+    names = [*by, "polygon", "ring", "is_hole", "area", "pts"]
+    whole = outer.withColumns({"ring": F.lit(0), "is_hole": F.lit(False)}).select(*names)
+    holes = r.where("area < 0").withColumn("order", F.col("area"))
+    if holes.isEmpty():
+        return whole
+    outer = graph.stored(outer, "outer")
+    whole = outer.withColumns({"ring": F.lit(0), "is_hole": F.lit(False)}).select(*names)
+    middle = lambda c: (F.col("pts")[0][c] + F.col("pts")[1][c]) / 2
+    holes = graph.stored(holes.withColumns({"hole": number(*by), "x": middle("x"), "y": middle("y")}), "holes")
+    levels = sorted(v["level"] for v in outer.select("level").distinct().collect())  # sizes by powers of two
+    cell = F.pow(F.lit(2.0), F.col("level"))
+    cells = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}1") / cell), F.floor(F.col(f"{c}2") / cell)))
+    boxes = outer.select(*by, "polygon", "level", "x1", "y1", "x2", "y2").withColumn("gx", cells("x")).withColumn("gy", cells("y"))
+    asked = holes.select(*by, "hole", "x", "y").withColumn("level", F.explode(F.lit(levels).cast("array<int>"))).withColumns({f"g{c}": F.floor(F.col(c) / cell) for c in "xy"})
+    asked = asked.join(boxes, [*by, "level", "gx", "gy"]).where("x between x1 and x2 and y between y1 and y2").groupBy(*by, "polygon").agg(F.collect_list(F.struct("hole", "x", "y")).alias("asked"))
+
+    def run(batches):
+        for pdf in batches:
+            for plan, district, polygon, pts, holes in zip(pdf.plan_id, pdf.district, pdf.polygon, pdf.pts, pdf.asked):
+                ring = np.array([(p["x"], p["y"]) for p in pts])
+                found = [h["hole"] for h in holes if contains(ring, h["x"], h["y"])]
+                yield pd.DataFrame({"plan_id": plan, "district": district, "polygon": polygon, "hole": found})
+
+    held = outer.select(*by, "polygon", "pts").join(asked, [*by, "polygon"]).mapInPandas(run, "plan_id long, district int, polygon int, hole int")
+    held = held.groupBy(*by, "hole").agg(F.max("polygon").alias("polygon"))  # the smallest
+    inner = holes.join(held, [*by, "hole"], "left").withColumn("polygon", F.coalesce("polygon", F.lit(0))).join(outer.where("polygon = 0").select(*by), by, "left_semi")
+    return whole.unionByName(inner.withColumns({"ring": number(*by, "polygon"), "is_hole": F.lit(True)}).select(*names))
+
+
+def _paths(after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes in order of their paths, and where each path begins. after: the node that follows each one, -1 at an end; circles begin at their least node."""
+    n = len(after)
+    ids = np.arange(n)
+
+    def ranked():
+        to, far = np.where(after < 0, ids, after), (after >= 0).astype(np.int64)
+        for _ in range(n.bit_length() + 1):
+            far, to = far + far[to], to[to]
+        return to, far
+
+    to, far = ranked()
+    closed = after[to] >= 0
+    if closed.any():
+        least, jump = ids, np.where(after < 0, ids, after)
+        for _ in range(n.bit_length() + 1):
+            least, jump = np.minimum(least, least[jump]), jump[jump]
+        after = np.where(closed & (after == least), -1, after)
+        to, far = ranked()
+    order = np.lexsort((-far, to))
+    return order, np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1]]) if n else order
+
+
+def _paths_of(t: pa.Table, cuts: list[float]) -> pa.Table:
+    """Paths of a district's arcs that begin in a stripe; those that only end in it tell what comes before. A path that is no ring is open; before and last: the arc before it (-1: none) and its last one."""
+    stripe, key = t["stripe"][0].as_py(), t["key"].to_numpy()
+    begin, xy = _xy(t["pts"])
+    a, b = xy[begin[:-1]], xy[begin[1:] - 1]
+    order = np.lexsort((key, xy[begin[:-1] + 1, 1], xy[begin[:-1] + 1, 0], a[:, 1], a[:, 0]))
+    first, size, key, a, b = begin[:-1][order], np.diff(begin)[order], key[order], a[order], b[order]
+    here = lambda p: np.searchsorted(cuts, p[:, 0], side="right") == stripe
+    own, ends = here(a), here(b)
+    points, at = np.unique(np.concatenate([a, b]), axis=0, return_inverse=True)
+    pa_, pb = np.split(at.ravel(), 2)
+    into, out = np.flatnonzero(ends), np.flatnonzero(own)
+    into, out = into[np.argsort(pb[into], kind="stable")], out[np.argsort(pa_[out], kind="stable")]
+    ids = np.arange(len(points))
+    (i0, i1), (o0, o1) = ([np.searchsorted(p, ids, side=s) for s in ("left", "right")] for p in (pb[into], pa_[out]))
+    after = np.full(len(key), -1)
+    single = np.flatnonzero((i1 - i0 == 1) & (o1 - o0 == 1))
+    after[into[i0[single]]] = out[o0[single]]
+    for p in np.flatnonzero((i1 > i0) & (o1 > o0) & ((i1 - i0 > 1) | (o1 - o0 > 1))).tolist():
+        ways = out[o0[p] : o1[p]].tolist()
+        for i in into[i0[p] : i1[p]].tolist():
+            if not ways:
+                break
+            (ux, uy) = xy[first[i] + size[i] - 1] - xy[first[i] + size[i] - 2]
+            turn = lambda w: math.atan2(ux * (v := xy[first[w] + 1] - xy[first[w]])[1] - uy * v[0], ux * v[0] + uy * v[1])  # noqa: B023, E731
+            after[i] = best = max(ways, key=turn)
+            ways.remove(best)
+    before = np.full(len(key), -1)
+    before[after[after >= 0]] = np.flatnonzero(after >= 0)
+    place = np.cumsum(own) - 1
+    rows = np.flatnonzero(own)
+    path, heads = _paths(np.where(after[rows] >= 0, place[after[rows]], -1))
+    path = rows[path]
+    count = np.diff(np.r_[heads, len(path)])
+    head, last = path[heads], path[heads + count - 1] if len(heads) else path
+    closed = after[last] == head
+    # Points: where a path's first arc begins, and all but the first of each arc.
+    more = size[path] - 1
+    reach = np.add.reduceat(more, heads) if len(heads) else more
+    places = np.empty(int(more.sum()) + len(heads), np.int64)
+    starts = np.cumsum(reach + 1) - (reach + 1)
+    places[starts] = first[head]
+    rest = np.ones(len(places), bool)
+    rest[starts] = False
+    places[rest] = _spread(first[path] + 1, more)
+    pts, begin = xy[places], np.r_[starts, len(places)].astype(np.int64)
+    x, y = (pts - np.repeat(pts[starts], reach + 1, axis=0)).T
+    cross = np.r_[x[:-1] * y[1:] - x[1:] * y[:-1], 0.0] if len(x) else x
+    cross[begin[1:] - 1] = 0.0
+    area = np.add.reduceat(cross, starts) / 2 if len(starts) else np.zeros(0)
+    k = len(head)
+    return pa.table({
+        "plan_id": pa.array(np.full(k, t["plan_id"][0].as_py()), pa.int64()), "district": pa.array(np.full(k, t["district"][0].as_py()), pa.int32()), "key": pa.array(key[head], pa.int64()), "before": pa.array(np.where(before[head] >= 0, key[before[head]], -1), pa.int64()),
+        "last": pa.array(key[last], pa.int64()), "open": pa.array(~closed), "area": pa.array(area, pa.float64()), "pts": _points(begin, pts),
+    })
+
+
+def _joined(t: pa.Table) -> pa.Table:
+    """Which open paths of a district are one ring, by the arcs at their ends."""
+    t = t.sort_by("key")
+    key, before, last = (t[c].to_numpy() for c in ("key", "before", "last"))
+    order = np.argsort(before, kind="stable")
+    at = np.minimum(np.searchsorted(before[order], last), len(order) - 1)
+    path, heads = _paths(np.where(before[order][at] == last, order[at], -1))
+    n = np.diff(np.r_[heads, len(path)])
+    return t.select(["plan_id", "district"]).append_column("key", pa.array(key[path])).append_column("ring", pa.array(np.repeat(key[path[heads]], n))).append_column("pos", pa.array(_spread(np.zeros(len(n), np.int64), n), pa.int32()))
 
 
 def signed_area(xy: np.ndarray) -> float:

@@ -1,3 +1,4 @@
+import os
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,27 @@ def test_reock_of_a_large_layer_broadcasts_no_rows_of_plans(spark, monkeypatch,
     run().explain()
     plan = capsys.readouterr().out
     assert "SortMergeJoin [precinct_id" in plan and "BroadcastHashJoin [precinct_id" not in plan
+
+
+def test_a_task_reads_and_writes_a_part_at_a_time(spark, tmp_path):
+    """A large layer's vertices come part by part from SQL's table function, and a file is as large as what is held for it."""
+    from wardflow.operators import control
+
+    at = f"{tmp_path}/layer"
+    shapefile.register(spark)
+    control.register(spark)
+    df = spark.range(300).select(F.col("id").alias("POP"), F.array(F.struct(F.lit(False).alias("is_hole"), F.array(*[F.struct((F.col("id") + x).cast("double").alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (0, 1), (1, 1), (1, 0), (0, 0))]).alias("pts"))).cast(geometry.RINGS).alias("rings"))
+    df.coalesce(1).write.format("shp").option("roll", 12_000).mode("append").save(at)
+    own = [p for p in shapefile.files(at)]
+    assert len(own) > 3 and all(os.path.getsize(p) < 12_000 for p in own)
+    parts = shapefile.parts(spark, at, 4000)
+    assert parts.count() > 2 * len(own) and parts.rdd.getNumPartitions() == parts.count()
+    of_parts = spark.sql("SELECT v.* FROM {p} p, LATERAL shapefile_vertices(p.path, p.first, p.end, p.before) v", p=parts)
+    whole = spark.sql(f"SELECT * FROM shapefile_vertices('{at}')")
+    got = of_parts.collect()
+    assert len(got) == 1500 and sorted(map(tuple, got)) == sorted(map(tuple, whole.collect()))
+    assert max(r["n"] for r in of_parts.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()) < 300
+    # A file without .shx is one part.
+    os.remove(own[0][:-4] + ".shx")
+    again = spark.sql("SELECT v.* FROM {p} p, LATERAL shapefile_vertices(p.path, p.first, p.end, p.before) v", p=shapefile.parts(spark, at, 4000))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got))

@@ -141,7 +141,8 @@ def load_layer(uri: str) -> kernel.Arrays:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL's table functions: run_chain(layer, chain_id, districts, iterations, seed) gives the chain's history, shapefile_vertices(path) a layer's points."""
+    """SQL's table functions: run_chain(layer, chain_id, districts, iterations, seed) gives the chain's history, shapefile_vertices(path) a layer's points, and
+    with (path, first, end, before) those of one part of a file, which is what a large layer's tasks take: a call's points are held together."""
     from pyspark.sql.functions import udtf
 
     @udtf(returnType="seq long, iteration long, move string, proposed double, total double, is_worse boolean, accepted boolean, temperature double, tolerance double")
@@ -157,11 +158,11 @@ def register(spark: SparkSession) -> None:
 
     @udtf(returnType="precinct_id long, ring int, is_hole boolean, vertex int, x double, y double")
     class ShapefileVertices:
-        def eval(self, path: str):
-            from wardflow.sources.shapefile import ShapefileReader
+        def eval(self, path: str, first: int = None, end: int = None, before: int = None):
+            from wardflow.sources.shapefile import ShapefileReader, _Part, opened
 
             reader = ShapefileReader(path, ["rings", "precinct_id"])
-            for part in reader.partitions():
+            for part in reader.partitions() if before is None else [_Part(opened(path)[1], first, end, before)]:
                 for rings, k in reader.read(part):
                     for i, ring in enumerate(rings or ()):
                         for j, p in enumerate(ring["pts"]):

@@ -248,21 +248,19 @@ class ShapefileWriter(DataSourceWriter):
     def write(self, iterator) -> _Written:
         from pyspark import TaskContext
 
-        task, names, held, size = TaskContext.get().partitionId(), [], [], 0
+        task, names, own = TaskContext.get().partitionId(), [], _Layer(self.fields)
 
         def put() -> None:
             # Names in order of the tasks and of their files; a repeated attempt writes files of its own.
             names.append(f"part-{task:06d}-{len(names):04d}-{uuid.uuid4().hex}")
-            write(f"{self.uri}/_{names[-1]}.shp", self.fields, held)
+            own.save(f"{self.uri}/_{names[-1]}.shp")
 
         for row in iterator:
-            rings = None if row["rings"] is None else [{"is_hole": r["is_hole"], "pts": r["pts"]} for r in row["rings"]]
-            held.append((*(row[c] for c in self.at), rings))
-            size += 200 + 16 * sum(len(r["pts"]) for r in rings or ())
-            if size >= self.roll:
+            own.add((*(row[c] for c in self.at), row["rings"]))
+            if own.size() >= self.roll:
                 put()
-                held, size = [], 0
-        if held:
+                own = _Layer(self.fields)
+        if own.rows:
             put()
         return _Written(names)
 
@@ -289,6 +287,15 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ShapefileSource)
 
 
+def parts(spark: SparkSession, uri: str, split: int = SPLIT // 4) -> DataFrame:
+    """(path, first, end, before): the parts of a layer's files, a row each in a partition of its own, for SQL's shapefile_vertices."""
+    _, root = opened(uri)
+    scheme = uri.removesuffix(root) if uri.endswith(root) else ""
+    found = [(scheme + p.path, p.first, p.end, p.before) for p in ShapefileReader(uri, [], split=split).partitions()]
+    kind = "path string, first long, end long, before long"
+    return spark.createDataFrame(spark.sparkContext.parallelize(found, len(found)), kind) if found else spark.createDataFrame([], kind)
+
+
 def widths(uri: str) -> dict[str, int]:
     """Declared width of each field, by which lost leading zeros are restored."""
     disk, _ = opened(uri)
@@ -343,12 +350,18 @@ def inspect(spark: SparkSession, uri: str) -> dict:
         return {"error": f"{type(e).__name__}: {e}"}
 
 
-def write(uri: str, names: list[tuple[str, str, int, int]], rows: list[tuple]) -> None:
-    """A small layer from rows (values..., rings), rings as the reader gives them. names: (name, type, width, decimals)."""
-    disk, root = opened(uri)
-    disk.create_dir(posixpath.dirname(root), recursive=True)
-    found, index, at = [], [], 0
-    for k, row in enumerate(rows, 1):
+class _Layer:
+    """A file's bytes, to which records are added one by one: what is held is what will be written. fields: (name, type, width, decimals)."""
+
+    def __init__(self, fields: list[tuple[str, str, int, int]]):
+        self.fields, self.rows = fields, 0
+        self.body, self.index, self.lines = bytearray(), bytearray(), bytearray()
+
+    def size(self) -> int:
+        return len(self.body) + len(self.index) + len(self.lines)
+
+    def add(self, row: tuple) -> None:
+        """values..., rings, rings as the reader gives them."""
         rings = row[-1]
         if rings is None:
             rec = struct.pack("<i", 0)
@@ -356,23 +369,35 @@ def write(uri: str, names: list[tuple[str, str, int, int]], rows: list[tuple]) -
             parts = [[(p["x"], p["y"]) for p in r["pts"]] for r in rings]
             parts = [p if (_signed_area(p) > 0) == r["is_hole"] else p[::-1] for p, r in zip(parts, rings)]
             pts = [p for part in parts for p in part]
-            starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
+            starts, n = [], 0
+            for part in parts:
+                starts.append(n)
+                n += len(part)
             box = (min(x for x, _ in pts), min(y for _, y in pts), max(x for x, _ in pts), max(y for _, y in pts)) if pts else (0.0,) * 4
             rec = struct.pack("<i4d2i", 5, *box, len(parts), len(pts)) + struct.pack(f"<{len(parts)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in pts)
-        index.append(struct.pack(">2i", 50 + at // 2, len(rec) // 2))
-        found.append(struct.pack(">2i", k, len(rec) // 2) + rec)
-        at += len(found[-1])
-    body, index = b"".join(found), b"".join(index)
-    head = lambda n: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 50 + n // 2) + struct.pack("<2i8d", 1000, 5, *[0.0] * 8)
-    size = 1 + sum(w for _, _, w, _ in names)
-    dbf = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(rows), 33 + 32 * len(names), size) + b"".join(struct.pack("<11sc4xBB14x", n.encode(), t.encode(), w, d) for n, t, w, d in names) + b"\r"
-    lines = []
-    for row in rows:
-        cells = [("" if v is None else f"{v:.{d}f}" if t == "N" and d else repr(float(v)) if t == "F" else "FT"[v] if t == "L" else str(v)).encode() for v, (_, t, _, d) in zip(row, names)]
-        if any(len(c) > w for c, (_, _, w, _) in zip(cells, names)):
+        cells = [("" if v is None else f"{v:.{d}f}" if t == "N" and d else repr(float(v)) if t == "F" else "FT"[v] if t == "L" else str(v)).encode() for v, (_, t, _, d) in zip(row, self.fields)]
+        if any(len(c) > w for c, (_, _, w, _) in zip(cells, self.fields)):
             raise ValueError(f"values longer than their fields: {row[:-1]}")
-        lines.append(b" " + b"".join(c.rjust(w) if t in "NF" else c.ljust(w) for c, (_, t, w, _) in zip(cells, names)))
-    dbf += b"".join(lines)
-    for ext, raw in ((".shp", head(len(body)) + body), (".shx", head(len(index)) + index), (".dbf", dbf + b"\x1a"), (".cpg", b"UTF-8")):
-        with disk.open_output_stream(root[:-4] + ext) as f:
-            f.write(raw)
+        self.rows += 1
+        self.index += struct.pack(">2i", 50 + len(self.body) // 2, len(rec) // 2)
+        self.body += struct.pack(">2i", self.rows, len(rec) // 2) + rec
+        self.lines += b" " + b"".join(c.rjust(w) if t in "NF" else c.ljust(w) for c, (_, t, w, _) in zip(cells, self.fields))
+
+    def save(self, uri: str) -> None:
+        disk, root = opened(uri)
+        disk.create_dir(posixpath.dirname(root), recursive=True)
+        head = lambda n: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 50 + n // 2) + struct.pack("<2i8d", 1000, 5, *[0.0] * 8)
+        size = 1 + sum(w for _, _, w, _ in self.fields)
+        dbf = struct.pack("<4BIHH20x", 3, 100, 1, 1, self.rows, 33 + 32 * len(self.fields), size) + b"".join(struct.pack("<11sc4xBB14x", n.encode(), t.encode(), w, d) for n, t, w, d in self.fields) + b"\r"
+        for ext, raw in ((".shp", (head(len(self.body)), self.body)), (".shx", (head(len(self.index)), self.index)), (".dbf", (dbf, self.lines, b"\x1a")), (".cpg", (b"UTF-8",))):
+            with disk.open_output_stream(root[:-4] + ext) as f:
+                for x in raw:
+                    f.write(x)
+
+
+def write(uri: str, names: list[tuple[str, str, int, int]], rows: list[tuple]) -> None:
+    """A small layer from rows (values..., rings), rings as the reader gives them. names: (name, type, width, decimals)."""
+    own = _Layer(names)
+    for row in rows:
+        own.add(row)
+    own.save(uri)

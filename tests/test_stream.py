@@ -80,6 +80,35 @@ def test_runs_without_numbers_are_told_by_their_first_rows():
     assert H.numbered_runs(x, 2, 8, 0.9).tolist() == [5, 5, 2, 2, 6, 6]
 
 
+def test_a_chain_takes_one_read_and_one_write_of_its_state():
+    """Chains are many, and each call of the state is a message to another process."""
+    calls, held = [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return held.get("now")
+
+        def exists(self):
+            calls.append("exists")
+            return "now" in held
+
+        def update(self, v):
+            calls.append("update")
+            held["now"] = v
+
+    class Handle:
+        getValueState = lambda self, *a: Value()
+
+    f = H.Follow()
+    f.init(Handle())
+    rows = rows_of(5, 0, 1, 450)
+    got = [r for part in (rows[:20], rows[20:300], rows[290:]) for r in f.handleInputRows((5,), iter(part), None)]
+    assert calls == ["get", "update"] * 3
+    assert sum(r["late"] or 0 for r in got) == 10
+    same({(5, 0, r["seq"]): (r["rate"], r["best"], r["best_iteration"]) for r in got if r["seq"] is not None}, {(5, 0, k): v for k, v in plain(rows).items()})
+
+
 def test_empty_stream(spark, tmp_path):
     spark.createDataFrame([], H.ROWS).write.parquet(f"{tmp_path}/in")
     q = H.start(H.figures(H.read(spark, f"file://{tmp_path}/in")), f"file://{tmp_path}/out", f"file://{tmp_path}/state")

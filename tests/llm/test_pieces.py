@@ -2,6 +2,7 @@ import functools
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wardflow.llm import pieces as P
@@ -138,6 +139,15 @@ def test_empty(spark):
     assert P.encode_words(spark.createDataFrame([], "w string")).select(F.count("*")).first()[0] == 0
 
 
+def test_common_words_are_numbered_by_frequency(spark):
+    """The most frequent words have the least numbers, of which documents are written in the fewest bytes."""
+    words = ["".join("abcdefghij"[int(c)] for c in f"{k:03d}") for k in range(300)]
+    rows = [(" ".join([w] * (302 - k)),) for k, w in enumerate(words)]
+    got = P.common_words(spark.createDataFrame(rows, "text string").repartition(5), "text", P.LONG, P.MODEL, True)
+    assert [w for w in got if w != " "] == [" " + w for w in words]
+    assert got[" " + words[7]] == np.array(library().encode(words[7]), "<i4").tobytes()
+
+
 def test_splits_may_change_between_the_passes(spark, tmp_path):
     rng = random.Random(12)
     rows = [(i, " ".join("".join(rng.choices("abcdeßé", k=rng.randint(2, 9))) for _ in range(300))) for i in range(400)]

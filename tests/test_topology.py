@@ -38,6 +38,18 @@ def test_rounded_vertices_on_a_side_are_on_it(spark):
     assert graph.neighbours(df).where("shared_len = 0").count() == 0
 
 
+def test_sides_are_dealt_out(spark):
+    """A layer of one file is one task's to read, but not its sides to make."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        layer = polygons(spark, [[square(k, 0)] for k in range(200)]).coalesce(1)
+        at = topology.sides(layer).groupBy(F.spark_partition_id().alias("at")).count().collect()
+    finally:
+        spark.conf.unset(key)
+    assert sum(r["count"] for r in at) == 800 and len(at) > 1
+
+
 def test_vertices_that_lie_together_are_one(spark):
     e = 1e-10
     got = contacts_of(polygons(spark, [[square(0, 0)], [ring((1 + e, -e), (2, 0), (2, 1), (1 - e, 1 + e))], [ring((0, 1 + e), (1, 1), (1 + e, 2), (0, 2))]]))

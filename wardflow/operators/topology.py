@@ -37,8 +37,8 @@ POINTS = "array<struct<x:double,y:double>>"
 
 
 def sides(layer: DataFrame) -> DataFrame:
-    """(precinct_id, ring, pos, x1, y1, x2, y2): each ring's sides in order, the inside on the left."""
-    r = layer.select("precinct_id", F.posexplode("rings").alias("ring", "r")).select("precinct_id", "ring", F.col("r.is_hole").alias("hole"), F.col("r.pts").alias("pts"))
+    """(precinct_id, ring, pos, x1, y1, x2, y2): each ring's sides in order, the inside on the left. Precincts are dealt out first, as a layer's files are small and few tasks read them."""
+    r = layer.select("precinct_id", "rings").repartition("precinct_id").select("precinct_id", F.posexplode("rings").alias("ring", "r")).select("precinct_id", "ring", F.col("r.is_hole").alias("hole"), F.col("r.pts").alias("pts"))
     x0, y0 = F.col("pts")[0]["x"], F.col("pts")[0]["y"]  # areas from the first point on, lest large coordinates blur them
     step = lambda p, i: (p["x"] - x0) * (F.get("pts", i + 1)["y"] - y0) - (F.get("pts", i + 1)["x"] - x0) * (p["y"] - y0)
     twice = F.aggregate(F.transform(F.slice("pts", F.lit(1), F.greatest(F.size("pts") - 1, F.lit(0))), step), F.lit(0.0), lambda a, x: a + x)

@@ -179,6 +179,22 @@ def test_best_path_of_whole_texts(spark):
         assert r["ids"] == (None if t is None else [i for w in P.words_of(t) for i in viterbi(w)])
 
 
+def test_pieces_off_all_best_paths_are_not_tried(spark):
+    ps = P.pieces()
+    kept = P.on_best_paths(ps)
+    assert len(kept) < len(ps) / 2
+    table, least, own = model()
+    rng = random.Random(17)
+    words = list(dict.fromkeys("".join(rng.choices(["th", "e", "ing", "ou", "r", "st", "a", "tion", "É", "  ", "日", "😀", "."], k=rng.randint(1, 9))) for _ in range(300)))
+    on = {i for _, i, _ in kept} | set(own)
+    assert all(set(viterbi(w)) <= on for w in words)
+    got = P.encode_words(spark.createDataFrame([(w, k) for k, w in enumerate(words)], "w string, k int"), bpe=False).collect()
+    assert {r["w"]: r["ids"] for r in got} == {w: viterbi(w) for w in words} and all(words[r["k"]] == r["w"] for r in got)
+    # Equal scores keep a piece, as ties go to the longer last one.
+    own = [("a", 1, -1.0), ("b", 2, -1.0), ("ab", 3, -2.0), ("aba", 4, -4.0)]
+    assert P.on_best_paths(own) == own[:3]
+
+
 def test_a_very_long_word_of_a_unigram_model(spark):
     """One word of some thousand characters is folded over its whole lattice."""
     rows = [(1, "thorreouÉ" * 300), (2, "x"), (3, None)]

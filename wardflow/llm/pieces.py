@@ -4,8 +4,8 @@ A text is cut into words that no piece crosses (a run of blanks with the letters
 before the first, as the model wants it. Each word is encoded once for the whole corpus: its substrings up to the longest piece's length are
 exploded, equi-joined to the piece table (of the model's size, so broadcast), grouped by word into the lattice's edges, and folded
 by a higher-order aggregate. For a unigram model the fold is Viterbi's: the edges come in order of their ends, the state keeps
-the best path to each of the last positions, and an edge replaces the best path to its end if it scores more (ties: the longer last
-piece). A BPE model's scores are the ranks of its merges, and its encoding is not their best path; there the fold merges:
+the last edge of the best path to each position, and an edge replaces the one to its end if its path scores more (ties: the longer last
+piece); pieces that shorter ones always beat are not tried. A BPE model's scores are the ranks of its merges, and its encoding is not their best path; there the fold merges:
 the state is the word's cuts, the edges come in order of their ranks (ties: the leftmost first), and an edge that spans two neighbouring parts takes
 out the cut between them. Words of over LONG characters, of which the state would need more bits than a number has, are merged with a heap
 instead, with the same result. Characters without a piece are byte pieces (in Viterbi at 10 less than the least score).
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -114,11 +115,25 @@ def late_pieces(ranks: dict[str, int]) -> set[str]:
     return {p for p, r in ranks.items() if any(known(p[:k]) and known(p[k:]) and max(comes(p[:k]), comes(p[k:])) > r for k in range(1, len(p)))}
 
 
+def on_best_paths(ps: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
+    """The pieces that a best path may hold: not those which shorter ones make up with a higher score (by more than what rounding takes from sums over words of up to some 100,000 characters)."""
+    score, least = {p: s for p, _, s in ps}, 1e-6 * max(abs(s) for _, _, s in ps)
+
+    def parts(p: str) -> float:
+        best = [0.0]
+        for e in range(1, len(p) + 1):
+            best.append(max((best[s] + score[p[s:e]] for s in range(e) if e - s < len(p) and p[s:e] in score), default=-math.inf))
+        return best[-1]
+
+    return [x for x in ps if parts(x[0]) <= x[2] + least]
+
+
 def encode_words(words: DataFrame, path: str = MODEL, short_only: bool = False, bpe: bool | None = None) -> DataFrame:
     """words (w, and other columns; each w once) with ids. short_only: there are no words of over LONG characters. bpe: whether to merge (else the best path is taken); None: as the model's kind asks."""
     spark = words.sparkSession
     ps, bpe = pieces(path), is_bpe(path) if bpe is None else bpe
     longest, least = max(len(p) for p, _, _ in ps), min(s for _, _, s in ps)
+    ps = ps if bpe else on_best_paths(ps)
     ranks = {p: k for k, (p, _, _) in enumerate(sorted(ps, key=lambda x: (-x[2], x[1])))}
     late = late_pieces(ranks) if bpe else set()
     piece = F.broadcast(spark.createDataFrame([(*x, ranks[x[0]], int(x[0] in late)) for x in ps], "part string, id int, score double, rank int, late int"))
@@ -139,10 +154,10 @@ def encode_words(words: DataFrame, path: str = MODEL, short_only: bool = False,
     o = F.first("o", ignorenulls=True).alias("o")
     carried = [F.col(f"o.`{c}`").alias(c) for c in others]
     if not bpe:
-        # In order of ends, then starts.
-        edge = F.struct((F.col("s") + F.col("n") - 1).alias("e"), (F.col("s") - 1).alias("s"), F.coalesce("score", F.lit(least - UNKNOWN)).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(_bytes(F.col("part"), path)).alias("ids"))
+        # In order of ends, then starts. A character without a piece has its place, less than 0, for an id.
+        edge = F.struct((F.col("s") + F.col("n") - 1).alias("e"), (F.col("s") - 1).alias("s"), F.coalesce("id", -F.col("s")).alias("id"), F.coalesce("score", F.lit(least - UNKNOWN)).alias("score"))
         edges = own.groupBy("w").agg(F.sort_array(F.collect_list(edge)).alias("edges"), o)
-        return edges.select("w", *carried, best_path("edges", longest).alias("ids"))
+        return edges.select("w", *carried, best_path("edges", "w", path).alias("ids"))
     if longest >= 1 << N_BITS or len(ps) >= NONE or max(i for _, i, _ in ps) > NONE or min(i for _, i, _ in ps) < 1:
         raise ValueError("the model's pieces are too many or too long, or one has the id 0")
     # One number for an edge, in the order of merges: rank, start, length, id (0: a character without a piece), whether it may become due late. Single characters merge nothing and come last.
@@ -252,24 +267,31 @@ def _long_words(path: str):
     return run
 
 
-def best_path(edges: str, longest: int) -> Column:
-    """The ids of the best path. The state: the best (score, ids) to the positions before `at`, latest last, and the best so far to `at`."""
-    path = "struct<score:double,ids:array<int>>"
-    kind = f"struct<at:int,best:{path},before:array<{path}>>"
-    start = F.struct(F.lit(0).alias("at"), F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")).alias("best"), F.array().cast(f"array<{path}>").alias("before")).cast(kind)
+def best_path(edges: str, word: str, path: str = MODEL) -> Column:
+    """The ids of the best path. The state: the last edge of the best path to where the edges have come, with that path's score, and the same of all positions before; from these the path is read backwards.
 
-    def step(a: Column, x: Column) -> Column:
-        def from_(before: Column) -> Column:
-            return let(F.element_at(before, x["s"] - x["e"]), lambda p: F.struct((p["score"] + x["score"]).alias("score"), F.concat(p["ids"], x["ids"]).alias("ids")).cast(path))
-
-        def state(at: Column, best: Column, before: Column) -> Column:
-            return F.struct(at.alias("at"), best.alias("best"), before.alias("before")).cast(kind)
+    Only the start is cast: a cast in the fold would copy all positions at each edge."""
+    last = "struct<e:int,s:int,id:int,score:double>"
+    none = F.struct(F.lit(0).alias("e"), F.lit(-1).alias("s"), F.lit(0).alias("id"), F.lit(0.0).alias("score"))
+    start = F.struct(none.alias("best"), F.array().cast(f"array<{last}>").alias("before")).cast(f"struct<best:{last},before:array<{last}>>")
 
-        more = F.element_at(a["before"], x["s"] - x["e"])["score"] + x["score"] > a["best"]["score"]
-        kept = F.concat(F.slice(a["before"], F.greatest(F.lit(1), F.size(a["before"]) - longest + 2), F.lit(longest)), F.array(a["best"]))
-        return F.when(x["e"] > a["at"], let(kept, lambda b: state(x["e"], from_(b), b))).when(more, state(a["at"], from_(a["before"]), a["before"])).otherwise(a)
-
-    return F.aggregate(edges, start, step)["best"]["ids"]
+    def step(a: Column, x: Column) -> Column:
+        best = a["best"]
+        earlier = F.get(a["before"], x["s"])["score"] + x["score"]
+        state = lambda score, before: F.struct(F.struct(x["e"].alias("e"), x["s"].alias("s"), x["id"].alias("id"), score.alias("score")).alias("best"), before.alias("before"))
+        on = state(F.when(x["s"] == best["e"], best["score"] + x["score"]).otherwise(earlier), F.concat(a["before"], F.array(best)))
+        return F.when(x["e"] > best["e"], on).when(earlier > best["score"], state(earlier, a["before"])).otherwise(a)
+
+    def back(a: Column) -> Column:
+        """The ids from the end on, each edge's start being the end of the one before."""
+        own = F.struct(a["best"]["s"].alias("at"), F.array(a["best"]["id"]).alias("ids")).cast("struct<at:int,ids:array<int>>")
+        return F.aggregate(F.reverse(a["before"]), own, lambda p, x: F.when((x["e"] == p["at"]) & (x["e"] > 0), F.struct(x["s"].alias("at"), F.concat(F.array(x["id"]), p["ids"]).alias("ids"))).otherwise(p))["ids"]
+
+    def with_bytes(ids: Column) -> Column:
+        own = F.flatten(F.transform(ids, lambda i: F.when(i < 0, _bytes(F.call_function("substring", F.col(word), -i, F.lit(1)), path)).otherwise(F.array(i))))
+        return F.when(F.exists(ids, lambda i: i < 0), own).otherwise(ids)
+
+    return let(let(F.aggregate(edges, start, step), back), with_bytes)
 
 
 # ---- documents ----

@@ -170,3 +170,75 @@ def test_laid_layers_are_checked(spark):
     e = spark.createDataFrame([], "u long, v long, shared_len double, is_virtual boolean")
     with pytest.raises(ValueError, match="0 to n - 1"):
         chain.laid(p, e, ScoreConfig())
+
+
+def test_a_layer_of_any_size_is_laid_and_lies_in_mapped_files(spark, lattice, monkeypatch):
+    grid, x, plan = lattice
+    monkeypatch.setattr(chain, "MOST_PRECINCTS", 3)
+    monkeypatch.setattr(chain, "MOST_EDGES", 3)
+    monkeypatch.setattr(chain, "MAPPED", 1)
+    monkeypatch.setattr(kernel, "BLOCK", 100)
+    own, start = catalogue.laid(grid, everything()).load()
+    for k, v in x.__dict__.items():
+        if k != "around":
+            assert np.array_equal(getattr(own, k), v), k
+            a = getattr(own, k)
+            while isinstance(a.base, np.ndarray):
+                a = a.base
+            assert isinstance(a, np.memmap) or a.base is not None, k
+    assert np.array_equal(start, plan) and own.extrema[:, 3, 2].flags.c_contiguous
+    assert np.array_equal(own.cut(plan), np.flatnonzero(plan[x.u] != plan[x.v]))
+    with pytest.raises(ValueError, match="more than 3"):
+        catalogue.packed(grid)
+
+
+def test_trees_are_summed_and_parted_by_layers():
+    rng = np.random.default_rng(2)
+    for n in (2, 3, 40, 400):
+        v = np.arange(1, n)
+        u = np.array([int(rng.integers(max(0, k - 3), k)) for k in v])
+        values, root = rng.integers(1, 99, n), int(rng.integers(n))
+        tree, sums = kernel.rooted(n, u, v, root, np.bincount(np.r_[u, v], minlength=n), values)
+        near = kernel.Around(n, u, v)
+        below = {}
+
+        def walk(a, before):
+            below[a] = {a}.union(*(walk(int(b), a) for b in near[a] if b != before))
+            assert tree.parent[a] == (a if before is None else before)
+            return below[a]
+
+        walk(root, None)
+        assert sums.tolist() == [sum(values[list(below[a])].tolist()) for a in range(n)] == tree.below(values).tolist()
+        for a in range(0, n, 7):
+            assert set(np.flatnonzero(tree.subtree(a)).tolist()) == below[a]
+
+
+def test_a_cut_takes_little_memory():
+    import tracemalloc
+
+    w = 200
+    k = np.arange(w * w)
+    u, v = np.r_[k[k % w < w - 1], k[:-w]], np.r_[k[k % w < w - 1] + 1, k[w:]]
+    x = kernel.Arrays(np.ones(w * w, np.int64), u.astype(np.int32), v.astype(np.int32))
+    tracemalloc.start()
+    got = kernel.balanced_cut(x, k, w * w / 2, 0.2, np.random.default_rng(1))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got is not None and most < 200 * w * w, most / w / w
+
+
+def test_pieces_without_a_node_are_those_of_a_walk():
+    rng = np.random.default_rng(4)
+    u, v = np.array([(a, b) for a in range(60) for b in range(a) if rng.random() < 0.04 or a == b + 1]).T
+    x, plan = kernel.Arrays(np.ones(60, np.int64), u, v), rng.integers(0, 3, 60)
+    seen = set()
+    for a in range(60):
+        rest = np.where(plan == plan[a], plan, -1)
+        rest[a] = -1
+        seen.add(kernel.stays_connected(x, plan, a))
+        assert kernel.stays_connected(x, plan, a) == (pieces(x, rest, plan[a]) == 1)
+    plan[:] = 0
+    seen.add(kernel.stays_connected(x, plan, 30))
+    assert seen == {True, False}
+    plan[7] = 1
+    assert not kernel.stays_connected(x, plan, 7)

@@ -242,3 +242,14 @@ def test_pieces_without_a_node_are_those_of_a_walk():
     assert seen == {True, False}
     plan[7] = 1
     assert not kernel.stays_connected(x, plan, 7)
+
+
+#: Queries of chains, whose layer may have any size.
+OF_ANY_SIZE = ["annealed_ensemble", "recom_n3_chain"]
+
+
+@pytest.mark.parametrize("name", OF_ANY_SIZE)
+def test_queries_of_chains_take_layers_of_any_size(spark, monkeypatch, name):
+    monkeypatch.setattr(chain, "MOST_PRECINCTS", 3)
+    monkeypatch.setattr(chain, "MOST_EDGES", 3)
+    assert catalogue.QUERIES[name](spark, DATA).count()

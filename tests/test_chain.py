@@ -245,7 +245,7 @@ def test_pieces_without_a_node_are_those_of_a_walk():
 
 
 #: Queries of chains, whose layer may have any size.
-OF_ANY_SIZE = ["annealed_ensemble", "recom_n3_chain", "run_in_batches", "initial_partition"]
+OF_ANY_SIZE = ["annealed_ensemble", "recom_n3_chain", "run_in_batches", "initial_partition", "chain_invariants"]
 
 
 @pytest.mark.parametrize("name", OF_ANY_SIZE)
